@@ -1,0 +1,28 @@
+"""Exact ranks within groups of any size without bringing a group to one task."""
+
+from __future__ import annotations
+
+from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import functions as F
+
+
+def ranked(df: DataFrame, key: str, bucket: Column, order: list[Column], bucket_name: str = "_b") -> DataFrame:
+    """Add _rank (from 0) and _total within each value of ``key``.
+
+    ``bucket`` must not fall as ``order`` rises.  Rows of one (key, bucket) meet in a
+    task; what comes before a bucket is a prefix sum over the small table of counts.
+    """
+    df = df.withColumn(bucket_name, bucket)
+    before = Window.partitionBy(key).orderBy(bucket_name)
+    counts = (
+        df.groupBy(key, bucket_name).agg(F.count(F.lit(1)).alias("_n"))
+        .select(key, bucket_name,
+                (F.sum("_n").over(before.rowsBetween(Window.unboundedPreceding, 0)) - F.col("_n")).alias("_before"),
+                F.sum("_n").over(Window.partitionBy(key)).alias("_total"))
+    )
+    own = Window.partitionBy(key, bucket_name).orderBy(*order)
+    return (
+        df.join(counts, [key, bucket_name])
+        .withColumn("_rank", F.col("_before") + F.row_number().over(own) - 1)
+        .drop("_before", bucket_name)
+    )
