@@ -8,7 +8,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from isochron.llm import components, cuckoo, langid, linededup, minhash, neardup, packing, queries, sharding, topk, warc
+from isochron.llm import components, cuckoo, langid, linededup, minhash, neardup, packing, queries, sharding, suffixes, topk, warc
 
 from . import brute
 
@@ -238,3 +238,43 @@ def test_top_k(spark):
         for q, v in queries_.items():
             assert got[q] == sorted((-int(v @ w), i) for i, w in ok if i != q)[:7]
     assert topk.top_k(df.limit(0)).collect() == []
+
+
+def passages(seed):
+    """Texts that share passages around the threshold's length, at every kind of edge, and periodic ones."""
+    rng = random.Random(seed)
+    noise = lambda n: "".join(rng.choice("ab cdé") for _ in range(n))
+    long = noise(1500)
+    texts = [None, "", noise(399), "y" * 1500, "xy" * 700, long, long, "y" * 401]
+    for n in (398, 399, 400, 401, 420, 700):
+        at = rng.randrange(0, 1500 - n)
+        texts.append(noise(rng.choice([0, 3, 300])) + long[at : at + n] + noise(rng.choice([0, 5, 500])))
+    text = noise(900)
+    texts.append(text[:600] + noise(50) + text[:450] + noise(9) + text[200:700])
+    for _ in range(12):
+        own = bytearray(text.encode("ascii", "replace"))
+        for _ in range(rng.randrange(3)):
+            own[rng.randrange(len(own))] = ord("z")
+        texts.append(own.decode()[rng.randrange(200) :])
+    texts += [noise(40) + long[100:560] + noise(60) for _ in range(30)] + [texts[-1]] * 4
+    return texts
+
+
+@pytest.mark.parametrize("seed", [1, 2])
+def test_passages(spark, seed):
+    rows = [(i if i % 9 else None, t, 1) for i, t in enumerate(passages(seed))]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, k long").repartition(3)
+    want = sorted(((a, *x) for (a, _, _), x in zip(rows, brute.repeats([{"text": t} for _, t, _ in rows]), strict=True)), key=str)
+    for bound in (10**6, 0):
+        out = suffixes.dedup_passages(docs, bound=bound).select("doc_id", "n_bytes", "n_removed", "n_spans", F.sha2("kept", 256))
+        assert sorted(map(tuple, out.collect()), key=str) == want
+
+
+def test_passages_of_documents(spark, odd, empty):
+    rows = given(spark)
+    want = sorted((r["doc_id"], *x) for r, x in zip(rows, brute.repeats(rows), strict=True))
+    assert sorted(map(tuple, queries.op5_suffix_dedup(spark, SF).collect())) == want
+    rows = [r.asDict() for r in odd.collect()]
+    out = suffixes.dedup_passages(odd).select("doc_id", "n_bytes", "n_removed", "n_spans", F.sha2("kept", 256)).collect()
+    assert sorted(map(tuple, out), key=str) == sorted(((r["doc_id"], *x) for r, x in zip(rows, brute.repeats(rows), strict=True)), key=str)
+    assert suffixes.dedup_passages(empty).collect() == []
