@@ -1 +1 @@
-
+"""Streaming forms of the trailing-window operators."""
