@@ -2,10 +2,21 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 
+def let(value: Column, body: Callable[[Column], Column]) -> Column:
+    """body(value) with value computed once per row.
+
+    A column that a lambda refers to is otherwise put into the lambda by the optimizer and
+    computed again for every element.
+    """
+    return F.get(F.transform(F.array(value), body), F.lit(0))
+
+
 def total(a: Column) -> Column:
     return F.aggregate(a, F.lit(0.0), lambda s, x: s + x)
 

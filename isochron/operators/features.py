@@ -19,24 +19,23 @@ PREFIXES = {"td_": "time", "fd_": "freq", "mp_": "morph", "wv_": "wavelet", "hrv
 
 def time_features(df: DataFrame, segment: str) -> DataFrame:
     """Mean, population sd, skewness, excess kurtosis, rms and zero crossings of an array column."""
-    x = A.doubles(segment)
-    df = df.withColumn("_x", x).withColumn("td_mean", A.mean(F.col("_x")))
-    a, m = F.col("_x"), F.col("td_mean")
-    df = df.withColumns({"_m2": A.central(a, m, 2), "_m3": A.central(a, m, 3), "_m4": A.central(a, m, 4)})
-    return df.withColumns({
-        "td_std": F.sqrt("_m2"),
-        "td_skew": F.col("_m3") / (F.col("_m2") * F.sqrt("_m2")),
-        "td_kurt": F.col("_m4") / (F.col("_m2") * F.col("_m2")) - 3.0,
-        "td_rms": A.rms(a),
-        "td_zcr": A.zero_crossings(a),
-    }).drop("_x", "_m2", "_m3", "_m4")
-
-
-def descriptor(df: DataFrame, segment: str, name: str = "descriptor") -> DataFrame:
-    """sd, rms, skewness, excess kurtosis and largest absolute value as an array of five."""
-    out = time_features(df, segment)
-    peak = A.max_abs(A.doubles(segment))
-    return out.withColumn(name, F.array("td_std", "td_rms", "td_skew", "td_kurt", peak)).drop("td_mean", "td_std", "td_skew", "td_kurt", "td_rms", "td_zcr")
+    moments = A.let(A.doubles(segment), lambda a: A.let(A.mean(a), lambda m: F.struct(
+        m.alias("m"), A.central(a, m, 2).alias("m2"), A.central(a, m, 3).alias("m3"), A.central(a, m, 4).alias("m4"), A.rms(a).alias("rms"), A.zero_crossings(a).alias("zcr"))))
+    m2 = F.col("_t.m2")
+    return df.withColumn("_t", moments).withColumns({
+        "td_mean": F.col("_t.m"),
+        "td_std": F.sqrt(m2),
+        "td_skew": F.col("_t.m3") / (m2 * F.sqrt(m2)),
+        "td_kurt": F.col("_t.m4") / (m2 * m2) - 3.0,
+        "td_rms": F.col("_t.rms"),
+        "td_zcr": F.col("_t.zcr"),
+    }).drop("_t")
+
+
+def descriptor(df: DataFrame, segment: str, name: str = "descriptor", keep: bool = False) -> DataFrame:
+    """sd, rms, skewness, excess kurtosis and largest absolute value as an array of five; ``keep`` leaves the time features."""
+    out = time_features(df, segment).withColumn(name, F.array("td_std", "td_rms", "td_skew", "td_kurt", A.max_abs(A.doubles(segment))))
+    return out if keep else out.drop("td_mean", "td_std", "td_skew", "td_kurt", "td_rms", "td_zcr")
 
 
 def kernel_features(df: DataFrame, segment: str, fs: float, families: tuple[str, ...] = ("freq", "morph", "wavelet"), filtered: bool = True) -> DataFrame:
@@ -112,7 +111,7 @@ def graph_features(df: DataFrame, record: str, order: list[str], values: str = "
 
 def feature_table(beats: DataFrame, record: str, order: list[str], segment: str, fs: float, width: int = 16, tau: float = 8.0, causal: bool = True) -> DataFrame:
     """All six families, a row per beat with its key; beats has rr_pre."""
-    out = descriptor(kernel_features(time_features(beats, segment), segment, fs), segment)
+    out = descriptor(kernel_features(beats, segment, fs), segment, keep=True)
     out = windows.rhythm(out, record, order, width=width, causal=causal)
     out = out.withColumnsRenamed({c: f"hrv_{c}" for c in ("mean_rr", "sdnn", "rmssd", "pnn", "lfhf")}).drop("n_rr")
     return graph_features(out, record, order, width=width, tau=tau, causal=causal).drop("descriptor")

@@ -131,6 +131,8 @@ def fit_linear(rows: DataFrame, loss: str = "squared_hinge", c: float = 0.1, bal
         step = np.stack([np.linalg.lstsq(np.diag(penal) + c * h, g, rcond=None)[0] for h, g in zip(hess, full, strict=True)])
         if np.abs(full).max() <= tol * max(1.0, n * c):
             break
+        if (full * step).sum() <= 1e-11 * max(1.0, c * value.sum()):
+            break
         now = 0.5 * (penal * w**2).sum(axis=1) + c * value
         size = np.ones(len(classes))
         for _ in range(12):

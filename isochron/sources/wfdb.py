@@ -134,9 +134,12 @@ def beats(signals: DataFrame, annotations: DataFrame, symbols: dict[str, str], b
     from ..operators import tables, windows
 
     marked = windows.intervals(tables.map_symbols(annotations, symbols), "record", ["sample"], "sample")
-    scaled = signals.withColumn("m", F.aggregate("samples", F.lit(0.0), lambda s, x: s + x) / F.size("samples"))
-    scaled = scaled.withColumn("s", F.sqrt(F.aggregate("samples", F.lit(0.0), lambda s, x: s + (x - F.col("m")) * (x - F.col("m"))) / F.size("samples")))
-    scaled = scaled.withColumn("samples", F.transform("samples", lambda x: (x - F.col("m")) / (F.col("s") + 1e-8)))
+
+    def scale(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for part in parts:
+            yield part.assign(samples=[(x - np.mean(x)) / (np.std(x) + 1e-8) for x in part["samples"]])
+
+    scaled = signals.mapInPandas(scale, SIGNAL)
     cutting = marked.join(scaled.select("record", "lead", "idx", "fs", "samples", F.size("samples").alias("n")), "record")
     inside = tables.inside(cutting, "sample", "n", before, after)
     return inside.select("record", "sample", "pos", "label", (F.col("rr_pre") / F.col("fs")).alias("rr_pre"), (F.col("rr_post") / F.col("fs")).alias("rr_post"),
