@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import zlib
+from array import array
 from collections.abc import Iterator
 
 import numpy as np
@@ -17,48 +18,50 @@ PIECES = {"doc_id": pa.int64(), "piece": pa.int32(), "start": pa.int64(), "lengt
 SCHEMA = "doc_id long, piece int, start long, length long, ids_crc32 long"
 
 
-class Words:
-    """Token ids of whole texts by way of a cache of words.
+class Words(dict):
+    """Numbers of words whose token ids are known, by word; a new word is tokenised when it is asked for.
 
     The tokenizer drops white space and never merges across it, so a text's ids are the
-    ids of its words in a row.  Only words that this process doesn't know go through it.
+    ids of its words in a row.  A lower-cased Latin-1 word of letters is one piece to the
+    tokenizer and goes straight to its merge model, as the byte-level characters that the
+    model expects; everything else takes the whole way.  At ``keep`` words all are
+    forgotten, which bounds a process's memory.
     """
 
-    def __init__(self, path: str, keep: int = 400_000):
+    def __init__(self, path: str, keep: int = 600_000):
         from tokenizers import Tokenizer
 
+        super().__init__()
         self.tokenizer = Tokenizer.from_file(path)
+        self.model = self.tokenizer.model
         self.keep = keep
-        self.clear()
+        odd = [*range(33), *range(127, 161), 173]  # bytes without a visible character stand as 256, 257, ...
+        self.visible = {b: 256 + i for i, b in enumerate(odd)}
+        self.forget()
 
-    def clear(self) -> None:
-        self.at: dict[str, int] = {"": 0}
-        self.first, self.size = np.zeros(1 << 16, np.int64), np.zeros(1 << 16, np.int64)
-        self.pool, self.used = np.zeros(1 << 18, np.uint32), 0
-
-    def _put(self, word: str, ids) -> None:
-        n = len(self.at)
-        if n == len(self.first):
-            self.first, self.size = (np.concatenate([x, np.zeros_like(x)]) for x in (self.first, self.size))
-        while self.used + len(ids) > len(self.pool):
-            self.pool = np.concatenate([self.pool, np.zeros_like(self.pool)])
-        self.pool[self.used : self.used + len(ids)] = ids
-        self.at[word], self.first[n], self.size[n] = n, self.used, len(ids)
-        self.used += len(ids)
-
-    def _ids(self, word: str) -> np.ndarray:
-        i = self.at[word]
-        return self.pool[self.first[i] : self.first[i] + self.size[i]]
-
-    def _learn(self, words: list[str]) -> None:
-        # a mark after letters is a token of its own, and the word before it is met more often
-        split = {w for w in words if w[-1] in ".,!?" and w[:-1].isalpha()}
-        bare = dict.fromkeys(y for w in words for y in ((w[:-1], w[-1]) if w in split else (w,)))
-        new = [w for w in bare if w not in self.at]
-        for w, e in zip(new, self.tokenizer.encode_batch_fast(new, add_special_tokens=False), strict=True):
-            self._put(w, e.ids)
-        for w in split:
-            self._put(w, np.concatenate([self._ids(w[:-1]), self._ids(w[-1])]))
+    def forget(self) -> None:
+        self.clear()
+        self.first, self.size, self.pool = array("q"), array("q"), array("I")
+        self._put("", [])
+
+    def _put(self, word: str, ids) -> int:
+        self[word] = n = len(self.first)
+        self.first.append(len(self.pool))
+        self.size.append(len(ids))
+        self.pool.extend(ids)
+        return n
+
+    def __missing__(self, word: str) -> int:
+        if word.isalpha() and word.islower() and max(word) <= "\xff":
+            return self._put(word, [t.id for t in self.model.tokenize(word.encode().decode("latin-1").translate(self.visible))])
+        if word[-1] in ".,!?" and word[:-1].isalpha():
+            # a mark after letters is a token of its own
+            a, b = self[word[:-1]], self[word[-1]]
+            return self._put(word, [*self._ids(a), *self._ids(b)])
+        return self._put(word, self.tokenizer.encode(word, add_special_tokens=False).ids)
+
+    def _ids(self, n: int) -> array:
+        return self.pool[self.first[n] : self.first[n] + self.size[n]]
 
     def encode(self, text: str) -> np.ndarray:
         try:
@@ -66,17 +69,13 @@ class Words:
             text = text.lower()  # the tokenizer would; more words are known so
         except UnicodeEncodeError:
             pass
+        if len(self) > self.keep:
+            self.forget()
         words = text.replace("\n", " ").split(" ")
-        if len(self.at) > self.keep:
-            self.clear()
-        get = self.at.get
-        at = np.array([get(w, -1) for w in words])
-        if (at < 0).any():
-            self._learn(list({words[i] for i in np.flatnonzero(at < 0)}))
-            at = np.array([get(w) for w in words])
-        first, size = self.first[at], self.size[at]
+        at = np.fromiter(map(self.__getitem__, words), np.int64, len(words))
+        first, size = np.frombuffer(self.first, np.int64)[at], np.frombuffer(self.size, np.int64)[at]
         ends = np.cumsum(size)
-        return self.pool[np.arange(ends[-1]) + np.repeat(first - (ends - size), size)]
+        return np.frombuffer(self.pool, np.uint32)[np.arange(ends[-1]) + np.repeat(first - (ends - size), size)] if len(self.pool) else np.empty(0, np.uint32)
 
 
 _WORDS: dict[str, Words] = {}
@@ -86,12 +85,12 @@ def pieces(docs: DataFrame, tokenizer: str, most: int = 2048, end: int = 0) -> D
     """Token ids of each document with ``end`` after them, cut every ``most`` ids."""
 
     def cut(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        if tokenizer not in _WORDS:
-            _WORDS[tokenizer] = Words(tokenizer)
+        words = _WORDS.setdefault(tokenizer, None) or Words(tokenizer)
+        _WORDS[tokenizer] = words
         for part in parts:
             rows = []
             for doc_id, text in zip(part["doc_id"].to_pylist(), part["text"].to_pylist(), strict=True):
-                ids = np.append(_WORDS[tokenizer].encode(text or ""), np.uint32(end)).astype("<u4")
+                ids = np.append(words.encode(text or ""), np.uint32(end)).astype("<u4")
                 for i, at in enumerate(range(0, len(ids), most)):
                     own = ids[at : at + most]
                     rows.append((doc_id, i, at, len(own), zlib.crc32(own.tobytes())))
