@@ -110,7 +110,7 @@ def operating_points(rows: DataFrame, thresholds: DataFrame, key: str) -> DataFr
 def sweep_grid(rows: DataFrame, key: str, points: int = 15) -> DataFrame:
     """Per key: evenly spaced thresholds between the 1st and 99th percentile, rounded, and 0."""
     ends = rows.groupBy(key).agg(F.percentile("score", [0.01, 0.99]).alias("e"))
-    grid = F.transform(F.sequence(F.lit(0), F.lit(points - 1)), lambda i: F.round(F.col("e")[0] + (F.col("e")[1] - F.col("e")[0]) * i / (points - 1), 4))
+    grid = F.transform(F.sequence(F.lit(0), F.lit(points - 1)), lambda i: F.floor((F.col("e")[0] + (F.col("e")[1] - F.col("e")[0]) * i / (points - 1)) * 10000.0 + 0.5) / 10000.0)
     return ends.select(key, F.array_sort(F.array_distinct(F.concat(grid, F.array(F.lit(0.0))))).alias("grid"))
 
 

@@ -187,7 +187,7 @@ def operating_point(spark, sf_dir):
 
 
 @query(f"""WITH {SCORED}, e AS (SELECT clf, quantile_cont(score, 0.01) AS lo, quantile_cont(score, 0.99) AS hi FROM s GROUP BY clf),
-    g AS (SELECT DISTINCT clf, threshold FROM (SELECT clf, round(lo + (hi - lo) * i / 14, 4) AS threshold FROM e CROSS JOIN (SELECT unnest(range(15)) AS i) UNION ALL SELECT clf, 0.0 FROM e)),
+    g AS (SELECT DISTINCT clf, threshold FROM (SELECT clf, floor((lo + (hi - lo) * i / 14) * 10000.0::DOUBLE + 0.5::DOUBLE) / 10000.0::DOUBLE AS threshold FROM e CROSS JOIN (SELECT unnest(range(15)) AS i) UNION ALL SELECT clf, 0.0 FROM e)),
     o AS (SELECT clf, threshold, {POINT} FROM s JOIN g USING (clf) GROUP BY ALL) SELECT {RATES} FROM o""")
 def threshold_sweep(spark, sf_dir):
     rows = scored(spark, sf_dir)
