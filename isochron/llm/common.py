@@ -49,6 +49,33 @@ def remove(df: DataFrame) -> None:
         path.getFileSystem(conf).delete(path, True)
 
 
+#: What a worker process keeps from task to task, one kind at a time.
+_CACHE: dict = {}
+
+
+def cached(kind: str, make):
+    """The process's object of this kind; an object of another kind is let go first."""
+    if kind not in _CACHE:
+        _CACHE.clear()
+        _CACHE[kind] = make()
+    return _CACHE[kind]
+
+
+def release() -> None:
+    """Let go of what tasks of other operators have left in this process."""
+    _CACHE.clear()
+
+
+def small_batches(spark: SparkSession, rows: int = 1000) -> None:
+    """Send texts to Python workers by the thousand: ten times the rows are ten times the memory.
+
+    A session whose user has set a number of rows keeps it.
+    """
+    name = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if spark.conf.get(name) == "10000":
+        spark.conf.set(name, str(rows))
+
+
 def text_key(text: Column) -> list[Column]:
     """A 128-bit key of a text; equal texts are alike in every operator that uses it."""
     text = F.coalesce(text, F.lit(""))

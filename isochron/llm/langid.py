@@ -11,7 +11,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import U64, mix
+from .common import U64, mix, release, small_batches
 
 DIMS, N, SEED = 1024, 3, 20240229
 #: Codes of symbols: 0 is the gap between words, others are code points of letters.
@@ -51,7 +51,8 @@ class Grams:
         self.dims, self.n, self.keep = dims, n, keep
         self.letters: dict[int, np.ndarray] = {}
         self.known: np.ndarray = np.empty(0, U64)
-        self.vectors = np.empty((0, dims), np.int8)
+        self.place = np.empty(0, np.int64)
+        self.vectors = np.empty((keep, dims), np.int8)
 
     def letter(self, code: int) -> np.ndarray:
         if code not in self.letters:
@@ -71,20 +72,18 @@ class Grams:
         """Vectors of sorted distinct n-grams, a row each."""
         new = np.setdiff1d(ids, self.known, assume_unique=True)
         if len(new):
-            made = np.empty((len(new), self.dims), np.int8)
-            for r, gram in enumerate(new.tolist()):
-                v = np.ones(self.dims, np.int8)
-                for place in range(self.n):
-                    v = v * np.roll(self.letter((gram >> (21 * place)) & 0x1FFFFF), place)
-                made[r] = v
             if len(self.known) + len(new) > self.keep:
-                self.known, self.vectors = self.known[:0], self.vectors[:0]
-                if len(new) < len(ids):
-                    return self.bound(ids)
-            known = np.concatenate([self.known, new])
+                self.known, self.place, new = self.known[:0], self.place[:0], ids
+            rows = np.arange(len(self.known), len(self.known) + len(new))
+            for r, gram in zip(rows, new.tolist(), strict=True):
+                v = self.letter(gram & 0x1FFFFF)
+                for place in range(1, self.n):
+                    v = v * np.roll(self.letter((gram >> (21 * place)) & 0x1FFFFF), place)
+                self.vectors[r] = v
+            known, at = np.concatenate([self.known, new]), np.concatenate([self.place, rows])
             order = np.argsort(known)
-            self.known, self.vectors = known[order], np.concatenate([self.vectors, made])[order]
-        return self.vectors[np.searchsorted(self.known, ids)]
+            self.known, self.place = known[order], at[order]
+        return self.vectors[self.place[np.searchsorted(self.known, ids)]]
 
     def bundle(self, texts: list[str | None], rows: int = 64) -> np.ndarray:
         """Sums of the vectors of all n-grams of each whole text."""
@@ -92,8 +91,8 @@ class Grams:
         for lo in range(0, len(texts), rows):
             found = [np.unique(self.ids(symbols(t or "")), return_counts=True) for t in texts[lo : lo + rows]]
             grams = np.unique(np.concatenate([g for g, _ in found]))
-            for a in range(0, len(grams), 8192):
-                part = grams[a : a + 8192]
+            for a in range(0, len(grams), 4096):
+                part = grams[a : a + 4096]
                 counts = np.zeros((len(found), len(part)), np.float32)
                 for r, (g, n) in enumerate(found):
                     own = slice(*np.searchsorted(g, [part[0], part[-1] + U64(1)]))
@@ -110,6 +109,7 @@ def train(rows: DataFrame, dims: int = DIMS, n: int = N) -> pd.DataFrame:
     """
 
     def bundle(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        release()
         grams, held = Grams(dims, n), {}
         for part in parts:
             sums = grams.bundle(part["text"].to_pylist())
@@ -135,6 +135,7 @@ def predict(docs: DataFrame, prototypes: pd.DataFrame, dims: int = DIMS, n: int
     schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema)
 
     def run(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        release()
         langs, p = sent.value
         grams = Grams(dims, n)
         for part in parts:
@@ -164,6 +165,7 @@ def identify(docs: DataFrame) -> DataFrame:
     not held out.  Ties go to the language that sorts first.  Empty table: no rows.
     Other columns pass through; columns named as the results give way to them.
     """
+    small_batches(docs.sparkSession)
     docs = docs.drop("held_out", "lang_pred", "score")
     prototypes = train(docs.where(~held_out() & F.col("lang").isNotNull() & F.col("text").isNotNull()))
     return predict(docs.withColumn("held_out", held_out()), prototypes)

@@ -12,7 +12,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import materialize, text_key
+from .common import materialize, release, small_batches, text_key
 from .cuckoo import CuckooFilter, build
 
 COUNTS = "k1 long, k2 long, n long"
@@ -41,6 +41,7 @@ def count_lines(docs: DataFrame, least: int = 1) -> DataFrame:
     """
 
     def count(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        release()
         held: Counter = Counter()
 
         def flush() -> pa.RecordBatch:
@@ -59,6 +60,7 @@ def count_lines(docs: DataFrame, least: int = 1) -> DataFrame:
         if held:
             yield flush()
 
+    small_batches(docs.sparkSession)
     return docs.select("text").mapInArrow(count, COUNTS).groupBy("k1", "k2").agg(F.sum("n").alias("n"))
 
 

@@ -10,7 +10,7 @@ _WORD = RollingHash(101)
 _SPACE = np.zeros(256, dtype=bool)
 _SPACE[[0x20, 9, 10, 11, 12, 13]] = True
 _PLACE = mix(np.arange(1, 65, dtype=U64)) | U64(1)
-CHUNK = 1 << 20
+CHUNK = 1 << 18
 
 
 def shingle_sets(texts: list[bytes], k: int) -> list[np.ndarray]:
@@ -50,7 +50,7 @@ def _chunk(texts: list[bytes], k: int) -> list[np.ndarray]:
     return out
 
 
-def super_minhash(sets: list[np.ndarray], m: int, limit: int = 200_000) -> np.ndarray:
+def super_minhash(sets: list[np.ndarray], m: int, limit: int = 50_000) -> np.ndarray:
     """SuperMinHash signatures, a row of ``m`` values per set; empty sets keep the largest value.
 
     Each element walks its own random permutation of the m places (a Fisher-Yates shuffle

@@ -10,7 +10,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import materialize, remove
+from .common import materialize, release, remove, small_batches
 from .components import components, forest
 from .minhash import band_hashes, set_keys, shingle_sets, super_minhash
 
@@ -30,6 +30,7 @@ def sketches(docs: DataFrame, words: int, bands: int, rows: int) -> DataFrame:
     """Per document: the size and a 128-bit key of its shingle set, and its band hashes."""
 
     def sketch(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        release()
         for part in parts:
             sets = shingle_sets(_texts(part), words)
             keys = set_keys(sets)
@@ -133,6 +134,7 @@ def groups(docs: DataFrame, words: int = 5, num: int = 80, den: int = 100, bands
     Rows with one doc_id are one document: repeated rows share all values, different
     texts under one id count as linked.  Empty table: no rows.  Other columns are not read.
     """
+    small_batches(docs.sparkSession)
     sketched = materialize(sketches(docs, words, bands, rows), "sketches")
     classes = (sketched.where("n > 0").groupBy("f1", "f2")
                .agg(F.min("node").alias("node"), F.max("n").alias("n"), F.first("bands").alias("bands")))

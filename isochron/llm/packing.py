@@ -11,7 +11,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import materialize
+from .common import cached, materialize, small_batches
 from .ranking import ranked
 
 PIECES = {"doc_id": pa.int64(), "piece": pa.int32(), "start": pa.int64(), "length": pa.int64(), "ids_crc32": pa.int64()}
@@ -78,15 +78,11 @@ class Words(dict):
         return np.frombuffer(self.pool, np.uint32)[np.arange(ends[-1]) + np.repeat(first - (ends - size), size)] if len(self.pool) else np.empty(0, np.uint32)
 
 
-_WORDS: dict[str, Words] = {}
-
-
 def pieces(docs: DataFrame, tokenizer: str, most: int = 2048, end: int = 0) -> DataFrame:
     """Token ids of each document with ``end`` after them, cut every ``most`` ids."""
 
     def cut(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        words = _WORDS.setdefault(tokenizer, None) or Words(tokenizer)
-        _WORDS[tokenizer] = words
+        words = cached(f"words {tokenizer}", lambda: Words(tokenizer))
         for part in parts:
             rows = []
             for doc_id, text in zip(part["doc_id"].to_pylist(), part["text"].to_pylist(), strict=True):
@@ -197,6 +193,7 @@ def pack(docs: DataFrame, tokenizer: str, most: int = 2048, **how) -> DataFrame:
     Null text: empty, so the end id alone.  Null or repeated doc_id: each row is packed on
     its own.  Empty table: no rows.  Other columns are not read.
     """
+    small_batches(docs.sparkSession)
     found = materialize(pieces(docs, tokenizer, most), "pieces")
     histogram = {r["length"]: r["n"] for r in found.groupBy("length").agg(F.count(F.lit(1)).alias("n")).collect()}
     rows, _ = plan(histogram, tokens=most, **how)
