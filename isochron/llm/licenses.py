@@ -77,13 +77,18 @@ class Templates:
             size = sum(bag.values())
             self.bags.append((name, bag, size, size * least / (2 - least), size * (2 - least) / least))
 
-    def find(self, text: str) -> list[Match]:
-        """The best window of the text for every licence that reaches the threshold."""
+    def find(self, text: str, exclusive: bool = True) -> list[Match]:
+        """The best window of the text for every licence that reaches the threshold.
+
+        ``exclusive``: words speak for one licence only, the most similar one, so a notice
+        does not count for another licence whose wording is close.
+        """
         get = self.word.get
         ids = np.array([get(w, 0) for w in normalise(text)], dtype=np.int64)
         pairs = ids[:-1] * self.n + ids[1:]
         hits = np.flatnonzero(self.known[pairs]) if len(pairs) else pairs
         best: dict[str, Match] = {}
+        every: list[Match] = []
         if len(hits):
             values = pairs[hits].tolist()
             for name, bag, size, smallest, largest in self.bags:
@@ -92,9 +97,13 @@ class Templates:
                 own = [(h, v) for h, v in zip(hits.tolist(), values, strict=True) if v in bag]
                 if len(own) < smallest:
                     continue
-                for match in self._windows(own, bag, size, smallest, largest):
-                    if name not in best or match[0] > best[name].dice:
-                        best[name] = Match(name, match[0], match[1], match[2] + 1)
+                every += [Match(name, dice, first, n + 1) for dice, first, n in self._windows(own, bag, size, smallest, largest)]
+        taken: list[Match] = []
+        for match in sorted(every, key=lambda m: (-m.dice, -m.n_words, m.first_word, m.license)):
+            apart = all(match.first_word >= t.first_word + t.n_words or t.first_word >= match.first_word + match.n_words for t in taken)
+            if apart or not exclusive:
+                taken.append(match)
+                best.setdefault(match.license, match)
         return [best[k] for k in sorted(best)]
 
     def _windows(self, own, bag, size, smallest, largest):
@@ -115,7 +124,7 @@ class Templates:
                     yield dice, start, length
 
 
-def scan(docs: DataFrame, templates: dict[str, list[str]] = TEMPLATES, least: float = 0.8) -> DataFrame:
+def scan(docs: DataFrame, templates: dict[str, list[str]] = TEMPLATES, least: float = 0.8, exclusive: bool = True) -> DataFrame:
     """doc_id, license, dice, first_word, n_words: a row for each licence stated in a document.
 
     Text and templates are normalised to words; windows of the whole text are compared
@@ -124,7 +133,8 @@ def scan(docs: DataFrame, templates: dict[str, list[str]] = TEMPLATES, least: fl
     t * least / (2 - least) <= s <= t * (2 - least) / least, and a document with fewer of a
     template's bigrams than the lower bound is not compared with it.  Windows begin and end
     at a bigram of the template, since others only lower the coefficient.  Of a licence
-    the best window is reported (the first of equals).
+    the best window is reported (the first of equals); unless ``exclusive`` is off, words of a
+    more similar licence's window do not count for another one.
 
     Null, empty and wordless texts state nothing.  Each row is scanned on its own, repeated
     ones and those without doc_id too.  Empty table: no rows.  Other columns are not read.
@@ -136,7 +146,7 @@ def scan(docs: DataFrame, templates: dict[str, list[str]] = TEMPLATES, least: fl
         for part in parts:
             rows, found = [], []
             for i, text in enumerate(part["text"].to_pylist()):
-                for match in known.find(text or ""):
+                for match in known.find(text or "", exclusive):
                     rows.append(i)
                     found.append(match)
             yield pa.RecordBatch.from_arrays(

@@ -84,7 +84,7 @@ def test_licenses(spark, odd, empty):  # noqa: F811
     texts += ["x one two three four five six y", "one two x three four five six", "x " * 20000 + "All rights reserved"]
     rows = [(i if i % 7 else None, t, "mit") for i, t in enumerate(texts)]
     docs = spark.createDataFrame(rows, "doc_id long, text string, license string")
-    got = sorted(((r["doc_id"], r["license"], round(r["dice"], 9)) for r in licenses.scan(docs, templates, 0.7).collect()), key=str)
+    got = sorted(((r["doc_id"], r["license"], round(r["dice"], 9)) for r in licenses.scan(docs, templates, 0.7, exclusive=False).collect()), key=str)
     want = sorted(((i, k, round(d, 9)) for i, t, _ in rows for k, (own,) in templates.items() if len(t or "") < 5000 and (d := all_windows(t or "", own, 0.7))), key=str)
     assert [g for g in got if g[0] != len(texts) - 1] == [w for w in want if w[0] != len(texts) - 1] and len(want) > 10
     assert (len(texts) - 1, "b", 1.0) in got
