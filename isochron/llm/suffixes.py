@@ -9,11 +9,11 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import U64, RollingHash, batches, materialize, mix, remove, text_key
+from .common import U64, RollingHash, batches, materialize, mix, release, remove, small_batches, text_key
 
 #: Bytes of a window of which one suffix is sampled, of the gram that ranks it, and of a block of offsets.
 WINDOW, GRAM, BLOCK = 256, 8, 16
-CHUNK = 1 << 20
+CHUNK = 1 << 18
 _HASH = RollingHash(77)
 
 
@@ -59,6 +59,7 @@ def _runs(texts: list[bytes], base: int, width: int) -> tuple[np.ndarray, ...]:
 
 def _sampled(docs: DataFrame, width: int) -> DataFrame:
     def sample(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        release()
         for part in parts:
             text, lo, a, hi, k, f = suffix_runs([(t or "").encode() for t in part["text"].to_pylist()], width)
             rows = pa.array(text)
@@ -232,6 +233,7 @@ def dedup_passages(docs: DataFrame, width: int = 400, families: int = 4, bound:
     a document, also rows of one doc_id or without any.  Empty table: no rows.  Columns
     other than doc_id and text are not read.
     """
+    small_batches(docs.sparkSession)
     keyed = docs.select("doc_id", "text", *text_key(F.col("text")))
     joined = _at_texts(keyed, repeated_spans(keyed.drop("doc_id"), width, families, bound), "left", bound)
 
