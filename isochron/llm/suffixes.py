@@ -6,7 +6,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import U64, RollingHash, batches, materialize, mix, release, remove, small_batches, text_key
@@ -172,8 +172,17 @@ def _hashes(contexts: DataFrame, width: int, blocks: bool) -> DataFrame:
     return contexts.mapInArrow(run, "k long, f long, block int, d1 int, d2 int, core long, hull long")
 
 
+def _united(spans: DataFrame) -> DataFrame:
+    """The spans of each text with those that touch or overlap made one."""
+    before = Window.partitionBy("_t1", "_t2").orderBy("start", "end")
+    reach = F.max("end").over(before.rowsBetween(Window.unboundedPreceding, -1))
+    opens = F.when(reach.isNull() | (F.col("start") > reach), 1).otherwise(0)
+    runs = spans.withColumn("_opens", opens).withColumn("_run", F.sum("_opens").over(before.rowsBetween(Window.unboundedPreceding, 0)))
+    return runs.groupBy("_t1", "_t2", "_run").agg(F.min("start").alias("start"), F.max("end").alias("end"))
+
+
 def repeated_spans(docs: DataFrame, width: int = 400, families: int = 4, bound: int = 2_000_000) -> DataFrame:
-    """(_t1, _t2, own): per text, by its key, the byte ranges [start, end) that repeated strings cover.
+    """(_t1, _t2, own): per text, by its key, the maximal byte ranges [start, end) that repeated strings cover.
 
     docs has text, _t1 and _t2.  Exact in four steps that narrow down what is compared:
     sampled suffixes that the index finds repeated; runs that occur twice as a whole; blocks
@@ -220,7 +229,7 @@ def repeated_spans(docs: DataFrame, width: int = 400, families: int = 4, bound:
         "_t1", "_t2",
         F.when(F.col("d1").isNull(), F.col("lo")).otherwise(F.col("a") - F.col("d2")).alias("start"),
         (F.when(F.col("d1").isNull(), F.col("hi")).otherwise(F.col("a") - F.col("d1")) + width).alias("end"))
-    return materialize(spans.groupBy("_t1", "_t2").agg(F.collect_list(F.struct("start", "end")).alias("own")), "suffix-spans")
+    return materialize(_united(spans).groupBy("_t1", "_t2").agg(F.collect_list(F.struct("start", "end")).alias("own")), "suffix-spans")
 
 
 def dedup_passages(docs: DataFrame, width: int = 400, families: int = 4, bound: int = 2_000_000) -> DataFrame:
