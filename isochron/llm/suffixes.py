@@ -58,6 +58,10 @@ def _runs(texts: list[bytes], base: int, width: int) -> tuple[np.ndarray, ...]:
 
 
 def _sampled(docs: DataFrame, width: int) -> DataFrame:
+    """The runs of each distinct text, with the number of rows that have it.
+
+    Rows with equal texts are summed up before runs are dealt by k, so copies make no hot k.
+    """
     def sample(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         release()
         for part in parts:
@@ -67,7 +71,8 @@ def _sampled(docs: DataFrame, width: int) -> DataFrame:
                 [part["_t1"].take(rows), part["_t2"].take(rows), *(pa.array(x.astype(np.int32)) for x in (lo, a, hi)), pa.array(k), pa.array(f)],
                 ["_t1", "_t2", "lo", "a", "hi", "k", "f"])
 
-    return docs.select("_t1", "_t2", "text").mapInArrow(sample, "_t1 long, _t2 long, lo int, a int, hi int, k long, f long")
+    runs = docs.select("_t1", "_t2", "text").mapInArrow(sample, "_t1 long, _t2 long, lo int, a int, hi int, k long, f long")
+    return runs.groupBy(*runs.columns).agg(F.count(F.lit(1)).alias("n"))
 
 
 class SuffixIndex:
@@ -84,8 +89,8 @@ class SuffixIndex:
         self.levels: dict[int, DataFrame] = {}
 
     def add(self, suffixes: DataFrame) -> DataFrame:
-        """Fingerprints of the batch's column k that occur a second time with this batch."""
-        new = materialize(suffixes.groupBy("k").agg(F.count(F.lit(1)).alias("n")).sortWithinPartitions("k"), "suffix-level")
+        """Fingerprints k, each n times in the batch, that occur a second time with this batch."""
+        new = materialize(suffixes.groupBy("k").agg(F.sum("n").alias("n")).sortWithinPartitions("k"), "suffix-level")
         repeated = new.where("n > 1").select("k")
         for level in self.levels.values():
             repeated = repeated.unionByName(new.hint("merge").join(level.select("k"), "k").select("k"))
@@ -192,12 +197,11 @@ def repeated_spans(docs: DataFrame, width: int = 400, families: int = 4, bound:
     runs = materialize(_sampled(docs, width), "suffixes")
     index, repeated = SuffixIndex(), None
     for b in range(families):
-        found = index.add(runs.where(F.pmod("_t1", F.lit(families)) == b).select("k"))
+        found = index.add(runs.where(F.pmod("_t1", F.lit(families)) == b).select("k", "n"))
         repeated = found if repeated is None else repeated.unionByName(found)
     index.drop()
     repeated = materialize(repeated.distinct(), "suffix-repeated")
-    cells = ["_t1", "_t2", "lo", "a", "hi", "k", "f"]
-    own = materialize(runs.join(repeated, "k").groupBy(*cells).agg(F.count(F.lit(1)).alias("n")), "suffix-own")
+    own = materialize(runs.join(repeated, "k"), "suffix-own")  # nothing above the join, so that a skewed k can be split
     remove(runs)
     kinds = materialize(own.groupBy("k", "f").agg(F.sum("n").alias("n"), F.min(F.struct("_t1", "_t2", "lo", "a", "hi")).alias("rep")), "suffix-kinds")
     open_ = materialize(
