@@ -122,8 +122,8 @@ def _at_texts(docs: DataFrame, small: DataFrame, how: str, bound: int) -> DataFr
 
 
 def _contexts(docs: DataFrame, reps: DataFrame, width: int, bound: int) -> DataFrame:
-    """(k, f, most, least, bytes): one run's bytes for each fingerprint pair of ``reps``."""
-    own = reps.groupBy("_t1", "_t2").agg(F.collect_list(F.struct("k", "f", "lo", "a", "hi")).alias("own"))
+    """(k, f, most, least, bytes), a table: one run's bytes for each fingerprint pair of ``reps``."""
+    own = materialize(reps.groupBy("_t1", "_t2").agg(F.collect_list(F.struct("k", "f", "lo", "a", "hi")).alias("own")), "suffix-reps")
 
     def cut(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part in parts:
@@ -135,9 +135,11 @@ def _contexts(docs: DataFrame, reps: DataFrame, width: int, bound: int) -> DataF
             columns = zip(*rows, strict=True) if rows else [()] * 5
             yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(columns, kinds, strict=True)], ["k", "f", "most", "least", "bytes"])
 
-    found = _at_texts(docs, materialize(own, "suffix-reps"), "inner", bound)
+    found = _at_texts(docs, own, "inner", bound)
     cuts = found.select("text", "own").mapInArrow(cut, "k long, f long, most int, least int, bytes binary")
-    return cuts.groupBy("k", "f").agg(*(F.first(c).alias(c) for c in ("most", "least", "bytes")))
+    contexts = materialize(cuts.groupBy("k", "f").agg(*(F.first(c).alias(c) for c in ("most", "least", "bytes"))), "suffix-contexts")
+    remove(own)
+    return contexts
 
 
 def _hashes(contexts: DataFrame, width: int, blocks: bool) -> DataFrame:
@@ -200,40 +202,54 @@ def repeated_spans(docs: DataFrame, width: int = 400, families: int = 4, bound:
         found = index.add(runs.where(F.pmod("_t1", F.lit(families)) == b).select("k", "n"))
         repeated = found if repeated is None else repeated.unionByName(found)
     index.drop()
-    repeated = materialize(repeated.distinct(), "suffix-repeated")
+    found, repeated = repeated, materialize(repeated.distinct(), "suffix-repeated")
+    remove(found)
     own = materialize(runs.join(repeated, "k"), "suffix-own")  # nothing above the join, so that a skewed k can be split
-    remove(runs)
+    for used in (runs, repeated):
+        remove(used)
     kinds = materialize(own.groupBy("k", "f").agg(F.sum("n").alias("n"), F.min(F.struct("_t1", "_t2", "lo", "a", "hi")).alias("rep")), "suffix-kinds")
     open_ = materialize(
         kinds.groupBy("k").agg(F.count(F.lit(1)).alias("kinds"), F.count(F.when(F.col("n") == 1, 1)).alias("single"))
         .where("kinds > 1 AND single > 0").select("k"), "suffix-open")
-    contexts = materialize(_contexts(docs, kinds.join(open_, "k").select("k", "f", "rep.*"), width, bound), "suffix-contexts")
+    contexts = _contexts(docs, kinds.join(open_, "k").select("k", "f", "rep.*"), width, bound)
+    remove(open_)
     single = kinds.where("n = 1").select("k", "f")
 
     def split(hashes: DataFrame, name: str) -> DataFrame:
-        """Rows whose core several runs share, with how many share the hull, how many hulls of
-        the core stand alone, and whether the row speaks for its hull."""
+        """Rows whose core several runs share, a table, with how many share the hull, how many
+        hulls of the core stand alone, and whether the row speaks for its hull."""
         rows = materialize(hashes, name)
         hulls = materialize(rows.groupBy("core", "hull").agg(F.count(F.lit(1)).alias("hulls"), F.min(F.struct("k", "f")).alias("first")), name)
         cores = materialize(hulls.groupBy("core").agg(F.sum("hulls").alias("cores"), F.count(F.when(F.col("hulls") == 1, 1)).alias("alone"))
                             .where("cores > 1"), name)
         many = materialize(hulls.join(cores, "core"), name)
-        return rows.join(many, ["core", "hull"]).select(
-            "k", "f", "block", "d1", "d2", "hulls", "alone", (F.struct("k", "f") == F.col("first")).alias("speaks"))
-
-    blocks = materialize(split(_hashes(contexts, width, True), "suffix-blocks"), "suffix-blocks")
+        for used in (hulls, cores):
+            remove(used)
+        told = materialize(rows.join(many, ["core", "hull"]).select(
+            "k", "f", "block", "d1", "d2", "hulls", "alone", (F.struct("k", "f") == F.col("first")).alias("speaks")), name)
+        for used in (rows, many):
+            remove(used)
+        return told
+
+    blocks = split(_hashes(contexts, width, True), "suffix-blocks")
     # a hull that several runs share is settled, but offers its strings to those that stand alone
     asked = blocks.where("alone > 0 AND speaks").select("k", "f", "block")
     strings = split(_hashes(contexts.join(asked, ["k", "f"]), width, False), "suffix-strings")
+    remove(contexts)
     part = (blocks.where("hulls > 1").select("k", "f", "d1", "d2").unionByName(strings.where("hulls > 1").select("k", "f", "d1", "d2"))
             .join(single, ["k", "f"]))
     verdicts = materialize(kinds.where("n > 1").select("k", "f", F.lit(None).cast("int").alias("d1"), F.lit(None).cast("int").alias("d2"))
                            .unionByName(part), "suffix-verdicts")
+    for used in (kinds, blocks, strings):
+        remove(used)
     spans = own.join(verdicts, ["k", "f"]).select(
         "_t1", "_t2",
         F.when(F.col("d1").isNull(), F.col("lo")).otherwise(F.col("a") - F.col("d2")).alias("start"),
         (F.when(F.col("d1").isNull(), F.col("hi")).otherwise(F.col("a") - F.col("d1")) + width).alias("end"))
-    return materialize(_united(spans).groupBy("_t1", "_t2").agg(F.collect_list(F.struct("start", "end")).alias("own")), "suffix-spans")
+    united = materialize(_united(spans).groupBy("_t1", "_t2").agg(F.collect_list(F.struct("start", "end")).alias("own")), "suffix-spans")
+    for used in (own, verdicts):
+        remove(used)
+    return united
 
 
 def dedup_passages(docs: DataFrame, width: int = 400, families: int = 4, bound: int = 2_000_000) -> DataFrame:
