@@ -33,9 +33,10 @@ def _chunk(texts: list[bytes], k: int) -> list[np.ndarray]:
     words = mix(_WORD.ranges(_WORD.prefix(buf), start, end) + (end - start).astype(U64))
     first = np.cumsum([1, *(len(t) + 1 for t in texts)])
     at = np.searchsorted(start, first)
-    total = np.zeros(max(0, len(words) - k + 1), dtype=U64)
+    n = max(0, len(words) - k + 1)
+    total = np.zeros(n, dtype=U64)
     for i in range(k):
-        total += words[i : len(words) - k + 1 + i] * _PLACE[i]
+        total += words[i : i + n] * _PLACE[i]
     total = mix(total)
     out = []
     for a, b in zip(at[:-1], at[1:], strict=True):
