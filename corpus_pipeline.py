@@ -28,15 +28,16 @@ def lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Keep one document of each group: five-word shingles, a similarity of 0.8 or more."""
-    extra = neardup.groups(docs, words=5, num=80, den=100).where(~F.col("kept")).select("doc_id").distinct()
-    return docs.join(extra, "doc_id", "left_anti").select(*COLUMNS)
+    """Keep one row of each group: five-word shingles, a similarity of 0.8 or more.
+
+    Rows without doc_id, repeated rows and different texts under one doc_id are rows like others.
+    """
+    return neardup.survivors(docs.select(*COLUMNS), words=5, num=80, den=100)
 
 
 def decontaminate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Drop documents that hold four fifths or more of a benchmark item's five-word shingles."""
-    hits = decontam.contaminated(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
-    return docs.join(hits.select("doc_id").distinct(), "doc_id", "left_anti").select(*COLUMNS)
+    """Drop rows whose text holds four fifths or more of a benchmark item's five-word shingles, whatever their doc_id."""
+    return decontam.clean(docs.select(*COLUMNS), spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
 
 
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -49,6 +49,25 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, k: int = 5, num: int = 8
     A row without doc_id is reported with a null one.  Empty tables: no rows.  Other
     columns are not read.
     """
+    return (
+        _held(docs, benchmark, k, num, den, broadcast_rows)
+        .groupBy("doc_id", "item_id").agg(F.max(F.struct((F.col("n_shared") / F.col("n_item")).alias("containment"), "n_item", "n_shared")).alias("best"))
+        .select("doc_id", "item_id", "best.n_item", "best.n_shared", "best.containment"))
+
+
+def clean(docs: DataFrame, benchmark: DataFrame, k: int = 5, num: int = 80, den: int = 100, broadcast_rows: int = 1_000_000) -> DataFrame:
+    """The rows of docs whose text holds no item, with all their columns.
+
+    Texts decide, by their 128-bit keys, not ids: a row without doc_id goes if its text holds
+    an item, and a clean text stays though a contaminated one has the same doc_id.
+    """
+    hits = materialize(_held(docs, benchmark, k, num, den, broadcast_rows).select("_t1", "_t2").distinct(), "contaminated")
+    few = F.broadcast(hits) if hits.count() <= broadcast_rows else hits
+    return docs.withColumns(dict(zip(("_t1", "_t2"), text_key(F.col("text")), strict=True))).join(few, ["_t1", "_t2"], "left_anti").drop("_t1", "_t2")
+
+
+def _held(docs: DataFrame, benchmark: DataFrame, k: int, num: int, den: int, broadcast_rows: int) -> DataFrame:
+    """doc_id, _t1, _t2, item_id, n_item, n_shared of each row and item that lies in it."""
     docs = docs.select("doc_id", "text", *text_key(F.col("text")))
     items = benchmark.select("item_id", words(F.col("text")).alias("w")).where(F.size("w") > 0).distinct()
     items = materialize(items.withColumn("own", F.array_distinct(_shingles("w", k, "array_join(%s, ' ')")))
@@ -69,12 +88,10 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, k: int = 5, num: int = 8
              .groupBy("_t1", "_t2").agg(F.collect_list("item").alias("items")))
     found = materialize(found, "candidates")
     few = F.broadcast(found) if found.count() * 1.0 <= broadcast_rows / 4 else found
-    texts = docs.join(few, ["_t1", "_t2"]).select("doc_id", "items", words(F.col("text")).alias("w"))
-    held = texts.select("doc_id", "items", F.array_distinct(_shingles("w", k, "array_join(%s, ' ')")).alias("has"))
-    pairs = held.select("doc_id", "has", F.explode("items").alias("item")).join(items, "item")
+    texts = docs.join(few, ["_t1", "_t2"]).select("doc_id", "_t1", "_t2", "items", words(F.col("text")).alias("w"))
+    held = texts.select("doc_id", "_t1", "_t2", "items", F.array_distinct(_shingles("w", k, "array_join(%s, ' ')")).alias("has"))
+    pairs = held.select("doc_id", "_t1", "_t2", "has", F.explode("items").alias("item")).join(items, "item")
     return (
-        pairs.select("doc_id", "item_id", F.col("n_item").cast("long").alias("n_item"),
+        pairs.select("doc_id", "_t1", "_t2", "item_id", F.col("n_item").cast("long").alias("n_item"),
                      F.size(F.array_intersect("own", "has")).cast("long").alias("n_shared"))
-        .where(F.col("n_shared") * den >= F.col("n_item") * num)
-        .groupBy("doc_id", "item_id").agg(F.max(F.struct((F.col("n_shared") / F.col("n_item")).alias("containment"), "n_item", "n_shared")).alias("best"))
-        .select("doc_id", "item_id", "best.n_item", "best.n_shared", "best.containment"))
+        .where(F.col("n_shared") * den >= F.col("n_item") * num))

@@ -10,7 +10,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import materialize, release, remove, small_batches
+from .common import materialize, release, remove, small_batches, text_key
 from .components import components, forest
 from .minhash import band_hashes, set_keys, shingle_sets, super_minhash
 
@@ -198,3 +198,23 @@ def groups(docs: DataFrame, words: int = 5, num: int = 80, den: int = 100, bands
         sketched.select("doc_id", "node", "n", "f1", "f2").join(named, ["f1", "f2"], "left")
         .select("doc_id", F.col("n").alias("n_shingles"), F.when(component < NAMELESS, component).alias("component_id"))
         .withColumn("kept", F.coalesce(F.col("doc_id") == F.col("component_id"), F.col("component_id").isNull())))
+
+
+def survivors(docs: DataFrame, **how) -> DataFrame:
+    """One row of each group of near duplicates, with all its columns; ``how`` goes to ``groups``.
+
+    Rows are told apart by a key of their own, not by doc_id: copies without doc_id are
+    dropped like others, repeated rows of one doc_id are copies, and different texts under
+    one doc_id are different documents.  A group's smallest doc_id is kept, a row without
+    doc_id only if no row of its group has one; ties go by text, then by row.  Rows without
+    words have no links and stay; of rows with the same doc_id and text one stays.
+    """
+    names = docs.columns
+    rows = materialize(docs.withColumn("_row", F.monotonically_increasing_id()), "rows")
+    facts = rows.select("_row", "doc_id", *text_key(F.col("text")))
+    found = groups(rows.select(F.col("_row").alias("doc_id"), "text"), **how).select(F.col("doc_id").alias("_row"), "n_shingles", "component_id")
+    alone = (F.col("n_shingles") == 0) & F.col("doc_id").isNotNull()
+    own = [F.when(~alone, F.col("component_id")).alias("_c"), *(F.when(alone, F.col(c)).alias(f"_g{i}") for i, c in enumerate(("doc_id", "_t1", "_t2")))]
+    first = (facts.join(found, "_row").groupBy(*own)
+             .agg(F.min(F.struct(F.col("doc_id").isNull().alias("nameless"), "doc_id", "_t1", "_t2", "_row")).alias("first")))
+    return rows.join(first.select("first._row"), "_row", "left_semi").select(*names)
