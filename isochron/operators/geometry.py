@@ -93,39 +93,58 @@ def _matrix(df: DataFrame, features: str) -> tuple[np.ndarray, np.ndarray, np.nd
     return rows["id"].to_numpy(), rows["label"].to_numpy(), x
 
 
-def silhouettes(vectors: DataFrame, most: int = 5000, features: str = "features") -> DataFrame:
-    """(id, label, silhouette) of every row against a reference of at most ``most`` rows.
-
-    vectors is a sample of at most ``most`` rows (the bound of what is broadcast); a larger
-    one raises an error: take a stratified sample first.
+def _distances(x: np.ndarray, y: np.ndarray) -> np.ndarray:
+    """Distances of all rows of x from all rows of y; small ones, where the products cancel, from differences."""
+    xx, yy = (x * x).sum(axis=1), (y * y).sum(axis=1)
+    scale = xx[:, None] + yy[None, :]
+    d2 = scale - 2 * (x @ y.T)
+    i, j = np.nonzero(d2 <= 1e-6 * scale)
+    for lo in range(0, len(i), 65536):
+        p, q = i[lo : lo + 65536], j[lo : lo + 65536]
+        d2[p, q] = ((x[p] - y[q]) ** 2).sum(axis=1)
+    return np.sqrt(d2)
+
+
+def silhouettes(vectors: DataFrame, block: int = 4096, features: str = "features") -> DataFrame:
+    """(id, label, silhouette) of every row against all rows; ids are unique and not null.
+
+    Rows are dealt into blocks of about ``block`` by a hash of their id, and a task compares
+    two blocks: sums of distances by row and class are additive, so they are summed up over
+    block pairs.  The work is quadratic; nothing but the counts of classes reaches the driver.
     """
-    ids, labels, x = _matrix(vectors.limit(most + 1), features)
-    if len(ids) > most:
-        raise ValueError(f"silhouettes compare all pairs: sample at most {most} rows first")
-    sent = vectors.sparkSession.sparkContext.broadcast((labels, x))
-
-    def run(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        labels, x = sent.value
-        classes, code = np.unique(labels, return_inverse=True)
-        member = np.eye(len(classes))[code]
-        for part in parts:
-            own = np.array(part[features].to_pylist(), dtype=np.float64)
-            at = np.searchsorted(classes, part["label"].to_numpy())
-            rows = np.arange(len(own))
-            out = []
-            for lo in range(0, len(own), 256):
-                d = np.sqrt(((own[lo : lo + 256, None, :] - x[None, :, :]) ** 2).sum(axis=2))
-                out.append(d @ member)
-            sums, n = np.concatenate(out), member.sum(axis=0)
-            a = sums[rows, at] / np.maximum(n[at] - 1, 1)
-            sums = sums / n
-            sums[rows, at] = np.inf
-            b = sums.min(axis=1)
-            s = np.where(n[at] > 1, (b - a) / np.maximum(a, b), 0.0)
-            yield pa.RecordBatch.from_arrays([part["id"], part["label"], pa.array(s)], ["id", "label", "silhouette"])
-
     kinds = dict(vectors.dtypes)
-    return vectors.select("id", "label", features).mapInArrow(run, f"id {kinds['id']}, label {kinds['label']}, silhouette double")
+    vectors = vectors.select("id", "label", features)
+    sizes = vectors.groupBy("label").agg(F.count(F.lit(1)).alias("_n"))
+    n = max(1, -(-vectors.count() // block))
+    own = vectors.withColumn("_own", F.pmod(F.xxhash64("id"), F.lit(n)).cast("int")).withColumn("_to", F.explode(F.sequence(F.lit(0), F.lit(n - 1))))
+    dealt = own.select(F.least("_own", "_to").alias("i"), F.greatest("_own", "_to").alias("j"), (F.col("_own") <= F.col("_to")).alias("low"), "id", "label", features)
+
+    def run(part: pa.Table) -> pa.Table:
+        part = part.combine_chunks()
+        x = np.array(part[features].to_pylist(), dtype=np.float64)
+        low, labels = part["low"].to_numpy(), part["label"].to_numpy()
+        same = part["i"][0].as_py() == part["j"][0].as_py()
+        left = np.flatnonzero(low)
+        right = left if same else np.flatnonzero(~low)
+        out = []
+        for side, other in [(left, right)] if same else [(left, right), (right, left)]:
+            if not len(side) or not len(other):
+                continue
+            classes, code = np.unique(labels[other], return_inverse=True)
+            member = np.eye(len(classes))[code]
+            sums = np.concatenate([_distances(x[side[lo : lo + 256]], x[other]) @ member for lo in range(0, len(side), 256)])
+            rows = part.select(["id", "label"]).take(pa.array(np.repeat(side, len(classes))))
+            out.append(rows.append_column("other", pa.array(np.tile(classes, len(side)), part.schema.field("label").type)).append_column("s", pa.array(sums.ravel())))
+        empty = pa.schema([part.schema.field("id"), part.schema.field("label"), pa.field("other", part.schema.field("label").type), pa.field("s", pa.float64())])
+        return pa.concat_tables(out) if out else empty.empty_table()
+
+    parts = dealt.groupBy("i", "j").applyInArrow(run, f"id {kinds['id']}, label {kinds['label']}, other {kinds['label']}, s double")
+    sums = parts.groupBy("id", "label", "other").agg(F.sum("s").alias("s")).join(F.broadcast(sizes.withColumnRenamed("label", "other")), "other")  # one row per class
+    inside = F.col("other") == F.col("label")
+    means = sums.groupBy("id", "label").agg(F.max(F.when(inside & (F.col("_n") > 1), F.col("s") / (F.col("_n") - 1))).alias("a"),
+                                            F.min(F.when(~inside, F.col("s") / F.col("_n"))).alias("b"))
+    worst = F.greatest("a", "b")
+    return means.select("id", "label", F.coalesce(F.when(worst > 0, (F.col("b") - F.col("a")) / worst), F.lit(0.0)).alias("silhouette"))
 
 
 def neighbours(queries: DataFrame, rows: DataFrame, k: int, block: int = 4096, features: str = "features") -> DataFrame:
