@@ -14,7 +14,7 @@ from pyarrow import fs
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import fresh_path, materialize
+from .common import fresh_path, materialize, remove
 
 INDEX = "file string, offset long, length long, url string, payload_digest string, page_id long, record_type string"
 RECORD = "page_id long, payload_bytes long, payload_digest string, record_type string, refers_to long, url string, payload binary"
@@ -59,7 +59,7 @@ def _parse(member: bytes) -> dict:
             "payload": payload if kind == "response" else None}
 
 
-def write_archive(pages: DataFrame, path: str, least_bytes: int = 0, file_bytes: int = 64 << 20) -> DataFrame:
+def write_archive(pages: DataFrame, path: str, least_bytes: int = 0, file_bytes: int = 64 << 20, broadcast_rows: int = 500_000) -> DataFrame:
     """Write one record per page under ``path``; returns the index, a table on disk.
 
     Of pages with equal payloads of ``least_bytes`` or more, that with the largest
@@ -75,10 +75,13 @@ def write_archive(pages: DataFrame, path: str, least_bytes: int = 0, file_bytes:
     body = F.coalesce(F.col("html"), F.lit(""))
     rows = pages.select(F.col("page_id").cast("long").alias("page_id"), F.col("url").cast("string").alias("url"),
                         body.alias("html"), F.sha1(body.cast("binary")).alias("_sha"))
-    repeated = (rows.where(F.octet_length("html") >= least_bytes).groupBy("_sha")
-                .agg(F.max("page_id").alias("_response"), F.count(F.lit(1)).alias("_n"))
-                .where((F.col("_n") > 1) & F.col("_response").isNotNull()).select("_sha", "_response"))
-    rows = rows.join(repeated, "_sha", "left").select(
+    repeated = materialize(
+        rows.where(F.octet_length("html") >= least_bytes).groupBy("_sha")
+        .agg(F.max("page_id").alias("_response"), F.count(F.lit(1)).alias("_n"))
+        .where((F.col("_n") > 1) & F.col("_response").isNotNull()).select("_sha", "_response"), "warc-repeated")
+    # digests of 40 characters with an id: payloads stay where they lie up to this number of repeated ones
+    few = F.broadcast(repeated) if repeated.count() <= broadcast_rows else repeated
+    rows = rows.join(few, "_sha", "left").select(
         "page_id", "url", "html",
         F.when(~F.col("page_id").eqNullSafe(F.col("_response")), F.col("_response")).alias("refers_to"))
 
@@ -111,15 +114,20 @@ def write_archive(pages: DataFrame, path: str, least_bytes: int = 0, file_bytes:
     folder.getFileSystem(spark._jsparkSession.sessionState().newHadoopConf()).mkdirs(folder)
     # ids as text: pandas would turn a column with nulls into floats
     rows = rows.withColumns({c: F.col(c).cast("string") for c in ("page_id", "refers_to")})
-    return materialize(rows.mapInPandas(write, INDEX), "warc-index")
+    index = materialize(rows.mapInPandas(write, INDEX), "warc-index")
+    remove(repeated)
+    return index
 
 
 def read_archive(index: DataFrame, path: str, gap: int = 64 << 10, span: int = 8 << 20) -> DataFrame:
     """Records that ``index`` lists (select rows of it first), payloads checked by digest.
 
     Within a file (bounded when written) ranges are sorted by offset; neighbours no more
-    than ``gap`` bytes apart join one read of at most about ``span`` bytes.
+    than ``gap`` bytes apart join one read of at most about ``span`` bytes.  The index is
+    small beside the archives, so ranges are dealt anew by file and place: a task for every
+    ``span`` bytes of records that are asked for, however few partitions the index has.
     """
+    asked = index.agg(F.coalesce(F.sum("length"), F.lit(0))).first()[0]
     near = Window.partitionBy("file").orderBy("offset")
     start = (F.col("offset") - F.lag(F.col("offset") + F.col("length")).over(near) > gap)
     ranges = (
@@ -142,7 +150,7 @@ def read_archive(index: DataFrame, path: str, gap: int = 64 << 10, span: int = 8
                 found = [_parse(data[r["offset"] - start : r["offset"] - start + r["length"]]) for r in records]
                 yield pd.DataFrame(found).astype({"page_id": "Int64", "refers_to": "Int64"})
 
-    return ranges.mapInPandas(read, RECORD)
+    return ranges.repartition(max(1, -(-asked // span)), "file", "start").mapInPandas(read, RECORD)
 
 
 def archive_path(spark: SparkSession) -> str:

@@ -1,5 +1,6 @@
 """Operators against plain versions: given tables, and rows with everything odd in them."""
 
+import math
 import random
 import zlib
 from collections import Counter, defaultdict
@@ -229,7 +230,7 @@ def test_top_k(spark):
     df = spark.createDataFrame(rows, "vec_id long, embedding array<float>, score long").repartition(5)
     ok = [(i, np.floor(64 * np.array([np.float32(x) for x in v] + [0] * (6 - len(v)), dtype=np.float64))) for i, v, _ in rows
           if i is not None and v is not None and all(x is not None and np.isfinite(x) for x in v)]
-    for how in ({"block": 2, "candidates": 16}, {"block": 3, "query_block": 3}):
+    for how in ({"block": 2, "candidates": 16}, {"block": 3, "query_block": 3}, {"query_block": 2, "row_block": 25, "candidates": 7}):
         got = defaultdict(list)
         for r in topk.top_k(df, k=7, **how).orderBy("query_id", "rank").collect():
             got[r["query_id"]].append((-r["score"], r["vec_id"]))
@@ -240,6 +241,33 @@ def test_top_k(spark):
     assert topk.top_k(df.limit(0)).collect() == []
 
 
+@pytest.mark.parametrize("size", [2.0e5, 3.0e7, 1.0e12, 1.0e40, 1.0e200])
+def test_top_k_of_large_components(spark, size):
+    """Sums beyond 2**53 rank as whole numbers; beyond 2**63 the score ends at a long's limits."""
+    rng = np.random.default_rng(7)
+    x = rng.choice([-1.0, 1.0], (70, 12)) * size + rng.integers(0, 3, (70, 12))
+    x[11] = x[10]
+    df = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)] + [(500, [1.7e308] * 12)], "vec_id long, embedding array<double>").repartition(3)
+    whole = [[math.floor(64 * v) for v in r] for r in x.tolist()]
+    got = defaultdict(list)
+    for r in topk.top_k(df, k=5, row_block=20, block=4).orderBy("query_id", "rank").collect():
+        got[r["query_id"]].append((r["score"], r["vec_id"]))
+    assert set(got) == {0, 20, 40, 60}
+    for q in got:
+        best = sorted((-sum(a * b for a, b in zip(whole[q], w, strict=True)), i) for i, w in enumerate(whole) if i != q)[:5]
+        assert got[q] == [(max(min(-s, 2**63 - 1), -(2**63)), i) for s, i in best]
+
+
+def test_archives_are_read_by_as_many_tasks_as_bytes_ask_for(spark, tmp_path):
+    pages = spark.range(400).select(F.col("id").alias("page_id"), F.lit("u").alias("url"),
+                                    F.array_join(F.transform(F.sequence(F.lit(0), F.lit(200)), lambda i: F.sha2(F.concat("id", i).cast("string"), 256)), "").alias("html"))
+    path = f"file://{tmp_path}/w"
+    index = warc.write_archive(pages.repartition(3), path, file_bytes=1 << 20, broadcast_rows=0)
+    got = warc.read_archive(index.coalesce(1), path, span=1 << 19)
+    assert got.rdd.getNumPartitions() >= 5
+    assert sorted((r["page_id"], bytes(r["payload"]).decode()) for r in got.collect()) == sorted(map(tuple, pages.select("page_id", "html").collect()))
+
+
 def passages(seed):
     """Texts that share passages around the threshold's length, at every kind of edge, and periodic ones."""
     rng = random.Random(seed)
