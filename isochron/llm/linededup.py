@@ -7,15 +7,18 @@ from collections import Counter
 from collections.abc import Iterator
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import materialize, release, small_batches, text_key
+from .common import materialize, release, remove, small_batches, text_key
 from .cuckoo import CuckooFilter, build
 
 COUNTS = "k1 long, k2 long, n long"
+#: Frequent keys whose filters (2.4 bytes a key) go out to all tasks.
+FILTER_KEYS = 1_000_000
 
 
 def line_keys(text: bytes, least: int = 1) -> list[bytes | None]:
@@ -70,11 +73,13 @@ class LineIndex:
     ``insert`` and ``delete`` add and subtract the counts of a batch of documents; a key
     whose count reaches 0 leaves the table, so a deletion undoes an insertion exactly.
     Keys that pass or fall below ``min_docs`` enter or leave the filter of their shard.
-    A filter's answer is always confirmed by the exact table.
+    The filters answer for every line; the exact table confirms them beforehand: the keys
+    that are not frequent, about 1 in 8000 of which a filter takes for a member, are asked
+    once each, and those so mistaken are the filters' ``exceptions``.
     """
 
     def __init__(self, counts: DataFrame, min_docs: int = 10, least: int = 1, shard_keys: int = 50_000):
-        self.counts, self.min_docs, self.least = counts, min_docs, least
+        self.counts, self.min_docs, self.least, self.shard_keys = counts, min_docs, least, shard_keys
         self.frequent = counts.where(F.col("n") >= min_docs).select("k1", "k2")
         self.n_frequent = self.frequent.count()
         self.shards = max(1, -(-self.n_frequent // shard_keys))
@@ -87,7 +92,7 @@ class LineIndex:
     def _changed(self, docs: DataFrame, sign: int) -> LineIndex:
         change = count_lines(docs, self.least).withColumn("n", F.col("n") * sign)
         merged = (self.counts.unionByName(change).groupBy("k1", "k2").agg(F.sum("n").alias("n")).where(F.col("n") > 0))
-        after = LineIndex(materialize(merged, "line-counts"), self.min_docs, self.least)
+        after = LineIndex(materialize(merged, "line-counts"), self.min_docs, self.least, self.shard_keys)
         if after.shards == self.shards:
             after._filters = materialize(self._updated(after), "line-filters")
         return after
@@ -115,7 +120,7 @@ class LineIndex:
                 made.insert(new["k1"].to_numpy(), new["k2"].to_numpy())
             except OverflowError:
                 return olds.assign(shard=key[0], data=b"")[["shard", "data"]].head(1)
-            return olds.head(0)._append({"shard": key[0], "data": made.to_bytes()}, ignore_index=True)
+            return pd.DataFrame({"shard": [key[0]], "data": [made.to_bytes()]})
 
         out = self.filters().groupBy("shard").cogroup(moved.groupBy("shard")).applyInPandas(update, "shard int, data binary")
         full = [r["shard"] for r in out.where(F.length("data") == 0).select("shard").collect()]
@@ -137,41 +142,74 @@ class LineIndex:
             self._filters = materialize(self._built(), "line-filters")
         return self._filters
 
-    def clean(self, docs: DataFrame, broadcast_keys: int = 1_000_000) -> DataFrame:
+    def exceptions(self, docs: DataFrame | None = None) -> DataFrame:
+        """(k1, k2): keys that are not frequent though a filter says so, of the index or else of ``docs``."""
+        shards = self.shards
+        shard = F.pmod(F.col("k1"), F.lit(shards)).cast("int").alias("shard")
+        if docs is None:
+            rest = self.counts.where(F.col("n") < self.min_docs).select("k1", "k2")
+        else:
+            rest = count_lines(docs, self.least).select("k1", "k2").join(self.frequent, ["k1", "k2"], "left_anti")
+        if self.n_frequent <= FILTER_KEYS:
+            sent = self.counts.sparkSession.sparkContext.broadcast(self._collected())
+
+            def mistaken(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+                filters = unpacked(sent.value)
+                for part in parts:
+                    k1, k2 = part["k1"].to_numpy(), part["k2"].to_numpy()
+                    yield part.filter(pa.array(probe(filters, shards, k1, k2)))
+
+            found = rest.mapInArrow(mistaken, "k1 long, k2 long")
+        else:
+            # more filters than a task should hold: each meets the keys of its shard in pieces
+            pieces = max(1, -(-rest.count() // (shards * 200_000)))
+            dealt = rest.select(shard, F.pmod(F.col("k2"), F.lit(pieces)).alias("piece"), "k1", "k2")
+            sides = self.filters().select("shard", "data", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(pieces - 1).cast("long"))).alias("piece"))
+
+            def mistaken_here(key: tuple, keys: pd.DataFrame, filters: pd.DataFrame) -> pd.DataFrame:
+                if not len(filters):
+                    return keys.head(0)[["k1", "k2"]]
+                held = CuckooFilter.from_bytes(filters["data"].iloc[0])
+                return keys[held.contains(keys["k1"].to_numpy().view(np.uint64), keys["k2"].to_numpy().view(np.uint64))][["k1", "k2"]]
+
+            found = dealt.groupBy("shard", "piece").cogroup(sides.groupBy("shard", "piece")).applyInPandas(mistaken_here, "k1 long, k2 long")
+        return materialize(found, "line-exceptions")
+
+    def _collected(self) -> dict[int, bytes]:
+        return {r["shard"]: bytes(r["data"]) for r in self.filters().collect()}
+
+    def clean(self, docs: DataFrame, broadcast_keys: int = FILTER_KEYS, indexed: bool = False) -> DataFrame:
         """docs with text_kept, n_lines and n_dropped: lines with frequent keys are gone.
 
-        Up to ``broadcast_keys`` frequent keys (16 MB, and 3 MB of filters) go out to all
-        tasks, and each document is cleaned where it lies.  Beyond that the lines' keys
-        are joined with the exact table, and verdicts come back by the text's key.
+        Up to ``broadcast_keys`` frequent keys (2.4 bytes each as filters) and as many
+        exceptions (16 bytes each) go out to all tasks, and each document is cleaned where
+        it lies, by filters less exceptions.  Beyond that the lines' keys are joined with the
+        exact table, and verdicts come back by the text's key.  ``indexed`` says that all
+        of docs are in the index, so that its own keys are the only ones to confirm.
         """
         docs = docs.drop("text_kept", "n_lines", "n_dropped", "_gone", "_t1", "_t2")
         if self.n_frequent <= broadcast_keys:
-            return self._clean_here(docs)
+            wrong = self.exceptions(None if indexed else docs)
+            if wrong.count() <= broadcast_keys:
+                return self._clean_here(docs, wrong.toArrow())
         return self._clean_joined(docs)
 
-    def _clean_here(self, docs: DataFrame) -> DataFrame:
-        spark: SparkSession = docs.sparkSession
-        keys = self.frequent.toArrow()
-        exact = {a.tobytes() for a in np.stack([keys["k1"].to_numpy(), keys["k2"].to_numpy()], axis=1)} if keys.num_rows else set()
-        sent = spark.sparkContext.broadcast((exact, {r["shard"]: bytes(r["data"]) for r in self.filters().collect()}))
+    def _clean_here(self, docs: DataFrame, wrong: pa.Table) -> DataFrame:
+        order = np.argsort(wrong["k1"].to_numpy())
+        sent = docs.sparkSession.sparkContext.broadcast((self._collected(), wrong["k1"].to_numpy()[order], wrong["k2"].to_numpy()[order]))
         shards, least = self.shards, self.least
 
         def judge(text: bytes, known: dict) -> list[bool]:
             if not known:
-                known.update(exact=sent.value[0], filters=unpacked(sent.value[1]))
-            exact, filters = known["exact"], known["filters"]
+                data, k1, k2 = sent.value
+                known.update(filters=unpacked(data), wrong={(a, b) for a, b in zip(k1.tolist(), k2.tolist(), strict=True)})
             keys = line_keys(text, least)
             at = [i for i, k in enumerate(keys) if k is not None]
             bad = [False] * len(keys)
-            if not at or not exact:
-                return bad
-            k1, k2 = _longs([keys[i] for i in at])
-            maybe = np.zeros(len(at), dtype=bool)
-            for shard, data in filters.items():
-                own = np.flatnonzero(k1 % shards == shard) if shards > 1 else np.arange(len(at))
-                maybe[own] = data.contains(k1[own].view(np.uint64), k2[own].view(np.uint64))
-            for i in np.flatnonzero(maybe):
-                bad[at[i]] = keys[at[i]] in exact
+            if at and known["filters"]:
+                k1, k2 = _longs([keys[i] for i in at])
+                for i in np.flatnonzero(probe(known["filters"], shards, k1, k2)):
+                    bad[at[i]] = (int(k1[i]), int(k2[i])) not in known["wrong"]
             return bad
 
         return _with_lines(docs, judge)
@@ -197,6 +235,15 @@ class LineIndex:
         return _with_lines(joined, None)
 
 
+def probe(filters: dict[int, CuckooFilter], shards: int, k1: np.ndarray, k2: np.ndarray) -> np.ndarray:
+    """What the shards' filters say of each key."""
+    out = np.zeros(len(k1), dtype=bool)
+    for shard, held in filters.items():
+        own = np.flatnonzero(k1 % shards == shard) if shards > 1 else np.arange(len(k1))
+        out[own] = held.contains(k1[own].view(np.uint64), k2[own].view(np.uint64))
+    return out
+
+
 def unpacked(data: dict[int, bytes]) -> dict[int, CuckooFilter]:
     return {shard: CuckooFilter.from_bytes(x) for shard, x in data.items()}
 
@@ -226,14 +273,20 @@ def _with_lines(docs: DataFrame, judge) -> DataFrame:
     return docs.mapInArrow(drop, f"{schema}, text_kept string, n_lines long, n_dropped long")
 
 
-def dedup_lines(docs: DataFrame, min_docs: int = 10, least: int = 1) -> DataFrame:
+def dedup_lines(docs: DataFrame, min_docs: int = 10, least: int = 1, batches: int = 2) -> DataFrame:
     """Every document without the lines whose keys stand in ``min_docs`` documents or more.
 
-    A line's key is the line without ASCII white space at its ends and with A-Z
-    lower-cased; keys of fewer than ``least`` code points are never dropped.  A document
-    counts once for a key however often the line repeats in it.  A null or empty text is
-    one empty line.  Repeated rows, also of one doc_id, count as documents of their own.
-    An empty table gives no rows.  Other columns pass through, except that columns named as
-    the results (text_kept, n_lines, n_dropped) give way to them.
+    The index takes the documents in ``batches``, told apart by their texts: the first
+    builds it, the others are inserted.  A line's key is the line without ASCII white space
+    at its ends and with A-Z lower-cased; keys of fewer than ``least`` code points are never
+    dropped.  A document counts once for a key however often the line repeats in it.  A
+    null or empty text is one empty line.  Repeated rows, also of one doc_id, count as
+    documents of their own.  An empty table gives no rows.  Other columns pass through,
+    except that columns named as the results (text_kept, n_lines, n_dropped) give way to them.
     """
-    return LineIndex.create(docs, min_docs, least).clean(docs)
+    part = F.pmod(F.xxhash64(F.coalesce("text", F.lit(""))), F.lit(batches))
+    index = LineIndex.create(docs.where(part == 0), min_docs, least)
+    for b in range(1, batches):
+        before, index = index, index.insert(docs.where(part == b))
+        remove(before.counts)
+    return index.clean(docs, indexed=True)

@@ -87,11 +87,12 @@ SQL = {
              r AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS rank FROM s)
         SELECT query_id, rank::INTEGER AS rank, vec_id, score FROM r WHERE rank <= 20""",
     "op8_line_dedup": f"""
-        WITH l AS (SELECT doc_id, generate_subscripts(string_split(coalesce(text, ''), chr(10)), 1) AS i,
-                          unnest(string_split(coalesce(text, ''), chr(10))) AS line FROM documents),
+        WITH n AS (SELECT row_number() OVER () AS r, doc_id, text FROM documents),
+             l AS (SELECT r, doc_id, generate_subscripts(string_split(coalesce(text, ''), chr(10)), 1) AS i,
+                          unnest(string_split(coalesce(text, ''), chr(10))) AS line FROM n),
              k AS (SELECT *, translate(trim(line, {_WHITE}), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS key FROM l),
-             hot AS (SELECT key FROM k WHERE length(key) >= 1 GROUP BY key HAVING count(DISTINCT doc_id) >= 10)
+             hot AS (SELECT key FROM k WHERE length(key) >= 1 GROUP BY key HAVING count(DISTINCT r) >= 10)
         SELECT doc_id, count(*)::BIGINT AS n_lines, count(hot.key)::BIGINT AS n_dropped,
                sha256(coalesce(string_agg(line, chr(10) ORDER BY i) FILTER (WHERE hot.key IS NULL), '')) AS kept_sha256
-        FROM k LEFT JOIN hot USING (key) GROUP BY doc_id""",
+        FROM k LEFT JOIN hot USING (key) GROUP BY r, doc_id""",
 }

@@ -114,8 +114,8 @@ def test_line_dedup(spark, odd, empty):
         for least in (1, 8):
             want = sorted(zip([r["doc_id"] for r in rows], brute.lines(rows, 5, least), strict=True), key=str)
             index = linededup.LineIndex.create(docs, 5, least)
-            for bound in (10**6, 0):
-                out = index.clean(docs, bound).select("doc_id", "n_lines", "n_dropped", F.sha2(F.col("text_kept").cast("binary"), 256).alias("s")).collect()
+            for bound, indexed in ((10**6, True), (10**6, False), (0, True)):
+                out = index.clean(docs, bound, indexed).select("doc_id", "n_lines", "n_dropped", F.sha2(F.col("text_kept").cast("binary"), 256).alias("s")).collect()
                 assert sorted(((r["doc_id"], (r["n_lines"], r["n_dropped"], r["s"])) for r in out), key=str) == want
     assert linededup.dedup_lines(empty).collect() == []
 
@@ -132,6 +132,37 @@ def test_line_index_is_reversible(spark, odd):
     assert clean(first) == clean(back)
 
 
+def test_line_filters_of_many_shards_decide(spark, odd, monkeypatch):
+    """Small shards are kept through insertions and deletions; what no filter holds stays, what one mistakes is confirmed."""
+    part = odd.where("doc_id % 2 = 0 or doc_id is null")
+    rest = odd.subtract(part).where("doc_id % 2 = 1")
+    whole = linededup.LineIndex.create(part, 3, shard_keys=2)
+    after = whole.insert(rest)
+    assert after.shards > 1 and after.shard_keys == 2
+    again = after.delete(rest)
+    rows = lambda x, **how: sorted(((r["doc_id"], r["text_kept"]) for r in x.clean(odd, **how).collect()), key=str)
+    want = rows(whole, broadcast_keys=0)
+    assert rows(whole) == rows(again) == want
+    # nothing is dropped without the filters' word
+    bare = linededup.LineIndex.create(part, 3)
+    bare._filters = bare.filters().where("false")
+    assert all(r["n_dropped"] == 0 for r in bare.clean(odd).collect())
+    # keys that a filter mistakes are put right by the exact table, whether filters go out or meet keys by shard
+    loose = linededup.LineIndex.create(part, 3)
+    others = loose.counts.where("n < 3").select("k1", "k2").toPandas()
+    full = cuckoo.build(*np.concatenate([np.array(loose.frequent.collect(), dtype=np.int64), others.to_numpy()]).T)
+    loose._filters = spark.createDataFrame([(0, bytearray(full.to_bytes()))], "shard int, data binary")
+    for most in (10**6, 0):
+        monkeypatch.setattr(linededup, "FILTER_KEYS", most)
+        assert loose.exceptions().count() == len(others) > 0
+    assert rows(loose, indexed=False) == want
+
+
+def test_line_batches_give_one_result(spark, odd):
+    rows = lambda n: sorted(((r["doc_id"], r["text_kept"]) for r in linededup.dedup_lines(odd, 3, batches=n).collect()), key=str)
+    assert rows(1) == rows(2) == rows(5)
+
+
 def test_cuckoo_filter():
     rng = np.random.default_rng(2)
     k = rng.integers(0, 2**64, (2, 3000), dtype=np.uint64)
