@@ -235,6 +235,35 @@ def test_plan_keeps_every_capacity(by):
     assert all(sum(x) <= 100 and len(x) <= 4 and sum(y * y for y in x) <= 10000 for x in held.values())
 
 
+def filled(rows):
+    held = defaultdict(list)
+    for length, _, count, bin_, _ in rows:
+        for b in range(bin_, bin_ + count):
+            held[b].append(length)
+    return held
+
+
+def test_capacities_choose_bins_at_no_cost():
+    """Documents and attention cost limit bins and choose among them, and the count of bins stays that of tokens alone."""
+    rng = random.Random(2)
+    histogram = Counter(rng.choice([rng.randint(1, 12), rng.randint(20, 90)]) for _ in range(4000))
+    alone, free = packing.plan(histogram, 100, 100, 10_000, weights=(1.0, 0.0, 0.0))
+    rows, bins, caps = packing.fewest(histogram, 100)
+    assert bins <= free and caps["docs"] < 100 and caps["cost"] <= 10_000
+    held, loose = filled(rows), filled(alone)
+    assert max(map(len, held.values())) <= caps["docs"] < max(map(len, loose.values()))
+    assert all(sum(x * x for x in own) <= caps["cost"] for own in held.values())
+    # no residual decides alone: with one of the three other bins are chosen
+    caps = {"docs": caps["docs"], "cost": caps["cost"]}
+    base = packing.plan(histogram, 100, **caps)[0]
+    for weights in ((1.0, 0.0, 0.0), (0.0, 1.0, 0.0), (0.0, 0.0, 1.0)):
+        assert packing.plan(histogram, 100, **caps, weights=weights)[0] != base
+    assert packing.plan(histogram, 100, **caps, by="dot")[0] != base
+    assert packing.fewest({}, 100)[1] == 0 and packing.fewest({100: 7}, 100)[1] == 7
+    short, n, caps = packing.fewest(Counter({3: 50, 20: 400}), 100)
+    assert n == packing.plan(Counter({3: 50, 20: 400}), 100, 100, 10_000)[1] and caps["cost"] < 10_000
+
+
 def test_warc(spark, tmp_path):
     pages = given(spark, "pages")
     out = queries.op9_warc(spark, SF).collect()
