@@ -70,7 +70,50 @@ QUERIES = {f.__name__: f for f in (
 #: Lines are split, keyed and counted as the contract says; DuckDB's trim takes the set of characters.
 _WHITE = "chr(32) || chr(9) || chr(10) || chr(11) || chr(12) || chr(13)"
 
+#: CRC-32 from its rule: the table of 256 remainders, then byte by byte.
+_CRC = """t AS (SELECT list(v ORDER BY i) AS tab FROM (SELECT i, list_reduce(list_prepend(i::UBIGINT, range(8)::UBIGINT[]),
+                         lambda c, k: CASE WHEN c & 1 = 1 THEN xor(c >> 1, 3988292384::UBIGINT) ELSE c >> 1 END) AS v FROM range(256) x(i)))"""
+
 SQL = {
+    "op1_sharding": f"""
+        WITH {_CRC}, x AS (SELECT doc_id, source, regexp_extract_all(hex(encode(coalesce(text, ''))), '..') AS h FROM documents),
+             c AS (SELECT doc_id, coalesce('=' || source, 'null') AS key, len(h)::BIGINT + 1 AS size, xor(list_reduce(list_prepend(4294967295::UBIGINT,
+                          list_transform(h, lambda y: ('0x' || y)::UBIGINT)), lambda a, y: xor(a >> 8, tab[(xor(a, y) & 255)::BIGINT + 1])), 4294967295)::BIGINT AS text_crc32 FROM x, t),
+             d AS (SELECT *, md5('17 ' || doc_id || ' ' || text_crc32) AS m, ('0x' || substr(md5('17 ' || key), 1, 8))::BIGINT AS u FROM c),
+             f AS (SELECT *, (row_number() OVER (PARTITION BY key ORDER BY m, doc_id, text_crc32, size) - 1 + (u + 0.5::DOUBLE) / 4294967296.0::DOUBLE) / count(*) OVER (PARTITION BY key) AS f FROM d),
+             r AS (SELECT *, row_number() OVER (ORDER BY f, key, m, doc_id, text_crc32, size) - 1 AS r, count(*) OVER () AS n FROM f),
+             s AS (SELECT *, r * 16 // n AS shard FROM r)
+        SELECT doc_id, size, text_crc32, 'rows' AS law, shard::INTEGER AS shard, (r - (shard * n + 15) // 16)::BIGINT AS slot, NULL::INTEGER AS grown_shard FROM s""",
+    "op3_near_duplicates": r"""
+        WITH RECURSIVE w AS (SELECT doc_id, list_filter(regexp_split_to_array(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+                                                        '[\x20\x09-\x0D]+'), lambda x: x <> '') AS w FROM documents),
+             s AS (SELECT DISTINCT doc_id, unnest(list_transform(range(1, greatest(len(w) - 3, 1) + 1), lambda i: array_to_string(w[i:i + 3], ' '))) AS s FROM w WHERE len(w) > 0),
+             n AS (SELECT doc_id, count(*) AS n FROM s GROUP BY doc_id),
+             p AS (SELECT a.doc_id AS a, b.doc_id AS b, count(*) AS c FROM s a JOIN s b USING (s) WHERE a.doc_id <> b.doc_id GROUP BY ALL),
+             l AS (SELECT a, b FROM p JOIN n x ON x.doc_id = a JOIN n y ON y.doc_id = b WHERE 100 * c >= 80 * (x.n + y.n - c)),
+             r(a, b) AS (SELECT doc_id, doc_id FROM documents UNION SELECT r.a, l.b FROM r JOIN l ON r.b = l.a),
+             m AS (SELECT a AS doc_id, min(b) AS component_id FROM r GROUP BY a)
+        SELECT doc_id, coalesce(n, 0)::BIGINT AS n_shingles, component_id, doc_id = component_id AS kept FROM m LEFT JOIN n USING (doc_id)""",
+    "op5_suffix_dedup": """
+        WITH x AS (SELECT row_number() OVER () AS r, doc_id, hex(encode(coalesce(text, ''))) AS h FROM documents),
+             v AS (SELECT r, j // 512 AS j, substr(h, 2 * j + 1, 1822) AS h, least(512, length(h) // 2 - 399 - j) AS n FROM x, unnest(range(0, greatest(length(h) // 2 - 399, 0), 512)) y(j)),
+             k AS (SELECT r, 512 * j + i AS i, md5(substr(h, 2 * i + 1, 800)) AS k FROM v, unnest(range(n)) z(i)),
+             q AS (SELECT r, i FROM k WHERE k IN (SELECT k FROM k GROUP BY k HAVING count(*) > 1)),
+             o AS (SELECT r, i, CASE WHEN i > coalesce(lag(i) OVER (PARTITION BY r ORDER BY i), -401) + 400 THEN 1 ELSE 0 END AS o FROM q),
+             u AS (SELECT r, i, sum(o) OVER (PARTITION BY r ORDER BY i) AS u FROM o),
+             s AS (SELECT r, u, min(i) AS lo, max(i) + 400 AS hi FROM u GROUP BY r, u),
+             b AS (SELECT r, lo, hi, coalesce(lag(hi) OVER (PARTITION BY r ORDER BY lo), 0) AS gap FROM s),
+             e AS (SELECT r, count(*) AS n, sum(hi - lo) AS gone, max(hi) AS last, list(gap ORDER BY lo) AS a, list(lo ORDER BY lo) AS z FROM b GROUP BY r)
+        SELECT doc_id, (length(h) // 2)::BIGINT AS n_bytes, coalesce(gone, 0)::BIGINT AS n_removed, coalesce(n, 0)::BIGINT AS n_spans,
+               sha256(unhex(CASE WHEN n IS NULL THEN h ELSE array_to_string(list_transform(list_zip(a, z), lambda t: substr(h, 2 * t[1] + 1, 2 * (t[2] - t[1]))), '')
+                            || substr(h, 2 * last + 1) END)) AS kept_sha256
+        FROM x LEFT JOIN e USING (r)""",
+    "op9_warc": """
+        WITH p AS (SELECT page_id, coalesce(html, '') AS html FROM pages),
+             d AS (SELECT page_id, strlen(html)::BIGINT AS payload_bytes, sha1(html) AS h, max(page_id) OVER (PARTITION BY html) AS r FROM p)
+        SELECT page_id, payload_bytes, array_to_string(list_transform(range(32), lambda i: substr('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567',
+                   ((('0x' || substr(h, (i // 4) * 5 + 1, 5))::BIGINT >> (15 - 5 * (i % 4))) & 31)::BIGINT + 1, 1)), '') AS payload_digest,
+               CASE WHEN r = page_id THEN 'response' ELSE 'revisit' END AS record_type, CASE WHEN r <> page_id THEN r END AS refers_to FROM d""",
     "op2_decontamination": r"""
         WITH d AS (SELECT doc_id, list_filter(regexp_split_to_array(lower(coalesce(text, '')), '[^\p{L}\p{N}]+'), lambda x: x <> '') AS w FROM documents),
              b AS (SELECT item_id, list_filter(regexp_split_to_array(lower(coalesce(text, '')), '[^\p{L}\p{N}]+'), lambda x: x <> '') AS w FROM benchmark),
