@@ -23,6 +23,13 @@ def _shingles(column: str, k: int, value: str) -> Column:
                   f"ELSE transform({column}, y -> {none}) END")
 
 
+def _runs(column: str, k: int, short: list[int], value: str) -> Column:
+    """``value`` of the document's k-word shingles, and of its runs of each of the ``short`` lengths."""
+    more = [F.expr(f"CASE WHEN size({column}) >= {n} THEN transform(sequence(1, size({column}) - {n - 1}), i -> {value % f'slice({column}, i, {n})'}) "
+                   f"ELSE transform(slice({column}, 1, 0), y -> {value % 'array(y)'}) END") for n in short]
+    return F.concat(_shingles(column, k, value), *more) if more else _shingles(column, k, value)
+
+
 def contaminated(docs: DataFrame, benchmark: DataFrame, k: int = 5, num: int = 80, den: int = 100,
                  broadcast_rows: int = 1_000_000) -> DataFrame:
     """doc_id, item_id, n_item, n_shared, containment: the items that lie in a document.
@@ -43,7 +50,8 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, k: int = 5, num: int = 8
     3. Candidates are verified by exact containment of the shingles as texts.
 
     Texts are compared as lower-cased runs of letters and digits.  An item of fewer than
-    ``k`` words is one shingle, which only a document of just these words has.  Items and
+    ``k`` words is one shingle and lies wherever these words follow one another; documents
+    are cut into runs of such a length only if there are items of it.  Items and
     documents that are null or have no words are in no result.  Repeated rows, of items and of
     documents, count once; if texts differ under one id, the highest containment counts.
     A row without doc_id is reported with a null one.  Empty tables: no rows.  Other
@@ -71,7 +79,8 @@ def _held(docs: DataFrame, benchmark: DataFrame, k: int, num: int, den: int, bro
     docs = docs.select("doc_id", "text", *text_key(F.col("text")))
     items = benchmark.select("item_id", words(F.col("text")).alias("w")).where(F.size("w") > 0).distinct()
     items = materialize(items.withColumn("own", F.array_distinct(_shingles("w", k, "array_join(%s, ' ')")))
-                        .select(F.monotonically_increasing_id().alias("item"), "item_id", "own", F.size("own").alias("n_item")), "items")
+                        .select(F.monotonically_increasing_id().alias("item"), "item_id", "w", "own", F.size("own").alias("n_item")), "items")
+    short = sorted(r[0] for r in items.where(F.size("w") < k).select(F.size("w")).distinct().collect())  # k - 1 lengths at most
     need = lambda n: F.ceil(n * num / den)
     largest = F.pow(F.lit(2.0), F.floor(F.log2(F.col("n_item"))) + 1) - 1
     order = Window.partitionBy("item").orderBy("h")
@@ -83,14 +92,14 @@ def _held(docs: DataFrame, benchmark: DataFrame, k: int, num: int, den: int, bro
     sketch = materialize(sketch, "sketches")
     small = F.broadcast(sketch) if sketch.count() <= broadcast_rows else sketch
     hashed = docs.select("_t1", "_t2", words(F.col("text")).alias("w")).select(
-        "_t1", "_t2", F.greatest(F.size("w") - (k - 1), F.lit(1)).alias("size"), F.explode(_shingles("w", k, "xxhash64(%s)")).alias("h"))
+        "_t1", "_t2", F.greatest(F.size("w") - (k - 1), F.lit(1)).alias("size"), F.explode(_runs("w", k, short, "xxhash64(%s)")).alias("h"))
     found = (hashed.join(small, "h").where(F.col("size") >= F.col("need")).select("_t1", "_t2", "item").distinct()
              .groupBy("_t1", "_t2").agg(F.collect_list("item").alias("items")))
     found = materialize(found, "candidates")
     few = F.broadcast(found) if found.count() * 1.0 <= broadcast_rows / 4 else found
     texts = docs.join(few, ["_t1", "_t2"]).select("doc_id", "_t1", "_t2", "items", words(F.col("text")).alias("w"))
-    held = texts.select("doc_id", "_t1", "_t2", "items", F.array_distinct(_shingles("w", k, "array_join(%s, ' ')")).alias("has"))
-    pairs = held.select("doc_id", "_t1", "_t2", "has", F.explode("items").alias("item")).join(items, "item")
+    held = texts.select("doc_id", "_t1", "_t2", "items", F.array_distinct(_runs("w", k, short, "array_join(%s, ' ')")).alias("has"))
+    pairs = held.select("doc_id", "_t1", "_t2", "has", F.explode("items").alias("item")).join(items.drop("w"), "item")
     return (
         pairs.select("doc_id", "_t1", "_t2", "item_id", F.col("n_item").cast("long").alias("n_item"),
                      F.size(F.array_intersect("own", "has")).cast("long").alias("n_shared"))

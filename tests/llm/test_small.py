@@ -1,5 +1,6 @@
 """Operators against plain versions: given tables, and rows with everything odd in them."""
 
+import functools
 import math
 import random
 import zlib
@@ -187,6 +188,54 @@ def test_language_accuracy(spark, odd, empty):
     assert {r["lang_pred"] for r in langid.identify(odd.withColumn("lang", F.lit(None).cast("string"))).collect()} == {"und"}
 
 
+def plain_languages(rows, dims=1024):
+    """Profiles by the definition: a gram is the product of its letters' vectors, rolled by their place; documents add unit vectors."""
+    full = (1 << 64) - 1
+
+    def spread(x):
+        x ^= x >> 30
+        x = x * 0xBF58476D1CE4E5B9 & full
+        x ^= x >> 27
+        x = x * 0x94D049BB133111EB & full
+        return x ^ x >> 31
+
+    @functools.cache
+    def letter(code):
+        bits = "".join(format(byte, "08b") for i in range(dims // 64) for byte in spread((spread((i + (code << 16)) & full) + langid.SEED) & full).to_bytes(8, "little"))
+        return np.array([1 if b == "1" else -1 for b in bits])
+
+    def profile(text):
+        words = "".join(c if c.isalpha() else " " for c in (text or "").lower()).split()
+        line = " " + " ".join(words) + " "
+        code = lambda c: 0 if c == " " else ord(c)
+        out = np.zeros(dims)
+        for a, b, c in zip(line, line[1:], line[2:]) if words else ():
+            out += np.roll(letter(code(a)), 2) * np.roll(letter(code(b)), 1) * letter(code(c))
+        return out
+
+    profiles = [profile(r["text"]) for r in rows]
+    unit = lambda v: v / max(np.linalg.norm(v), 1e-9)
+    sums = defaultdict(lambda: np.zeros(dims))
+    for r, p in zip(rows, profiles, strict=True):
+        if r["lang"] is not None and r["text"] is not None and (r["doc_id"] is None or zlib.crc32(str(r["doc_id"]).encode()) % 5):
+            sums[r["lang"]] += unit(p)
+    out = []
+    for p in profiles:
+        cos = {k: float(unit(p) @ unit(v)) for k, v in sorted(sums.items())}
+        out.append(max(cos.items(), key=lambda x: x[1]) if p.any() else ("und", 0.0))
+    return out
+
+
+def test_languages_by_definition(spark, odd):
+    for docs in (odd.where("doc_id < 60 or doc_id is null"), spark.read.parquet(f"{SF}/documents.parquet").where("doc_id < 60")):
+        rows = [r.asDict() for r in docs.collect()]
+        got = langid.identify(docs).select("doc_id", "text", "lang_pred", "score").collect()
+        key = lambda x: (str(x[0]), str(x[1]))
+        want = sorted(((r["doc_id"], r["text"], *x) for r, x in zip(rows, plain_languages(rows), strict=True)), key=key)
+        for a, b in zip(sorted(map(tuple, got), key=key), want, strict=True):
+            assert a[:3] == b[:3] and abs(a[3] - max(b[3], 0.0)) < 1e-4
+
+
 def check_packing(rows, out, most=2048):
     from tokenizers import Tokenizer
 
