@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..session import materialize
 from .geometry import neighbours
+from .windows import cut_points, ranked, slice_of
 
 
 def class_counts(rows: DataFrame) -> DataFrame:
@@ -25,8 +27,8 @@ def oversample(rows: DataFrame, most_k: int = 5, seed: int = 42) -> DataFrame:
     if not counts:
         return rows.select("id", "label", "features")
     largest, rarest = max(counts.values()), min(counts.values())
-    w = Window.partitionBy("label").orderBy("id")
-    placed = rows.select("id", "label", "features").withColumn("_r", F.row_number().over(w) - 1)
+    placed = rows.select("id", "label", "features")
+    placed = ranked(placed, "label", slice_of(F.col("id"), cut_points(placed, "id")), [F.col("id")]).withColumnRenamed("_rank", "_r").drop("_total")
     table = rows.sparkSession.createDataFrame([(k, n, largest - n) for k, n in counts.items()], f"label {dict(rows.dtypes)['label']}, _n long, _more long")
     lacking = placed.join(F.broadcast(table.where("_more > 0")), "label")
     # row r of n makes as many copies as there are c < more with c mod n = r
@@ -66,12 +68,32 @@ def edited(rows: DataFrame, k: int = 3, spare: str | None = None) -> DataFrame:
 
 def stages(rows: DataFrame) -> DataFrame:
     """(stage, label, n) before balancing, after oversampling and after editing."""
-    over = oversample(rows).withColumn("_new", F.row_number().over(Window.partitionBy("label").orderBy(F.col("id").asc_nulls_last(), F.xxhash64("features"))))
-    top = rows.agg(F.max("id")).first()[0] or 0
-    keyed = over.withColumn("id", F.coalesce("id", F.lit(top + 1) + F.pmod(F.xxhash64("label", "_new"), F.lit(1 << 50)))).drop("_new")
     least = class_counts(rows).orderBy("n", "label").first()
+    over = keyed(oversample(rows))
     out = None
-    for name, df in (("before", rows), ("oversampled", over), ("edited", edited(keyed, spare=least["label"] if least else None))):
+    for name, df in (("before", rows), ("oversampled", over), ("edited", edited(over, spare=least["label"] if least else None))):
         part = class_counts(df).select(F.lit(name).alias("stage"), "label", "n")
         out = part if out is None else out.unionByName(part)
     return out
+
+
+def keyed(rows: DataFrame) -> DataFrame:
+    """rows, written down, with new ids above all others for those that have none."""
+    top = rows.agg(F.max("id")).first()[0] or 0
+    return materialize(rows.withColumn("id", F.coalesce("id", F.lit(top + 1) + F.monotonically_increasing_id())), "keyed")
+
+
+def balanced(rows: DataFrame) -> DataFrame:
+    """rows (id, label, features) oversampled and edited, as a classifier's training rows."""
+    least = class_counts(rows).orderBy("n", "label").first()
+    return edited(keyed(oversample(rows)), spare=least["label"] if least else None)
+
+
+def stages_per_fold(rows: DataFrame, table: DataFrame, folds: int) -> DataFrame:
+    """(fold, stage, label, n) of the training rows of each fold; rows has group, table (group, fold)."""
+    tagged = rows.join(table, "group")
+    out = None
+    for fold in range(folds):
+        part = stages(tagged.where(F.col("fold") != fold).select("id", "label", "features")).withColumn("fold", F.lit(fold))
+        out = part if out is None else out.unionByName(part)
+    return out

@@ -5,7 +5,6 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -87,34 +86,76 @@ def edges(df: DataFrame, record: str, order: list[str], values: str = "descripto
 
 
 def graph_features(df: DataFrame, record: str, order: list[str], values: str = "descriptor", width: int = 16, tau: float = 8.0, causal: bool = True) -> DataFrame:
-    """gr_wdegree, gr_clustering and gr_pagerank of each beat in the graph over its frame; 0 for frames of under three."""
-    f = windows.frame(record, order, width, causal)
-    framed = df.withColumn("_frame", F.collect_list(values).over(f))
-    past = F.count(F.lit(1)).over(windows.along(record, *order).rowsBetween(-(width - 1), 0))
-    framed = framed.withColumn("_at", past - 1)
+    """gr_wdegree, gr_clustering and gr_pagerank of each beat in the graph over its frame; 0 for frames of under three.
 
-    def run(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    A pair's weight does not depend on the frame it is seen in.  So each beat carries the
+    weights to the beats before it that can share a frame with it, computed once, and a
+    frame's graph is put together from its beats' own arrays.
+    """
+    reach = width - 1 if causal else 2 * (width - 1)
+    w = windows.along(record, *order)
+    past = df.withColumn("_past", F.collect_list(values).over(w.rowsBetween(-reach, -1)))
+    weight = lambda other, i: F.greatest(F.lit(0.0), A.cosine(F.col(values), other)) * F.exp((i - F.size("_past")) / tau)
+    own = past.withColumn("_own", F.transform("_past", weight)).drop("_past")
+    framed = own.withColumn("_frame", F.collect_list("_own").over(windows.frame(record, order, width, causal)))
+    framed = framed.withColumn("_at", F.count(F.lit(1)).over(w.rowsBetween(-(width - 1), 0)) - 1).drop("_own")
+    columns = df.columns
+
+    def run(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part in parts:
-            out = np.zeros((len(part), 3))
-            sizes = np.array([len(x) for x in part["_frame"]])
-            at = part["_at"].to_numpy()
-            for n in np.unique(sizes[sizes >= 3]):
-                for node in np.unique(at[sizes == n]):
-                    own = np.flatnonzero((sizes == n) & (at == node))
-                    w = K.similarity_graph(np.array([np.stack(part["_frame"].iloc[i]) for i in own]), tau)
-                    out[own] = np.stack([w[:, node].sum(axis=1), K.clustering(w, node), K.pagerank(w)[:, node]], axis=1)
-            yield part.drop(columns=["_frame", "_at"]).assign(gr_wdegree=out[:, 0], gr_clustering=out[:, 1], gr_pagerank=out[:, 2])
+            out = np.zeros((part.num_rows, 3))
+            frames, at = part["_frame"], part["_at"].to_numpy()
+            sizes = np.diff(frames.offsets.to_numpy())
+            for n in np.unique(sizes[sizes >= 3]).tolist():
+                rows = np.flatnonzero(sizes == n)
+                for lo in range(0, len(rows), 512):
+                    own = rows[lo : lo + 512]
+                    graph = _graphs(frames.take(pa.array(own)), n)
+                    rank, node = K.pagerank(graph), at[own]
+                    out[own, 0] = graph[np.arange(len(own)), node].sum(axis=1)
+                    out[own, 2] = rank[np.arange(len(own)), node]
+                    for k in np.unique(node):
+                        same = node == k
+                        out[own[same], 1] = K.clustering(graph[same], int(k))
+            yield pa.RecordBatch.from_arrays([*(part[c] for c in columns), *(pa.array(out[:, i]) for i in range(3))], [*columns, "gr_wdegree", "gr_clustering", "gr_pagerank"])
 
     own = ", ".join(f"`{x.name}` {x.dataType.simpleString()}" for x in df.schema)
-    return framed.mapInPandas(run, own + ", gr_wdegree double, gr_clustering double, gr_pagerank double")
+    return framed.mapInArrow(run, own + ", gr_wdegree double, gr_clustering double, gr_pagerank double")
+
+
+def _graphs(frames: pa.Array, n: int) -> np.ndarray:
+    """Symmetric weights (rows, n, n) of frames of n beats, each an array of its beats' weights to those before them."""
+    beats = frames.flatten()
+    lengths = np.diff(beats.offsets.to_numpy())
+    flat = beats.flatten().to_numpy(zero_copy_only=False)
+    ends = np.cumsum(lengths)
+    node = np.arange(len(lengths)) % n
+    take = np.minimum(node, lengths)  # of a beat's weights those to beats of this frame: the last ones
+    row = np.repeat(np.arange(len(lengths)), take)
+    back = np.arange(take.sum()) - np.repeat(np.cumsum(take) - take, take)  # 0 is the beat just before
+    w = np.zeros((len(lengths) // n, n, n))
+    i, j = node[row], node[row] - 1 - back
+    value = flat[ends[row] - 1 - back]
+    w[row // n, i, j] = value
+    w[row // n, j, i] = value
+    return w
+
+
+def without_frames(beats: DataFrame, segment: str, fs: float) -> DataFrame:
+    """The families that look at a beat alone, and its descriptor."""
+    return descriptor(kernel_features(beats, segment, fs), segment, keep=True)
+
+
+def with_frames(base: DataFrame, record: str, order: list[str], segment: str, width: int = 16, tau: float = 8.0, causal: bool = True) -> DataFrame:
+    """Rhythm and graph over a frame of beats, added to ``without_frames``."""
+    out = windows.rhythm(base, record, order, width=width, causal=causal)
+    out = out.withColumnsRenamed({c: f"hrv_{c}" for c in ("mean_rr", "sdnn", "rmssd", "pnn", "lfhf")}).drop("n_rr")
+    return graph_features(out, record, order, width=width, tau=tau, causal=causal).drop("descriptor")
 
 
 def feature_table(beats: DataFrame, record: str, order: list[str], segment: str, fs: float, width: int = 16, tau: float = 8.0, causal: bool = True) -> DataFrame:
     """All six families, a row per beat with its key; beats has rr_pre."""
-    out = descriptor(kernel_features(beats, segment, fs), segment, keep=True)
-    out = windows.rhythm(out, record, order, width=width, causal=causal)
-    out = out.withColumnsRenamed({c: f"hrv_{c}" for c in ("mean_rr", "sdnn", "rmssd", "pnn", "lfhf")}).drop("n_rr")
-    return graph_features(out, record, order, width=width, tau=tau, causal=causal).drop("descriptor")
+    return with_frames(without_frames(beats, segment, fs), record, order, segment, width, tau, causal)
 
 
 def feature_columns(df: DataFrame, keep: set[str] | None = None) -> list[str]:
@@ -127,9 +168,31 @@ def as_vector(columns: list[str]) -> Column:
 
 def medians_filled(df: DataFrame, columns: list[str]) -> DataFrame:
     """Missing values replaced by the column's exact median."""
-    facts = df.agg(*(F.median(c).alias(c) for c in columns)).first().asDict()
-    return df.fillna({c: float(v) for c, v in facts.items() if v is not None})
+    cells = df.select(F.explode(F.array(*(F.struct(F.lit(c).alias("c"), F.col(c).cast("double").alias("v")) for c in columns))).alias("x")).select("x.*")
+    facts = {r["c"]: r["q"][0] for r in windows.quantiles(cells, "c", "v", [0.5]).collect()}
+    return df.fillna(facts)
 
 
 def first_rows(df: DataFrame, record: str, order: list[str], n: int) -> DataFrame:
     return df.withColumn("_r", F.row_number().over(Window.partitionBy(record).orderBy(*order))).where(F.col("_r") <= n).drop("_r")
+
+
+def resampled(signals: DataFrame, annotations: DataFrame, rate: int = 360) -> tuple[DataFrame, DataFrame]:
+    """Signals (record, lead, idx, fs, samples) at a common rate, and annotations (record, sample, symbol) moved with them.
+
+    Samples go through a polyphase filter, a lead at a time where it lies; an annotation's
+    sample number is scaled and rounded (halves to even).  A record at the rate already is
+    left as it is.
+    """
+    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in signals.schema)
+
+    def run(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for part in parts:
+            made = [K.resample(np.array(x, dtype=np.float64)[None, :], rate, int(fs))[0].tolist() if int(fs) != rate else x
+                    for fs, x in zip(part["fs"].to_pylist(), part["samples"].to_pylist(), strict=True)]
+            new = {"samples": pa.array(made, part["samples"].type), "fs": pa.array([rate] * part.num_rows, part["fs"].type)}
+            yield pa.RecordBatch.from_arrays([new.get(c, part[c]) for c in part.schema.names], part.schema.names)
+
+    rates = signals.groupBy("record").agg(F.first("fs").alias("_fs"))  # leads of a record share it
+    moved = annotations.join(rates, "record").withColumn("sample", F.bround(F.col("sample") * F.lit(float(rate)) / F.col("_fs")).cast("long")).drop("_fs")
+    return signals.mapInArrow(run, schema), moved

@@ -87,12 +87,6 @@ def davies_bouldin(rows: DataFrame) -> DataFrame:
     return worst.agg(F.avg("r").alias("davies_bouldin"))
 
 
-def _matrix(df: DataFrame, features: str) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    rows = df.select("id", "label", features).toArrow()
-    x = np.array(rows[features].to_pylist(), dtype=np.float64)
-    return rows["id"].to_numpy(), rows["label"].to_numpy(), x
-
-
 def _distances(x: np.ndarray, y: np.ndarray) -> np.ndarray:
     """Distances of all rows of x from all rows of y; small ones, where the products cancel, from differences."""
     xx, yy = (x * x).sum(axis=1), (y * y).sum(axis=1)
@@ -147,38 +141,49 @@ def silhouettes(vectors: DataFrame, block: int = 4096, features: str = "features
     return means.select("id", "label", F.coalesce(F.when(worst > 0, (F.col("b") - F.col("a")) / worst), F.lit(0.0)).alias("silhouette"))
 
 
+def _nearest(part: pa.Table, k: int, features: str) -> pa.Table:
+    """The k nearest of one block of rows for one block of queries: by products first, what may be among them by differences."""
+    part = part.combine_chunks()
+    x = np.array(part[features].to_pylist(), dtype=np.float64)
+    asks, ids = part["ask"].to_numpy(), part["id"].to_numpy()
+    q, c = np.flatnonzero(asks), np.flatnonzero(~asks)
+    found: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
+    if len(q) and len(c):
+        y, yy = x[c], (x[c] * x[c]).sum(axis=1)
+        for lo in range(0, len(q), 256):
+            own = q[lo : lo + 256]
+            xx = (x[own] * x[own]).sum(axis=1)
+            d2 = xx[:, None] + yy[None, :] - 2 * (x[own] @ y.T)
+            d2[ids[own][:, None] == ids[c][None, :]] = np.inf
+            near = np.partition(d2, k - 1, axis=1)[:, k - 1] if d2.shape[1] > k else np.full(len(own), np.inf)
+            # products are off by 1e-12 of the norms at most
+            r, at = np.nonzero((d2 <= (near + 1e-9 * (xx + yy.max()))[:, None]) & np.isfinite(d2))
+            exact = ((x[own[r]] - y[at]) ** 2).sum(axis=1)
+            order = np.lexsort((ids[c][at], exact, r))
+            r, at, exact = r[order], at[order], exact[order]
+            first = np.arange(len(r)) - np.searchsorted(r, r) < k
+            found.append((ids[own[r[first]]], c[at[first]], exact[first]))
+    query, at, d2 = (np.concatenate(v) for v in zip(*found, strict=True)) if found else (np.empty(0, ids.dtype), np.empty(0, np.int64), np.empty(0))
+    rows = part.select(["id", "label"]).take(pa.array(at.astype(np.int64)))
+    return pa.Table.from_arrays([pa.array(query, rows.schema.field("id").type), rows["id"], rows["label"], pa.array(d2)], ["query", "id", "label", "d2"])
+
+
 def neighbours(queries: DataFrame, rows: DataFrame, k: int, block: int = 4096, features: str = "features") -> DataFrame:
     """(query, id, label, d2, rank): the k nearest rows of every query row, itself left out.
 
-    Queries go out in blocks of about ``block`` rows, the bound of what is broadcast; tasks
-    answer with k rows per query, and a window merges them.  Ties go to the smaller id.
+    Queries and rows are dealt into blocks of about ``block`` by a hash of their id, and a
+    task compares two blocks; a window merges its k rows per query with the others'.  Blocks
+    travel by shuffle: nothing but two counts reaches the driver.  Ties go to the smaller id;
+    ids are unique numbers.
     """
-    spark = rows.sparkSession
-    n = queries.count()
-    out = None
-    for b in range(max(1, -(-n // block))):
-        own = queries.where(F.pmod(F.xxhash64("id"), F.lit(max(1, -(-n // block)))) == b)
-        ids, _, q = _matrix(own.withColumn("label", F.lit(0)), features)
-        sent = spark.sparkContext.broadcast((ids, q))
-
-        def run(parts: Iterator[pa.RecordBatch], sent=sent) -> Iterator[pa.RecordBatch]:
-            ids, q = sent.value
-            for part in parts:
-                x, other = np.array(part[features].to_pylist(), dtype=np.float64), part["id"].to_numpy()
-                for lo in range(0, len(ids), 256):
-                    d = ((q[lo : lo + 256, None, :] - x[None, :, :]) ** 2).sum(axis=2)
-                    d[ids[lo : lo + 256, None] == other[None, :]] = np.inf
-                    order = np.lexsort((np.broadcast_to(other, d.shape), d), axis=1)[:, :k]
-                    r = np.repeat(np.arange(len(order)), order.shape[1])
-                    c = order.ravel()
-                    keep = np.isfinite(d[r, c])
-                    take = pa.array(c[keep])
-                    yield pa.RecordBatch.from_arrays([pa.array(ids[lo + r[keep]]), part["id"].take(take), part["label"].take(take), pa.array(d[r, c][keep])],
-                                                     ["query", "id", "label", "d2"])
-
-        kinds = dict(rows.dtypes)
-        part = rows.select("id", "label", features).mapInArrow(run, f"query {kinds['id']}, id {kinds['id']}, label {kinds['label']}, d2 double")
-        out = part if out is None else out.unionByName(part)
+    kinds = dict(rows.dtypes)
+    asks, blocks = (max(1, -(-df.count() // block)) for df in (queries, rows))
+    number = lambda n: F.pmod(F.xxhash64("id"), F.lit(n)).cast("int")
+    everyone = lambda n: F.explode(F.sequence(F.lit(0), F.lit(n - 1)))
+    left = queries.select("id", F.lit(None).cast(kinds["label"]).alias("label"), features, F.lit(True).alias("ask"), number(asks).alias("i"), everyone(blocks).alias("j"))
+    right = rows.select("id", "label", features, F.lit(False).alias("ask"), number(blocks).alias("j"), everyone(asks).alias("i"))
+    out = left.unionByName(right).groupBy("i", "j").applyInArrow(
+        lambda part: _nearest(part, k, features), f"query {kinds['id']}, id {kinds['id']}, label {kinds['label']}, d2 double")
     w = Window.partitionBy("query").orderBy("d2", "id")
     return out.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k)
 

@@ -11,11 +11,14 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from . import evaluation, sampling
+from ..session import materialize
+
+from . import balance, evaluation, geometry, sampling
+from .windows import quantiles
 
 
 def _sum_cells(rows: DataFrame, partial: Callable[[np.ndarray, np.ndarray], np.ndarray], columns: list[str], label: str = "label") -> np.ndarray:
@@ -85,35 +88,41 @@ class Linear:
         return self.coef.size * 8 / 1024
 
 
-def fit_linear(rows: DataFrame, loss: str = "squared_hinge", c: float = 0.1, balanced: bool = True, rounds: int = 30, tol: float = 1e-8) -> Linear:
-    """One-versus-rest linear classifiers at the optimum of 1/2 |w|^2 + c * sum of weighted losses.
+@dataclass
+class Problem:
+    """A binary problem: rows of ``positive`` labels against those of ``negative`` ones, with a weight per label."""
+
+    positive: list
+    negative: list
+    weight: dict
+
+
+def solve(rows: DataFrame, scaler: Scaler, problems: list[Problem], loss: str = "squared_hinge", c: float = 0.1, rounds: int = 30, tol: float = 1e-8) -> np.ndarray:
+    """Coefficients (intercept last) of all problems at the optimum of 1/2 |w|^2 + c * sum of weighted losses.
 
     ``loss`` is squared_hinge (intercept penalised, as a further feature of 1) or logistic
     (intercept free).  Newton's method: each round is one pass in which tasks sum gradients
-    and Hessians of all classes; the driver solves systems of (features + 1) unknowns.
-    Balanced weights are n / (classes * n of the class).
+    and Hessians of all problems; the driver solves systems of (features + 1) unknowns.
     """
-    counts = {r["label"]: r["n"] for r in rows.groupBy("label").agg(F.count(F.lit(1)).alias("n")).collect()}
-    classes = sorted(counts)
-    n, scaler = sum(counts.values()), Scaler.fit(rows)
-    d = len(scaler.mean) + 1
-    w = np.zeros((len(classes), d))
-    penal = np.ones(d)
+    d, k = len(scaler.mean) + 1, len(problems)
+    w = np.zeros((k, d))
+    penal, whole = np.ones(d), None
     if loss == "logistic":
         penal[-1] = 0.0
 
     def pass_(w: np.ndarray, more: bool) -> tuple[np.ndarray, ...]:
         def partial(x: np.ndarray, labels: np.ndarray) -> np.ndarray:
-            z = np.hstack([scaler(x), np.ones((len(x), 1))])
+            z_all = np.hstack([scaler(x), np.ones((len(x), 1))])
             cells = []
-            for k, name in enumerate(classes):
-                y = np.where(labels == name, 1.0, -1.0)
-                # the weights of a one-versus-rest problem balance its two sides
-                v = np.where(y > 0, n / (2 * counts[name]), n / (2 * max(n - counts[name], 1))) if balanced else np.ones(len(y))
-                m = y * (z @ w[k])
+            for i, p in enumerate(problems):
+                positive = np.isin(labels, p.positive)
+                own = positive | np.isin(labels, p.negative)
+                z, y = z_all[own], np.where(positive[own], 1.0, -1.0)
+                v = np.array([p.weight[x] for x in labels[own].tolist()], dtype=np.float64)
+                m = y * (z @ w[i])
                 if loss == "logistic":
-                    p = 1 / (1 + np.exp(np.clip(m, -500, 500)))
-                    value, slope, curve = v * np.logaddexp(0, -m), -v * y * p, v * p * (1 - p)
+                    q = 1 / (1 + np.exp(np.clip(m, -500, 500)))
+                    value, slope, curve = v * np.logaddexp(0, -m), -v * y * q, v * q * (1 - q)
                 else:
                     gap = np.maximum(1 - m, 0)
                     value, slope, curve = v * gap**2, -2 * v * y * gap, 2 * v * (gap > 0)
@@ -122,19 +131,18 @@ def fit_linear(rows: DataFrame, loss: str = "squared_hinge", c: float = 0.1, bal
                     cells += [z.T @ slope, (z.T @ (z * curve[:, None])).ravel()]
             return np.concatenate(cells)
 
-        s = _sum_cells(rows, partial, ["features", "label"]).reshape(len(classes), -1)
-        return s[:, 0], s[:, 1 : d + 1], s[:, d + 1 :].reshape(len(classes), d, d) if more else None
+        s = _sum_cells(rows, partial, ["features", "label"]).reshape(k, -1)
+        return s[:, 0], s[:, 1 : d + 1], s[:, d + 1 :].reshape(k, d, d) if more else None
 
     for _ in range(rounds):
         value, grad, hess = pass_(w, True)
         full = w * penal + c * grad
         step = np.stack([np.linalg.lstsq(np.diag(penal) + c * h, g, rcond=None)[0] for h, g in zip(hess, full, strict=True)])
-        if np.abs(full).max() <= tol * max(1.0, n * c):
-            break
-        if (full * step).sum() <= 1e-11 * max(1.0, c * value.sum()):
-            break
         now = 0.5 * (penal * w**2).sum(axis=1) + c * value
-        size = np.ones(len(classes))
+        whole = now.max() if whole is None else whole  # at w = 0: about c times the sum of weights
+        if np.abs(full).max() <= tol * max(1.0, whole) or ((full * step).sum(axis=1) <= 1e-9 * np.maximum(1.0, now)).all():
+            break
+        size = np.ones(k)
         for _ in range(12):
             trial = w - size[:, None] * step
             after = 0.5 * (penal * trial**2).sum(axis=1) + c * pass_(trial, False)[0]
@@ -142,8 +150,76 @@ def fit_linear(rows: DataFrame, loss: str = "squared_hinge", c: float = 0.1, bal
             if not bad.any():
                 break
             size[bad] /= 2
-        w = w - size[:, None] * step
-    return Linear(classes, scaler, w)
+        w = w - np.where(bad, 0.0, size)[:, None] * step
+    return w
+
+
+def label_counts(rows: DataFrame) -> dict:
+    return {r["label"]: r["n"] for r in rows.groupBy("label").agg(F.count(F.lit(1)).alias("n")).collect()}
+
+
+def fit_linear(rows: DataFrame, loss: str = "squared_hinge", c: float = 0.1, balanced: bool = True, rounds: int = 30, tol: float = 1e-8) -> Linear:
+    """One-versus-rest linear classifiers (see ``solve``).
+
+    Balanced weights of the squared hinge are those of one fit of all classes: n / (classes *
+    n of the row's own class).  The logistic ones are fits of their own, so each balances
+    its two sides: n / (2 * n of the side).
+    """
+    counts = label_counts(rows)
+    classes, n = sorted(counts), sum(counts.values())
+    problems = []
+    for own in classes:
+        rest = [x for x in classes if x != own]
+        if not balanced:
+            weight = dict.fromkeys(classes, 1.0)
+        elif loss == "squared_hinge":
+            weight = {x: n / (len(classes) * counts[x]) for x in classes}
+        else:
+            weight = {x: n / (2 * counts[own]) if x == own else n / (2 * max(n - counts[own], 1)) for x in classes}
+        problems.append(Problem([own], rest, weight))
+    scaler = Scaler.fit(rows)
+    return Linear(classes, scaler, solve(rows, scaler, problems, loss, c, rounds, tol))
+
+
+def pair_errors(rows: DataFrame, c: float = 1e4, rounds: int = 60) -> DataFrame:
+    """(a, b, n, error): training error of a nearly hard-margin linear classifier for each pair of classes.
+
+    Rows are scaled over all classes once.  All pairs are solved in the same passes over the
+    rows, and one more pass counts their errors.
+    """
+    counts = label_counts(rows)
+    pairs = [(a, b) for a in sorted(counts) for b in sorted(counts) if a < b]
+    scaler = Scaler.fit(rows)
+    kind = dict(rows.dtypes)["label"]
+    if not pairs:
+        return rows.sparkSession.createDataFrame([], f"a {kind}, b {kind}, n long, error double")
+    w = solve(rows, scaler, [Problem([b], [a], {a: 1.0, b: 1.0}) for a, b in pairs], "squared_hinge", c, rounds)
+
+    def wrong(x: np.ndarray, labels: np.ndarray) -> np.ndarray:
+        s = np.hstack([scaler(x), np.ones((len(x), 1))]) @ w.T
+        return np.array([((labels == a) & (s[:, i] > 0)).sum() + ((labels == b) & (s[:, i] <= 0)).sum() for i, (a, b) in enumerate(pairs)], dtype=np.float64)
+
+    errors = _sum_cells(rows, wrong, ["features", "label"])
+    return rows.sparkSession.createDataFrame([(a, b, counts[a] + counts[b], float(e) / (counts[a] + counts[b])) for (a, b), e in zip(pairs, errors, strict=True)],
+                                             f"a {kind}, b {kind}, n long, error double")
+
+
+def separable_fraction(errors: DataFrame, tolerances: list[float]) -> DataFrame:
+    """(tolerance, n_separable, n_pairs, separable_fraction) from errors of pairs, which are taken once."""
+    swept = errors.withColumn("tolerance", F.explode(F.array(*map(F.lit, tolerances))))
+    own = F.count_if(F.col("error") <= F.col("tolerance"))
+    return swept.groupBy("tolerance").agg(own.alias("n_separable"), F.count(F.lit(1)).alias("n_pairs"), (own / F.count(F.lit(1))).alias("separable_fraction"))
+
+
+def train_separability(rows: DataFrame, c: float = 1e4, rounds: int = 60) -> DataFrame:
+    """One row: accuracy on the training rows themselves, mean and median margin of the best over the second score."""
+    scored = fit_linear(rows, "squared_hinge", c, balanced=False, rounds=rounds).predict(rows)
+    own = geometry.top_margin(scored, "scores").withColumn("_all", F.lit(0))
+    # with two classes the scores mirror each other, and the margin is the size of one
+    own = own.withColumn("margin", F.when(F.size("scores") == 2, F.abs(F.col("scores")[1])).otherwise(F.col("margin")))
+    mean = own.groupBy("_all").agg(F.avg((F.col("label") == F.col("y_pred")).cast("int")).alias("train_accuracy"), F.avg("margin").alias("mean_margin"))
+    return mean.join(quantiles(own, "_all", "margin", [0.5]), "_all").select(
+        "train_accuracy", "mean_margin", F.col("q")[0].alias("median_margin"), (1 - F.col("train_accuracy")).alias("frac_misclassified"))
 
 
 #: Model factories by name; each takes training rows and returns something with predict(rows).
@@ -177,8 +253,121 @@ class Forest:
         return out.withColumn("y_pred", F.get(names, F.col("_p").cast("int"))).select(*rows.columns, "y_pred")
 
 
+class Neighbours:
+    """A majority of the k nearest training rows answers; ties go to the class that sorts first."""
+
+    def __init__(self, rows: DataFrame, k: int = 15):
+        self.rows, self.k = rows, k
+
+    def predict(self, rows: DataFrame) -> DataFrame:
+        # training rows get ids that no row asks for, so that none is left out as its own neighbour
+        near = geometry.neighbours(rows, self.rows.withColumn("id", -F.col("id") - 1), self.k)
+        votes = near.groupBy("query", "label").agg(F.count(F.lit(1)).alias("n")).groupBy("query").agg(F.min(F.struct((-F.col("n")).alias("n"), "label")).alias("best"))
+        return rows.join(votes.select(F.col("query").alias("id"), F.col("best.label").alias("y_pred")), "id")
+
+
+class Perceptron:
+    """Spark ML's multilayer perceptron on scaled features behind the same interface."""
+
+    def __init__(self, rows: DataFrame, hidden: int = 64, rounds: int = 400, seed: int = 42):
+        from pyspark.ml.classification import MultilayerPerceptronClassifier
+        from pyspark.ml.functions import array_to_vector
+
+        self.scaler, self.classes = Scaler.fit(rows), sorted(label_counts(rows))
+        number = F.create_map(*(F.lit(x) for i, k in enumerate(self.classes) for x in (k, float(i))))
+        data = self._scaled(rows).select(array_to_vector("features").alias("_v"), number[F.col("label")].alias("_y"))
+        self.model = MultilayerPerceptronClassifier(layers=[len(self.scaler.mean), hidden, max(2, len(self.classes))], featuresCol="_v", labelCol="_y", maxIter=rounds, seed=seed).fit(data)
+
+    def _scaled(self, rows: DataFrame) -> DataFrame:
+        mean, scale = (F.array(*map(F.lit, x.tolist())) for x in (self.scaler.mean, self.scaler.scale))
+        return rows.withColumn("features", F.zip_with(F.zip_with("features", mean, lambda a, b: a - b), scale, lambda a, b: a / b))
+
+    def predict(self, rows: DataFrame) -> DataFrame:
+        from pyspark.ml.functions import array_to_vector
+
+        names = F.array(*map(F.lit, self.classes))
+        out = self.model.setPredictionCol("_p").transform(self._scaled(rows).withColumn("_v", array_to_vector("features")))
+        return rows.join(out.select("id", F.get(names, F.col("_p").cast("int")).alias("y_pred")), "id")
+
+
 FACTORIES["dt"] = Forest
 FACTORIES["rf"] = lambda rows: Forest(rows, trees=50, depth=8)
+FACTORIES["rf200"] = lambda rows: Forest(rows, trees=200, depth=8)
+FACTORIES["knn"] = Neighbours
+FACTORIES["mlp"] = Perceptron
+
+
+class Lifted:
+    """A linear classifier on random Fourier features of scaled rows, in the place of an RBF machine of width gamma."""
+
+    def __init__(self, rows: DataFrame, gamma: float | None = None, c: float = 1.0, features: int = 200):
+        self.scaler = Scaler.fit(rows)
+        self.gamma = gamma if gamma is not None else 1.0 / len(self.scaler.mean)  # scaled features have unit variance
+        self.features = features
+        self.model = fit_linear(self._lift(rows), "squared_hinge", c, balanced=False)
+
+    def _lift(self, rows: DataFrame) -> DataFrame:
+        mean, scale = (F.array(*map(F.lit, x.tolist())) for x in (self.scaler.mean, self.scaler.scale))
+        scaled = rows.withColumn("features", F.zip_with(F.zip_with("features", mean, lambda a, b: a - b), scale, lambda a, b: a / b))
+        return random_fourier(scaled, self.gamma, self.features)
+
+    def predict(self, rows: DataFrame) -> DataFrame:
+        return rows.join(self.model.predict(self._lift(rows)).select("id", "y_pred"), "id")
+
+
+FACTORIES["linear"] = lambda rows: fit_linear(rows, "squared_hinge", 1.0, balanced=False)
+FACTORIES["rbf"] = Lifted
+
+
+class Pipeline:
+    """Fill, scale, augment, balance, classify: everything is learnt from the training rows alone.
+
+    Missing features (null or NaN) become the training rows' medians; scaled features get the
+    principal components of the selected ones (recursive elimination to ``keep``) beside
+    them; training rows are oversampled and edited, rows to be predicted never are.
+    """
+
+    def __init__(self, rows: DataFrame, name: str = "svc", augment: bool = True, smote: bool = True, keep: int = 30, components: int = 5):
+        d = rows.select(F.size("features")).first()[0]
+        cells = rows.select(F.posexplode("features").alias("i", "v")).where(F.col("v").isNotNull() & ~F.isnan("v"))
+        self.medians = {r["i"]: r["q"][0] for r in quantiles(cells, "i", "v", [0.5]).collect()}
+        self.medians = [self.medians.get(i, 0.0) for i in range(d)]
+        filled = self._filled(rows)
+        self.scaler = Scaler.fit(filled)
+        ready = materialize(self._scaled(filled).select("id", "label", "features"), "train")
+        self.left, self.extend = list(range(d)), None
+        if augment:
+            self.left = selected(ready, keep)
+            self.extend = principal_components(self._chosen(ready), min(components, max(len(self.left) - 1, 0))) if len(self.left) > 1 else None
+            ready = self._augmented(ready)
+        if smote:
+            ready = balance.balanced(ready)
+        self.model = FACTORIES[name](materialize(ready.select("id", "label", "features"), "balanced"))
+
+    def _filled(self, rows: DataFrame) -> DataFrame:
+        return rows.withColumn("features", F.zip_with("features", F.array(*map(F.lit, self.medians)), lambda x, m: F.when(x.isNull() | F.isnan(x), m).otherwise(x)))
+
+    def _scaled(self, rows: DataFrame) -> DataFrame:
+        mean, scale = (F.array(*map(F.lit, x.tolist())) for x in (self.scaler.mean, self.scaler.scale))
+        return rows.withColumn("features", F.zip_with(F.zip_with("features", mean, lambda a, b: a - b), scale, lambda a, b: a / b))
+
+    def _chosen(self, rows: DataFrame) -> DataFrame:
+        return rows.withColumn("features", F.array(*(F.col("features")[i] for i in self.left)))
+
+    def _augmented(self, rows: DataFrame) -> DataFrame:
+        if self.extend is None:
+            return rows
+        n = len(self.left)
+        more = self.extend(self._chosen(rows.withColumn("_whole", F.col("features"))))
+        return more.withColumn("features", F.concat("_whole", F.slice("features", n + 1, F.size("features") - n))).drop("_whole")
+
+    def predict(self, rows: DataFrame) -> DataFrame:
+        ready = self._scaled(self._filled(rows))
+        return self.model.predict(self._augmented(ready) if self.extend else ready)
+
+
+FACTORIES["pipeline"] = Pipeline
+FACTORIES["plain_pipeline"] = lambda rows: Pipeline(rows, augment=False, smote=False)
 
 
 def principal_components(rows: DataFrame, k: int = 5) -> Callable[[DataFrame], DataFrame]:
@@ -222,7 +411,7 @@ def evaluate(train: DataFrame, test: DataFrame, name: str) -> DataFrame:
 def cross_validate(rows: DataFrame, name: str, folds: int = 5, table: DataFrame | None = None) -> DataFrame:
     """(clf, fold, acc, f1_weighted, f1_macro) over group-disjoint folds; pass ``table`` to share folds."""
     table = table if table is not None else sampling.group_folds(rows, "group", folds)
-    tagged = rows.join(F.broadcast(table), "group")  # groups are bounded by sampling.MOST_GROUPS
+    tagged = rows.join(table, "group")
     out = None
     for (fold,) in sorted(tuple(r) for r in table.select("fold").distinct().collect()):
         part = evaluate(tagged.where(F.col("fold") != fold).drop("fold"), tagged.where(F.col("fold") == fold).drop("fold"), name).withColumn("fold", F.lit(fold))
@@ -244,11 +433,67 @@ def ablation(rows: DataFrame, families: dict[str, list[int]], name: str = "svc",
 
 
 def leakage_stress(train: DataFrame, test: DataFrame, name: str = "svc") -> DataFrame:
-    """Group-disjoint scores beside those of a random split of all rows (which leaks groups)."""
-    pooled = train.unionByName(test)
-    draw = F.pmod(F.xxhash64(F.lit(7), "id"), F.lit(5))
+    """Group-disjoint scores beside those of a stratified random split of all rows (which leaks groups)."""
+    order = F.pmod(F.xxhash64(F.lit(7), "id"), F.lit(1 << 40))
+    parts = sampling.stratified_split(train.unionByName(test), "label", 0.2, [order, F.col("id")])
     safe = evaluate(train, test, name).withColumn("protocol", F.lit("disjoint"))
-    return safe.unionByName(evaluate(pooled.where(draw != 0), pooled.where(draw == 0), name).withColumn("protocol", F.lit("random")))
+    return safe.unionByName(evaluate(parts.where("part = 'train'").drop("part"), parts.where("part = 'test'").drop("part"), name).withColumn("protocol", F.lit("random")))
+
+
+def fold_scores(rows: DataFrame, names: list[str], folds: int = 5) -> DataFrame:
+    """Cross-validated scores of several classifiers on the same folds."""
+    table, out = materialize(sampling.group_folds(rows, "group", folds), "folds"), None
+    for name in names:
+        part = cross_validate(rows, name, folds, table)
+        out = part if out is None else out.unionByName(part)
+    return out
+
+
+def gaps(scored: DataFrame, base: str = "linear", name: str = "acc") -> DataFrame:
+    """Per classifier: its mean score, the mean gap over the base's on the same folds, sd and 95 % interval, and paired p's.
+
+    scored has a row per classifier and fold, a few dozen.
+    """
+    own = scored.select("clf", "fold", evaluation.metric(name).alias("s"))
+    both = own.where(F.col("clf") != base).join(own.where(F.col("clf") == base).select("fold", F.col("s").alias("b")), "fold").withColumn("gap", F.col("s") - F.col("b"))
+    means = both.groupBy("clf").agg(F.avg("s").alias("score"), F.avg("b").alias("base_score"))
+    spread = evaluation.fold_summary(both, ["clf"], "gap").select("clf", F.col("mean").alias("gap"), F.col("sd").alias("gap_sd"), "n", "ci_low", "ci_high")
+    tests = paired_tests(scored, name)
+    tests = tests.select(F.when(F.col("clf_a") == base, F.col("clf_b")).otherwise(F.col("clf_a")).alias("clf"), F.lit(base).alias("_base"), "clf_a", "clf_b", F.col("p").alias("p_t"), "p_wilcoxon")
+    tests = tests.where((F.col("clf_a") == base) | (F.col("clf_b") == base)).select("clf", "p_t", "p_wilcoxon")
+    return means.join(spread, "clf").join(tests, "clf")
+
+
+def marginal(rows: DataFrame, families: dict[str, list[int]], costly: str = "graph", cheap: str = "hrv", name: str = "svc", folds: int = 3) -> DataFrame:
+    """(key, f1_weighted): all families, without the costly one, without both, and the gains between these."""
+    table = materialize(sampling.group_folds(rows, "group", folds), "folds")
+    configs = {"full": set(families), "no_costly": set(families) - {costly}, "no_costly_no_cheap": set(families) - {costly, cheap}}
+    found = {}
+    for key, keep in configs.items():
+        own = sorted(i for f in keep for i in families[f])
+        part = rows.withColumn("features", F.array(*(F.col("features")[i] for i in own)))
+        found[key] = cross_validate(part, name, table=table).agg(F.avg("f1_weighted")).first()[0] if own else float("nan")
+    found["marginal_costly_given_cheap"] = found["full"] - found["no_costly"]
+    found["gain_of_cheap_alone"] = found["no_costly"] - found["no_costly_no_cheap"]
+    return rows.sparkSession.createDataFrame(list(found.items()), "key string, f1_weighted double")
+
+
+def mutual_information(rows: DataFrame, bins: int = 16, keep: int = 50) -> DataFrame:
+    """(feature, mi, rank): features by the mutual information of their equally full bins with the label, the best ``keep``.
+
+    Bins lie between exact quantiles; all the rest is counts of (feature, bin, label).
+    """
+    cells = rows.select("label", F.posexplode("features").alias("feature", "x"))
+    cuts = quantiles(cells, "feature", "x", [i / bins for i in range(1, bins)])
+    binned = cells.join(F.broadcast(cuts), "feature").withColumn("bin", F.size(F.filter("q", lambda c: c < F.col("x"))))  # a row per feature
+    n = binned.groupBy("feature", "bin", "label").agg(F.count(F.lit(1)).alias("n"))
+    sums = {k: n.groupBy(*k).agg(F.sum("n").alias("s")) for k in (("feature", "bin"), ("feature", "label"), ("feature",))}
+    out = n
+    for i, (k, s) in enumerate(sums.items()):
+        out = out.join(s.withColumnRenamed("s", f"_s{i}"), list(k))
+    mi = out.groupBy("feature").agg(F.sum(F.col("n") / F.col("_s2") * F.log(F.col("n") * F.col("_s2") / (F.col("_s0") * F.col("_s1")))).alias("mi"))
+    place = F.row_number().over(Window.partitionBy(F.lit(0)).orderBy(F.col("mi").desc(), "feature"))  # features only
+    return mi.withColumn("rank", place).where(F.col("rank") <= keep)
 
 
 def random_fourier(rows: DataFrame, gamma: float, features: int = 200, seed: int = 42) -> DataFrame:

@@ -2,10 +2,15 @@
 
 from __future__ import annotations
 
-import pandas as pd
+from collections.abc import Callable, Iterator
+
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..session import materialize
+
 
 def band_join(ref: DataFrame, det: DataFrame, record: str, tol: float) -> DataFrame:
     """Pairs of a reference and a detection of one record at most ``tol`` apart.
@@ -21,32 +26,38 @@ def band_join(ref: DataFrame, det: DataFrame, record: str, tol: float) -> DataFr
     return left.join(right, [record, "_bin"]).where(gap <= tol).withColumn("gap", gap).drop("_bin")
 
 
-def nearest_matches(pairs: DataFrame, record: str, tol: float) -> DataFrame:
+def nearest_matches(pairs: DataFrame, record: str, tol: float, rounds: int = 3) -> DataFrame:
     """One-to-one matches: pairs in the order of (gap, r_id, d_id), taken if both sides are free.
 
-    Pairs more than ``tol`` apart from all others cannot compete, so a record is cut into
-    independent runs of overlapping pairs; only a run meets in a task.
+    A pair that comes first among those of its reference and among those of its detection is
+    in the result whatever happens elsewhere.  So all such pairs are taken at once, pairs
+    with a side that is taken go, and this is done again until none is left: after
+    ``rounds`` rounds what is left is written down, usually nothing.  Sides and not records
+    are what windows are partitioned by, so a dense record spreads over all tasks.  ids
+    are unique within a record.
     """
-    order = Window.partitionBy(record).orderBy("_from", "r_id", "d_id")
-    spread = pairs.withColumns({"_from": F.least("r_t", "d_t"), "_to": F.greatest("r_t", "d_t")})
-    reach = F.max("_to").over(order.rowsBetween(Window.unboundedPreceding, -1))
-    runs = (spread.withColumn("_new", F.coalesce((F.col("_from") > reach).cast("int"), F.lit(1)))
-            .withColumn("_run", F.sum("_new").over(order.rowsBetween(Window.unboundedPreceding, 0))))
-
-    def take(pdf: pd.DataFrame) -> pd.DataFrame:
-        used_r, used_d, keep = set(), set(), []
-        for i, r, d in pdf.sort_values(["gap", "r_id", "d_id"])[["r_id", "d_id"]].itertuples():
-            if r not in used_r and d not in used_d:
-                keep.append(i)
-                used_r.add(r)
-                used_d.add(d)
-        return pdf.loc[keep, list(columns)]
-
-    kinds = dict(pairs.dtypes)
-    columns = (record, "r_id", "d_id", "gap")
-    # runs are small: a group takes 256 of them, which does not change what each one gives
-    return (runs.select(*columns, F.floor(F.col("_run") / 256).alias("_runs")).groupBy(record, "_runs")
-            .applyInPandas(take, ", ".join(f"{c} {kinds[c]}" for c in columns)))
+    columns = [record, "r_id", "d_id", "gap"]
+    by_r, by_d = Window.partitionBy(record, "r_id"), Window.partitionBy(record, "d_id")
+    first = ["gap", "r_id", "d_id"]
+    out, left = [], pairs.select(*columns)
+    while True:
+        for _ in range(rounds):
+            # a pair out of the running (_done) ranks behind all others
+            left = left if "_done" in left.columns else left.withColumns({"_done": F.lit(False), "_hit": F.lit(False)})
+            left = left.withColumn("_a", F.row_number().over(by_r.orderBy("_done", *first)))
+            hit = ~F.col("_done") & (F.col("_a") == 1) & (F.row_number().over(by_d.orderBy("_done", *first)) == 1)
+            left = left.withColumn("_new", hit)
+            left = left.withColumn("_dd", F.max("_new").over(by_d)).withColumn("_rr", F.max("_new").over(by_r))
+            left = left.withColumns({"_hit": F.col("_hit") | F.col("_new"), "_done": F.col("_done") | F.col("_dd") | F.col("_rr")}).drop("_a", "_new", "_dd", "_rr")
+        done = materialize(left, "matches")
+        out.append(done.where("_hit").select(*columns))
+        left = done.where("NOT _done").select(*columns)
+        if left.isEmpty():
+            break
+    matches = out[0]
+    for more in out[1:]:
+        matches = matches.unionByName(more)
+    return matches
 
 
 def transfer_labels(det: DataFrame, ref: DataFrame, matches: DataFrame, record: str) -> DataFrame:
@@ -60,3 +71,56 @@ def detection_score(n_ref: int | F.Column, n_det: int | F.Column, tp: F.Column)
     se, ppv = F.try_divide(tp, n_ref), F.try_divide(tp, n_det)
     return {"tp": tp, "fp": n_det - tp, "fn": n_ref - tp, "se": F.round(se, 4), "ppv": F.round(ppv, 4),
             "f1": F.round(F.coalesce(F.try_divide(2 * se * ppv, se + ppv), F.lit(0.0)), 4)}
+
+
+def unmatched(ref: DataFrame, det: DataFrame, matches: DataFrame, record: str) -> DataFrame:
+    """(record, side, id): references that no detection met (``missed``) and detections without a reference (``extra``)."""
+    missed = ref.join(matches, [record, "r_id"], "left_anti").select(record, F.lit("missed").alias("side"), F.col("r_id").alias("id"))
+    return missed.unionByName(det.join(matches, [record, "d_id"], "left_anti").select(record, F.lit("extra").alias("side"), F.col("d_id").alias("id")))
+
+
+def detected(signals: DataFrame, detector: Callable[[np.ndarray, float], np.ndarray]) -> DataFrame:
+    """(record, d_id, d_t) of the peaks that a detector finds in each record's signal.
+
+    signals has (record, fs, samples); ``detector(samples, fs)`` returns sample numbers and
+    runs where the record lies, one record at a time.
+    """
+    kind = dict(signals.dtypes)["record"]
+
+    def run(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for part in parts:
+            rows = []
+            for record, fs, samples in zip(part["record"].to_pylist(), part["fs"].to_pylist(), part["samples"].to_pylist(), strict=True):
+                peaks = np.asarray(detector(np.asarray(samples, dtype=np.float64), fs)).astype(np.int64)
+                rows += [(record, i, float(p)) for i, p in enumerate(np.sort(peaks).tolist())]
+            record, ids, at = zip(*rows, strict=True) if rows else ((), (), ())
+            yield pa.RecordBatch.from_arrays([pa.array(record, part["record"].type), pa.array(ids, pa.int64()), pa.array(at, pa.float64())], ["record", "d_id", "d_t"])
+
+    return signals.select("record", "fs", "samples").mapInArrow(run, f"record {kind}, d_id long, d_t double")
+
+
+def evaluated_detector(signals: DataFrame, ref: DataFrame, detector: Callable[[np.ndarray, float], np.ndarray], tol: float) -> DataFrame:
+    """Per record: counts and rates of a detector against reference events (record, r_id, r_t)."""
+    det = detected(signals, detector)
+    found = nearest_matches(band_join(ref, det, "record", tol), "record", tol)
+    one = lambda df, c: df.select("record", *(F.lit(int(x == c)).alias(x) for x in ("nr", "nd", "tp")))
+    sums = (one(ref, "nr").unionByName(one(det, "nd")).unionByName(one(found, "tp")).unionByName(signals.select("record", *(F.lit(0).alias(x) for x in ("nr", "nd", "tp"))))
+            .groupBy("record").agg(*(F.sum(c).alias(c) for c in ("nr", "nd", "tp"))))
+    return sums.select("record", *(v.alias(k) for k, v in detection_score(F.col("nr"), F.col("nd"), F.col("tp")).items()))
+
+
+def peaks_above(share: float = 0.5, gap: int = 5) -> Callable[[np.ndarray, float], np.ndarray]:
+    """A plain detector: local maxima above a share of the largest value, the higher of two closer than ``gap`` samples."""
+
+    def find(x: np.ndarray, fs: float) -> np.ndarray:
+        inner = np.flatnonzero((x[1:-1] > x[:-2]) & (x[1:-1] >= x[2:]) & (x[1:-1] >= share * x.max())) + 1
+        kept: list[int] = []
+        for at in inner.tolist():
+            if kept and at - kept[-1] < gap:
+                if x[at] > x[kept[-1]]:
+                    kept[-1] = at
+            else:
+                kept.append(at)
+        return np.array(kept, dtype=np.int64)
+
+    return find

@@ -58,6 +58,57 @@ def allocation(rows: DataFrame, patient: str, part: str) -> DataFrame:
         F.count(F.lit(1)).alias("patients"), F.sum("rows").alias("rows"), F.count_if(F.col("parts") > 1).alias("shared"))
 
 
+def audit(rows: DataFrame, patient: str, part: str, label: str) -> DataFrame:
+    """Per part and class: patients, rows, the part's patients and rows, and whether no patient stands in another part.
+
+    The ids themselves are ``patient_lists``: rows, since a list of all of them would grow with the table.
+    """
+    own = rows.groupBy(patient, part, label).agg(F.count(F.lit(1)).alias("n"))
+    parts = own.groupBy(patient).agg(F.count_distinct(part).alias("parts"))
+    whole = own.join(parts, patient).groupBy(part).agg(
+        F.count_distinct(patient).alias("part_patients"), F.sum("n").alias("part_rows"), (F.max("parts") == 1).alias("disjoint"))
+    return own.groupBy(part, label).agg(F.count_distinct(patient).alias("patients"), F.sum("n").alias("rows")).join(whole, part)
+
+
+def patient_lists(rows: DataFrame, patient: str, part: str) -> DataFrame:
+    """(patient, parts): every patient with the sorted parts it stands in; more than one is an overlap."""
+    return rows.groupBy(patient).agg(F.array_sort(F.collect_set(part)).alias("parts"))
+
+
+def with_patients(rows: DataFrame, parsed: DataFrame, override: DataFrame | None = None) -> DataFrame:
+    """rows with the patient of their record: the override's if it has one, else the parsed one; none is an error."""
+    known = parsed.select("record", F.col("patient").alias("_parsed"))
+    if override is not None:
+        known = known.join(override.select("record", F.col("patient").alias("_given")), "record", "full")
+    else:
+        known = known.withColumn("_given", F.lit(None).cast(dict(parsed.dtypes)["patient"]))
+    found = F.coalesce("_given", "_parsed")
+    missing = F.raise_error(F.concat(F.lit("no patient for record "), F.col("record").cast("string")))
+    return rows.join(known, "record", "left").withColumn("patient", F.when(found.isNull(), missing.cast(dict(parsed.dtypes)["patient"])).otherwise(found)).drop("_parsed", "_given")
+
+
+def of_records(rows: DataFrame, record: str, wanted: list) -> DataFrame:
+    """Rows of the records of a split; the list is a literal of the plan, so the filter reaches the scan."""
+    return rows.where(F.col(record).isin(wanted))
+
+
+def of_pair(rows: DataFrame, label: str, a, b) -> DataFrame:
+    """Rows of two classes."""
+    return rows.where(F.col(label).isin(a, b))
+
+
+def one_versus_rest(label: str, positive) -> Column:
+    return (F.col(label) == F.lit(positive)).cast("int")
+
+
+def basename(path: str) -> Column:
+    return F.substring_index(path, "/", -1)
+
+
+def record_name(number: str, form: str = "I%02d") -> Column:
+    return F.format_string(form, F.col(number).cast("long"))
+
+
 def families(columns: list[str], prefixes: dict[str, str], keep: set[str]) -> list[str]:
     """Columns whose family, told by their prefix, is kept."""
     return [c for c in columns for p, f in prefixes.items() if c.startswith(p) and f in keep]
@@ -72,3 +123,9 @@ def cost_benefit(deltas: DataFrame, cost: DataFrame) -> DataFrame:
     total = F.sum("ms").over(Window.partitionBy(F.lit(0)))
     return rows.select("family", (-F.col("delta")).alias("benefit"), "ms", (100 * F.try_divide("ms", total)).alias("pct_of_cost"),
                        F.try_divide(-F.col("delta"), "ms").alias("benefit_per_ms"))
+
+
+def cost_ratio(linear: str | Column, other: str | Column) -> Column:
+    """How many times as many parameters another model has, to one decimal."""
+    linear, other = (F.col(c) if isinstance(c, str) else c for c in (linear, other))
+    return F.round(other / F.greatest(linear, F.lit(1)), 1)

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window, WindowSpec
 from pyspark.sql import functions as F
 
+from ..session import materialize
+
 
 def along(record: str, *order: str) -> WindowSpec:
     return Window.partitionBy(record).orderBy(*order)
@@ -56,6 +58,67 @@ def rhythm(df: DataFrame, record: str, order: list[str], rr: str = "rr_pre", wid
     }).drop("_sq", "_jump")
 
 
+def cut_points(df: DataFrame, column: str, slices: int = 256) -> list:
+    """Approximate quantiles of a column that cut its values into slices of like size."""
+    cuts = df.agg(F.percentile_approx(column, [i / slices for i in range(1, slices)], 10_000).alias("c")).first()["c"] or []
+    return sorted(set(cuts))
+
+
+def slice_of(column: Column, cuts: list) -> Column:
+    """How many cuts lie at or below a value: does not fall as the value rises."""
+    return F.size(F.filter(F.array(*map(F.lit, cuts)), lambda c: c <= column)) if cuts else F.lit(0)
+
+
+def ranked(df: DataFrame, key: str, bucket: Column, order: list[Column], bucket_name: str = "_b") -> DataFrame:
+    """Add _rank (from 0) and _total within each value of ``key``.
+
+    ``bucket`` must not fall as ``order`` rises.  Rows of one (key, bucket) meet in a
+    task; what comes before a bucket is a prefix sum over the small table of counts.
+    """
+    df = df.withColumn(bucket_name, bucket)
+    before = Window.partitionBy(key).orderBy(bucket_name)
+    counts = (
+        df.groupBy(key, bucket_name).agg(F.count(F.lit(1)).alias("_n"))
+        .select(key, bucket_name,
+                (F.sum("_n").over(before.rowsBetween(Window.unboundedPreceding, 0)) - F.col("_n")).alias("_before"),
+                F.sum("_n").over(Window.partitionBy(key)).alias("_total"))
+    )
+    own = Window.partitionBy(key, bucket_name).orderBy(*order)
+    return (
+        df.join(counts, [key, bucket_name])
+        .withColumn("_rank", F.col("_before") + F.row_number().over(own) - 1)
+        .drop("_before", bucket_name)
+    )
+
+
+def quantiles(df: DataFrame, key: str, value: str, shares: list[float], slices: int = 256) -> DataFrame:
+    """(key, q): exact quantiles with linear interpolation, an array in the order of ``shares``.
+
+    No task holds a key's values: counts of slices tell in which slices the wanted ranks
+    lie, only their rows are looked at again, and there equal values count as one row.
+    Nulls take no part; a key without values has no row.
+    """
+    df = df.select(key, F.col(value).cast("double").alias("_v")).where(F.col("_v").isNotNull())
+    # equal values are one row from the start; written down, since both the counts and the second look read them
+    df = df.withColumn("_slice", slice_of(F.col("_v"), cut_points(df, "_v", slices))).groupBy(key, "_slice", "_v").agg(F.count(F.lit(1)).alias("_m"))
+    df = materialize(df, "quantiles")
+    along_ = Window.partitionBy(key).orderBy("_slice").rowsBetween(Window.unboundedPreceding, -1)
+    counts = df.groupBy(key, "_slice").agg(F.sum("_m").alias("_n"))
+    counts = counts.select(key, "_slice", "_n", F.coalesce(F.sum("_n").over(along_), F.lit(0)).alias("_before"), F.sum("_n").over(Window.partitionBy(key)).alias("_total"))
+    asked = F.array(*(F.struct(F.lit(i).alias("i"), (F.lit(p) * (F.col("_total") - 1)).alias("h")) for i, p in enumerate(shares)))
+    # a quantile lies between the two ranks around h
+    wanted = counts.withColumn("_a", F.explode(asked)).withColumn("_r", F.explode(F.array_distinct(F.array(F.floor("_a.h"), F.ceil("_a.h")))))
+    wanted = wanted.where((F.col("_r") >= F.col("_before")) & (F.col("_r") < F.col("_before") + F.col("_n")))
+    own = Window.partitionBy(key, "_slice").orderBy("_v").rowsBetween(Window.unboundedPreceding, 0)
+    values = df.join(wanted.select(key, "_slice").distinct(), [key, "_slice"], "left_semi").withColumn("_to", F.sum("_m").over(own))
+    met = wanted.select(key, "_slice", "_before", "_r", "_a").join(values, [key, "_slice"])
+    met = met.where((F.col("_r") < F.col("_before") + F.col("_to")) & (F.col("_r") >= F.col("_before") + F.col("_to") - F.col("_m")))
+    share = F.col("_a.h") - F.floor("_a.h")
+    weight = F.when(F.floor("_a.h") == F.ceil("_a.h"), 1.0).when(F.col("_r") == F.floor("_a.h"), 1 - share).otherwise(share)
+    one = met.groupBy(key, F.col("_a.i").alias("_i")).agg(F.sum(weight * F.col("_v")).alias("_q"))
+    return one.groupBy(key).agg(F.transform(F.array_sort(F.collect_list(F.struct("_i", "_q"))), lambda x: x["_q"]).alias("q"))
+
+
 def running_sums(df: DataFrame, key: str, order: str, sums: list[str], slices: int = 256) -> DataFrame:
     """Sums of columns over all rows of ``key`` with a value of ``order`` as high or higher.
 
@@ -63,8 +126,7 @@ def running_sums(df: DataFrame, key: str, order: str, sums: list[str], slices: i
     quantiles of ``order`` (any cuts give the same sums), each slice is summed up by a
     window of its own, and a prefix sum over the slices' totals is added.
     """
-    cuts = df.agg(F.percentile_approx(order, [i / slices for i in range(1, slices)], 10_000).alias("c")).first()["c"] or []
-    df = df.withColumn("_slice", F.size(F.filter(F.array(*map(F.lit, sorted(set(cuts)))), lambda c: c <= F.col(order))) if cuts else F.lit(0))
+    df = df.withColumn("_slice", slice_of(F.col(order), cut_points(df, order, slices)))
     above = Window.partitionBy(key).orderBy(F.col("_slice").desc()).rowsBetween(Window.unboundedPreceding, -1)
     totals = df.groupBy(key, "_slice").agg(*(F.sum(c).alias(c) for c in sums))
     totals = totals.select(key, "_slice", *(F.coalesce(F.sum(c).over(above), F.lit(0)).alias(f"_{c}") for c in sums))

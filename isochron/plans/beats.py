@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.arrays import doubles
-from ..operators import features, matching, sampling, tables, windows
+from ..operators import evaluation, features, matching, sampling, tables, windows
 from ..session import table
 from .registry import query
 
@@ -167,9 +167,8 @@ def median_impute(spark, sf_dir):
 @query("""SELECT event_type AS label, quantile_cont(value, 0.01) AS p1, quantile_cont(value, 0.99) AS p99, median(value) AS p50, min(value) AS lo, max(value) AS hi
           FROM events GROUP BY event_type""")
 def percentiles(spark, sf_dir):
-    q = lambda p: F.percentile("value", p)
-    return table(spark, sf_dir, "events").groupBy(F.col("event_type").alias("label")).agg(
-        q(0.01).alias("p1"), q(0.99).alias("p99"), q(0.5).alias("p50"), F.min("value").alias("lo"), F.max("value").alias("hi"))
+    rows = table(spark, sf_dir, "events").select(F.col("event_type").alias("label"), "value")
+    return windows.quantiles(rows, "label", "value", [0.01, 0.99, 0.5, 0.0, 1.0]).select("label", *(F.col("q")[i].alias(n) for i, n in enumerate(("p1", "p99", "p50", "lo", "hi"))))
 
 
 @query("""WITH RECURSIVE g AS (SELECT user_id, count(*) AS n FROM events GROUP BY user_id),
@@ -189,7 +188,7 @@ def groupkfold(spark, sf_dir):
                      count(*) OVER (PARTITION BY event_type) AS n FROM events)
           SELECT event_id, event_type FROM r WHERE r <= greatest(1, round(n * 0.1))""")
 def stratified_sample(spark, sf_dir):
-    order = F.struct((F.col("event_id") * 7919) % 100003, F.col("event_id"))
+    order = [(F.col("event_id") * 7919) % 100003, F.col("event_id")]
     return sampling.stratified(table(spark, sf_dir, "events"), "event_type", 0.1, order).select("event_id", "event_type")
 
 
@@ -274,8 +273,98 @@ def feature_matrix(spark, sf_dir):
     return out.select("vec_id", *features.feature_columns(out))
 
 
-@query(None)
+HELD = """g AS (SELECT user_id, md5('13 ' || user_id) AS h FROM (SELECT DISTINCT user_id FROM events)),
+          h AS (SELECT user_id FROM (SELECT user_id, row_number() OVER (ORDER BY h, user_id) AS r, count(*) OVER () AS n FROM g) WHERE r <= greatest(1, round(n * 0.3)))"""
+
+
+@query(f"WITH {HELD} SELECT user_id, count(*) AS n FROM events JOIN h USING (user_id) GROUP BY user_id")
 def group_holdout(spark, sf_dir):
-    """Events of held-out users: sorted ids shuffled by a fixed generator."""
+    """Events of held-out users, drawn by a seeded digest."""
     _, test = sampling.group_holdout(table(spark, sf_dir, "events"), "user_id", 0.3, 13)
     return test.groupBy("user_id").agg(F.count(F.lit(1)).alias("n"))
+
+
+@query("""WITH o AS (SELECT o_orderkey AS record, o_orderpriority AS label, CASE WHEN o_custkey % 7 = 0 THEN o_custkey + 1000000 ELSE o_custkey END AS patient FROM orders),
+          g AS (SELECT patient, md5('13 ' || patient) AS h FROM (SELECT DISTINCT patient FROM o)),
+          h AS (SELECT patient FROM (SELECT patient, row_number() OVER (ORDER BY h, patient) AS r, count(*) OVER () AS n FROM g) WHERE r <= greatest(1, round(n * 0.3))),
+          p AS (SELECT o.*, CASE WHEN h.patient IS NULL THEN 'train' ELSE 'test' END AS part FROM o LEFT JOIN h USING (patient)),
+          w AS (SELECT part, count(DISTINCT patient) AS part_patients, count(*) AS part_rows FROM p GROUP BY part)
+          SELECT part, label, count(DISTINCT patient) AS patients, count(*) AS rows, any_value(part_patients) AS part_patients, any_value(part_rows) AS part_rows, true AS disjoint
+          FROM p JOIN w USING (part) GROUP BY part, label""")
+def patient_holdout_audit(spark, sf_dir):
+    """Orders are records, customers patients; an override renames some, whole patients are held out, an overlap would be an error."""
+    own = table(spark, sf_dir, "orders")
+    rows = own.select(F.col("o_orderkey").alias("record"), F.col("o_orderpriority").alias("label"))
+    parsed = own.select(F.col("o_orderkey").alias("record"), F.col("o_custkey").alias("patient"))
+    override = parsed.where("patient % 7 = 0").withColumn("patient", F.col("patient") + 1000000)
+    return sampling.audited_holdout(rows, parsed, override)[2]
+
+
+@query("""SELECT o_custkey AS patient, array_to_string(list_sort(list(DISTINCT CASE WHEN o_orderkey % 3 = 0 THEN 'test' ELSE 'train' END)), ',') AS parts FROM orders GROUP BY o_custkey""")
+def patient_lists(spark, sf_dir):
+    """Every patient with the parts it stands in."""
+    rows = table(spark, sf_dir, "orders").select(F.col("o_custkey").alias("patient"), F.when(F.expr("o_orderkey % 3 = 0"), "test").otherwise("train").alias("part"))
+    return tables.patient_lists(rows, "patient", "part").select("patient", F.array_join("parts", ",").alias("parts"))
+
+
+@query(f"""SELECT 'train' AS part, event_id FROM events WHERE user_id IN ({', '.join(map(str, tables.TRAIN_RECORDS))})
+           UNION ALL SELECT 'test', event_id FROM events WHERE user_id IN ({', '.join(map(str, tables.TEST_RECORDS))})""")
+def record_list_split(spark, sf_dir):
+    """Users with the numbers of the published record lists."""
+    rows = table(spark, sf_dir, "events")
+    part = lambda name, own: tables.of_records(rows, "user_id", own).select(F.lit(name).alias("part"), "event_id")
+    return part("train", tables.TRAIN_RECORDS).unionByName(part("test", tables.TEST_RECORDS))
+
+
+@query("SELECT event_id, event_type, (event_type = 'click')::INTEGER AS positive FROM events WHERE event_type IN ('click', 'view')")
+def class_pair(spark, sf_dir):
+    """Events of two classes, one of them against the other."""
+    return tables.of_pair(table(spark, sf_dir, "events"), "event_type", "click", "view").select("event_id", "event_type", tables.one_versus_rest("event_type", "click").alias("positive"))
+
+
+@query("""SELECT page_id, regexp_extract(url, '[^/]*$') AS base, 'I' || CASE WHEN page_id < 10 THEN '0' ELSE '' END || page_id AS record FROM pages""")
+def page_names(spark, sf_dir):
+    """Base names of paths, and record names made from numbers."""
+    return table(spark, sf_dir, "pages").select("page_id", tables.basename("url").alias("base"), tables.record_name("page_id").alias("record"))
+
+
+@query(f"WITH {BEATS}, r AS (SELECT event_id, record, row_number() OVER (PARTITION BY record ORDER BY t, event_id) AS r FROM b) SELECT event_id, record FROM r WHERE r <= 5")
+def first_of_record(spark, sf_dir):
+    return features.first_rows(beats(spark, sf_dir), "record", ORDER, 5).select("event_id", "record")
+
+
+@query("""WITH r AS (SELECT event_id, event_type, row_number() OVER (PARTITION BY event_type ORDER BY (event_id * 7919) % 100003, event_id) AS r, count(*) OVER (PARTITION BY event_type) AS n FROM events)
+          SELECT event_id, event_type, CASE WHEN r <= greatest(1, round(n * 0.2)) THEN 'test' ELSE 'train' END AS part FROM r""")
+def stratified_split(spark, sf_dir):
+    order = [(F.col("event_id") * 7919) % 100003, F.col("event_id")]
+    return sampling.stratified_split(table(spark, sf_dir, "events"), "event_type", 0.2, order).select("event_id", "event_type", "part")
+
+
+@query("""WITH f AS (SELECT unnest(range(5)) AS fold), c AS (SELECT fold, event_type AS label, count(*) AS n FROM events JOIN f ON user_id % 5 <> fold GROUP BY ALL)
+          SELECT label, min(n) AS least, floor(median(n))::BIGINT AS median, max(n) AS most FROM c GROUP BY label""")
+def fold_class_counts(spark, sf_dir):
+    """Least, median and largest training count of each class over five folds of users."""
+    rows = table(spark, sf_dir, "events").groupBy(F.col("event_type").alias("label"), (F.col("user_id") % 5).alias("own")).agg(F.count(F.lit(1)).alias("n"))
+    folds = rows.withColumn("fold", F.explode(F.sequence(F.lit(0), F.lit(4)))).where("fold <> own").groupBy("fold", "label").agg(F.sum("n").alias("n"))
+    return evaluation.fold_spread(folds)
+
+
+@query(f"""WITH {_greedy_sql()} SELECT record, 'missed' AS side, event_id AS id FROM b WHERE label = 'view' AND event_id NOT IN (SELECT r_id FROM m)
+           UNION ALL SELECT record, 'extra', event_id FROM b WHERE label = 'click' AND event_id NOT IN (SELECT d_id FROM m)""")
+def unmatched_events(spark, sf_dir):
+    """Reference events without a detection, and detections without a reference."""
+    return matching.unmatched(*_matches(spark, sf_dir), "record")
+
+
+@query("""WITH l AS (SELECT vec_id, label, generate_subscripts(embedding, 1) - 1 AS i, unnest(embedding)::DOUBLE AS x FROM embeddings),
+          p AS (SELECT *, lag(x) OVER w AS a, lead(x) OVER w AS z, max(x) OVER (PARTITION BY vec_id) AS top FROM l WINDOW w AS (PARTITION BY vec_id ORDER BY i)),
+          d AS (SELECT vec_id, i FROM p WHERE x > a AND x >= z AND x >= 0.5::DOUBLE * top),
+          n AS (SELECT v.vec_id AS record, 64 // 8 AS nr, (SELECT count(*) FROM d WHERE d.vec_id = v.vec_id) AS nd,
+                       (SELECT count(*) FROM d WHERE d.vec_id = v.vec_id AND i % 8 = 4) AS tp FROM embeddings v)
+          SELECT record, tp, nd - tp AS fp, nr - tp AS fn, round(tp::DOUBLE / nr, 4) AS se, round(tp::DOUBLE / nullif(nd, 0), 4) AS ppv,
+                 round(coalesce(2 * (tp::DOUBLE / nr) * (tp::DOUBLE / nullif(nd, 0)) / nullif(tp::DOUBLE / nr + tp::DOUBLE / nullif(nd, 0), 0), 0), 4) AS f1 FROM n""")
+def detector_score(spark, sf_dir):
+    """A peak detector run on every vector, held against marks at every eighth sample, which it must hit exactly."""
+    own = table(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("record"), F.lit(128).alias("fs"), doubles("embedding").alias("samples"))
+    ref = own.select("record", F.posexplode(F.sequence(F.lit(4), F.size("samples") - 1, F.lit(8))).alias("r_id", "r_t")).withColumns({"r_id": F.col("r_id").cast("long"), "r_t": F.col("r_t").cast("double")})
+    return matching.evaluated_detector(own, ref, matching.peaks_above(0.5, 1), 0.5)

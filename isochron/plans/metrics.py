@@ -2,10 +2,10 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..operators import evaluation, tables
+from ..operators import evaluation, experiments, learning, tables
 from ..session import table
 from .registry import query
 
@@ -100,9 +100,18 @@ def mcnemar_stat(spark, sf_dir):
     return _round(evaluation.mcnemar_test(_mcnemar(spark, sf_dir)).select("clf_a", "clf_b", "statistic"), 6, "statistic")
 
 
-@query(None)
+@query(f"""WITH {MCNEMAR}, n AS (SELECT *, only_a + only_b AS n FROM t)
+    SELECT clf_a, clf_b, both_right, only_a, only_b, both_wrong, round(CASE WHEN n = 0 THEN 0 WHEN n < 25 THEN least(only_a, only_b)
+           ELSE (abs(only_a - only_b) - 1) * (abs(only_a - only_b) - 1) / n::DOUBLE END, 6) AS statistic, n AS discordant, n > 0 AND n < 25 AS exact FROM n""")
 def pairwise_mcnemar(spark, sf_dir):
-    """McNemar p of each pair of classifiers, Holm-adjusted."""
+    """Every pair of classifiers: counts, statistic and which test applies."""
+    out = evaluation.mcnemar_test(_mcnemar(spark, sf_dir)).withColumn("discordant", F.col("only_a") + F.col("only_b"))
+    return _round(out.withColumn("exact", (F.col("discordant") > 0) & (F.col("discordant") < 25)).drop("p"), 6, "statistic")
+
+
+@query(None)
+def mcnemar_holm(spark, sf_dir):
+    """McNemar p of each pair of classifiers, Holm-adjusted; the tails of binomial and chi-square are not in SQL."""
     return evaluation.holm(evaluation.mcnemar_test(_mcnemar(spark, sf_dir)), "p", "clf_a", "clf_b")
 
 
@@ -114,35 +123,29 @@ def holm(spark, sf_dir):
     return _round(evaluation.holm(tests, "p", "test"), 9, "p_holm")
 
 
-REPS = 200
-
-
-@query(f"""WITH {PRED}, g AS (SELECT patient, clf, count(*) AS n, count(*) FILTER (WHERE y_true = y_pred) AS ok FROM p GROUP BY ALL),
-    u AS (SELECT patient, row_number() OVER (ORDER BY patient) - 1 AS i, count(*) OVER () AS m FROM (SELECT DISTINCT patient FROM p)),
-    s AS (SELECT r.rep, ((r.rep * 7919 + u.i * 104729 + r.rep * u.i * 31) % 1000003) % u.m AS pick FROM u CROSS JOIN (SELECT unnest(range({REPS})) AS rep) r),
-    w AS (SELECT rep, patient, count(*) AS times FROM s JOIN u ON s.pick = u.i GROUP BY ALL),
-    a AS (SELECT rep, clf, sum(ok * times)::DOUBLE / sum(n * times) AS acc FROM w JOIN g USING (patient) GROUP BY ALL),
-    d AS (SELECT x.clf AS clf_a, y.clf AS clf_b, x.acc - y.acc AS d FROM a x JOIN a y ON x.rep = y.rep AND x.clf < y.clf)
-    SELECT clf_a, clf_b, round(avg(d), 6) AS mean_diff, round(quantile_cont(d, 0.025), 6) AS ci_low, round(quantile_cont(d, 0.975), 6) AS ci_high,
-           least(1.0, 2 * least(avg((d >= 0)::INTEGER), avg((d <= 0)::INTEGER))) AS p FROM d GROUP BY ALL""")
+REPS = 2000
+M = 2**31 - 1
+POISSON = ", ".join(repr(float(x)) for x in evaluation.POISSON)
+
+
+@query(f"""WITH {PRED}, g AS (SELECT patient, clf, y_true, y_pred, count(*) AS n FROM p GROUP BY ALL), u AS (SELECT DISTINCT patient FROM p),
+    x0 AS (SELECT patient, rep, (patient * 48271 + rep * 69621 + 11) % {M} AS x FROM u CROSS JOIN (SELECT unnest(range({REPS})) AS rep)),
+    x1 AS (SELECT patient, rep, (x * x % {M} + rep * 7 + patient) % {M} AS x FROM x0), x2 AS (SELECT patient, rep, (x * x % {M} + rep * 7 + patient) % {M} AS x FROM x1),
+    w AS (SELECT patient, rep, len(list_filter([{POISSON}]::DOUBLE[], lambda c: c <= x::DOUBLE / {M}::DOUBLE)) AS times FROM x2),
+    c AS (SELECT rep, clf, y_true, y_pred, sum(n * times) AS n FROM g JOIN (SELECT * FROM w WHERE times > 0) USING (patient) GROUP BY ALL),
+    l AS (SELECT rep, clf, y_true AS label, n AS support, 0 AS predicted, CASE WHEN y_true = y_pred THEN n ELSE 0 END AS tp FROM c UNION ALL SELECT rep, clf, y_pred, 0, n, 0 FROM c),
+    f AS (SELECT rep, clf, label, sum(support) AS support, coalesce(2.0::DOUBLE * sum(tp) / nullif(sum(support) + sum(predicted), 0), 0) AS f1 FROM l GROUP BY ALL),
+    a AS (SELECT rep, clf, sum(f1 * support) / sum(support) AS s FROM f GROUP BY ALL),
+    d AS (SELECT x.clf AS clf_a, y.clf AS clf_b, x.s - y.s AS d FROM a x JOIN a y ON x.rep = y.rep AND x.clf < y.clf),
+    t AS (SELECT clf_a, clf_b, avg(d) AS mean_diff, quantile_cont(d, 0.025) AS ci_low, quantile_cont(d, 0.975) AS ci_high,
+                 least(1.0, 2 * least(avg((d >= 0)::INTEGER), avg((d <= 0)::INTEGER))) AS p FROM d GROUP BY ALL),
+    h AS (SELECT *, least(1.0, (count(*) OVER () - row_number() OVER (ORDER BY p, clf_a, clf_b) + 1) * p) AS q FROM t)
+    SELECT clf_a, clf_b, round(mean_diff, 6) AS mean_diff, round(ci_low, 6) AS ci_low, round(ci_high, 6) AS ci_high, p,
+           max(q) OVER (ORDER BY p, clf_a, clf_b ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS p_holm FROM h""")
 def cluster_bootstrap(spark, sf_dir):
-    """Patients drawn with replacement, by a rule that SQL can replay."""
-    pred = predictions(spark, sf_dir)
-    own = pred.groupBy("patient", "clf", "y_true", "y_pred").agg(F.count(F.lit(1)).alias("n"))
-    ids = pred.select("patient").distinct()
-    place = Window.partitionBy(F.lit(0))  # patients only
-    ids = ids.withColumns({"i": F.row_number().over(place.orderBy("patient")) - 1, "m": F.count(F.lit(1)).over(place)})
-    reps = ids.withColumn("rep", F.explode(F.sequence(F.lit(0), F.lit(REPS - 1)))).withColumns({c: F.col(c).cast("long") for c in ("i", "rep")})
-    picks = reps.select("rep", (((F.col("rep") * 7919 + F.col("i") * 104729 + F.col("rep") * F.col("i") * 31) % 1000003) % F.col("m")).alias("pick"))
-    draws = picks.groupBy("rep", "pick").agg(F.count(F.lit(1)).alias("times")).join(ids.select("patient", F.col("i").alias("pick")), "pick").select("rep", "patient", "times")
-    acc = evaluation.bootstrap(own, draws).groupBy("rep", "clf").agg((F.sum(F.when(F.col("y_true") == F.col("y_pred"), F.col("n"))) / F.sum("n")).alias("acc"))
-    wide = acc.groupBy("rep").pivot("clf", sorted(RULES)).agg(F.first("acc"))
-    pairs = [F.struct(F.lit(a).alias("clf_a"), F.lit(b).alias("clf_b"), (F.col(a) - F.col(b)).alias("d")) for a in sorted(RULES) for b in sorted(RULES) if a < b]
-    d = wide.select(F.explode(F.array(*pairs)).alias("x")).select("x.*")
-    side = lambda c: F.avg(c.cast("int"))
-    return d.groupBy("clf_a", "clf_b").agg(
-        F.round(F.avg("d"), 6).alias("mean_diff"), F.round(F.percentile("d", 0.025), 6).alias("ci_low"), F.round(F.percentile("d", 0.975), 6).alias("ci_high"),
-        F.least(F.lit(1.0), 2 * F.least(side(F.col("d") >= 0), side(F.col("d") <= 0))).alias("p"))
+    """Weighted F1 of 2000 resamples of patients, by draws that SQL can replay."""
+    own = predictions(spark, sf_dir).groupBy("patient", "clf", "y_true", "y_pred").agg(F.count(F.lit(1)).alias("n"))
+    return _round(evaluation.bootstrap_test(evaluation.bootstrap(own, REPS), sorted(RULES)), 6, "mean_diff", "ci_low", "ci_high")
 
 
 @query(f"""WITH {PRED}, f AS (SELECT clf, patient % 5 AS fold, avg((y_true = y_pred)::INTEGER) AS acc FROM p GROUP BY ALL)
@@ -163,7 +166,7 @@ def scored(spark, sf_dir):
     return table(spark, sf_dir, "events").select(F.col("event_type").alias("clf"), F.col("value").alias("score"), ((F.col("event_id") * 13 + F.floor("value")) % 10 < 3).alias("hit"))
 
 
-@query(f"WITH {CURVE} SELECT clf, score, round(ctp::DOUBLE / cn, 6) AS precision, round(ctp::DOUBLE / pos, 6) AS recall FROM c")
+@query(f"WITH {CURVE} SELECT clf, score, round(ctp::DOUBLE / cn, 6) AS precision, round(ctp::DOUBLE / pos, 6) AS recall FROM c UNION ALL SELECT DISTINCT clf, NULL, 1.0, 0.0 FROM s")
 def pr_curve(spark, sf_dir):
     return _round(evaluation.precision_recall(scored(spark, sf_dir), "clf").select("clf", "score", "precision", "recall"), 6, "precision", "recall")
 
@@ -201,13 +204,82 @@ def class_pairs(spark, sf_dir):
     return one.select(F.explode(F.expr("flatten(transform(c, (x, i) -> transform(slice(c, i + 2, size(c)), y -> struct(x AS a, y AS b))))")).alias("p")).select("p.*")
 
 
-@query(f"""WITH {PRED}, c AS (SELECT clf, y_true, avg((y_true <> y_pred)::INTEGER) AS err FROM p GROUP BY ALL), e AS (SELECT unnest([0.2, 0.25, 0.3, 0.4, 0.5])::DOUBLE AS eps)
-    SELECT clf, eps, round(avg((err <= eps)::INTEGER), 6) AS fraction FROM c CROSS JOIN e GROUP BY ALL""")
+PAIR_ERRORS = f"""{PRED}, c AS (SELECT DISTINCT y_true AS c FROM p), q AS (SELECT x.c AS a, y.c AS b FROM c x JOIN c y ON x.c < y.c),
+    e AS (SELECT clf, q.a, q.b, count(*) AS n, avg((y_true <> y_pred)::INTEGER) AS error FROM p JOIN q ON y_true IN (q.a, q.b) GROUP BY ALL)"""
+
+
+def _pair_errors(spark, sf_dir):
+    """Errors among the rows of two classes, from counts of single classes."""
+    own = predictions(spark, sf_dir).groupBy("clf", "y_true").agg(F.count(F.lit(1)).alias("n"), F.count_if(F.col("y_true") != F.col("y_pred")).alias("w"))
+    one = own.groupBy("clf").agg(F.array_sort(F.collect_list(F.struct("y_true", "n", "w"))).alias("c"))
+    pairs = F.expr("flatten(transform(c, (x, i) -> transform(slice(c, i + 2, size(c)), y -> struct(x.y_true AS a, y.y_true AS b, x.n + y.n AS n, x.w + y.w AS w))))")
+    return one.select("clf", F.explode(pairs).alias("p")).select("clf", "p.a", "p.b", "p.n", (F.col("p.w") / F.col("p.n")).alias("error"))
+
+
+@query(f"WITH {PAIR_ERRORS} SELECT clf, a, b, n, round(error, 6) AS error FROM e")
+def pair_errors(spark, sf_dir):
+    return _round(_pair_errors(spark, sf_dir), 6, "error")
+
+
+@query(f"""WITH {PAIR_ERRORS}, t AS (SELECT unnest([0.2, 0.25, 0.3, 0.4, 0.5])::DOUBLE AS tolerance)
+    SELECT clf, tolerance, count(*) FILTER (WHERE error <= tolerance) AS n_separable, count(*) AS n_pairs, round(avg((error <= tolerance)::INTEGER), 6) AS separable_fraction FROM e CROSS JOIN t GROUP BY ALL""")
 def pair_tolerance_sweep(spark, sf_dir):
-    """Share of errors within each of five tolerances, errors taken once."""
-    errors = predictions(spark, sf_dir).groupBy("clf", "y_true").agg(F.avg((F.col("y_true") != F.col("y_pred")).cast("int")).alias("err"))
-    swept = errors.withColumn("eps", F.explode(F.array(*map(F.lit, (0.2, 0.25, 0.3, 0.4, 0.5)))))
-    return swept.groupBy("clf", "eps").agg(F.round(F.avg((F.col("err") <= F.col("eps")).cast("int")), 6).alias("fraction"))
+    """Share of class pairs with an error within each of five tolerances, errors taken once."""
+    out = None
+    errors = _pair_errors(spark, sf_dir)
+    for clf in sorted(RULES):
+        part = learning.separable_fraction(errors.where(F.col("clf") == clf), [0.2, 0.25, 0.3, 0.4, 0.5]).withColumn("clf", F.lit(clf))
+        out = part if out is None else out.unionByName(part)
+    return _round(out, 6, "separable_fraction")
+
+
+@query(f"""WITH {PRED}, c AS (SELECT patient, clf, y_true, y_pred, count(*) AS n FROM p GROUP BY ALL),
+    l AS (SELECT patient, clf, y_true AS label, n AS support, 0 AS predicted, CASE WHEN y_true = y_pred THEN n ELSE 0 END AS tp FROM c UNION ALL SELECT patient, clf, y_pred, 0, n, 0 FROM c),
+    f AS (SELECT patient, clf, label, sum(support) AS support, sum(tp) AS tp, coalesce(2.0::DOUBLE * sum(tp) / nullif(sum(support) + sum(predicted), 0), 0) AS f1 FROM l GROUP BY ALL)
+    SELECT patient, clf, round(sum(tp)::DOUBLE / sum(support), 6) AS acc, round(sum(f1 * support) / sum(support), 6) AS f1_weighted, round(avg(f1), 6) AS f1_macro FROM f GROUP BY ALL""")
+def patientwise_f1(spark, sf_dir):
+    own = evaluation.confusion(predictions(spark, sf_dir), ["patient", "clf"])
+    return _round(evaluation.scores(own, ["patient", "clf"]), 6, "acc", "f1_weighted", "f1_macro")
+
+
+@query(f"""WITH {PRED}, a AS (SELECT patient, clf, round(avg((y_true = y_pred)::INTEGER), 6) AS acc FROM p GROUP BY ALL),
+    d AS (SELECT x.clf AS clf_a, y.clf AS clf_b, round(x.acc - y.acc, 6) AS d FROM a x JOIN a y ON x.patient = y.patient AND x.clf < y.clf),
+    r AS (SELECT *, rank() OVER (PARTITION BY clf_a, clf_b ORDER BY abs(d)) + (count(*) OVER (PARTITION BY clf_a, clf_b, abs(d)) - 1) / 2.0::DOUBLE AS r,
+                 count(*) OVER (PARTITION BY clf_a, clf_b, abs(d)) AS c FROM d WHERE d <> 0),
+    s AS (SELECT clf_a, clf_b, count(*) AS n, coalesce(sum(r) FILTER (WHERE d > 0), 0) AS w_plus, coalesce(sum(r) FILTER (WHERE d < 0), 0) AS w_minus, sum(c::DOUBLE * c - 1) AS ties FROM r GROUP BY ALL)
+    SELECT clf_a, clf_b, n, w_plus::DOUBLE AS w_plus, w_minus::DOUBLE AS w_minus, least(w_plus, w_minus)::DOUBLE AS statistic,
+           round((least(w_plus, w_minus) - n * (n + 1) / 4.0::DOUBLE) / sqrt((n * (n + 1) * (2 * n + 1) - ties / 2) / 24), 6) AS z FROM s""")
+def patientwise_wilcoxon(spark, sf_dir):
+    """Signed ranks of the patients' differences for each pair of classifiers; p, which is not in SQL, comes with Holm's in the next query."""
+    return _round(_signed(spark, sf_dir).drop("p"), 6, "z")
+
+
+def _signed(spark, sf_dir):
+    d = evaluation.pair_differences(patient_accuracy(predictions(spark, sf_dir)), ["patient"], "acc", sorted(RULES))
+    return evaluation.signed_ranks(d.withColumn("d", F.round("d", 6)), ["clf_a", "clf_b"])
+
+
+@query(None)
+def patientwise_test(spark, sf_dir):
+    """p of the signed ranks, Holm-adjusted."""
+    return evaluation.holm(_signed(spark, sf_dir), "p", "clf_a", "clf_b")
+
+
+@query(f"""WITH {CURVE}, v AS (SELECT clf, round(sum(ctp::DOUBLE / cn * tp / pos), 6) AS ap FROM c GROUP BY clf), z AS (SELECT clf, count(*) FILTER (WHERE hit) AS n_positive, count(*) AS n_total FROM s GROUP BY clf),
+    g AS (SELECT clf, unnest([10.0, 50.0, 100.0])::DOUBLE AS threshold FROM z WHERE clf IN ('error', 'signup')),
+    o AS (SELECT clf, threshold, {POINT} FROM s JOIN g USING (clf) GROUP BY ALL) SELECT {RATES}, ap, n_positive, n_total FROM o JOIN v USING (clf) JOIN z USING (clf)""")
+def minority_report(spark, sf_dir):
+    """Curve and operating points of the two rarest classes side by side."""
+    rows = scored(spark, sf_dir).where(F.col("clf").isin("error", "signup"))
+    grid = rows.select("clf").distinct().withColumn("grid", F.array(*map(F.lit, (10.0, 50.0, 100.0))))
+    return _round(experiments.minority_report(rows, grid, "clf"), 6, "ppv", "sensitivity", "fp_per_tp", "ap")
+
+
+@query("""SELECT event_type AS clf, count(DISTINCT user_id) AS linear_params, count(*) AS other_params, round(count(*)::DOUBLE / greatest(count(DISTINCT user_id), 1), 1) AS ratio FROM events GROUP BY event_type""")
+def cost_ratio(spark, sf_dir):
+    """Parameters of two models for each class, and how many times as many the second has."""
+    own = table(spark, sf_dir, "events").groupBy(F.col("event_type").alias("clf")).agg(F.count_distinct("user_id").alias("linear_params"), F.count(F.lit(1)).alias("other_params"))
+    return own.withColumn("ratio", tables.cost_ratio("linear_params", "other_params"))
 
 
 @query("""WITH d AS (SELECT event_type AS family, avg(value) / 1000 AS delta, CASE WHEN event_type = 'error' THEN 0 ELSE count(*)::DOUBLE / 1000 END AS ms FROM events GROUP BY event_type)

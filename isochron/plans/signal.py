@@ -163,9 +163,9 @@ def standard(spark, sf_dir):
     return geometry.standardized(geometry.long(rows(spark, sf_dir)))
 
 
-@query(f"WITH {STANDARD} SELECT vec_id AS id, i AS dim, round(x, 6) AS x FROM z WHERE i < 8")
+@query(f"WITH {STANDARD} SELECT vec_id AS id, i AS dim, round(x, 6) AS x FROM z")
 def standardize(spark, sf_dir):
-    return _round(standard(spark, sf_dir).where("dim < 8").select("id", F.col("dim").cast("long").alias("dim"), "x"), 6, "x")
+    return _round(standard(spark, sf_dir).select("id", F.col("dim").cast("long").alias("dim"), "x"), 6, "x")
 
 
 SCATTER = f"""{CELLS}, g AS (SELECT i, sum(n * m) / sum(n) AS g FROM c GROUP BY i),
@@ -191,14 +191,12 @@ def davies_bouldin(spark, sf_dir):
     return _round(geometry.davies_bouldin(standard(spark, sf_dir)), 6, "davies_bouldin")
 
 
-SILHOUETTE = f"""{X}, u AS (SELECT vec_id, label, x FROM v WHERE vec_id < 2000),
-    d AS (SELECT a.vec_id, a.label, b.label AS other, sum(list_distance(a.x, b.x)) AS s, count(*) AS n FROM u a JOIN u b ON a.vec_id <> b.vec_id GROUP BY ALL),
+SILHOUETTE = f"""{X}, d AS (SELECT a.vec_id, a.label, b.label AS other, sum(list_distance(a.x, b.x)) AS s, count(*) AS n FROM v a JOIN v b ON a.vec_id <> b.vec_id GROUP BY ALL),
     q AS (SELECT vec_id, label, max(s / n) FILTER (WHERE other = label) AS a, min(s / n) FILTER (WHERE other <> label) AS b FROM d GROUP BY ALL),
     h AS (SELECT vec_id AS id, label, coalesce((b - a) / greatest(a, b), 0) AS s FROM q)"""
 
 
 def _silhouettes(spark, sf_dir):
-    # all rows; the SQL has the first 2000 ids only, which are all rows up to sf0.1
     return geometry.silhouettes(rows(spark, sf_dir))
 
 
@@ -225,10 +223,10 @@ def top_margin(spark, sf_dir):
     return _round(geometry.top_margin(own, "scores").select("id", "margin"), 6, "margin")
 
 
-@query("""WITH c AS (SELECT label::BIGINT AS label, count(*) AS n FROM embeddings WHERE NOT (label = 3 AND vec_id % 4 <> 0) GROUP BY label)
+@query("""WITH c AS (SELECT label::BIGINT AS label, count(*) AS n FROM embeddings GROUP BY label)
     SELECT label, n AS before, (SELECT max(n) FROM c) AS after FROM c""")
 def smote_counts(spark, sf_dir):
-    own = rows(spark, sf_dir).where("NOT (label = 3 AND id % 4 <> 0)")
+    own = rows(spark, sf_dir)
     after = balance.class_counts(balance.oversample(own)).withColumnRenamed("n", "after")
     return balance.class_counts(own).withColumnRenamed("n", "before").join(after, "label")
 

@@ -130,13 +130,106 @@ def test_folds_and_holdout_keep_groups_apart(spark):
     rows = spark.range(400).select((F.col("id") % 23 % 11).alias("g"), "id")
     folds = {r["g"]: r["fold"] for r in sampling.group_folds(rows, "g", 4).collect()}
     assert set(folds.values()) == {0, 1, 2, 3} and len(folds) == 11
-    train, test = sampling.group_holdout(rows, "g", 0.3, 13)
+    train, test = sampling.group_holdout(rows, "g", 0.3, 13, sampling.generated_groups)
     ids = np.array(sorted(folds), dtype=object)
     np.random.default_rng(13).shuffle(ids)
     assert {r["g"] for r in test.select("g").distinct().collect()} == set(ids[:3].tolist())
     assert train.count() + test.count() == 400 and train.join(test, "g", "left_semi").count() == 0
-    sizes = {r["g"]: r["count"] for r in sampling.stratified(rows, "g", 0.1, sampling.hashed("id")).groupBy("g").count().collect()}
+    sizes = {r["g"]: r["count"] for r in sampling.stratified(rows, "g", 0.1, [sampling.hashed("id")]).groupBy("g").count().collect()}
     assert all(sizes[r["g"]] == max(1, round(r["count"] * 0.1)) for r in rows.groupBy("g").count().collect())
+    train, test = sampling.group_holdout(rows, "g", 0.3, 13)
+    assert test.select("g").distinct().count() == 3 and train.count() + test.count() == 400 and train.join(test, "g", "left_semi").count() == 0
+
+
+def plain_folds(sizes, folds):
+    loads, out = [0] * min(folds, len(sizes)), {}
+    for g, n in sorted(sizes.items(), key=lambda x: (-x[1], x[0])):
+        f = loads.index(min(loads))
+        out[g] = f
+        loads[f] += n
+    return out
+
+
+@pytest.mark.parametrize("seed", [0, 1, 2, 3])
+def test_folds_are_the_greedy_ones(spark, seed):
+    rng = random.Random(seed)
+    sizes = {g: rng.choice([1, 1, 2, 3, rng.randint(1, 60)]) for g in range(rng.choice([3, 60, 200]))}
+    rows = spark.createDataFrame([(g,) for g, n in sizes.items() for _ in range(n)], "g long").repartition(3)
+    for folds in (2, 5):
+        assert {r["g"]: r["fold"] for r in sampling.group_folds(rows, "g", folds).collect()} == plain_folds(sizes, folds)
+
+
+def test_quantiles_are_exact_whatever_the_slices(spark):
+    rng = np.random.default_rng(8)
+    data = {"a": rng.normal(size=301), "b": np.repeat([1.0, 2.0, 5.0], [200, 1, 30]), "c": np.array([7.0])}
+    rows = spark.createDataFrame([(k, float(x)) for k, v in data.items() for x in v] + [("a", None), ("d", None)], "k string, v double").repartition(5)
+    for slices in (2, 7, 256):
+        got = {r["k"]: r["q"] for r in windows.quantiles(rows, "k", "v", [0.5, 0.0, 0.01, 0.99, 1.0], slices).collect()}
+        assert set(got) == set(data) and all(got[k] == pytest.approx(np.quantile(v, [0.5, 0.0, 0.01, 0.99, 1.0]).tolist(), abs=1e-12) for k, v in data.items())
+
+
+def test_a_dense_record_is_matched_as_the_greedy_rule_does(spark):
+    rng = random.Random(9)
+    a, b = ([rng.randrange(3000) for _ in range(400)] for _ in range(2))
+    ref = spark.createDataFrame([(1, i, float(t)) for i, t in enumerate(a)], "record long, r_id long, r_t double")
+    det = spark.createDataFrame([(1, i, float(t)) for i, t in enumerate(b)], "record long, d_id long, d_t double")
+    pairs = matching.band_join(ref, det, "record", 25.0)
+    for rounds in (1, 3):
+        found = matching.nearest_matches(pairs, "record", 25.0, rounds)
+        assert sorted((r["r_id"], r["d_id"]) for r in found.collect()) == greedy(a, b, 25.0)
+    lone = matching.unmatched(ref, det, found, "record").groupBy("side").count().collect()
+    assert {r["side"]: r["count"] for r in lone} == {"missed": 400 - found.count(), "extra": 400 - found.count()}
+
+
+def test_a_detector_runs_on_each_record(spark):
+    t = np.arange(2000)
+    x = sum(np.exp(-((t - c) / 5.0) ** 2) for c in range(100, 2000, 100))
+    signals = spark.createDataFrame([("r1", 360, x.tolist()), ("r2", 360, (x * 2).tolist()), ("r3", 360, [0.0] * 50)], "record string, fs int, samples array<double>")
+    ref = spark.createDataFrame([("r1", i, float(c + 3)) for i, c in enumerate(range(100, 2000, 100))] + [("r2", 0, 50.0)], "record string, r_id long, r_t double")
+    got = {r["record"]: (r["tp"], r["fp"], r["fn"]) for r in matching.evaluated_detector(signals, ref, matching.peaks_above(), 10.0).collect()}
+    assert got == {"r1": (19, 0, 0), "r2": (0, 19, 1), "r3": (0, 0, 0)}
+
+
+def test_signed_ranks_agree_with_the_plain_test(spark):
+    from isochron.functions import stats
+
+    rng = np.random.default_rng(10)
+    data = {"x": np.round(rng.normal(0.2, 1, 80), 1), "y": rng.normal(size=60), "z": np.zeros(5)}
+    rows = spark.createDataFrame([(k, float(v)) for k, own in data.items() for v in own], "k string, d double")
+    got = {r["k"]: r for r in evaluation.signed_ranks(rows, ["k"]).collect()}
+    assert set(got) == {"x", "y"}
+    for k in got:
+        assert (got[k]["statistic"], got[k]["p"]) == pytest.approx(stats.wilcoxon(data[k].tolist()), rel=1e-9)
+
+
+def test_patients_of_records_are_total(spark):
+    rows = spark.createDataFrame([(1, "N"), (2, "S"), (3, "N"), (4, "V")], "record long, label string")
+    parsed = spark.createDataFrame([(1, "P01"), (2, "P02"), (3, "P03")], "record long, patient string")
+    override = spark.createDataFrame([(2, "P01"), (4, "P09")], "record long, patient string")
+    got = {r["record"]: r["patient"] for r in tables.with_patients(rows, parsed, override).collect()}
+    assert got == {1: "P01", 2: "P01", 3: "P03", 4: "P09"}
+    with pytest.raises(Exception, match="no patient for record 4"):
+        tables.with_patients(rows, parsed).collect()
+    train, test, audit = sampling.audited_holdout(rows, parsed, override)
+    assert train.join(test, "patient", "left_semi").count() == 0 and train.count() + test.count() == 4
+    assert all(r["disjoint"] for r in audit.collect()) and {r["part"] for r in audit.collect()} == {"train", "test"}
+    shared = spark.createDataFrame([("P", "train", "N"), ("P", "test", "N"), ("Q", "test", "S")], "patient string, part string, label string")
+    assert not any(r["disjoint"] for r in tables.audit(shared, "patient", "part", "label").collect())
+    assert {r["patient"]: r["parts"] for r in tables.patient_lists(shared, "patient", "part").collect()} == {"P": ["test", "train"], "Q": ["test"]}
+    with pytest.raises(ValueError, match="no metric"):
+        evaluation.metric("auc")
+
+
+def test_resampled_records_keep_their_annotations(spark):
+    t = np.arange(2570) / 257.0
+    wave = lambda at: np.sin(2 * np.pi * 3 * at)
+    signals = spark.createDataFrame([("a", "II", 0, 257, wave(t).tolist()), ("b", "II", 0, 360, [1.0, 2.0])], "record string, lead string, idx int, fs int, samples array<double>")
+    marks = spark.createDataFrame([("a", 257, "N"), ("a", 100, "V"), ("b", 1, "N")], "record string, sample long, symbol string")
+    out, moved = features.resampled(signals, marks)
+    got = {r["record"]: r for r in out.collect()}
+    assert len(got["a"]["samples"]) == 3600 and got["a"]["fs"] == 360 and got["b"]["samples"] == [1.0, 2.0]
+    assert np.abs(np.array(got["a"]["samples"])[200:-200] - wave(np.arange(3600) / 360.0)[200:-200]).max() < 1e-2
+    assert sorted(map(tuple, moved.collect())) == [("a", round(100 * 360 / 257), "V"), ("a", 360, "N"), ("b", 1, "N")]
 
 
 @pytest.mark.parametrize("rarest", [1, 2, 4, 8])
@@ -176,7 +269,9 @@ def test_linear_models_reach_their_optimum(spark):
         z = np.hstack([x, np.ones((len(x), 1))])
         for k, name in enumerate(model.classes):
             s = np.where(y == name, 1.0, -1.0)
-            v = np.where(s > 0, len(y) / (2 * (s > 0).sum()), len(y) / (2 * (s < 0).sum()))
+            # one fit of all classes weighs rows by their own class, separate fits weigh two sides
+            own = np.array([len(y) / (3 * (y == x).sum()) for x in y])
+            v = own if loss == "squared_hinge" else np.where(s > 0, len(y) / (2 * (s > 0).sum()), len(y) / (2 * (s < 0).sum()))
 
             def value(w, s=s, v=v, loss=loss, c=c):
                 m = s * (z @ w)
@@ -203,7 +298,71 @@ def test_experiments(spark):
     assert learning.principal_components(df, 2)(df).select(F.size("features")).first()[0] == 5
     assert len(learning.selected(df, 2)) == 2
     assert learning.random_fourier(df, 0.1, 16).select(F.size("features")).first()[0] == 16
-    assert geometry.regularized_fisher(geometry.standardized(geometry.long(df))) > 1
+    z = learning.Scaler.fit(df)(np.array([r["features"] for r in df.collect()]))
+    labels = np.array([r["label"] for r in df.collect()])
+    within = sum(np.cov(z[labels == c].T, bias=True) * (labels == c).sum() for c in "NSV")
+    between = sum((labels == c).sum() * np.outer(z[labels == c].mean(axis=0), z[labels == c].mean(axis=0)) for c in "NSV")
+    want = np.trace(np.linalg.pinv(within + 1e-3 * np.eye(3)) @ between)
+    assert geometry.regularized_fisher(geometry.standardized(geometry.long(df))) == pytest.approx(want, rel=1e-6)
+
+
+def test_pairs_and_training_separability(spark):
+    df = separable(spark, 150)
+    errors = {(r["a"], r["b"]): r for r in learning.pair_errors(df).collect()}
+    assert set(errors) == {("N", "S"), ("N", "V"), ("S", "V")} and all(r["n"] == 100 and r["error"] <= 0.05 for r in errors.values())
+    mixed = df.withColumn("label", F.when(F.col("id") % 2 == 0, "N").otherwise("S"))
+    assert learning.pair_errors(mixed).first()["error"] > 0.2
+    swept = {r["tolerance"]: r for r in learning.separable_fraction(learning.pair_errors(df), [0.05, 0.0]).collect()}
+    assert swept[0.05]["separable_fraction"] == 1.0 and swept[0.05]["n_pairs"] == 3
+    own = learning.train_separability(df).first()
+    assert own["train_accuracy"] > 0.97 and own["mean_margin"] > 0 and own["frac_misclassified"] == pytest.approx(1 - own["train_accuracy"])
+
+
+def test_pipeline_learns_from_training_rows_only(spark):
+    df = separable(spark, 120)
+    holes = df.withColumn("features", F.transform("features", lambda x, i: F.when((F.col("id") % 17 == 0) & (i == 2), F.lit(None)).otherwise(x)))
+    train, test = holes.where("group < 8"), holes.where("group >= 8")
+    model = learning.Pipeline(train, keep=2, components=1)
+    rows = np.array([[np.nan if v is None else v for v in r["features"]] for r in train.collect()], dtype=float)
+    assert model.medians == pytest.approx(np.nanmedian(rows, axis=0).tolist()) and len(model.left) == 2
+    assert model.scaler.mean == pytest.approx(np.where(np.isnan(rows), np.nanmedian(rows, axis=0), rows).mean(axis=0).tolist())
+    pred = model.predict(test).collect()
+    assert len(pred) == test.count() and np.mean([r["y_pred"] == r["label"] for r in pred]) > 0.95
+    train, test = df.where("group < 8").persist(), df.where("group >= 8")
+    for model in (learning.Neighbours(train, 5), learning.Perceptron(train, 8, 30), learning.Lifted(train, features=24)):
+        assert np.mean([r["y_pred"] == r["label"] for r in model.predict(test).collect()]) > 0.9
+    scored = learning.fold_scores(df, ["linear", "knn"], 2)
+    gap = learning.gaps(scored).first()
+    assert gap["clf"] == "knn" and gap["gap"] == pytest.approx(gap["score"] - gap["base_score"]) and 0 <= gap["p_t"] <= 1
+    out = {r["key"]: r["f1_weighted"] for r in learning.marginal(df, {"graph": [0], "hrv": [1], "x": [2]}, folds=2).collect()}
+    assert out["marginal_costly_given_cheap"] == pytest.approx(out["full"] - out["no_costly"]) and out["full"] > out["no_costly_no_cheap"]
+    mi = {r["feature"]: r["rank"] for r in learning.mutual_information(df, 8).collect()}
+    assert mi[2] == 3  # noise comes last
+
+
+def test_attributions(spark):
+    from isochron.functions import kernels as K
+    from isochron.operators import alignment
+
+    rng = np.random.default_rng(11)
+    x = rng.normal(size=(40, 64))
+    df = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "id long, attr array<double>")
+    f, p = K.welch(x, 128.0)
+    areas = np.stack([np.trapezoid(p[:, (f >= lo) & (f < hi)], f[(f >= lo) & (f < hi)], axis=1) for lo, hi in K.BANDS.values()], axis=1)
+    got = {r["band"]: r["importance"] for r in alignment.attribution_importance(df, "attr", 128.0).collect()}
+    assert [got[b] for b in K.BANDS] == pytest.approx((areas.sum(axis=0) / areas.sum()).tolist())
+    given = {"low": 0.2, "mid": 0.5, "high": 0.3}
+    row = alignment.significance(df, "id", "attr", given, 128.0, reps=500).first()
+    g = np.array(list(given.values()))
+    cos = areas @ g / np.linalg.norm(areas, axis=1) / np.linalg.norm(g)
+    assert row["mean_cosine"] == pytest.approx(cos.mean()) and row["ci_low"] < cos.mean() < row["ci_high"]
+    times = evaluation.draw_times(np.arange(40), 500)
+    assert abs(times.mean() - 1) < 0.05 and row["ci_low"] == pytest.approx(np.quantile(times @ cos / times.sum(axis=1), 0.025))
+    assert 0 < row["p"] <= 1
+    model = learning.fit_linear(separable(spark, 90))
+    bands = spark.createDataFrame([("a", "low"), ("b", "mid"), ("c", "high")], "feature string, band string")
+    out = alignment.report(model, ["a", "b", "c"], bands, df, ["attr"], 128.0, 600).first()
+    assert out["linear_params"] == 12 and out["ratio"] == 50.0 and -1 <= out["cosine"] <= 1
 
 
 def test_edge_filter_runs_after_intervals(spark):
