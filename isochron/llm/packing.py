@@ -187,9 +187,9 @@ def fewest(histogram: dict[int, int], tokens: int = 2048, **how) -> tuple[list[t
     """The plan of tightest capacities that needs no more bins than tokens alone would; with these capacities.
 
     Sequences should be alike in documents and attention cost, not in tokens only, but never
-    at the price of more sequences.  So both capacities start near their means, four times
-    the documents and twice the cost of an average bin (a longest item must fit), and double
-    until the count of bins is that of the plan without them.  Where items fill whole bins
+    at the price of more sequences.  So both capacities start near their means, sixteen times
+    the documents and twice the cost of an average bin (a longest item must fit), and grow
+    fourfold until the count of bins is that of the plan without them.  Where items fill whole bins
     the cost starts at tokens * tokens, which it cannot exceed.
     """
     rows, free = plan(histogram, tokens, tokens, tokens * tokens, **how)
@@ -197,13 +197,13 @@ def fewest(histogram: dict[int, int], tokens: int = 2048, **how) -> tuple[list[t
     if not free:
         return rows, free, caps
     mean = sum(n * n * k for n, k in histogram.items()) / free
-    docs, cost = 4 * -(-sum(histogram.values()) // free), max(max(histogram) ** 2, 2 * int(mean))
+    docs, cost = 16 * -(-sum(histogram.values()) // free), max(max(histogram) ** 2, 2 * int(mean))
     while docs < tokens or cost < tokens * tokens:
         caps = {"docs": min(docs, tokens), "cost": min(cost, tokens * tokens)}
         tight, bins = plan(histogram, tokens, **caps, **how)
         if bins <= free:
             return tight, bins, caps
-        docs, cost = 2 * docs, 2 * cost
+        docs, cost = 4 * docs, 4 * cost
     return rows, free, {"docs": tokens, "cost": tokens * tokens}
 
 
