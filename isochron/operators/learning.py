@@ -21,8 +21,12 @@ from . import balance, evaluation, geometry, sampling
 from .windows import quantiles
 
 
+#: Cells of a sum that travel as one array.
+CELLS = 8192
+
+
 def _sum_cells(rows: DataFrame, partial: Callable[[np.ndarray, np.ndarray], np.ndarray], columns: list[str], label: str = "label") -> np.ndarray:
-    """Sum over all rows of an array that each batch yields; added up per task, then by Spark cell by cell."""
+    """Sum over all rows of an array that each batch yields; added up per task, then by Spark chunk by chunk."""
 
     def run(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held = None
@@ -32,10 +36,16 @@ def _sum_cells(rows: DataFrame, partial: Callable[[np.ndarray, np.ndarray], np.n
                 cells = partial(x, np.array(part[label].to_pylist(), dtype=object)).ravel()
                 held = cells if held is None else held + cells
         if held is not None:
-            yield pa.RecordBatch.from_arrays([pa.array(np.arange(len(held))), pa.array(held)], ["cell", "x"])
+            chunks = [held[lo : lo + CELLS] for lo in range(0, len(held), CELLS)]
+            yield pa.RecordBatch.from_arrays([pa.array(range(len(chunks)), pa.int64()), pa.array(chunks, pa.list_(pa.float64()))], ["chunk", "x"])
 
-    found = rows.select(*columns).mapInArrow(run, "cell long, x double").groupBy("cell").agg(F.sum("x").alias("x")).toPandas()
-    return found.sort_values("cell")["x"].to_numpy()
+    def add(part: pa.Table) -> pa.Table:
+        total = np.array(part["x"].to_pylist()).sum(axis=0)
+        return pa.table({"chunk": part["chunk"].slice(0, 1), "x": pa.array([total], pa.list_(pa.float64()))})
+
+    made = rows.select(*columns).mapInArrow(run, "chunk long, x array<double>")
+    found = made.groupBy("chunk").applyInArrow(add, "chunk long, x array<double>").collect()
+    return np.concatenate([r["x"] for r in sorted(found, key=lambda r: r["chunk"])]) if found else np.empty(0)
 
 
 @dataclass
@@ -109,48 +119,64 @@ def solve(rows: DataFrame, scaler: Scaler, problems: list[Problem], loss: str =
     penal, whole = np.ones(d), None
     if loss == "logistic":
         penal[-1] = 0.0
+    sizes = 0.5 ** np.arange(12)
+
+    def sides(x: np.ndarray, labels: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+        z = np.hstack([scaler(x), np.ones((len(x), 1))])
+        for p in problems:
+            positive = np.isin(labels, p.positive)
+            own = positive | np.isin(labels, p.negative)
+            yield z[own], np.where(positive[own], 1.0, -1.0), np.array([p.weight[x] for x in labels[own].tolist()], dtype=np.float64)
+
+    def losses(m: np.ndarray) -> np.ndarray:
+        return np.logaddexp(0, -m) if loss == "logistic" else np.maximum(1 - m, 0) ** 2
+
+    def slopes(w: np.ndarray) -> tuple[np.ndarray, ...]:
+        """Value, gradient and Hessian of every problem's losses, in one pass."""
 
-    def pass_(w: np.ndarray, more: bool) -> tuple[np.ndarray, ...]:
         def partial(x: np.ndarray, labels: np.ndarray) -> np.ndarray:
-            z_all = np.hstack([scaler(x), np.ones((len(x), 1))])
             cells = []
-            for i, p in enumerate(problems):
-                positive = np.isin(labels, p.positive)
-                own = positive | np.isin(labels, p.negative)
-                z, y = z_all[own], np.where(positive[own], 1.0, -1.0)
-                v = np.array([p.weight[x] for x in labels[own].tolist()], dtype=np.float64)
+            for i, (z, y, v) in enumerate(sides(x, labels)):
                 m = y * (z @ w[i])
                 if loss == "logistic":
                     q = 1 / (1 + np.exp(np.clip(m, -500, 500)))
-                    value, slope, curve = v * np.logaddexp(0, -m), -v * y * q, v * q * (1 - q)
+                    slope, curve = -v * y * q, v * q * (1 - q)
                 else:
                     gap = np.maximum(1 - m, 0)
-                    value, slope, curve = v * gap**2, -2 * v * y * gap, 2 * v * (gap > 0)
-                cells.append([value.sum()])
-                if more:
-                    cells += [z.T @ slope, (z.T @ (z * curve[:, None])).ravel()]
+                    slope, curve = -2 * v * y * gap, 2 * v * (gap > 0)
+                cells += [[(v * losses(m)).sum()], z.T @ slope, (z.T @ (z * curve[:, None])).ravel()]
             return np.concatenate(cells)
 
         s = _sum_cells(rows, partial, ["features", "label"]).reshape(k, -1)
-        return s[:, 0], s[:, 1 : d + 1], s[:, d + 1 :].reshape(k, d, d) if more else None
+        return s[:, 0], s[:, 1 : d + 1], s[:, d + 1 :].reshape(k, d, d)
+
+    def values(w: np.ndarray, step: np.ndarray) -> np.ndarray:
+        """Every problem's losses after each size of step, in one pass."""
+
+        def partial(x: np.ndarray, labels: np.ndarray) -> np.ndarray:
+            cells = []
+            for i, (z, y, v) in enumerate(sides(x, labels)):
+                m, back = y * (z @ w[i]), y * (z @ step[i])
+                cells.append([(v * losses(m - t * back)).sum() for t in sizes])
+            return np.concatenate(cells)
+
+        return _sum_cells(rows, partial, ["features", "label"]).reshape(k, -1)
 
     for _ in range(rounds):
-        value, grad, hess = pass_(w, True)
+        value, grad, hess = slopes(w)
         full = w * penal + c * grad
         step = np.stack([np.linalg.lstsq(np.diag(penal) + c * h, g, rcond=None)[0] for h, g in zip(hess, full, strict=True)])
         now = 0.5 * (penal * w**2).sum(axis=1) + c * value
         whole = now.max() if whole is None else whole  # at w = 0: about c times the sum of weights
         if np.abs(full).max() <= tol * max(1.0, whole) or ((full * step).sum(axis=1) <= 1e-9 * np.maximum(1.0, now)).all():
             break
-        size = np.ones(k)
-        for _ in range(12):
-            trial = w - size[:, None] * step
-            after = 0.5 * (penal * trial**2).sum(axis=1) + c * pass_(trial, False)[0]
-            bad = after > now + 1e-12 * np.abs(now)
-            if not bad.any():
-                break
-            size[bad] /= 2
-        w = w - np.where(bad, 0.0, size)[:, None] * step
+        trial = w[:, None, :] - sizes[None, :, None] * step[:, None, :]
+        after = 0.5 * (penal * trial**2).sum(axis=2) + c * values(w, step)
+        good = after <= (now + 1e-12 * np.abs(now))[:, None]
+        # the largest step that does not raise the value, or none
+        w = np.where(good.any(axis=1)[:, None], trial[np.arange(k), good.argmax(axis=1)], w)
+        if not good.any():
+            break
     return w
 
 
@@ -181,7 +207,7 @@ def fit_linear(rows: DataFrame, loss: str = "squared_hinge", c: float = 0.1, bal
     return Linear(classes, scaler, solve(rows, scaler, problems, loss, c, rounds, tol))
 
 
-def pair_errors(rows: DataFrame, c: float = 1e4, rounds: int = 60) -> DataFrame:
+def pair_errors(rows: DataFrame, c: float = 1e4, rounds: int = 30) -> DataFrame:
     """(a, b, n, error): training error of a nearly hard-margin linear classifier for each pair of classes.
 
     Rows are scaled over all classes once.  All pairs are solved in the same passes over the
@@ -211,7 +237,7 @@ def separable_fraction(errors: DataFrame, tolerances: list[float]) -> DataFrame:
     return swept.groupBy("tolerance").agg(own.alias("n_separable"), F.count(F.lit(1)).alias("n_pairs"), (own / F.count(F.lit(1))).alias("separable_fraction"))
 
 
-def train_separability(rows: DataFrame, c: float = 1e4, rounds: int = 60) -> DataFrame:
+def train_separability(rows: DataFrame, c: float = 1e4, rounds: int = 30) -> DataFrame:
     """One row: accuracy on the training rows themselves, mean and median margin of the best over the second score."""
     scored = fit_linear(rows, "squared_hinge", c, balanced=False, rounds=rounds).predict(rows)
     own = geometry.top_margin(scored, "scores").withColumn("_all", F.lit(0))
@@ -317,6 +343,9 @@ class Lifted:
 
 FACTORIES["linear"] = lambda rows: fit_linear(rows, "squared_hinge", 1.0, balanced=False)
 FACTORIES["rbf"] = Lifted
+FACTORIES["rbf0.01"] = lambda rows: Lifted(rows, 0.01)
+FACTORIES["rbf0.1"] = lambda rows: Lifted(rows, 0.1)
+FACTORIES["rbf1"] = lambda rows: Lifted(rows, 1.0)
 
 
 class Pipeline:

@@ -6,8 +6,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.arrays import doubles
-from ..operators import alignment, balance, features, geometry, learning, windows
-from ..session import table
+from ..operators import alignment, balance, evaluation, experiments, features, geometry, learning, windows
+from ..session import materialize, table
 from .registry import query
 
 FS = 128.0
@@ -276,3 +276,186 @@ def linear_holdout(spark, sf_dir):
 @query(None)
 def cross_validation(spark, sf_dir):
     return learning.cross_validate(rows(spark, sf_dir), "svc", folds=3)
+
+
+@query(f"""WITH {COEF}, m AS (SELECT i, CASE WHEN i % 4 < 3 THEN ['time', 'freq', 'morph'][i % 4 + 1] END AS family, CASE WHEN i % 2 = 0 THEN ['low', 'mid', 'high'][i % 3 + 1] END AS band FROM (SELECT DISTINCT i FROM k))
+    SELECT label::BIGINT AS class, i AS feature, round(value, 6) AS value, family, band FROM k JOIN m USING (i)""")
+def coefficient_meta(spark, sf_dir):
+    """Coefficients with their feature's family and band, null where it has none."""
+    coef = geometry.long(rows(spark, sf_dir)).groupBy(F.col("label").alias("class"), F.col("dim").cast("long").alias("feature")).agg(F.avg("x").alias("value"))
+    pick = lambda names, n: F.get(F.array(*map(F.lit, names)), (F.col("feature") % n).cast("int"))
+    meta = coef.select("feature").distinct().select("feature", F.when(F.col("feature") % 4 < 3, pick(("time", "freq", "morph"), 4)).alias("family"),
+                                                    F.when(F.col("feature") % 2 == 0, pick(("low", "mid", "high"), 3)).alias("band"))
+    return _round(alignment.with_meta(coef, meta), 6, "value")
+
+
+ATTR = f"""{WELCH}, ar AS (SELECT vec_id, {_area(0.5, 5)} AS low, {_area(5, 15)} AS mid, {_area(15, 40)} AS high FROM g GROUP BY vec_id)"""
+
+
+@query(f"""WITH {ATTR}, t AS (SELECT sum(low) AS low, sum(mid) AS mid, sum(high) AS high FROM ar), u AS (SELECT unnest(['low', 'mid', 'high']) AS band, unnest([low, mid, high]) AS w FROM t)
+    SELECT band, round(w / sum(w) OVER (), 6) AS importance FROM u""")
+def attribution_importance(spark, sf_dir):
+    """Vectors as attributions: each band's share of their power."""
+    return _round(alignment.attribution_importance(vectors(spark, sf_dir), "x", FS), 6, "importance")
+
+
+GIVEN = {"low": 0.1, "mid": 0.3, "high": 0.6}
+
+
+@query(f"""WITH {ATTR}, c AS (SELECT vec_id, (0.1::DOUBLE * low + 0.3::DOUBLE * mid + 0.6::DOUBLE * high) / (sqrt(low * low + mid * mid + high * high) * sqrt(0.46::DOUBLE) + 1e-12) AS c FROM ar),
+    x0 AS (SELECT vec_id AS p, rep, c, (vec_id * 48271 + rep * 69621 + 11) % 2147483647 AS x FROM c CROSS JOIN (SELECT unnest(range(2000)) AS rep)),
+    x1 AS (SELECT p, rep, c, (x * x % 2147483647 + rep * 7 + p) % 2147483647 AS x FROM x0), x2 AS (SELECT p, rep, c, (x * x % 2147483647 + rep * 7 + p) % 2147483647 AS x FROM x1),
+    dr AS (SELECT rep, c, len(list_filter({[float(x) for x in evaluation.POISSON]}::DOUBLE[], lambda v: v <= x::DOUBLE / 2147483647.0::DOUBLE)) AS t FROM x2),
+    b AS (SELECT rep, sum(t * c) / sum(t) AS m FROM dr GROUP BY rep),
+    sm AS (SELECT avg(low / (low + mid + high)) AS l, avg(mid / (low + mid + high)) AS m, avg(high / (low + mid + high)) AS h FROM ar),
+    q AS (SELECT i, (z[1] * l + z[2] * m + z[3] * h) / (sqrt(0.46::DOUBLE) * sqrt(l * l + m * m + h * h) + 1e-12) AS c FROM sm CROSS JOIN
+          (SELECT unnest(range(6)) AS i, unnest([[0.1, 0.3, 0.6], [0.1, 0.6, 0.3], [0.3, 0.1, 0.6], [0.3, 0.6, 0.1], [0.6, 0.1, 0.3], [0.6, 0.3, 0.1]]::DOUBLE[][]) AS z)),
+    n AS (SELECT q.c, (SELECT c FROM q WHERE i = 0) AS o FROM (SELECT unnest(range(2000)) AS rep) JOIN q ON q.i = rep * 48271 % 2147483647 % 6)
+    SELECT round((SELECT avg(c) FROM c), 6) AS mean_cosine, round(quantile_cont(m, 0.025), 6) AS ci_low, round(quantile_cont(m, 0.975), 6) AS ci_high,
+           round((SELECT any_value(o) FROM n), 6) AS observed_cosine, (SELECT (count(*) FILTER (WHERE c >= o - 1e-15) + 1) / 2001.0::DOUBLE FROM n) AS p, round((SELECT avg(c) FROM n), 6) AS null_mean FROM b""")
+def alignment_significance(spark, sf_dir):
+    """Bootstrap of the vectors' cosines with a given importance, and its permutation null."""
+    own = table(spark, sf_dir, "embeddings").select("vec_id", doubles("embedding").alias("x"))
+    return _round(alignment.significance(own, "vec_id", "x", GIVEN, FS, 2000), 6, "mean_cosine", "ci_low", "ci_high", "observed_cosine", "null_mean")
+
+
+@query(f"""WITH {LONG}, c AS (SELECT i, unnest([{", ".join(f"quantile_cont(x, {i} / 16.0)" for i in range(1, 16))}]) AS c FROM l GROUP BY i),
+    b AS (SELECT l.vec_id, l.label, l.i, count(*) FILTER (WHERE c.c < l.x) AS bin FROM l JOIN c USING (i) GROUP BY ALL),
+    n AS (SELECT i, bin, label, count(*) AS n FROM b GROUP BY ALL),
+    s AS (SELECT *, sum(n) OVER (PARTITION BY i, bin) AS sb, sum(n) OVER (PARTITION BY i, label) AS sl, sum(n) OVER (PARTITION BY i) AS st FROM n)
+    SELECT i AS feature, round(sum(n / st * ln(n * st / (sb * sl))), 6) AS mi FROM s GROUP BY i""")
+def mutual_information(spark, sf_dir):
+    """Mutual information of each component's bins with the label; as many are kept as there are."""
+    out = learning.mutual_information(rows(spark, sf_dir), 16, keep=1_000_000)
+    return _round(out.select(F.col("feature").cast("long").alias("feature"), "mi"), 6, "mi")
+
+
+def _kept(spark, sf_dir):
+    return materialize(rows(spark, sf_dir), "rows")
+
+
+@query(None)
+def train_separability(spark, sf_dir):
+    """Training accuracy and margins of a nearly hard-margin linear classifier."""
+    return learning.train_separability(_kept(spark, sf_dir))
+
+
+@query(None)
+def pairwise_separable(spark, sf_dir):
+    """Training error of a trained linear classifier for each pair of classes."""
+    return learning.pair_errors(_kept(spark, sf_dir))
+
+
+@query(None)
+def separable_sweep(spark, sf_dir):
+    """Share of class pairs that a trained classifier separates within each tolerance."""
+    return learning.separable_fraction(learning.pair_errors(_kept(spark, sf_dir)), [0.005, 0.01, 0.025, 0.05, 0.10])
+
+
+@query(None)
+def separability_report(spark, sf_dir):
+    return experiments.separability(_kept(spark, sf_dir))
+
+
+@query(None)
+def kernel_gap(spark, sf_dir):
+    """What random Fourier features gain over the plain linear classifier on the same folds, with interval and paired tests."""
+    return learning.gaps(learning.fold_scores(_kept(spark, sf_dir), ["linear", "rbf"], 3))
+
+
+@query(None)
+def nonlinear_headroom(spark, sf_dir):
+    """Gaps of widths of the lifted features, neighbours, a forest and a perceptron over the linear classifier."""
+    return learning.gaps(learning.fold_scores(_kept(spark, sf_dir), ["linear", "rbf", "rbf0.01", "rbf0.1", "rbf1", "knn", "rf200", "mlp"], 2))
+
+
+@query(None)
+def paired_fold_tests(spark, sf_dir):
+    """Differences of classifiers on the same folds: paired t and signed ranks, Holm-adjusted."""
+    return learning.paired_tests(learning.fold_scores(_kept(spark, sf_dir), ["svc", "lr", "dt"], 3))
+
+
+@query(None)
+def fold_pipeline(spark, sf_dir):
+    """Fill, scale, augment, balance and classify, learnt anew from the training rows of each fold."""
+    return learning.cross_validate(_kept(spark, sf_dir), "pipeline", 2)
+
+
+@query("""WITH f AS (SELECT unnest(range(3)) AS fold), c AS (SELECT fold, label::BIGINT AS label, count(*) AS n FROM embeddings JOIN f ON vec_id % 3 <> fold GROUP BY ALL)
+    SELECT fold, s.stage, label, CASE WHEN s.stage = 'before' THEN n ELSE max(n) OVER (PARTITION BY fold, s.stage) END AS n FROM c CROSS JOIN (VALUES ('before'), ('oversampled')) s(stage)""")
+def balance_per_fold(spark, sf_dir):
+    """Class counts of each fold's training rows before and after oversampling; what editing leaves is balance_stages_per_fold."""
+    return _stages_per_fold(spark, sf_dir).where("stage <> 'edited'")
+
+
+@query(None)
+def balance_stages_per_fold(spark, sf_dir):
+    return _stages_per_fold(spark, sf_dir)
+
+
+def _stages_per_fold(spark, sf_dir):
+    own = _kept(spark, sf_dir).withColumn("group", F.col("id") % 3)
+    folds = spark.range(3).select(F.col("id").alias("group"), F.col("id").cast("int").alias("fold"))
+    return balance.stages_per_fold(own, folds, 3).select(F.col("fold").cast("long").alias("fold"), "stage", "label", "n")
+
+
+def _beats(spark, sf_dir):
+    """Vectors as beats of twenty records."""
+    own = table(spark, sf_dir, "embeddings").select("vec_id", (F.col("vec_id") % 20).alias("record"), F.col("label").cast("long").alias("label"), doubles("embedding").alias("segment"))
+    return materialize(windows.intervals(own, "record", ["vec_id"], "vec_id"), "beats")
+
+
+IDS = ("vec_id", "record", "label")
+
+
+@query(None)
+def causal_and_not(spark, sf_dir):
+    """Frames of the past against frames that look ahead, on held-out records."""
+    return experiments.causal_and_not(_beats(spark, sf_dir), "record", ["vec_id"], "segment", FS, IDS, F.col("group") < 6)
+
+
+@query(None)
+def window_sweep(spark, sf_dir):
+    """Scores on held-out records by the width of the frame."""
+    return experiments.window_sweep(_beats(spark, sf_dir), "record", ["vec_id"], "segment", FS, IDS, F.col("group") < 6)
+
+
+@query(None)
+def graph_marginal(spark, sf_dir):
+    """What the graph family adds to rhythm, and rhythm to the rest."""
+    made = features.feature_table(_beats(spark, sf_dir), "record", ["vec_id"], "segment", FS)
+    columns = features.feature_columns(made)
+    families: dict[str, list[int]] = {}
+    for i, c in enumerate(columns):
+        families.setdefault(next(f for p, f in features.PREFIXES.items() if c.startswith(p)), []).append(i)
+    return learning.marginal(materialize(experiments.model_rows(made, *IDS), "rows"), families, folds=3)
+
+
+@query(None)
+def family_ablation(spark, sf_dir):
+    """Folds' weighted F1 with all families, each dropped and each alone."""
+    own = _kept(spark, sf_dir)
+    return learning.ablation(own, {"a": list(range(0, 20)), "b": list(range(20, 40)), "c": list(range(40, 64))}, folds=2)
+
+
+@query(None)
+def leakage_stress(spark, sf_dir):
+    """Scores on held-out groups beside those of a stratified random split."""
+    own = _kept(spark, sf_dir)
+    return learning.leakage_stress(own.where("group >= 6"), own.where("group < 6"))
+
+
+@query(None)
+def family_runtime(spark, sf_dir):
+    """Wall time of each family per beat on this machine."""
+    return experiments.runtime(_beats(spark, sf_dir), "record", ["vec_id"], "segment", FS)
+
+
+@query(None)
+def alignment_report(spark, sf_dir):
+    """A linear model's bands beside those of two columns of attributions."""
+    own = table(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("id"), F.col("label").cast("long").alias("label"), doubles("embedding").alias("features"))
+    names = [str(i) for i in range(own.select(F.size("features")).first()[0])]
+    bands = spark.createDataFrame([(n, ("low", "mid", "high")[int(n) % 3]) for n in names], "feature string, band string")
+    both = own.select("features", F.transform("features", F.abs).alias("magnitudes"))
+    return alignment.report(learning.fit_linear(own), names, bands, both, ["features", "magnitudes"], FS, 9589)
