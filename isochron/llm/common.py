@@ -1,52 +1,17 @@
-"""Shared folders, materialised tables, text keys and vectorised byte hashing."""
+"""Text keys, what workers keep, and vectorised byte hashing; shared folders and tables are the session's."""
 
 from __future__ import annotations
 
-import tempfile
-import uuid
-
 import numpy as np
-from pyspark.sql import Column, DataFrame, SparkSession
+import pyarrow as pa
+from pyspark.sql import Column, SparkSession
 from pyspark.sql import functions as F
 
-U64 = np.uint64
-
-
-def shared_dir(spark: SparkSession) -> str:
-    """The folder that the driver and all executors share.
-
-    It is the session's spark.checkpoint.dir.  Only a session without that
-    setting (tests in local mode) gets a temporary folder of its own.
-    """
-    found = spark.conf.get("spark.checkpoint.dir", None)
-    if found:
-        return found.rstrip("/")
-    if not spark.sparkContext.master.startswith("local"):
-        raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
-    made = "file://" + tempfile.mkdtemp(prefix="spark-")
-    spark.conf.set("spark.checkpoint.dir", made)
-    return made
+from ..session import fresh_path, materialize, remove, shared_dir
 
+__all__ = ["U64", "RollingHash", "batches", "cached", "fresh_path", "materialize", "mix", "powers", "release", "remove", "shared_dir", "small_batches", "text_key"]
 
-def fresh_path(spark: SparkSession, name: str) -> str:
-    return f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
-
-
-def materialize(df: DataFrame, name: str) -> DataFrame:
-    """Write df to the shared folder and read it back: lineage ends there."""
-    spark = df.sparkSession
-    path = fresh_path(spark, name)
-    df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
-
-
-def remove(df: DataFrame) -> None:
-    """Delete the files of a materialised table that no later plan reads."""
-    spark = df.sparkSession
-    jvm, conf = spark._jvm, spark._jsparkSession.sessionState().newHadoopConf()
-    for parent in {f.rsplit("/", 1)[0] for f in df.inputFiles()}:
-        path = jvm.org.apache.hadoop.fs.Path(parent)
-        path.getFileSystem(conf).delete(path, True)
+U64 = np.uint64
 
 
 #: What a worker process keeps from task to task, one kind at a time.
@@ -64,16 +29,18 @@ def cached(kind: str, make):
 def release() -> None:
     """Let go of what tasks of other operators have left in this process."""
     _CACHE.clear()
+    pa.default_memory_pool().release_unused()
 
 
-def small_batches(spark: SparkSession, rows: int = 1000) -> None:
-    """Send texts to Python workers by the thousand: ten times the rows are ten times the memory.
+def small_batches(spark: SparkSession, rows: int = 1000, size: int = 4 << 20) -> None:
+    """Send texts to Python workers by the thousand and by 4 MB at most: what a worker holds must not grow with the length of texts.
 
-    A session whose user has set a number of rows keeps it.
+    A session whose user has set a number of rows or of bytes keeps it.
     """
-    name = "spark.sql.execution.arrow.maxRecordsPerBatch"
-    if spark.conf.get(name) == "10000":
-        spark.conf.set(name, str(rows))
+    for name, default, value in (("maxRecordsPerBatch", "10000", str(rows)), ("maxBytesPerBatch", "67108864b", f"{size}b")):
+        name = f"spark.sql.execution.arrow.{name}"
+        if spark.conf.get(name) == default:
+            spark.conf.set(name, value)
 
 
 def text_key(text: Column) -> list[Column]:

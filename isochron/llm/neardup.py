@@ -164,7 +164,9 @@ def groups(docs: DataFrame, words: int = 5, num: int = 80, den: int = 100, bands
     other = little.select("bucket", F.col("node").alias("b"), F.col("n").alias("nb"), F.col("component").alias("cb"))
     pairs = (little.join(other, "bucket").where((F.col("node") > F.col("b")) & (F.col("component") != F.col("cb")) & fits("n", "nb"))
              .select(F.col("node").alias("a"), "b").distinct().join(tested, ["a", "b"], "left_anti"))
-    more = _verified(materialize(pairs, "pairs"), sets, num, den)
+    # each Python step ends in a table: two in one stage would be two workers a core
+    open_pairs = materialize(pairs, "pairs")
+    more = materialize(_verified(open_pairs, sets, num, den), "more-links")
 
     large = opened.where(F.col("members") > small).join(sets, "node")
     bytes_ = F.coalesce(F.length("shingles"), F.lit(0)).cast("long")
@@ -184,14 +186,16 @@ def groups(docs: DataFrame, words: int = 5, num: int = 80, den: int = 100, bands
                         transform(sequence(0, po - 1), x -> struct(least(x, own) AS i, greatest(x, own) AS j, IF(own <= x, 0, 1) AS side, false AS m))) END"""))
         .select("bucket", "node", "shingles", F.explode("to").alias("to"))
         .select("bucket", "to.i", "to.j", "to.m", "to.side", "node", "shingles"))
-    blocked = dealt.groupBy("bucket", "i", "j", "m").applyInPandas(lambda pdf: _block_links(pdf, num, den), "a long, b long")
+    blocked = materialize(dealt.groupBy("bucket", "i", "j", "m").applyInPandas(lambda pdf: _block_links(pdf, num, den), "a long, b long"), "block-links")
+    for done in (open_pairs, counts, major):
+        remove(done)
 
     stars = found.select(F.col("node").alias("a"), F.col("component").alias("b"))
     final = components(stars.unionByName(more).unionByName(blocked))
     named = materialize(
         classes.select("f1", "f2", "node").join(final, "node", "left")
         .select("f1", "f2", F.coalesce("component", "node").alias("component")), "named")
-    for done in (sets, live, opened, tested, links, buckets, parts):
+    for done in (sets, live, opened, tested, links, buckets, parts, more, blocked, classes):
         remove(done)
     component = F.coalesce(F.col("component"), F.col("node"))
     return (

@@ -11,8 +11,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..operators.windows import ranked
 from .common import cached, materialize, small_batches
-from .ranking import ranked
 
 PIECES = {"doc_id": pa.int64(), "piece": pa.int32(), "start": pa.int64(), "length": pa.int64(), "ids_crc32": pa.int64()}
 SCHEMA = "doc_id long, piece int, start long, length long, ids_crc32 long"

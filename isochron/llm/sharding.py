@@ -5,8 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..operators.windows import ranked
 from .common import materialize
-from .ranking import ranked
 
 
 def _slice(h: Column, buckets: int) -> Column:
