@@ -7,6 +7,7 @@ import time
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..session import materialize
 from . import evaluation, features, geometry, learning
 
 BASE = ("td_", "fd_", "mp_", "wv_")
@@ -15,7 +16,8 @@ BASE = ("td_", "fd_", "mp_", "wv_")
 def model_rows(table: DataFrame, id_: str, group: str, label: str) -> DataFrame:
     """(id, group, label, features) of a feature table."""
     columns = features.feature_columns(table)
-    return table.select(F.col(id_).alias("id"), F.col(group).alias("group"), F.col(label).alias("label"), features.as_vector(columns).alias("features"))
+    rows = table.select(F.col(id_).alias("id"), F.col(group).alias("group"), F.col(label).alias("label"), features.as_vector(columns).alias("features"))
+    return materialize(rows, "model-rows")  # models read it many times
 
 
 def held_out(rows: DataFrame, test: F.Column, name: str) -> DataFrame:
@@ -35,7 +37,7 @@ def causal_and_not(beats: DataFrame, record: str, order: list[str], segment: str
 def window_sweep(beats: DataFrame, record: str, order: list[str], segment: str, fs: float, ids: tuple[str, str, str], test: F.Column,
                  widths: tuple[int, ...] = (8, 16, 32, 64), name: str = "svc") -> DataFrame:
     """(width, acc, f1_weighted, f1_macro) as a function of the frame's width; families without a frame are computed once."""
-    base = features.without_frames(beats, segment, fs).persist()
+    base = materialize(features.without_frames(beats, segment, fs), "base")
     out = None
     for width in widths:
         rows = model_rows(features.with_frames(base, record, order, segment, width=width), *ids)
@@ -66,7 +68,8 @@ def separability(rows: DataFrame, tolerances: tuple[float, ...] = (0.005, 0.01,
     """(measure, value): training separability, scatter ratios, the kernel's gap and the separable fraction of pairs, on rows scaled once."""
     scaler = learning.Scaler.fit(rows)
     mean, scale = (F.array(*map(F.lit, x.tolist())) for x in (scaler.mean, scaler.scale))
-    scaled = rows.withColumn("features", F.zip_with(F.zip_with("features", mean, lambda a, b: a - b), scale, lambda a, b: a / b)).persist()
+    scaled = rows.withColumn("features", F.zip_with(F.zip_with("features", mean, lambda a, b: a - b), scale, lambda a, b: a / b))
+    scaled = materialize(scaled, "scaled")
     own = learning.train_separability(scaled).first().asDict()
     long = geometry.long(scaled)
     own |= {"fisher": geometry.scatter(long).first()["fisher"], "regularized_fisher": geometry.regularized_fisher(long)}
@@ -74,7 +77,6 @@ def separability(rows: DataFrame, tolerances: tuple[float, ...] = (0.005, 0.01,
     own |= {f"kernel_{k}": v for k, v in gap.items() if k not in ("clf", "n")}
     for r in learning.separable_fraction(learning.pair_errors(scaled), list(tolerances)).collect():
         own[f"separable_{r['tolerance']}"] = r["separable_fraction"]
-    scaled.unpersist()
     return rows.sparkSession.createDataFrame([(k, None if v is None else float(v)) for k, v in own.items()], "measure string, value double")
 
 

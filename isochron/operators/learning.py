@@ -39,12 +39,10 @@ def _sum_cells(rows: DataFrame, partial: Callable[[np.ndarray, np.ndarray], np.n
             chunks = [held[lo : lo + CELLS] for lo in range(0, len(held), CELLS)]
             yield pa.RecordBatch.from_arrays([pa.array(range(len(chunks)), pa.int64()), pa.array(chunks, pa.list_(pa.float64()))], ["chunk", "x"])
 
-    def add(part: pa.Table) -> pa.Table:
-        total = np.array(part["x"].to_pylist()).sum(axis=0)
-        return pa.table({"chunk": part["chunk"].slice(0, 1), "x": pa.array([total], pa.list_(pa.float64()))})
-
     made = rows.select(*columns).mapInArrow(run, "chunk long, x array<double>")
-    found = made.groupBy("chunk").applyInArrow(add, "chunk long, x array<double>").collect()
+    # one array per task and chunk: tasks x 64 kB meet for a chunk
+    parts = made.groupBy("chunk").agg(F.collect_list("x").alias("x"))
+    found = parts.select("chunk", F.reduce(F.slice("x", 2, F.size("x")), F.col("x")[0], lambda s, x: F.zip_with(s, x, lambda a, b: a + b)).alias("x")).collect()
     return np.concatenate([r["x"] for r in sorted(found, key=lambda r: r["chunk"])]) if found else np.empty(0)
 
 
@@ -107,7 +105,8 @@ class Problem:
     weight: dict
 
 
-def solve(rows: DataFrame, scaler: Scaler, problems: list[Problem], loss: str = "squared_hinge", c: float = 0.1, rounds: int = 30, tol: float = 1e-8) -> np.ndarray:
+def solve(rows: DataFrame, scaler: Scaler, problems: list[Problem], loss: str = "squared_hinge", c: float = 0.1, rounds: int = 30, tol: float = 1e-8,
+          start: np.ndarray | None = None) -> np.ndarray:
     """Coefficients (intercept last) of all problems at the optimum of 1/2 |w|^2 + c * sum of weighted losses.
 
     ``loss`` is squared_hinge (intercept penalised, as a further feature of 1) or logistic
@@ -115,7 +114,7 @@ def solve(rows: DataFrame, scaler: Scaler, problems: list[Problem], loss: str =
     and Hessians of all problems; the driver solves systems of (features + 1) unknowns.
     """
     d, k = len(scaler.mean) + 1, len(problems)
-    w = np.zeros((k, d))
+    w = np.zeros((k, d)) if start is None else start
     penal, whole = np.ones(d), None
     if loss == "logistic":
         penal[-1] = 0.0
@@ -184,7 +183,8 @@ def label_counts(rows: DataFrame) -> dict:
     return {r["label"]: r["n"] for r in rows.groupBy("label").agg(F.count(F.lit(1)).alias("n")).collect()}
 
 
-def fit_linear(rows: DataFrame, loss: str = "squared_hinge", c: float = 0.1, balanced: bool = True, rounds: int = 30, tol: float = 1e-8) -> Linear:
+def fit_linear(rows: DataFrame, loss: str = "squared_hinge", c: float = 0.1, balanced: bool = True, rounds: int = 30, tol: float = 1e-8,
+               start: np.ndarray | None = None) -> Linear:
     """One-versus-rest linear classifiers (see ``solve``).
 
     Balanced weights of the squared hinge are those of one fit of all classes: n / (classes *
@@ -204,7 +204,7 @@ def fit_linear(rows: DataFrame, loss: str = "squared_hinge", c: float = 0.1, bal
             weight = {x: n / (2 * counts[own]) if x == own else n / (2 * max(n - counts[own], 1)) for x in classes}
         problems.append(Problem([own], rest, weight))
     scaler = Scaler.fit(rows)
-    return Linear(classes, scaler, solve(rows, scaler, problems, loss, c, rounds, tol))
+    return Linear(classes, scaler, solve(rows, scaler, problems, loss, c, rounds, tol, start))
 
 
 def pair_errors(rows: DataFrame, c: float = 1e4, rounds: int = 30) -> DataFrame:
@@ -326,11 +326,11 @@ FACTORIES["mlp"] = Perceptron
 class Lifted:
     """A linear classifier on random Fourier features of scaled rows, in the place of an RBF machine of width gamma."""
 
-    def __init__(self, rows: DataFrame, gamma: float | None = None, c: float = 1.0, features: int = 200):
+    def __init__(self, rows: DataFrame, gamma: float | None = None, c: float = 1.0, features: int = 128):
         self.scaler = Scaler.fit(rows)
         self.gamma = gamma if gamma is not None else 1.0 / len(self.scaler.mean)  # scaled features have unit variance
         self.features = features
-        self.model = fit_linear(self._lift(rows), "squared_hinge", c, balanced=False)
+        self.model = fit_linear(materialize(self._lift(rows), "lifted"), "squared_hinge", c, balanced=False, rounds=15)
 
     def _lift(self, rows: DataFrame) -> DataFrame:
         mean, scale = (F.array(*map(F.lit, x.tolist())) for x in (self.scaler.mean, self.scaler.scale))
@@ -396,6 +396,8 @@ class Pipeline:
 
 
 FACTORIES["pipeline"] = Pipeline
+FACTORIES["mlp100"] = lambda rows: Perceptron(rows, rounds=100)
+FACTORIES["pipeline60"] = lambda rows: Pipeline(rows, keep=60)
 FACTORIES["plain_pipeline"] = lambda rows: Pipeline(rows, augment=False, smote=False)
 
 
@@ -421,13 +423,16 @@ def principal_components(rows: DataFrame, k: int = 5) -> Callable[[DataFrame], D
 def selected(rows: DataFrame, keep: int = 30) -> list[int]:
     """Recursive elimination: features whose squared weights sum to least go one by one.
 
-    Nothing is fitted if there are no more features than asked for.
+    Each fit starts from the one before without the feature that went.  Nothing is fitted if
+    there are no more features than asked for.
     """
     d = rows.select(F.size("features")).first()[0]
-    left = list(range(d))
+    left, start = list(range(d)), None
     while len(left) > keep:
-        model = fit_linear(rows.withColumn("features", F.array(*(F.col("features")[i] for i in left))))
-        left.pop(int((model.coef[:, :-1] ** 2).sum(axis=0).argmin()))
+        model = fit_linear(rows.withColumn("features", F.array(*(F.col("features")[i] for i in left))), start=start)
+        worst = int((model.coef[:, :-1] ** 2).sum(axis=0).argmin())
+        left.pop(worst)
+        start = np.delete(model.coef, worst, axis=1)
     return left
 
 
@@ -440,7 +445,7 @@ def evaluate(train: DataFrame, test: DataFrame, name: str) -> DataFrame:
 def cross_validate(rows: DataFrame, name: str, folds: int = 5, table: DataFrame | None = None) -> DataFrame:
     """(clf, fold, acc, f1_weighted, f1_macro) over group-disjoint folds; pass ``table`` to share folds."""
     table = table if table is not None else sampling.group_folds(rows, "group", folds)
-    tagged = rows.join(table, "group")
+    tagged = materialize(rows.join(table, "group"), "tagged")  # each fold's model reads it many times
     out = None
     for (fold,) in sorted(tuple(r) for r in table.select("fold").distinct().collect()):
         part = evaluate(tagged.where(F.col("fold") != fold).drop("fold"), tagged.where(F.col("fold") == fold).drop("fold"), name).withColumn("fold", F.lit(fold))
