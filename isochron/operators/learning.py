@@ -326,7 +326,7 @@ FACTORIES["mlp"] = Perceptron
 class Lifted:
     """A linear classifier on random Fourier features of scaled rows, in the place of an RBF machine of width gamma."""
 
-    def __init__(self, rows: DataFrame, gamma: float | None = None, c: float = 1.0, features: int = 128):
+    def __init__(self, rows: DataFrame, gamma: float | None = None, c: float = 1.0, features: int = 64):
         self.scaler = Scaler.fit(rows)
         self.gamma = gamma if gamma is not None else 1.0 / len(self.scaler.mean)  # scaled features have unit variance
         self.features = features
