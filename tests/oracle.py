@@ -16,6 +16,8 @@ def connect(sf):
 def normal(df):
     df = df[sorted(df.columns)].copy()
     for c in df.columns:
+        if pd.api.types.is_integer_dtype(df[c]) and df[c].isna().any():  # pandas has these as floats from Spark
+            df[c] = df[c].astype("float64")
         df[c] = df[c].round(5) if df[c].dtype.kind == "f" and df[c].notna().any() else df[c].astype(object).where(df[c].notna(), None).map(
             lambda x: str(int(x)) if isinstance(x, float) and x == int(x) else str(x))
     return df.sort_values(list(df.columns)).reset_index(drop=True)
