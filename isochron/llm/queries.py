@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontam, langid, licenses, linededup, neardup, packing, sharding, suffixes, topk, warc
+from . import decontam, fim, langid, licenses, linededup, neardup, packing, sharding, suffixes, topk, warc
 
 
 def _read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
@@ -64,8 +64,16 @@ def op10_exact_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
     return topk.top_k(_read(spark, sf_dir, "embeddings"))
 
 
+def op12_fill_in_middle(spark: SparkSession, sf_dir: str) -> DataFrame:
+    done = fim.fill_in_middle(_read(spark, sf_dir, "documents").select("doc_id", "text"))
+    digest = lambda c: F.sha2(c.cast("binary"), 256)
+    return done.select("doc_id", "n", "form", "prefix_chars", "middle_chars", digest(F.col("output")).alias("output_sha256"),
+                       digest(fim.restored(F.col("output"), F.col("form"))).alias("restored_sha256"))
+
+
 QUERIES = {f.__name__: f for f in (
-    op1_sharding, op2_decontamination, op3_near_duplicates, op4_licenses, op5_suffix_dedup, op6_language_id, op7_packing, op8_line_dedup, op9_warc, op10_exact_topk)}
+    op1_sharding, op2_decontamination, op3_near_duplicates, op4_licenses, op5_suffix_dedup, op6_language_id, op7_packing, op8_line_dedup, op9_warc, op10_exact_topk,
+    op12_fill_in_middle)}
 
 #: Lines are split, keyed and counted as the contract says; DuckDB's trim takes the set of characters.
 _WHITE = "chr(32) || chr(9) || chr(10) || chr(11) || chr(12) || chr(13)"
@@ -131,6 +139,15 @@ SQL = {
                    FROM v q JOIN v c ON q.vec_id % 20 = 0 AND c.vec_id <> q.vec_id),
              r AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS rank FROM s)
         SELECT query_id, rank::INTEGER AS rank, vec_id, score FROM r WHERE rank <= 20""",
+    "op12_fill_in_middle": """
+        WITH x AS (SELECT doc_id, coalesce(text, '') AS text, sha256('1:' || doc_id) AS h FROM documents),
+             t AS (SELECT *, regexp_extract_all(text, '[A-Za-z]+|[^A-Za-z]') AS t, list_transform(range(4), lambda i: ('0x' || substr(h, 8 * i + 1, 8))::BIGINT) AS d FROM x),
+             c AS (SELECT *, len(t) AS n, least(d[1] % (len(t) + 1), d[2] % (len(t) + 1)) AS a, greatest(d[1] % (len(t) + 1), d[2] % (len(t) + 1)) AS b FROM t),
+             p AS (SELECT *, array_to_string(t[1:a], '') AS p, array_to_string(t[a + 1:b], '') AS m, array_to_string(t[b + 1:], '') AS s,
+                          CASE WHEN text = '' OR regexp_matches(text, '<[PSM]>') OR d[3] % 100 >= 90 THEN 'plain' WHEN d[4] % 100 < 20 THEN 'spm' ELSE 'psm' END AS form FROM c)
+        SELECT doc_id, n::BIGINT AS n, form, CASE WHEN form <> 'plain' THEN length(p) END AS prefix_chars, CASE WHEN form <> 'plain' THEN length(m) END AS middle_chars,
+               sha256(CASE form WHEN 'plain' THEN text WHEN 'psm' THEN '<P>' || p || '<S>' || s || '<M>' || m ELSE '<S>' || s || '<P>' || p || '<M>' || m END) AS output_sha256,
+               sha256(text) AS restored_sha256 FROM p""",
     "op8_line_dedup": f"""
         WITH n AS (SELECT row_number() OVER () AS r, doc_id, text FROM documents),
              l AS (SELECT r, doc_id, generate_subscripts(string_split(coalesce(text, ''), chr(10)), 1) AS i,
