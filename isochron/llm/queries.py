@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontam, fim, langid, licenses, linededup, neardup, packing, sharding, suffixes, topk, warc
+from . import decontam, fim, langid, licenses, linededup, neardup, packing, quality, sharding, suffixes, topk, warc
 
 
 def _read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
@@ -64,6 +64,11 @@ def op10_exact_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
     return topk.top_k(_read(spark, sf_dir, "embeddings"))
 
 
+def op11_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _read(spark, sf_dir, "documents").select("doc_id", "text", "source")
+    return quality.host_quality(docs).select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", "host_failed")
+
+
 def op12_fill_in_middle(spark: SparkSession, sf_dir: str) -> DataFrame:
     done = fim.fill_in_middle(_read(spark, sf_dir, "documents").select("doc_id", "text"))
     digest = lambda c: F.sha2(c.cast("binary"), 256)
@@ -73,7 +78,7 @@ def op12_fill_in_middle(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES = {f.__name__: f for f in (
     op1_sharding, op2_decontamination, op3_near_duplicates, op4_licenses, op5_suffix_dedup, op6_language_id, op7_packing, op8_line_dedup, op9_warc, op10_exact_topk,
-    op12_fill_in_middle)}
+    op11_quality_rules, op12_fill_in_middle)}
 
 #: Lines are split, keyed and counted as the contract says; DuckDB's trim takes the set of characters.
 _WHITE = "chr(32) || chr(9) || chr(10) || chr(11) || chr(12) || chr(13)"
@@ -139,6 +144,26 @@ SQL = {
                    FROM v q JOIN v c ON q.vec_id % 20 = 0 AND c.vec_id <> q.vec_id),
              r AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS rank FROM s)
         SELECT query_id, rank::INTEGER AS rank, vec_id, score FROM r WHERE rank <= 20""",
+    "op11_quality_rules": r"""
+        WITH x AS (SELECT row_number() OVER () AS r, doc_id, source, coalesce(text, '') AS text FROM documents),
+             w AS (SELECT *, regexp_extract_all(text, '[^\x20\x09-\x0D]+') AS w, list_filter(string_split(text, chr(10)), lambda y: regexp_matches(y, '[^\x20\x09-\x0D]')) AS l FROM x),
+             g AS (SELECT r, i, w[i] || ' ' || w[i + 1] || ' ' || w[i + 2] AS g FROM w, unnest(range(1, len(w) - 1)) t(i)),
+             d AS (SELECT r, i FROM g QUALIFY count(*) OVER (PARTITION BY r, g) > 1),
+             c AS (SELECT r, count(DISTINCT i + j)::BIGINT AS n_repeat_words FROM d, unnest([0, 1, 2]) u(j) GROUP BY r),
+             m AS (SELECT r, doc_id, source, len(w)::BIGINT AS n_words, coalesce(list_sum(list_transform(w, lambda y: length(y))), 0)::BIGINT AS word_chars,
+                          (length(text) - length(translate(text, '#*$%&|<>', '')))::BIGINT AS n_symbols, (len(l) - len(list_distinct(l)))::BIGINT AS n_dup_lines,
+                          coalesce(n_repeat_words, 0) AS n_repeat_words, len(l) AS n_lines FROM w LEFT JOIN c USING (r)),
+             b AS (SELECT *, [n_words < 50, 100 * n_repeat_words > 50 * n_words, 10 * n_symbols > n_words, 100 * n_dup_lines > 30 * n_lines,
+                              word_chars < 3 * n_words OR word_chars > 10 * n_words] AS bad FROM m),
+             h AS (SELECT source, rule, count(*)::DOUBLE AS n, (count(*) FILTER (bad[rule]))::DOUBLE AS f FROM b, unnest(range(1, 6)) t(rule) WHERE source IS NOT NULL GROUP BY ALL),
+             s AS (SELECT rule, count(*) AS k, sum(n) AS n, sum(n * n) AS nn, sum(f) AS f, sum(f * f / n) AS ff, sum(f) / sum(n) AS p FROM h GROUP BY rule),
+             q AS (SELECT *, p * (1 - p) * (n - nn / n - (k - 1)) AS room, ff - f * p - p * (1 - p) * (k - 1) AS spread FROM s),
+             y AS (SELECT *, CASE WHEN room > 0 THEN spread / room ELSE 0 END AS gamma FROM q),
+             z AS (SELECT rule, p, CASE WHEN gamma >= 0.5 THEN 1 WHEN gamma <= 1 / (n + 1) THEN n ELSE 1 / gamma - 1 END AS strength FROM y),
+             v AS (SELECT DISTINCT source FROM h JOIN z USING (rule) WHERE f > 0.5 * n AND (f + p * strength) / (n + strength) > 0.5)
+        SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, bad[1] OR bad[2] AS base_failed,
+               NOT (bad[1] OR bad[2] OR v.source IS NOT NULL) AS kept, v.source IS NOT NULL AS host_failed
+        FROM b LEFT JOIN v ON v.source = b.source""",
     "op12_fill_in_middle": """
         WITH x AS (SELECT doc_id, coalesce(text, '') AS text, sha256('1:' || doc_id) AS h FROM documents),
              t AS (SELECT *, regexp_extract_all(text, '[A-Za-z]+|[^A-Za-z]') AS t, list_transform(range(4), lambda i: ('0x' || substr(h, 8 * i + 1, 8))::BIGINT) AS d FROM x),
