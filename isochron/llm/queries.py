@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontam, fim, langid, licenses, linededup, neardup, packing, quality, sharding, suffixes, topk, warc
+from . import decontam, fim, langid, licenses, linededup, neardup, packing, quality, sharding, spelling, suffixes, topk, warc
 
 
 def _read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
@@ -76,9 +76,14 @@ def op12_fill_in_middle(spark: SparkSession, sf_dir: str) -> DataFrame:
                        digest(fim.restored(F.col("output"), F.col("form"))).alias("restored_sha256"))
 
 
+def op13_spelling_variants(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = spelling.variants(_read(spark, sf_dir, "documents").select("doc_id", "text"))
+    return found.select("word", "form", "root", "n", "n_near", "form_n")
+
+
 QUERIES = {f.__name__: f for f in (
     op1_sharding, op2_decontamination, op3_near_duplicates, op4_licenses, op5_suffix_dedup, op6_language_id, op7_packing, op8_line_dedup, op9_warc, op10_exact_topk,
-    op11_quality_rules, op12_fill_in_middle)}
+    op11_quality_rules, op12_fill_in_middle, op13_spelling_variants)}
 
 #: Lines are split, keyed and counted as the contract says; DuckDB's trim takes the set of characters.
 _WHITE = "chr(32) || chr(9) || chr(10) || chr(11) || chr(12) || chr(13)"
@@ -164,6 +169,23 @@ SQL = {
         SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, bad[1] OR bad[2] AS base_failed,
                NOT (bad[1] OR bad[2] OR v.source IS NOT NULL) AS kept, v.source IS NOT NULL AS host_failed
         FROM b LEFT JOIN v ON v.source = b.source""",
+    "op13_spelling_variants": rf"""
+        WITH RECURSIVE {_CRC}, r AS (SELECT doc_id, translate(unnest(regexp_extract_all(coalesce(text, ''), '[A-Za-z\x{{C0}}-\x{{FF}}]+')), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS w FROM documents),
+             d AS (SELECT doc_id, w, count(*) AS k, regexp_extract_all(hex(encode(doc_id || ':' || w)), '..') AS h FROM r GROUP BY doc_id, w),
+             c AS (SELECT w, k, xor(list_reduce(list_prepend(4294967295::UBIGINT, list_transform(h, lambda y: ('0x' || y)::UBIGINT)),
+                          lambda a, y: xor(a >> 8, tab[(xor(a, y) & 255)::BIGINT + 1])), 4294967295)::BIGINT AS h FROM d, t),
+             n AS (SELECT CASE WHEN h % 97 = 0 THEN substr(w, 1, h % length(w)) || substr(w, h % length(w) + 2) ELSE w END AS word, k FROM c),
+             w AS (SELECT word, sum(k)::BIGINT AS n FROM n WHERE length(word) >= 5 GROUP BY word HAVING sum(k) >= 3),
+             e AS (SELECT word, i, substr(word, 1, i - 1) || substr(word, i + 1) AS e FROM w, unnest(range(1, length(word) + 1)) u(i)),
+             p AS (SELECT e.word AS a, w.word AS b FROM e JOIN w ON w.word = e.e UNION SELECT w.word, e.word FROM e JOIN w ON w.word = e.e
+                   UNION SELECT x.word, y.word FROM e x JOIN e y USING (i, e) WHERE x.word <> y.word),
+             b AS (SELECT a, b, x.n AS n, y.n AS m, count(*) OVER (PARTITION BY a) AS c FROM p JOIN w x ON x.word = a JOIN w y ON y.word = b
+                   QUALIFY row_number() OVER (PARTITION BY a ORDER BY y.n DESC, b) = 1),
+             f AS (SELECT word, w.n, coalesce(c, 0)::BIGINT AS n_near, CASE WHEN m >= 2 * w.n THEN b END AS form, CASE WHEN m >= 2 * w.n THEN m END AS form_n
+                   FROM w LEFT JOIN b ON a = word),
+             g(word, root) AS (SELECT word, word FROM f UNION ALL SELECT g.word, form FROM g JOIN f ON f.word = g.root WHERE form IS NOT NULL),
+             z AS (SELECT g.word, root FROM g JOIN f ON f.word = root WHERE form IS NULL)
+        SELECT word, form, root, n, n_near, form_n FROM f JOIN z USING (word)""",
     "op12_fill_in_middle": """
         WITH x AS (SELECT doc_id, coalesce(text, '') AS text, sha256('1:' || doc_id) AS h FROM documents),
              t AS (SELECT *, regexp_extract_all(text, '[A-Za-z]+|[^A-Za-z]') AS t, list_transform(range(4), lambda i: ('0x' || substr(h, 8 * i + 1, 8))::BIGINT) AS d FROM x),
