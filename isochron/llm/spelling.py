@@ -276,17 +276,20 @@ def _searched(words: DataFrame, queries: DataFrame, tasks: int, most: int, made:
     asking = queries.join(load, "node").withColumn("_piece", F.pmod(F.xxhash64("word"), F.col("pieces")).cast("int"))
     place = F.concat_ws(",", F.transform("node", lambda k: k.cast("string")), F.col("_piece").cast("string")).alias("node")
 
+    def pairs(a: list, na: list, b: list, nb: list) -> pd.DataFrame:
+        return pd.DataFrame({"a": np.array(a, object), "na": np.array(na, np.int64), "b": np.array(b, object), "nb": np.array(nb, np.int64)})
+
     def search(held: pd.DataFrame, asking: pd.DataFrame) -> pd.DataFrame:
         release()
         if not len(held) or not len(asking):
-            return pd.DataFrame({"a": [], "na": [], "b": [], "nb": []}).astype({"a": str, "na": "int64", "b": str, "nb": "int64"})
+            return pairs([], [], [], [])
         names = pd.Index(held["node"].unique())
         trie = CountTrie(held["word"].tolist(), names.get_indexer(held["node"]))
         count = dict(zip(held["word"], held["n"].tolist(), strict=True))
         words, n = asking["word"].tolist(), asking["n"].tolist()
         found = list(trie.search(words, names.get_indexer(asking["node"]).astype(np.int64), asking["longer"].to_numpy()))
         near = [trie.words[b] for _, b in found]
-        return pd.DataFrame({"a": [words[a] for a, _ in found], "na": [n[a] for a, _ in found], "b": near, "nb": [count[w] for w in near]})
+        return pairs([words[a] for a, _ in found], [n[a] for a, _ in found], near, [count[w] for w in near])
 
     return (held.select(shard, place, "word", "n").groupBy("shard")
             .cogroup(asking.select(shard, place, "word", "n", "longer").groupBy("shard"))
