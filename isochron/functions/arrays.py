@@ -22,7 +22,7 @@ def total(a: Column) -> Column:
 
 
 def mean(a: Column) -> Column:
-    return total(a) / F.size(a)
+    return F.try_divide(total(a), F.size(a))
 
 
 def central(a: Column, m: Column, power: int) -> Column:
@@ -33,11 +33,11 @@ def central(a: Column, m: Column, power: int) -> Column:
             out = out * (x - m)
         return out
 
-    return F.aggregate(a, F.lit(0.0), lambda s, x: s + term(x)) / F.size(a)
+    return F.try_divide(F.aggregate(a, F.lit(0.0), lambda s, x: s + term(x)), F.size(a))
 
 
 def rms(a: Column) -> Column:
-    return F.sqrt(F.aggregate(a, F.lit(0.0), lambda s, x: s + x * x) / F.size(a))
+    return F.sqrt(F.try_divide(F.aggregate(a, F.lit(0.0), lambda s, x: s + x * x), F.size(a)))
 
 
 def max_abs(a: Column) -> Column:
@@ -47,7 +47,7 @@ def max_abs(a: Column) -> Column:
 def zero_crossings(a: Column) -> Column:
     """Sum of absolute differences of neighbours' signs over twice the length."""
     later, sooner = F.slice(a, 2, F.greatest(F.size(a) - 1, F.lit(1))), F.slice(a, 1, F.greatest(F.size(a) - 1, F.lit(1)))
-    return total(F.zip_with(later, sooner, lambda x, y: F.abs(F.signum(x) - F.signum(y)))) / (2.0 * F.size(a))
+    return F.try_divide(total(F.zip_with(later, sooner, lambda x, y: F.abs(F.signum(x) - F.signum(y)))), 2.0 * F.size(a))
 
 
 def dot(a: Column, b: Column) -> Column:

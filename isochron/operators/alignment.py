@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-import itertools
+import math
 from collections.abc import Iterator
 
 import numpy as np
@@ -81,6 +81,15 @@ def cosines(rows: DataFrame, importance: list[float], areas: str = "areas") -> D
     return rows.withColumn("cosine", dot(F.col(areas), given) / (F.sqrt(dot(F.col(areas), F.col(areas))) * F.sqrt(dot(given, given)) + 1e-12))
 
 
+def permutation(given: list, k: int) -> list:
+    """Permutation k, from 0, of a list in lexicographic order of places, by the digits of k to falling factorials."""
+    rest, out = list(given), []
+    while rest:
+        at, k = divmod(k, math.factorial(len(rest) - 1))
+        out.append(rest.pop(at))
+    return out
+
+
 def significance(rows: DataFrame, id_: str, attribution: str, importance: dict[str, float], fs: float, reps: int = 2000) -> DataFrame:
     """One row: the rows' mean cosine with its bootstrap interval, and the observed cosine with a permutation p.
 
@@ -89,12 +98,12 @@ def significance(rows: DataFrame, id_: str, attribution: str, importance: dict[s
     importance over bands; replicate r takes permutation r * 48271 mod (2**31 - 1) mod n! of
     the n bands, in lexicographic order.  p = (nulls at or above the observed + 1) / (reps + 1).
     """
-    from .evaluation import draw_times
+    from .evaluation import draw_number, draw_times
 
     spark = rows.sparkSession
     bands = {k: K.BANDS[k] for k in importance}
     given = list(importance.values())
-    own = cosines(band_areas(rows.select(F.col(id_).cast("long").alias("_id"), attribution), attribution, fs, bands), given)
+    own = cosines(band_areas(rows.select(draw_number(rows, id_).alias("_id"), attribution), attribution, fs, bands), given)
 
     def draw(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held = np.zeros((reps, 2))
@@ -111,9 +120,8 @@ def significance(rows: DataFrame, id_: str, attribution: str, importance: dict[s
                     *(F.avg(F.col("areas")[i] / F.aggregate("areas", F.lit(1e-300), lambda s, x: s + x)).alias(f"m{i}") for i in range(len(bands)))).first()
     mean = np.array([facts[f"m{i}"] or 0.0 for i in range(len(bands))])
     cos = lambda u: float(np.dot(u, mean) / (np.linalg.norm(u) * np.linalg.norm(mean) + 1e-12))
-    ways = [cos(np.array(w)) for w in itertools.permutations(given)]
     observed = cos(np.array(given))
-    null = np.array([ways[r * 48271 % (2**31 - 1) % len(ways)] for r in range(reps)])
+    null = np.array([cos(np.array(permutation(given, r * 48271 % (2**31 - 1) % math.factorial(len(given))))) for r in range(reps)])
     tail = (int((null >= observed - 1e-15).sum()) + 1) / (reps + 1)
     return boot.select(F.lit(facts["mean_cosine"]).alias("mean_cosine"), "ci_low", "ci_high", F.lit(observed).alias("observed_cosine"), F.lit(tail).alias("p"),
                        F.lit(float(null.mean())).alias("null_mean"))

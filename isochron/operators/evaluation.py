@@ -138,6 +138,13 @@ def sweep_grid(rows: DataFrame, key: str, points: int = 15) -> DataFrame:
     return ends.select(key, F.array_sort(F.array_distinct(F.concat(grid, F.array(F.lit(0.0))))).alias("grid"))
 
 
+def draw_number(frame: DataFrame, column: str) -> F.Column:
+    """A whole number that a unit's draws follow from: whole ids as they are, others by 60 bits of the digest of their text."""
+    if isinstance(frame.schema[column].dataType, T.IntegralType):
+        return F.col(column).cast("long")
+    return F.conv(F.substring(F.md5(F.col(column).cast("string")), 1, 15), 16, 10).cast("long")
+
+
 def draw_times(patient: np.ndarray, reps: int) -> np.ndarray:
     """(reps, patients): how often each replicate draws a patient, Poisson(1) by a hash of both.
 
@@ -155,7 +162,7 @@ def draw_times(patient: np.ndarray, reps: int) -> np.ndarray:
 def bootstrap(patient_counts: DataFrame, reps: int = 2000) -> DataFrame:
     """(rep, clf, y_true, y_pred, n): confusion counts of resampled patients.
 
-    patient_counts has (patient, clf, y_true, y_pred, n): metrics depend on counts only, so
+    patient_counts has (patient, clf, y_true, y_pred, n), patients of any type, none of them null: metrics depend on counts only, so
     rows are reduced to them before any resampling.  A patient's number of draws follows
     from its id and the replicate (``draw_times``), so it is taken where the patient lies and
     replicates' counts are summed up in the same pass: what is shuffled is replicates x
@@ -184,7 +191,7 @@ def bootstrap(patient_counts: DataFrame, reps: int = 2000) -> DataFrame:
                                              ["rep", "clf", "y_true", "y_pred", "n"])
 
     kind = dict(patient_counts.dtypes)
-    rows = patient_counts.select(F.col("patient").cast("long").alias("patient"), "clf", "y_true", "y_pred", F.col("n").cast("double").alias("n"))
+    rows = patient_counts.select(draw_number(patient_counts, "patient").alias("patient"), "clf", "y_true", "y_pred", F.col("n").cast("double").alias("n"))
     return (rows.mapInArrow(run, f"rep long, clf {kind['clf']}, y_true {kind['y_true']}, y_pred {kind['y_pred']}, n long")
             .groupBy("rep", "clf", "y_true", "y_pred").agg(F.sum("n").alias("n")))
 
@@ -207,11 +214,26 @@ def bootstrap_test(replicates: DataFrame, clfs: list[str], name: str = "f1_weigh
     return holm(tests, "p", "clf_a", "clf_b")
 
 
-def signed_ranks(differences: DataFrame, keys: list[str]) -> DataFrame:
+def sign_distribution(ranks: F.Column) -> F.Column:
+    """Probabilities of all sums 0, 1, 2, ... that an array of whole ranks has if each counts or not by a fair coin.
+
+    The generating function, a factor (1 + x**rank) / 2 for each rank, as an array of coefficients.
+    """
+    def factor(held: F.Column, rank: F.Column) -> F.Column:
+        gap = F.array_repeat(F.lit(0.0), rank)
+        return F.zip_with(F.concat(held, gap), F.concat(gap, held), lambda a, b: (a + b) / 2)
+
+    return F.aggregate(ranks, F.array(F.lit(1.0)), factor)
+
+
+def signed_ranks(differences: DataFrame, keys: list[str], exact_most: int = 50) -> DataFrame:
     """(keys, n, w_plus, w_minus, statistic, z, p) of Wilcoxon's signed ranks over column d; zeros dropped, ties share ranks.
 
     Ranks come from counts of equal |d| and running sums over them, so no pair's
-    differences meet in one task.  p is the normal approximation with its tie correction.
+    differences meet in one task.  p is exact for up to ``exact_most`` differences, ties or
+    not: only such a key's ranks (doubled, so that shared ones are whole) are gathered into a
+    row, and half of the sums of signs lie within the statistic.  Beyond that p is the normal
+    approximation with its tie correction; z is given for all keys.
     """
     key = F.concat_ws(" ", *keys)
     sized = differences.where("d <> 0").select(*keys, key.alias("_k"), F.abs("d").alias("_d"), (F.col("d") > 0).cast("long").alias("_up"))
@@ -219,14 +241,18 @@ def signed_ranks(differences: DataFrame, keys: list[str]) -> DataFrame:
     run = running_sums(tied, "_k", "_d", ["c"])  # counts of |d| as large or larger
     n = tied.groupBy("_k").agg(F.sum("c").alias("n"))
     # ranks of a tie: from n - cum + 1 to n - cum + c
-    rank = F.col("n") - F.col("cum_c") + (F.col("c") + 1) / 2
+    twice = 2 * (F.col("n") - F.col("cum_c")) + F.col("c") + 1
+    own = F.collect_list(F.when(F.col("n") <= exact_most, F.struct(twice.cast("int").alias("r"), F.col("c").cast("int").alias("c"))))
     sums = run.join(n, "_k").groupBy(*keys).agg(
-        F.max("n").alias("n"), F.sum(rank * F.col("up")).alias("w_plus"), F.sum(rank * (F.col("c") - F.col("up"))).alias("w_minus"),
-        F.sum(F.col("c") * F.col("c") * F.col("c") - F.col("c")).alias("_ties"))
+        F.max("n").alias("n"), F.sum(twice / 2 * F.col("up")).alias("w_plus"), F.sum(twice / 2 * (F.col("c") - F.col("up"))).alias("w_minus"),
+        F.sum(F.col("c") * F.col("c") * F.col("c") - F.col("c")).alias("_ties"), own.alias("_own"))
     spread = F.sqrt((F.col("n") * (F.col("n") + 1) * (2 * F.col("n") + 1) - F.col("_ties") / 2) / 24)
     tail = F.udf(lambda z: None if z is None else math.erfc(abs(z) / math.sqrt(2)), T.DoubleType())  # a row per pair
     out = sums.withColumn("statistic", F.least("w_plus", "w_minus")).withColumn("z", F.try_divide(F.col("statistic") - F.col("n") * (F.col("n") + 1) / 4, spread))
-    return out.withColumn("p", F.coalesce(tail("z"), F.lit(1.0))).drop("_ties")
+    ranks = F.flatten(F.transform("_own", lambda x: F.array_repeat(x["r"], x["c"])))
+    below = F.slice(sign_distribution(ranks), F.lit(1), (2 * F.col("statistic")).cast("int") + 1)
+    exact = F.least(F.lit(1.0), 2 * F.aggregate(below, F.lit(0.0), lambda a, x: a + x))
+    return out.withColumn("p", F.when(F.col("n") <= exact_most, exact).otherwise(F.coalesce(tail("z"), F.lit(1.0)))).drop("_ties", "_own")
 
 
 def fold_summary(values: DataFrame, keys: list[str], value: str) -> DataFrame:

@@ -17,15 +17,18 @@ PREFIXES = {"td_": "time", "fd_": "freq", "mp_": "morph", "wv_": "wavelet", "hrv
 
 
 def time_features(df: DataFrame, segment: str) -> DataFrame:
-    """Mean, population sd, skewness, excess kurtosis, rms and zero crossings of an array column."""
+    """Mean, population sd, skewness, excess kurtosis, rms and zero crossings of an array column.
+
+    A constant segment has no skewness and no kurtosis, an empty or null one has no features: null.
+    """
     moments = A.let(A.doubles(segment), lambda a: A.let(A.mean(a), lambda m: F.struct(
         m.alias("m"), A.central(a, m, 2).alias("m2"), A.central(a, m, 3).alias("m3"), A.central(a, m, 4).alias("m4"), A.rms(a).alias("rms"), A.zero_crossings(a).alias("zcr"))))
     m2 = F.col("_t.m2")
     return df.withColumn("_t", moments).withColumns({
         "td_mean": F.col("_t.m"),
         "td_std": F.sqrt(m2),
-        "td_skew": F.col("_t.m3") / (m2 * F.sqrt(m2)),
-        "td_kurt": F.col("_t.m4") / (m2 * m2) - 3.0,
+        "td_skew": F.try_divide(F.col("_t.m3"), m2 * F.sqrt(m2)),
+        "td_kurt": F.try_divide(F.col("_t.m4"), m2 * m2) - 3.0,
         "td_rms": F.col("_t.rms"),
         "td_zcr": F.col("_t.zcr"),
     }).drop("_t")
@@ -38,23 +41,39 @@ def descriptor(df: DataFrame, segment: str, name: str = "descriptor", keep: bool
 
 
 def kernel_features(df: DataFrame, segment: str, fs: float, families: tuple[str, ...] = ("freq", "morph", "wavelet"), filtered: bool = True) -> DataFrame:
-    """Spectral, morphological and wavelet features of equally long segments, by batches of rows."""
+    """Spectral, morphological and wavelet features of segments, by batches of rows of one length.
+
+    A segment that is null, holds a null or has fewer than two samples has none: null.
+    """
     names = _names(families)
 
+    def features_of(x: np.ndarray) -> dict[str, np.ndarray]:
+        out: dict[str, np.ndarray] = {}
+        if "freq" in families:
+            shares, entropy = K.band_shares(x, fs)
+            out |= {f"fd_{k}": v for k, v in shares.items()} | {"fd_entropy": entropy}
+        if "morph" in families:
+            out |= {f"mp_{k}": v for k, v in K.morphology(K.bandpass(x, fs) if filtered else x, fs).items()}
+        if "wavelet" in families:
+            out |= {f"wv_{k}": v for k, v in K.wavelet_energies(x).items()}
+        return out
+
     def run(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part in parts:
-            x = np.array(part[segment].to_pylist(), dtype=np.float64)
-            out: dict[str, np.ndarray] = {}
-            if len(x):
-                if "freq" in families:
-                    shares, entropy = K.band_shares(x, fs)
-                    out |= {f"fd_{k}": v for k, v in shares.items()} | {"fd_entropy": entropy}
-                if "morph" in families:
-                    out |= {f"mp_{k}": v for k, v in K.morphology(K.bandpass(x, fs) if filtered else x, fs).items()}
-                if "wavelet" in families:
-                    out |= {f"wv_{k}": v for k, v in K.wavelet_energies(x).items()}
-            yield pa.RecordBatch.from_arrays([*part.columns, *(pa.array(np.asarray(out.get(n, np.empty(0)), dtype=np.float64)) for n in names)],
-                                             [*part.schema.names, *names])
+            lists = part[segment]
+            sizes = lists.value_lengths().fill_null(0).to_numpy(zero_copy_only=False)
+            held = np.zeros(0) if lists.null_count == len(lists) else lists.flatten().cast(pa.float64()).to_numpy(zero_copy_only=False)
+            starts = np.cumsum(sizes) - sizes
+            out, there = np.zeros((len(names), part.num_rows)), np.zeros(part.num_rows, bool)
+            for n in np.unique(sizes[sizes > 1]).tolist():
+                rows = np.flatnonzero(sizes == n)
+                x = held[starts[rows][:, None] + np.arange(n)]
+                whole = np.isfinite(x).all(axis=1)
+                rows, x = rows[whole], x[whole]
+                if len(rows):
+                    found = features_of(x)
+                    out[:, rows], there[rows] = np.stack([found[name] for name in names]), True
+            yield pa.RecordBatch.from_arrays([*part.columns, *(pa.array(v, mask=~there) for v in out)], [*part.schema.names, *names])
 
     own = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in df.schema)
     return df.mapInArrow(run, own + "".join(f", {n} double" for n in names))
@@ -90,7 +109,8 @@ def graph_features(df: DataFrame, record: str, order: list[str], values: str = "
 
     A pair's weight does not depend on the frame it is seen in.  So each beat carries the
     weights to the beats before it that can share a frame with it, computed once, and a
-    frame's graph is put together from its beats' own arrays.
+    frame's graph is put together from its beats' own arrays.  A beat without a whole
+    descriptor (a constant segment has no skewness) is in the frames, but has no edges.
     """
     reach = width - 1 if causal else 2 * (width - 1)
     w = windows.along(record, *order)

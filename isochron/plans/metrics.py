@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..operators import evaluation, experiments, learning, tables
+from ..operators import evaluation, experiments, learning, tables, windows
 from ..session import table
 from .registry import query
 
@@ -76,8 +76,11 @@ def patientwise_paired(spark, sf_dir):
     wide = patient_accuracy(predictions(spark, sf_dir)).groupBy("patient").pivot("clf", sorted(RULES)).agg(F.first("acc"))
     pairs = [F.struct(F.lit(a).alias("clf_a"), F.lit(b).alias("clf_b"), (F.col(a) - F.col(b)).alias("d")) for a in sorted(RULES) for b in sorted(RULES) if a < b]
     d = wide.select(F.explode(F.array(*pairs)).alias("p")).select("p.*")
-    return d.groupBy("clf_a", "clf_b").agg(F.round(F.avg("d"), 6).alias("mean_diff"), F.round(F.median("d"), 6).alias("median_diff"),
-                                           F.count_if(F.col("d") > 0).alias("wins_a"), F.count_if(F.col("d") < 0).alias("wins_b"), F.count_if(F.col("d") == 0).alias("ties"))
+    d = d.withColumn("pair", F.concat_ws(" ", "clf_a", "clf_b"))
+    middle = windows.quantiles(d, "pair", "d", [0.5]).select("pair", F.round(F.col("q")[0], 6).alias("median_diff"))
+    sums = d.groupBy("pair", "clf_a", "clf_b").agg(F.round(F.avg("d"), 6).alias("mean_diff"), F.count_if(F.col("d") > 0).alias("wins_a"),
+                                                   F.count_if(F.col("d") < 0).alias("wins_b"), F.count_if(F.col("d") == 0).alias("ties"))
+    return sums.join(middle, "pair").drop("pair")
 
 
 def _mcnemar(spark, sf_dir):
@@ -265,6 +268,22 @@ def patientwise_test(spark, sf_dir):
     return evaluation.holm(_signed(spark, sf_dir), "p", "clf_a", "clf_b")
 
 
+@query(f"""WITH {PRED}, a AS (SELECT patient, clf, round(avg((y_true = y_pred)::INTEGER), 6) AS acc FROM p GROUP BY ALL),
+    d AS (SELECT x.patient // 20 AS cohort, x.clf AS clf_a, y.clf AS clf_b, round(x.acc - y.acc, 6) AS d FROM a x JOIN a y ON x.patient = y.patient AND x.clf < y.clf),
+    r AS (SELECT *, 2 * rank() OVER (PARTITION BY cohort, clf_a, clf_b ORDER BY abs(d)) + count(*) OVER (PARTITION BY cohort, clf_a, clf_b, abs(d)) - 1 AS r FROM d WHERE d <> 0),
+    s AS (SELECT cohort, clf_a, clf_b, count(*) AS n, coalesce(sum(r) FILTER (WHERE d > 0), 0)::BIGINT AS up, coalesce(sum(r) FILTER (WHERE d < 0), 0)::BIGINT AS down, list(r::BIGINT) AS own FROM r GROUP BY ALL),
+    e AS (SELECT *, list_reduce(list_prepend([1.0::DOUBLE], list_transform(own, lambda r: [r::DOUBLE])),
+        lambda h, r: list_transform(range(1, len(h) + r[1]::BIGINT + 1), lambda i: (coalesce(h[i], 0) + CASE WHEN i > r[1] THEN h[i - r[1]::BIGINT] ELSE 0 END) / 2)) AS ways FROM s)
+    SELECT cohort, clf_a, clf_b, n, up / 2.0::DOUBLE AS w_plus, down / 2.0::DOUBLE AS w_minus, least(up, down) / 2.0::DOUBLE AS statistic,
+           round(least(1, 2 * list_sum(ways[1:least(up, down) + 1])), 6) AS p FROM e""")
+def cohort_signed_ranks(spark, sf_dir):
+    """Exact signed-rank tests of each pair of classifiers within cohorts of twenty patients, ties or not."""
+    acc = patient_accuracy(predictions(spark, sf_dir)).withColumn("cohort", F.floor(F.col("patient") / 20))
+    d = evaluation.pair_differences(acc, ["patient", "cohort"], "acc", sorted(RULES))
+    tests = evaluation.signed_ranks(d.withColumn("d", F.round("d", 6)), ["cohort", "clf_a", "clf_b"])
+    return _round(tests.select("cohort", "clf_a", "clf_b", "n", "w_plus", "w_minus", "statistic", "p"), 6, "p")
+
+
 @query(f"""WITH {CURVE}, v AS (SELECT clf, round(sum(ctp::DOUBLE / cn * tp / pos), 6) AS ap FROM c GROUP BY clf), z AS (SELECT clf, count(*) FILTER (WHERE hit) AS n_positive, count(*) AS n_total FROM s GROUP BY clf),
     g AS (SELECT clf, unnest([10.0, 50.0, 100.0])::DOUBLE AS threshold FROM z WHERE clf IN ('error', 'signup')),
     o AS (SELECT clf, threshold, {POINT} FROM s JOIN g USING (clf) GROUP BY ALL) SELECT {RATES}, ap, n_positive, n_total FROM o JOIN v USING (clf) JOIN z USING (clf)""")

@@ -194,12 +194,37 @@ def test_signed_ranks_agree_with_the_plain_test(spark):
     from isochron.functions import stats
 
     rng = np.random.default_rng(10)
-    data = {"x": np.round(rng.normal(0.2, 1, 80), 1), "y": rng.normal(size=60), "z": np.zeros(5)}
+    data = {"x": np.round(rng.normal(0.2, 1, 80), 1), "y": rng.normal(size=60), "z": np.zeros(5), "five": np.arange(1.0, 6.0), "one": np.array([-2.0]), "even": np.array([1.0, -1.0, 1.0, -1.0])}
+    data |= {f"n{n}": np.round(rng.normal(0.3, 1, n), n % 3) for n in (2, 7, 10, 22, 49, 50, 51)}
     rows = spark.createDataFrame([(k, float(v)) for k, own in data.items() for v in own], "k string, d double")
     got = {r["k"]: r for r in evaluation.signed_ranks(rows, ["k"]).collect()}
-    assert set(got) == {"x", "y"}
+    assert set(got) == set(data) - {"z"}
     for k in got:
         assert (got[k]["statistic"], got[k]["p"]) == pytest.approx(stats.wilcoxon(data[k].tolist()), rel=1e-9)
+    assert got["five"]["p"] == 0.0625 and got["one"]["p"] == 1.0
+
+
+def test_exact_signed_ranks_by_all_signs():
+    from itertools import product
+
+    from isochron.functions import stats
+
+    for d in ([1.0, 2.0, 3.0, -4.0, 5.0], [1.0, 1.0, -1.0, 2.0, 2.0, 0.0, -3.0], [-0.5, -0.5, -0.5], [3.0, -1.0, 2.0, 4.0, 4.0, 6.0, -7.0, 8.0, 9.0, 10.0]):
+        own = [x for x in d if x]
+        rank = [sum(abs(y) < abs(x) for y in own) + (sum(abs(y) == abs(x) for y in own) + 1) / 2 for x in own]
+        least = lambda signs: min(sum(r for r, s in zip(rank, signs, strict=True) if s), sum(r for r, s in zip(rank, signs, strict=True) if not s))  # noqa: B023, E731
+        w = least([x > 0 for x in own])
+        sums = [sum(r for r, s in zip(rank, signs, strict=True) if s) for signs in product((0, 1), repeat=len(own))]
+        p = min(1.0, 2 * sum(x <= w for x in sums) / len(sums))
+        assert stats.wilcoxon(d) == pytest.approx((w, p))
+
+
+def test_patients_by_name_are_drawn(spark):
+    rows = [(f"P{i:02d}", "a", "N", "NS"[i % 2], 3) for i in range(40)] + [(f"P{i:02d}", "b", "N", "N", 3) for i in range(40)]
+    out = evaluation.bootstrap(spark.createDataFrame(rows, "patient string, clf string, y_true string, y_pred string, n long"), 300)
+    total = {r["rep"]: r["n"] for r in out.where("clf = 'b'").collect()}
+    assert 90 < sum(total.values()) / 300 / 120 * 100 < 110 and len(set(total.values())) > 5
+    assert {r["rep"]: r["n"] for r in out.where("clf = 'a'").groupBy("rep").agg(F.sum("n").alias("n")).collect()} == total
 
 
 def test_patients_of_records_are_total(spark):
@@ -417,3 +442,29 @@ def test_store_and_reports(spark, tmp_path):
     assert lines == [["N", "5", "5", "5"], ["S", "3", "3", "3"], ["total", "8", "8", "8"]]
     store.save_results(df, str(tmp_path / "r"), ("td_mean",))
     assert spark.read.json(str(tmp_path / "r")).columns == ["group", "id"]
+
+
+def test_flat_null_and_unequal_segments_have_null_features(spark):
+    wave = [float(np.sin(i / 3)) for i in range(64)]
+    rows = [(1, 0, wave, 0.8), (1, 1, [2.0] * 64, 0.8), (1, 2, None, 0.8), (1, 3, wave[:40], 0.8), (1, 4, [1.0, None] * 32, 0.8), (1, 5, [], 0.8), (1, 6, [1.0], 0.8), (1, 7, wave, 0.8)]
+    beats = spark.createDataFrame(rows, "record long, sample long, segment array<double>, rr_pre double").coalesce(1)
+    got = {r["sample"]: r for r in features.feature_table(beats, "record", ["sample"], "segment", 128.0).collect()}
+    assert got[1]["td_skew"] is None and got[1]["td_kurt"] is None and got[1]["td_std"] == 0 and got[1]["fd_low"] is not None
+    for sample in (2, 4, 5):
+        assert all(got[sample][c] is None for c in ("td_mean", "td_skew", "fd_low", "mp_r_amp", "wv_A4"))
+    assert got[6]["fd_low"] is None and got[6]["td_mean"] == 1.0
+    assert all(got[s]["td_skew"] is not None and got[s]["wv_D1"] is not None for s in (0, 3, 7))
+    assert got[7]["gr_wdegree"] > 0 and got[2]["gr_wdegree"] == 0 and got[3]["hrv_mean_rr"] == pytest.approx(0.8)
+    whole = features.feature_table(beats.where("sample IN (0, 7)"), "record", ["sample"], "segment", 128.0).collect()
+    assert all(got[r["sample"]]["mp_qrs_ms"] == r["mp_qrs_ms"] for r in whole)
+    filled = features.medians_filled(features.time_features(beats, "segment"), ["td_skew", "td_kurt"]).collect()
+    assert all(r["td_skew"] is not None for r in filled)
+
+
+def test_permutations_by_number():
+    import itertools
+
+    from isochron.operators import alignment
+
+    for given in ([], [0.5], [1, 2, 3], ["a", "a", "b", "c"]):
+        assert [alignment.permutation(given, k) for k in range(math.factorial(len(given)))] == [list(x) for x in itertools.permutations(given)]
