@@ -20,8 +20,7 @@ from .common import materialize, release, remove, small_batches
 GROUPS = ("e", "a", "t", "i", "n", "o", "r", "s", "l", "h", "du", "cm", "gpb", "fwyv", "kjqxz")
 OTHERS = 5
 WIDTH = len(GROUPS) + OTHERS
-_RUN = re.compile("[A-Za-zÀ-ÿ]+")
-_LOWER = {i: i + 32 for i in range(65, 91)}
+_GAP = re.compile("[^A-Za-zÀ-ÿ]")
 #: Rows of a search frontier that are held at once, and words of a leaf that are compared one by one.
 FRONTIER, LEAF = 1 << 16, 64
 #: Levels of the trie that a round of joins goes down.
@@ -30,17 +29,33 @@ STEP = 3
 SENT_NODES = 100_000
 
 
-def noisy(key: str, counts: Counter, every: int = 97) -> Counter:
-    """The counts of a document's lower-cased runs where each whose hash with the key is divisible by ``every`` loses a character."""
-    out: Counter = Counter()
-    start = zlib.crc32(f"{key}:".encode())
-    for run, n in counts.items():
+def runs_of(text: str, least: int, piece: int = 1 << 20) -> Iterator[list[str]]:
+    """The maximal runs of ``least`` letters or more, A-Z in lower case, a piece of the text at a time."""
+    letters = re.compile(f"[A-Za-zÀ-ÿ]{{{least},}}")
+    at = 0
+    while at < len(text):
+        gap = _GAP.search(text, at + piece) if len(text) - at > piece else None
+        end = gap.start() if gap else len(text)
+        yield letters.findall(text[at:end].encode().lower().decode())  # bytes have only ASCII letters lowered
+        at = end
+
+
+def add_runs(held: dict[str, int], key: str, text: str, least: int, every: int) -> None:
+    """Add a document's runs to the counts; each whose hash with the key is divisible by ``every`` loses a character.
+
+    What loses a character gets shorter, so runs of fewer than ``least`` letters need no look.
+    """
+    start, runs = zlib.crc32(f"{key}:".encode()), Counter()
+    for some in runs_of(text, least):
+        runs.update(some)
+    for run, n in runs.items():
         h = zlib.crc32(run.encode(), start)
         if h % every == 0:
             i = h % len(run)
             run = run[:i] + run[i + 1 :]
-        out[run] += n
-    return out
+            if len(run) < least:
+                continue
+        held[run] = held.get(run, 0) + n
 
 
 def word_counts(docs: DataFrame, key: str = "doc_id", every: int = 97, least_chars: int = 5, least: int = 3, flush: int = 200_000) -> DataFrame:
@@ -52,7 +67,7 @@ def word_counts(docs: DataFrame, key: str = "doc_id", every: int = 97, least_cha
 
     def count(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         release()
-        held: Counter = Counter()
+        held: dict[str, int] = {}
 
         def flushed() -> pa.RecordBatch:
             out = pa.RecordBatch.from_arrays([pa.array(list(held), pa.string()), pa.array(list(held.values()), pa.int64())], ["word", "n"])
@@ -61,10 +76,7 @@ def word_counts(docs: DataFrame, key: str = "doc_id", every: int = 97, least_cha
 
         for part in parts:
             for doc, text in zip(part["key"].to_pylist(), part["text"].to_pylist(), strict=True):
-                runs = Counter(m.group() for m in _RUN.finditer((text or "").translate(_LOWER)))
-                for word, n in noisy(doc, runs, every).items():
-                    if len(word) >= least_chars:
-                        held[word] += n
+                add_runs(held, doc, text or "", least_chars, every)
                 if len(held) >= flush:
                     yield flushed()
         if held:
@@ -117,6 +129,7 @@ class CountTrie:
         order = np.lexsort(table.T[::-1])
         table = table[order]
         self.words = [words[i] for i in order]
+        self.packed = _pack(self.words)
         self.keys: list[np.ndarray] = []
         parent = np.zeros(len(words), np.int64)
         for level in range(WIDTH + 1):
@@ -142,7 +155,7 @@ class CountTrie:
         of one length, the one with the first surplus is found from the other, so the surplus
         is spent before the deficit.
         """
-        v = vectors(words)
+        v, packed = vectors(words), _pack(words)
         known, root = self.child(0, np.zeros(len(nodes), np.int64), nodes)
         q = np.flatnonzero(known)
         stack = [(0, q, root[q], np.ones(len(q), np.int64), np.where(longer[q], 0, 1))]
@@ -154,7 +167,7 @@ class CountTrie:
             q, node, s, d = q[:FRONTIER], node[:FRONTIER], s[:FRONTIER], d[:FRONTIER]
             if level == WIDTH:
                 done = (s == d) & ~(longer[q] & (s > 0))
-                yield from self.verified(words, q[done], node[done], longer, s[done] > 0)
+                yield from self.verified(words, packed, q[done], node[done], longer, s[done] > 0)
                 continue
             own, parts = v[q, level], []
             for step, may in ((0, None), (1, s > 0), (-1, (s == 0) & (d > 0))):
@@ -166,7 +179,7 @@ class CountTrie:
             if len(found[0]):
                 stack.append((level + 1, *found))
 
-    def verified(self, words: list[str], q: np.ndarray, leaf: np.ndarray, longer: np.ndarray, unspent: np.ndarray) -> Iterator[tuple[int, int]]:
+    def verified(self, words: list[str], packed: tuple[np.ndarray, np.ndarray], q: np.ndarray, leaf: np.ndarray, longer: np.ndarray, unspent: np.ndarray) -> Iterator[tuple[int, int]]:
         """The pairs among queries and words of their leaves that differ by one character; an unspent budget takes only words after the query's."""
         size = self.leaf[leaf + 1] - self.leaf[leaf]
         for i in np.flatnonzero(size > LEAF).tolist():
@@ -177,7 +190,7 @@ class CountTrie:
         few = np.flatnonzero(size <= LEAF)
         rows = np.repeat(few, size[few])
         at = np.arange(len(rows)) - np.repeat(np.cumsum(size[few]) - size[few], size[few]) + self.leaf[leaf[rows]]
-        near = one_apart(words, q[rows], self.words, at, longer[q[rows]])
+        near = one_apart(packed, q[rows], self.packed, at, longer[q[rows]])
         for i, a, b in zip(rows[near].tolist(), q[rows[near]].tolist(), at[near].tolist(), strict=True):
             if not unspent[i] or self.words[b] > words[a]:
                 yield a, b
@@ -197,9 +210,9 @@ class CountTrie:
         return self.found[leaf]
 
 
-def one_apart(a: list[str], i: np.ndarray, b: list[str], j: np.ndarray, longer: np.ndarray) -> np.ndarray:
-    """For pairs a[i], b[j], where b is longer by one or as long: whether one character is the whole difference."""
-    (abuf, aend), (bbuf, bend) = _pack(a), _pack(b)
+def one_apart(a: tuple[np.ndarray, np.ndarray], i: np.ndarray, b: tuple[np.ndarray, np.ndarray], j: np.ndarray, longer: np.ndarray) -> np.ndarray:
+    """For pairs a[i], b[j] of packed words, where b is longer by one or as long: whether one character is the whole difference."""
+    (abuf, aend), (bbuf, bend) = a, b
     out, length = np.zeros(len(i), bool), np.diff(aend)[i]
     for n in np.unique(length).tolist():
         of = np.flatnonzero(length == n)

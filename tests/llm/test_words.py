@@ -167,6 +167,14 @@ def plain_variants(rows):
     return plain_forms({w: k for w, k in n.items() if len(w) >= 5 and k >= 3})
 
 
+@pytest.mark.parametrize("piece", [1, 3, 50, 1 << 20])
+def test_runs_of_long_texts(piece):
+    rng = random.Random(1)
+    text = "".join(rng.choice("aBéÀ ñ÷zß1\n") for _ in range(4000)) + "Z" * 300
+    want = [w for w in re.findall("[A-Za-zÀ-ÿ]+", text.translate({i: i + 32 for i in range(65, 91)})) if len(w) >= 5]
+    assert [w for some in spelling.runs_of(text, 5, piece) for w in some] == want
+
+
 def plain_near(words):
     """Pairs by what is left without one character."""
     holes, words_of = defaultdict(set), set(words)
