@@ -7,7 +7,8 @@ from pyspark.sql import functions as F
 
 from ..functions.arrays import doubles
 from ..operators import alignment, balance, evaluation, experiments, features, geometry, learning, windows
-from ..session import materialize, table
+from ..session import fresh_path, materialize, table
+from ..streaming import graph
 from .registry import query
 
 FS = 128.0
@@ -155,6 +156,22 @@ def graph_pagerank(spark, sf_dir):
     return features.graph_features(described(spark, sf_dir), "record", ["vec_id"]).select("vec_id", "gr_pagerank")
 
 
+@query(f"""WITH {EDGES}, r AS (SELECT record, vec_id, j, vec_id - lag(vec_id) OVER (PARTITION BY record ORDER BY j) AS rr FROM n),
+    m AS (SELECT *, avg(rr) OVER (PARTITION BY record ORDER BY j ROWS BETWEEN 15 PRECEDING AND CURRENT ROW) AS mean_rr FROM r)
+    SELECT m.vec_id, m.j::INTEGER AS pos, round(coalesce(mean_rr, 0), 6) AS mean_rr, round(CASE WHEN m.j < 2 THEN 0 ELSE coalesce(sum(w), 0) END, 6) AS gr_wdegree
+    FROM m LEFT JOIN g ON g.record = m.record AND g.j = m.j GROUP BY m.vec_id, m.j, mean_rr""")
+def stream_beats(spark, sf_dir):
+    """Rhythm and graph of each arriving beat: the table is read as a stream, a second between ids, labels as records."""
+    path = f"{sf_dir}/embeddings.parquet"
+    stream = spark.readStream.schema(spark.read.parquet(path).schema).parquet(path + "*")  # a file or a folder of them
+    beats = stream.select(F.col("label").alias("record"), F.col("vec_id").alias("event_id"), F.timestamp_seconds(F.col("vec_id") + 1).alias("ts"), doubles("embedding").alias("x"))
+    out = graph.beat_features(features.descriptor(beats, "x"), "0 seconds", idle=1e9)
+    to = fresh_path(spark, "stream-beats")
+    out.writeStream.format("parquet").option("path", to).option("checkpointLocation", fresh_path(spark, "stream-state")).outputMode("append").trigger(availableNow=True).start().awaitTermination()
+    got = spark.read.schema(out.schema).parquet(to)
+    return _round(got.select(F.col("event_id").alias("vec_id"), "pos", "mean_rr", "gr_wdegree"), 6, "mean_rr", "gr_wdegree")
+
+
 STANDARD = f"{LONG}, z AS (SELECT vec_id, label, i, (x - avg(x) OVER w) / CASE WHEN stddev_pop(x) OVER w = 0 THEN 1 ELSE stddev_pop(x) OVER w END AS x FROM l WINDOW w AS (PARTITION BY i))"
 CELLS = f"""{STANDARD}, c AS (SELECT label, i, count(*) AS n, avg(x) AS m, var_pop(x) AS v FROM z GROUP BY label, i)"""
 
