@@ -141,7 +141,7 @@ def silhouettes(vectors: DataFrame, block: int = 4096, features: str = "features
     return means.select("id", "label", F.coalesce(F.when(worst > 0, (F.col("b") - F.col("a")) / worst), F.lit(0.0)).alias("silhouette"))
 
 
-def _nearest(part: pa.Table, k: int, features: str) -> pa.Table:
+def _nearest(part: pa.Table, k: int, features: str, others: bool) -> pa.Table:
     """The k nearest of one block of rows for one block of queries: by products first, what may be among them by differences."""
     part = part.combine_chunks()
     x = np.array(part[features].to_pylist(), dtype=np.float64)
@@ -154,7 +154,8 @@ def _nearest(part: pa.Table, k: int, features: str) -> pa.Table:
             own = q[lo : lo + 256]
             xx = (x[own] * x[own]).sum(axis=1)
             d2 = xx[:, None] + yy[None, :] - 2 * (x[own] @ y.T)
-            d2[ids[own][:, None] == ids[c][None, :]] = np.inf
+            if not others:
+                d2[ids[own][:, None] == ids[c][None, :]] = np.inf
             near = np.partition(d2, k - 1, axis=1)[:, k - 1] if d2.shape[1] > k else np.full(len(own), np.inf)
             # products are off by 1e-12 of the norms at most
             r, at = np.nonzero((d2 <= (near + 1e-9 * (xx + yy.max()))[:, None]) & np.isfinite(d2))
@@ -168,8 +169,8 @@ def _nearest(part: pa.Table, k: int, features: str) -> pa.Table:
     return pa.Table.from_arrays([pa.array(query, rows.schema.field("id").type), rows["id"], rows["label"], pa.array(d2)], ["query", "id", "label", "d2"])
 
 
-def neighbours(queries: DataFrame, rows: DataFrame, k: int, block: int = 4096, features: str = "features") -> DataFrame:
-    """(query, id, label, d2, rank): the k nearest rows of every query row, itself left out.
+def neighbours(queries: DataFrame, rows: DataFrame, k: int, block: int = 4096, features: str = "features", others: bool = False) -> DataFrame:
+    """(query, id, label, d2, rank): the k nearest rows of every query row, itself left out unless the rows are ``others``, with ids of their own.
 
     Queries and rows are dealt into blocks of about ``block`` by a hash of their id, and a
     task compares two blocks; a window merges its k rows per query with the others'.  Blocks
@@ -183,7 +184,7 @@ def neighbours(queries: DataFrame, rows: DataFrame, k: int, block: int = 4096, f
     left = queries.select("id", F.lit(None).cast(kinds["label"]).alias("label"), features, F.lit(True).alias("ask"), number(asks).alias("i"), everyone(blocks).alias("j"))
     right = rows.select("id", "label", features, F.lit(False).alias("ask"), number(blocks).alias("j"), everyone(asks).alias("i"))
     out = left.unionByName(right).groupBy("i", "j").applyInArrow(
-        lambda part: _nearest(part, k, features), f"query {kinds['id']}, id {kinds['id']}, label {kinds['label']}, d2 double")
+        lambda part: _nearest(part, k, features, others), f"query {kinds['id']}, id {kinds['id']}, label {kinds['label']}, d2 double")
     w = Window.partitionBy("query").orderBy("d2", "id")
     return out.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k)
 

@@ -39,10 +39,12 @@ def _sum_cells(rows: DataFrame, partial: Callable[[np.ndarray, np.ndarray], np.n
             chunks = [held[lo : lo + CELLS] for lo in range(0, len(held), CELLS)]
             yield pa.RecordBatch.from_arrays([pa.array(range(len(chunks)), pa.int64()), pa.array(chunks, pa.list_(pa.float64()))], ["chunk", "x"])
 
-    made = rows.select(*columns).mapInArrow(run, "chunk long, x array<double>")
-    # one array per task and chunk: tasks x 64 kB meet for a chunk
-    parts = made.groupBy("chunk").agg(F.collect_list("x").alias("x"))
-    found = parts.select("chunk", F.reduce(F.slice("x", 2, F.size("x")), F.col("x")[0], lambda s, x: F.zip_with(s, x, lambda a, b: a + b)).alias("x")).collect()
+    # n tasks' arrays are added up in about sqrt(n) groups of at most 2 * sqrt(n) + 1, and then the groups' sums
+    made = rows.select(*columns).mapInArrow(run, "chunk long, x array<double>").withColumn("part", F.floor(F.sqrt(F.spark_partition_id())))
+    for keys in (["chunk", "part"], ["chunk"]):
+        parts = made.groupBy(*keys).agg(F.collect_list("x").alias("x"))
+        made = parts.select(*keys, F.reduce(F.slice("x", 2, F.size("x")), F.col("x")[0], lambda s, x: F.zip_with(s, x, lambda a, b: a + b)).alias("x"))
+    found = made.collect()
     return np.concatenate([r["x"] for r in sorted(found, key=lambda r: r["chunk"])]) if found else np.empty(0)
 
 
@@ -53,11 +55,14 @@ class Scaler:
 
     @classmethod
     def fit(cls, rows: DataFrame) -> Scaler:
-        sums = _sum_cells(rows, lambda x, _: np.concatenate([[len(x)], x.sum(axis=0), (x**2).sum(axis=0)]), ["features", "label"])
-        d = (len(sums) - 1) // 2
-        mean = sums[1 : d + 1] / sums[0]
-        sd = np.sqrt(np.maximum(sums[d + 1 :] / sums[0] - mean**2, 0))
-        return cls(mean, np.where(sd > 0, sd, 1.0))
+        """Means first, then squares about them: no figures cancel however large the means are."""
+        sums = _sum_cells(rows, lambda x, _: np.concatenate([[len(x)], x.sum(axis=0)]), ["features", "label"])
+        mean = sums[1:] / sums[0]
+        off = _sum_cells(rows, lambda x, _: np.concatenate([(x - mean).sum(axis=0), ((x - mean) ** 2).sum(axis=0)]), ["features", "label"]) / sums[0]
+        d = len(mean)
+        var = np.maximum(off[d:] - off[:d] ** 2, 0)
+        sd = np.where(var > (1e-14 * np.abs(mean)) ** 2, np.sqrt(var), 0)  # less than what rounding leaves of a constant
+        return cls(mean + off[:d], np.where(sd > 0, sd, 1.0))
 
     def __call__(self, x: np.ndarray) -> np.ndarray:
         return (x - self.mean) / self.scale
@@ -75,9 +80,10 @@ class Linear:
         return self.scaler(x) @ self.coef[:, :-1].T + self.coef[:, -1]
 
     def predict(self, rows: DataFrame) -> DataFrame:
-        """rows with y_pred and the array of scores in the order of the classes."""
+        """rows, labelled or not, with y_pred and the array of scores in the order of the classes."""
         sent = rows.sparkSession.sparkContext.broadcast(self)
-        kind = dict(rows.dtypes)["label"]
+        kind = dict(rows.dtypes).get("label", "string" if isinstance(self.classes[0], str) else "bigint")
+        arrow = {"string": pa.string(), "bigint": pa.int64(), "int": pa.int32(), "double": pa.float64(), "boolean": pa.bool_()}[kind]
 
         def run(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             model = sent.value
@@ -85,7 +91,7 @@ class Linear:
                 x = np.array(part["features"].to_pylist(), dtype=np.float64).reshape(part.num_rows, -1)
                 s = model.scores(x) if part.num_rows else np.empty((0, len(model.classes)))
                 best = s.argmax(axis=1) if len(s) else []
-                pred = pa.array([model.classes[b] for b in best], part["label"].type)
+                pred = pa.array([model.classes[b] for b in best], arrow)
                 yield pa.RecordBatch.from_arrays([*part.columns, pred, pa.array(s.tolist(), pa.list_(pa.float64()))], [*part.schema.names, "y_pred", "scores"])
 
         own = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in rows.schema)
@@ -255,6 +261,13 @@ FACTORIES: dict[str, Callable[[DataFrame], object]] = {
 }
 
 
+def _answers(classes: list) -> list[F.Column]:
+    """y_pred, and scores in the order of the classes, of a Spark ML model with prediction _p and probability _q."""
+    from pyspark.ml.functions import vector_to_array
+
+    return [F.get(F.array(*map(F.lit, classes)), F.col("_p").cast("int")).alias("y_pred"), F.slice(vector_to_array("_q"), 1, len(classes)).alias("scores")]
+
+
 class Forest:
     """Spark ML's trees behind the same interface: DecisionTree (depth 5) or RandomForest."""
 
@@ -274,22 +287,23 @@ class Forest:
     def predict(self, rows: DataFrame) -> DataFrame:
         from pyspark.ml.functions import array_to_vector
 
-        out = self.model.setPredictionCol("_p").transform(rows.withColumn("_v", array_to_vector("features")))
-        names = F.array(*map(F.lit, self.classes))
-        return out.withColumn("y_pred", F.get(names, F.col("_p").cast("int"))).select(*rows.columns, "y_pred")
+        out = self.model.setPredictionCol("_p").setProbabilityCol("_q").transform(rows.withColumn("_v", array_to_vector("features")))
+        return out.select(*rows.columns, *_answers(self.classes))
 
 
 class Neighbours:
-    """A majority of the k nearest training rows answers; ties go to the class that sorts first."""
+    """A majority of the k nearest training rows answers, its share is the score; ties go to the class that sorts first."""
 
     def __init__(self, rows: DataFrame, k: int = 15):
-        self.rows, self.k = rows, k
+        self.rows, self.k, self.classes = rows, k, sorted(label_counts(rows))
 
     def predict(self, rows: DataFrame) -> DataFrame:
-        # training rows get ids that no row asks for, so that none is left out as its own neighbour
-        near = geometry.neighbours(rows, self.rows.withColumn("id", -F.col("id") - 1), self.k)
-        votes = near.groupBy("query", "label").agg(F.count(F.lit(1)).alias("n")).groupBy("query").agg(F.min(F.struct((-F.col("n")).alias("n"), "label")).alias("best"))
-        return rows.join(votes.select(F.col("query").alias("id"), F.col("best.label").alias("y_pred")), "id")
+        near = geometry.neighbours(rows, self.rows, self.k, others=True)
+        n = [F.count_if(F.col("label") == F.lit(c)) for c in self.classes]
+        votes = near.groupBy("query").agg(F.array(*n).alias("_n"))
+        best = F.get(F.array(*map(F.lit, self.classes)), F.array_position("_n", F.array_max("_n")).cast("int") - 1)
+        total = F.aggregate("_n", F.lit(0).cast("long"), lambda s, x: s + x)
+        return rows.join(votes.select(F.col("query").alias("id"), best.alias("y_pred"), F.transform("_n", lambda x: x / total).alias("scores")), "id")
 
 
 class Perceptron:
@@ -311,9 +325,9 @@ class Perceptron:
     def predict(self, rows: DataFrame) -> DataFrame:
         from pyspark.ml.functions import array_to_vector
 
-        names = F.array(*map(F.lit, self.classes))
-        out = self.model.setPredictionCol("_p").transform(self._scaled(rows).withColumn("_v", array_to_vector("features")))
-        return rows.join(out.select("id", F.get(names, F.col("_p").cast("int")).alias("y_pred")), "id")
+        ready = self._scaled(rows.withColumn("_kept", F.col("features"))).withColumn("_v", array_to_vector("features"))
+        out = self.model.setPredictionCol("_p").setProbabilityCol("_q").transform(ready)
+        return out.select(*(F.col("_kept").alias(c) if c == "features" else c for c in rows.columns), *_answers(self.classes))
 
 
 FACTORIES["dt"] = Forest
@@ -331,6 +345,7 @@ class Lifted:
         self.gamma = gamma if gamma is not None else 1.0 / len(self.scaler.mean)  # scaled features have unit variance
         self.features = features
         self.model = fit_linear(materialize(self._lift(rows), "lifted"), "squared_hinge", c, balanced=False, rounds=15)
+        self.classes = self.model.classes
 
     def _lift(self, rows: DataFrame) -> DataFrame:
         mean, scale = (F.array(*map(F.lit, x.tolist())) for x in (self.scaler.mean, self.scaler.scale))
@@ -338,7 +353,7 @@ class Lifted:
         return random_fourier(scaled, self.gamma, self.features)
 
     def predict(self, rows: DataFrame) -> DataFrame:
-        return rows.join(self.model.predict(self._lift(rows)).select("id", "y_pred"), "id")
+        return rows.join(self.model.predict(self._lift(rows)).select("id", "y_pred", "scores"), "id")
 
 
 FACTORIES["linear"] = lambda rows: fit_linear(rows, "squared_hinge", 1.0, balanced=False)
@@ -401,20 +416,27 @@ FACTORIES["pipeline60"] = lambda rows: Pipeline(rows, keep=60)
 FACTORIES["plain_pipeline"] = lambda rows: Pipeline(rows, augment=False, smote=False)
 
 
-def principal_components(rows: DataFrame, k: int = 5) -> Callable[[DataFrame], DataFrame]:
-    """Learn k components from rows; the result appends them to the features of any rows.
+def components_of(rows: DataFrame, k: int) -> tuple[np.ndarray, np.ndarray]:
+    """(mean, loadings) of the k first principal components of rows, a row of loadings each.
 
-    Signs are pinned: each component's largest loading is positive.
+    Moments are taken about a first mean.  Signs are pinned: each component's largest loading is positive.
     """
-    s = _sum_cells(rows, lambda x, _: np.concatenate([[len(x)], x.sum(axis=0), (x.T @ x).ravel()]), ["features", "label"])
-    d = int((np.sqrt(4 * len(s) - 3) - 1) / 2)
+    first = Scaler.fit(rows).mean
+    s = _sum_cells(rows, lambda x, _: np.concatenate([[len(x)], (x - first).sum(axis=0), ((x - first).T @ (x - first)).ravel()]), ["features", "label"])
+    d = len(first)
     mean = s[1 : d + 1] / s[0]
     _, v = np.linalg.eigh(s[d + 1 :].reshape(d, d) / s[0] - np.outer(mean, mean))
     v = v[:, ::-1][:, : min(k, d - 1)]
     v = v * np.sign(v[np.abs(v).argmax(axis=0), np.arange(v.shape[1])])
+    return first + mean, v.T
+
+
+def principal_components(rows: DataFrame, k: int = 5) -> Callable[[DataFrame], DataFrame]:
+    """Learn k components from rows; the result appends them to the features of any rows."""
+    mean, loadings = components_of(rows, k)
 
     def extend(more: DataFrame) -> DataFrame:
-        part = [F.aggregate(F.zip_with("features", F.array(*map(F.lit, (c).tolist())), lambda a, b: a * b), F.lit(float(-(mean @ c))), lambda t, x: t + x) for c in v.T]
+        part = [F.aggregate(F.zip_with("features", F.array(*map(F.lit, c.tolist())), lambda a, b: a * b), F.lit(float(-(mean @ c))), lambda t, x: t + x) for c in loadings]
         return more.withColumn("features", F.concat("features", F.array(*part)))
 
     return extend
