@@ -142,6 +142,27 @@ def resample(x: np.ndarray, up: int, down: int) -> np.ndarray:
     return out
 
 
+def ratio(up: int, down: int) -> tuple[int, int]:
+    g = math.gcd(up, down)
+    return up // g, down // g
+
+
+def resample_span(x: np.ndarray, lo: int, total: int, up: int, down: int, first: int, end: int) -> np.ndarray:
+    """Values first .. end of ``resample`` of a signal of ``total`` samples, of which x holds those from lo on that they need."""
+    most = max(up, down)
+    half = 10 * most
+    taps = np.sinc(np.arange(-half, half + 1) / most) / most * np.kaiser(2 * half + 1, 5.0)
+    taps *= up / taps.sum()
+    out = np.zeros(max(end - first, 0))
+    for a in range(0, len(out), 8192):
+        centre = np.arange(first + a, min(first + a + 8192, end)) * down
+        i = -((half - centre) // up)[:, None] + np.arange(2 * half // up + 1)
+        tap = centre[:, None] - i * up + half
+        there = (tap >= 0) & (tap <= 2 * half) & (i >= 0) & (i < total)
+        out[a : a + len(centre)] = (np.where(there, x[np.clip(i - lo, 0, len(x) - 1)], 0.0) * taps[np.clip(tap, 0, 2 * half)]).sum(axis=1)
+    return out
+
+
 def similarity_graph(window: np.ndarray, tau: float) -> np.ndarray:
     """Weights max(0, cosine) * exp(-|i - j| / tau) of a batch of windows (rows, nodes, values); no loops."""
     unit = window / (np.linalg.norm(window, axis=2, keepdims=True) + 1e-12)

@@ -1,8 +1,7 @@
-"""Waveform records: header, signal (formats 16 and 212) and annotations, read through Spark's binary reader."""
+"""Waveform records: whole channels, annotations and patients."""
 
 from __future__ import annotations
 
-import re
 from collections.abc import Iterator
 
 import numpy as np
@@ -10,6 +9,8 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from .waveform import read_blocks
+
 SIGNAL = "record string, lead string, idx int, fs double, samples array<double>"
 ANNOTATION = "record string, sample long, symbol string"
 # Annotation codes of the format and their symbols.
@@ -18,30 +19,6 @@ CODES = {1: "N", 2: "L", 3: "R", 4: "a", 5: "V", 6: "F", 7: "J", 8: "A", 9: "S",
          37: "x", 38: "f", 39: "(", 40: ")", 41: "r"}
 
 
-def parse_header(text: str) -> dict:
-    """Record name, sampling rate and channels of a header text."""
-    lines = [x for x in text.splitlines() if x and not x.startswith("#")]
-    first = lines[0].split()
-    channels = []
-    for line in lines[1 : 1 + int(first[1])]:
-        f = line.split()
-        gain = re.match(r"(-?[\d.]+)(?:\((-?\d+)\))?", f[2] if len(f) > 2 else "200")
-        zero = int(f[4]) if len(f) > 4 else 0
-        channels.append({"file": f[0], "format": f[1].split("x")[0], "gain": float(gain[1]) or 200.0,
-                         "baseline": int(gain[2]) if gain[2] else zero, "name": " ".join(f[8:]) or f"ch{len(channels)}"})
-    return {"record": first[0].split("/")[0], "fs": float(first[2].split("/")[0]) if len(first) > 2 else 250.0, "channels": channels}
-
-
-def decode_samples(data: bytes, format_: str) -> np.ndarray:
-    if format_ == "16":
-        return np.frombuffer(data, dtype="<i2").astype(np.int32)
-    if format_ == "212":
-        b = np.frombuffer(data[: len(data) // 3 * 3], dtype=np.uint8).reshape(-1, 3).astype(np.int32)
-        out = np.stack([b[:, 0] | (b[:, 1] & 0x0F) << 8, b[:, 2] | (b[:, 1] & 0xF0) << 4], axis=1).ravel()
-        return np.where(out > 2047, out - 4096, out)
-    raise ValueError(f"signal format {format_} is not supported")
-
-
 def encode_212(samples: np.ndarray) -> bytes:
     s = np.append(samples, 0) if len(samples) % 2 else samples
     s = (s.astype(np.int32) & 0xFFF).reshape(-1, 2)
@@ -87,21 +64,10 @@ def _files(spark: SparkSession, path: str, suffix: str) -> DataFrame:
 
 
 def read_signals(spark: SparkSession, path: str) -> DataFrame:
-    """(record, lead, idx, fs, samples) in physical units for every record in a folder; one record per row of work."""
-    both = _files(spark, path, "hea").join(_files(spark, path, "dat"), "record")
-
-    def decode(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for part in parts:
-            rows = []
-            for record, head, data in zip(part["record"], part["hea"], part["dat"], strict=True):
-                h = parse_header(bytes(head).decode("latin-1"))
-                n = len(h["channels"])
-                raw = decode_samples(bytes(data), h["channels"][0]["format"])
-                raw = raw[: len(raw) // n * n].reshape(-1, n)
-                rows += [(record, c["name"], i, h["fs"], (raw[:, i] - c["baseline"]) / c["gain"]) for i, c in enumerate(h["channels"])]
-            yield pd.DataFrame(rows, columns=["record", "lead", "idx", "fs", "samples"])
-
-    return both.mapInPandas(decode, SIGNAL)
+    """(record, lead, idx, fs, samples) in physical units, a row for each whole channel; ``waveform.read_blocks`` has no such rows."""
+    parts = F.array_sort(F.collect_list(F.struct("start", "samples")))
+    whole = read_blocks(spark, path).groupBy("record", "lead", "idx", "fs").agg(parts.alias("_p"))
+    return whole.select("record", "lead", "idx", "fs", F.flatten(F.transform("_p", lambda p: p["samples"])).alias("samples"))
 
 
 def read_annotations(spark: SparkSession, path: str, suffix: str = "atr") -> DataFrame:
