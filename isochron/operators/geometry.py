@@ -9,6 +9,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..session import materialize
+
 
 def long(vectors: DataFrame, id_: str = "id", label: str = "label", features: str = "features") -> DataFrame:
     """(id, label, dim, x): one row per component; aggregates over it are partial in every task."""
@@ -141,52 +143,149 @@ def silhouettes(vectors: DataFrame, block: int = 4096, features: str = "features
     return means.select("id", "label", F.coalesce(F.when(worst > 0, (F.col("b") - F.col("a")) / worst), F.lit(0.0)).alias("silhouette"))
 
 
+#: Pivots at most; their coordinates go to all tasks.
+PIVOTS = 2048
+
+
 def _nearest(part: pa.Table, k: int, features: str, others: bool) -> pa.Table:
-    """The k nearest of one block of rows for one block of queries: by products first, what may be among them by differences."""
+    """The k nearest of one block of rows for one block of queries: by products first, what may be among them by differences.
+
+    A query with a bound in the column tau gets no row farther than that; rows whose distance from
+    their pivot differs from the query's by more are left out beforehand.
+    """
     part = part.combine_chunks()
     x = np.array(part[features].to_pylist(), dtype=np.float64)
     asks, ids = part["ask"].to_numpy(), part["id"].to_numpy()
+    tau, ring = (part[c].to_numpy() for c in ("tau", "ring"))
     q, c = np.flatnonzero(asks), np.flatnonzero(~asks)
     found: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
     if len(q) and len(c):
-        y, yy = x[c], (x[c] * x[c]).sum(axis=1)
+        q, c = q[np.argsort(ring[q], kind="stable")], c[np.argsort(ring[c], kind="stable")]
         for lo in range(0, len(q), 256):
             own = q[lo : lo + 256]
-            xx = (x[own] * x[own]).sum(axis=1)
+            slack = 1e-9 * (1 + ring[own].max())
+            near_by = slice(np.searchsorted(ring[c], (ring[own] - tau[own]).min() - slack), np.searchsorted(ring[c], (ring[own] + tau[own]).max() + slack, side="right"))
+            to = c[near_by]
+            if not len(to):
+                continue
+            y, yy, xx = x[to], (x[to] * x[to]).sum(axis=1), (x[own] * x[own]).sum(axis=1)
             d2 = xx[:, None] + yy[None, :] - 2 * (x[own] @ y.T)
             if not others:
-                d2[ids[own][:, None] == ids[c][None, :]] = np.inf
+                d2[ids[own][:, None] == ids[to][None, :]] = np.inf
             near = np.partition(d2, k - 1, axis=1)[:, k - 1] if d2.shape[1] > k else np.full(len(own), np.inf)
             # products are off by 1e-12 of the norms at most
-            r, at = np.nonzero((d2 <= (near + 1e-9 * (xx + yy.max()))[:, None]) & np.isfinite(d2))
+            off = 1e-9 * (xx + yy.max())
+            r, at = np.nonzero((d2 <= np.minimum(near + off, tau[own] ** 2 + off)[:, None]) & np.isfinite(d2))
             exact = ((x[own[r]] - y[at]) ** 2).sum(axis=1)
-            order = np.lexsort((ids[c][at], exact, r))
+            order = np.lexsort((ids[to][at], exact, r))
             r, at, exact = r[order], at[order], exact[order]
             first = np.arange(len(r)) - np.searchsorted(r, r) < k
-            found.append((ids[own[r[first]]], c[at[first]], exact[first]))
+            found.append((ids[own[r[first]]], to[at[first]], exact[first]))
     query, at, d2 = (np.concatenate(v) for v in zip(*found, strict=True)) if found else (np.empty(0, ids.dtype), np.empty(0, np.int64), np.empty(0))
     rows = part.select(["id", "label"]).take(pa.array(at.astype(np.int64)))
     return pa.Table.from_arrays([pa.array(query, rows.schema.field("id").type), rows["id"], rows["label"], pa.array(d2)], ["query", "id", "label", "d2"])
 
 
-def neighbours(queries: DataFrame, rows: DataFrame, k: int, block: int = 4096, features: str = "features", others: bool = False) -> DataFrame:
+class Cells:
+    """Rows in cells around pivots: each lies in the cell of its nearest pivot, at a distance from it (its ring)."""
+
+    def __init__(self, rows: DataFrame, n: int, block: int, features: str):
+        self.features, self.block = features, block
+        count = max(1, min(PIVOTS, -(-n // block)))
+        chosen = rows.select("id", features).orderBy(F.xxhash64("id"), "id").limit(count).collect() if count > 1 else []
+        self.pivots = np.array([r[features] for r in chosen], dtype=np.float64) if chosen else None
+        self.rows = rows.select("id", "label", features)
+        self.rows = materialize(self.placed(self.rows), "cells") if chosen else self.placed(self.rows)
+        found = {r["cell"]: r for r in self.rows.groupBy("cell").agg(F.count(F.lit(1)).alias("n"), F.max("ring").alias("far")).collect()}  # a row per pivot
+        self.sizes = np.array([found[i]["n"] if i in found else 0 for i in range(count)])
+        self.radius = np.array([found[i]["far"] if i in found else -np.inf for i in range(count)])
+        self.parts = np.maximum(1, -(-self.sizes // block))
+
+    def distances(self, x: np.ndarray) -> np.ndarray:
+        return _distances(x, self.pivots)
+
+    def _mapped(self, df: DataFrame, add, more: str) -> DataFrame:
+        own, features = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in df.schema), self.features
+
+        def run(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for part in parts:
+                if part.num_rows:
+                    yield add(part, np.array(part[features].to_pylist(), dtype=np.float64))
+
+        return df.mapInArrow(run, f"{own}, {more}")
+
+    def placed(self, df: DataFrame) -> DataFrame:
+        """df with the cell of each row and its ring."""
+        if self.pivots is None:
+            return df.withColumn("cell", F.lit(0)).withColumn("ring", F.lit(0.0))
+        pivots = self.pivots
+
+        def add(part: pa.RecordBatch, x: np.ndarray) -> pa.RecordBatch:
+            d = _distances(x, pivots)
+            cell = d.argmin(axis=1)
+            return pa.RecordBatch.from_arrays([*part.columns, pa.array(cell.astype(np.int32)), pa.array(d[np.arange(len(d)), cell])], [*part.schema.names, "cell", "ring"])
+
+        return self._mapped(df, add, "cell int, ring double")
+
+    def asked(self, queries: DataFrame) -> DataFrame:
+        """Queries with own cell and tau, once for each other cell that may hold a row within tau (cell and ring are then that cell's)."""
+        pivots, radius = self.pivots, self.radius
+
+        def add(part: pa.RecordBatch, x: np.ndarray) -> pa.RecordBatch:
+            d, tau = _distances(x, pivots), part["tau"].to_numpy()
+            may = d - radius[None, :] <= (tau * (1 + 1e-9) + 1e-9 * (1 + d.min(axis=1)))[:, None]
+            may[np.arange(len(d)), part["own"].to_numpy()] = False
+            q, cell = np.nonzero(may)
+            rows = part.take(pa.array(q))
+            return pa.RecordBatch.from_arrays([*rows.columns, pa.array(cell.astype(np.int32)), pa.array(d[q, cell])], [*part.schema.names, "cell", "ring"])
+
+        return self._mapped(queries, add, "cell int, ring double")
+
+    def meet(self, queries: DataFrame, asking: np.ndarray, k: int, others: bool) -> DataFrame:
+        """The k nearest of each query (id, features, tau, cell, ring) among the rows of its cell; cells and queries to them are cut into blocks."""
+        kinds, features = dict(self.rows.dtypes), self.features
+        pieces = np.maximum(1, -(-asking // self.block))
+        of = lambda counts: F.get(F.array(*map(F.lit, counts.tolist())), F.col("cell"))
+        here = lambda n, salt: F.pmod(F.xxhash64(F.lit(salt), "id"), n).cast("int")
+        every = lambda n: F.explode(F.sequence(F.lit(0), (n - 1).cast("int")))
+        left = queries.select("id", F.lit(None).cast(kinds["label"]).alias("label"), features, "tau", "ring", F.lit(True).alias("ask"), "cell",
+                              here(of(pieces), 1).alias("i"), every(of(self.parts)).alias("j"))
+        right = self.rows.select("id", "label", features, F.lit(0.0).alias("tau"), "ring", F.lit(False).alias("ask"), "cell",
+                                 every(of(pieces)).alias("i"), here(of(self.parts), 2).alias("j"))
+        return left.unionByName(right).groupBy("cell", "i", "j").applyInArrow(
+            lambda part: _nearest(part, k, features, others), f"query {kinds['id']}, id {kinds['id']}, label {kinds['label']}, d2 double")
+
+
+def neighbours(queries: DataFrame, rows: DataFrame, k: int, block: int = 4096, features: str = "features", others: bool = False, report: dict | None = None) -> DataFrame:
     """(query, id, label, d2, rank): the k nearest rows of every query row, itself left out unless the rows are ``others``, with ids of their own.
 
-    Queries and rows are dealt into blocks of about ``block`` by a hash of their id, and a
-    task compares two blocks; a window merges its k rows per query with the others'.  Blocks
-    travel by shuffle: nothing but two counts reaches the driver.  Ties go to the smaller id;
-    ids are unique numbers.
+    Rows lie in cells of about ``block`` rows around pivots (at most ``PIVOTS``).  A query first meets its
+    own cell; its k-th distance there bounds, by the triangle inequality, which other cells can hold
+    nearer rows, and only to these it is sent.  Cells and what asks for them are cut into blocks, so
+    no task gets more than a block of either.  ``report`` gets the pairs of query and row in all and
+    those in blocks that met.  Ties go to the smaller id; ids are unique numbers.
     """
-    kinds = dict(rows.dtypes)
-    asks, blocks = (max(1, -(-df.count() // block)) for df in (queries, rows))
-    number = lambda n: F.pmod(F.xxhash64("id"), F.lit(n)).cast("int")
-    everyone = lambda n: F.explode(F.sequence(F.lit(0), F.lit(n - 1)))
-    left = queries.select("id", F.lit(None).cast(kinds["label"]).alias("label"), features, F.lit(True).alias("ask"), number(asks).alias("i"), everyone(blocks).alias("j"))
-    right = rows.select("id", "label", features, F.lit(False).alias("ask"), number(blocks).alias("j"), everyone(asks).alias("i"))
-    out = left.unionByName(right).groupBy("i", "j").applyInArrow(
-        lambda part: _nearest(part, k, features, others), f"query {kinds['id']}, id {kinds['id']}, label {kinds['label']}, d2 double")
+    n = rows.count()
+    cells = Cells(rows, n, block, features)
+    at = cells.placed(queries.select("id", features)).withColumn("tau", F.lit(float("inf")))
+    asking = lambda df: np.array([m.get(i, 0) for m in [{r["cell"]: r["n"] for r in df.groupBy("cell").agg(F.count(F.lit(1)).alias("n")).collect()}] for i in range(len(cells.sizes))])
     w = Window.partitionBy("query").orderBy("d2", "id")
-    return out.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k)
+    best = lambda df: df.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k)
+    if cells.pivots is None:
+        first = asking(at)
+        if report is not None:
+            report.update(pairs=int(first.sum()) * n, compared=int(first.sum()) * n)
+        return best(cells.meet(at, first, k, others))
+    at = materialize(at, "asking")
+    first = asking(at)
+    own = materialize(best(cells.meet(at, first, k, others)).drop("rank"), "own-cell")
+    bound = own.groupBy(F.col("query").alias("id")).agg(F.when(F.count(F.lit(1)) >= k, F.sqrt(F.max("d2"))).alias("_tau"))
+    more = at.withColumnRenamed("cell", "own").drop("tau", "ring").join(bound, "id", "left").withColumn("tau", F.coalesce("_tau", F.lit(float("inf")))).drop("_tau")
+    sent = cells.asked(more)
+    second = asking(sent)
+    if report is not None:
+        report.update(pairs=int(first.sum()) * n, compared=int(((first + second) * cells.sizes).sum()))
+    return best(own.unionByName(cells.meet(sent, second, k, others)))
 
 
 def top_margin(rows: DataFrame, scores: str) -> DataFrame:

@@ -2,11 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions.arrays import doubles
-from ..operators import evaluation, features, matching, sampling, tables, windows
+from ..operators import blocks, evaluation, features, matching, sampling, tables, windows
 from ..session import table
 from .registry import query
 
@@ -368,3 +368,36 @@ def detector_score(spark, sf_dir):
     own = table(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("record"), F.lit(128).alias("fs"), doubles("embedding").alias("samples"))
     ref = own.select("record", F.posexplode(F.sequence(F.lit(4), F.size("samples") - 1, F.lit(8))).alias("r_id", "r_t")).withColumns({"r_id": F.col("r_id").cast("long"), "r_t": F.col("r_t").cast("double")})
     return matching.evaluated_detector(own, ref, matching.peaks_above(0.5, 1), 0.5)
+
+
+CHANNEL = "c AS (SELECT user_id, event_id, value, row_number() OVER (PARTITION BY user_id ORDER BY event_id) - 1 AS pos FROM events)"
+
+
+def _channels(spark, sf_dir, block=64):
+    """Each user's values in the order of events as a channel in blocks."""
+    order = Window.partitionBy("user_id").orderBy("event_id")
+    rows = table(spark, sf_dir, "events").select(F.col("user_id").alias("record"), F.lit("value").alias("lead"), F.lit(0).alias("idx"), F.lit(360.0).alias("fs"), "value",
+                                                 (F.row_number().over(order) - 1).cast("long").alias("pos"), F.count(F.lit(1)).over(Window.partitionBy("user_id")).alias("n"))
+    start = (F.col("pos") - F.col("pos") % block).alias("start")
+    own = F.transform(F.array_sort(F.collect_list(F.struct("pos", "value"))), lambda p: p["value"])
+    return rows.groupBy("record", "lead", "idx", "fs", "n", F.lit(block).cast("long").alias("block"), start).agg(own.alias("samples"))
+
+
+@query(f"WITH {CHANNEL} SELECT user_id, pos, round((value - avg(value) OVER w) / (stddev_pop(value) OVER w + 1e-8), 5) AS z FROM c WINDOW w AS (PARTITION BY user_id)")
+def block_zscore(spark, sf_dir):
+    """Scaled samples of long channels: two sums over blocks, no row with a channel."""
+    out = blocks.scaled(_channels(spark, sf_dir))
+    return out.select(F.col("record").alias("user_id"), "start", F.posexplode("samples").alias("i", "z")).select("user_id", (F.col("start") + F.col("i")).alias("pos"), F.round("z", 5).alias("z"))
+
+
+@query(f"WITH {CHANNEL} SELECT user_id, pos, round(avg(value) OVER (PARTITION BY user_id ORDER BY pos ROWS BETWEEN 100 PRECEDING AND 7 FOLLOWING), 5) AS mean FROM c")
+def block_moving_mean(spark, sf_dir):
+    """A frame that reaches over two blocks back and into the next, from each block and its halo."""
+    wide = blocks.with_halo(_channels(spark, sf_dir), 100, 7)
+    place = F.sequence(F.lit(0), F.least("block", F.col("n") - F.col("start")).cast("int") - 1)
+    own = wide.select(F.col("record").alias("user_id"), "start", "lo", "samples", F.explode(place).alias("i"))
+    at = F.col("start") + F.col("i") - F.col("lo")
+    first = F.greatest(at - 100, F.lit(0))
+    frame = F.slice("samples", (first + 1).cast("int"), (at + 8 - first).cast("int"))
+    mean = F.aggregate(frame, F.lit(0.0), lambda s, x: s + x) / F.size(frame)
+    return own.select("user_id", (F.col("start") + F.col("i")).alias("pos"), F.round(mean, 5).alias("mean"))

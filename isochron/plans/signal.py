@@ -261,6 +261,14 @@ def nearest_neighbours(spark, sf_dir):
     return geometry.neighbours(own.where("id % 10 = 0"), own, 3).select("query", "id", "rank")
 
 
+@query(f"""WITH {X}, p AS (SELECT a.vec_id AS query, b.vec_id AS id, list_distance(a.x, b.x) AS d FROM v a JOIN v b ON a.vec_id <> b.vec_id),
+    r AS (SELECT *, row_number() OVER (PARTITION BY query ORDER BY d, id)::INTEGER AS rank FROM p) SELECT query, id, rank, round(d, 5) AS d FROM r WHERE rank <= 5""")
+def neighbour_lists(spark, sf_dir):
+    """Five nearest rows of every row, by cells around pivots."""
+    own = rows(spark, sf_dir)
+    return geometry.neighbours(own, own, 5, block=256).select("query", "id", "rank", F.round(F.sqrt("d2"), 5).alias("d"))
+
+
 COEF = f"""{LONG}, k AS (SELECT label, i, avg(x) AS value FROM l GROUP BY label, i), bi AS (SELECT CASE WHEN i % 3 = 0 THEN 'low' WHEN i % 3 = 1 THEN 'mid' ELSE 'high' END AS band, abs(value) AS a, label FROM k),
     bw AS (SELECT band, sum(a) AS w, sum(a) FILTER (WHERE label < 5) AS h FROM bi GROUP BY band), im AS (SELECT band, w / sum(w) OVER () AS x, h / sum(h) OVER () AS y FROM bw)"""
 

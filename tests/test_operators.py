@@ -468,3 +468,31 @@ def test_permutations_by_number():
 
     for given in ([], [0.5], [1, 2, 3], ["a", "a", "b", "c"]):
         assert [alignment.permutation(given, k) for k in range(math.factorial(len(given)))] == [list(x) for x in itertools.permutations(given)]
+
+
+def test_neighbours_by_cells_are_those_of_all_pairs(spark):
+    rng = np.random.default_rng(21)
+    centres = rng.normal(size=(12, 8)) * 30
+    x = np.concatenate([centres[rng.integers(0, 12, 700)] + rng.normal(size=(700, 8)), np.repeat(centres[:1], 60, axis=0), np.zeros((3, 8))])
+    rows = spark.createDataFrame([(i, i % 3, v.tolist()) for i, v in enumerate(x)], "id long, label int, features array<double>").repartition(5)
+    queries = rows.where("id % 4 = 0 OR id > 690")
+
+    def plain(q, ids, k, others):
+        out = []
+        for i in ids:
+            d = ((x - q(i)) ** 2).sum(axis=1)
+            near = sorted((float(v), j) for j, v in enumerate(d) if others or j != i)[:k]
+            out += [(i, j, r + 1) for r, (_, j) in enumerate(near)]
+        return sorted(out)
+
+    ids = [i for i in range(len(x)) if i % 4 == 0 or i > 690]
+    for block in (40, 4096):
+        report = {}
+        got = sorted((r["query"], r["id"], r["rank"]) for r in geometry.neighbours(queries, rows, 5, block, report=report).collect())
+        assert got == plain(lambda i: x[i], ids, 5, False)
+        assert report["pairs"] == len(ids) * len(x) and (report["compared"] < 0.6 * report["pairs"] if block == 40 else report["compared"] == report["pairs"])
+    other = spark.createDataFrame([(i, 0, (x[i] + 0.25).tolist()) for i in range(0, 200, 7)], "id long, label int, features array<double>")
+    got = sorted((r["query"], r["id"], r["rank"]) for r in geometry.neighbours(other, rows, 3, 50, others=True).collect())
+    assert got == plain(lambda i: x[i] + 0.25, range(0, 200, 7), 3, True)
+    few = geometry.neighbours(rows.where("id < 4"), rows.where("id < 4"), 9, 2).collect()  # fewer rows than asked for
+    assert len(few) == 12
