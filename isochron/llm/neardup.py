@@ -133,8 +133,13 @@ def groups(docs: DataFrame, words: int = 5, num: int = 80, den: int = 100, bands
     row without doc_id gets a null component_id unless a document with an id is reachable.
     Rows with one doc_id are one document: repeated rows share all values, different
     texts under one id count as linked.  Empty table: no rows.  Other columns are not read.
+    Ids may be any 64-bit numbers: from ``NAMELESS`` on they leave no room for rows without
+    one, and rows are numbered first (``_numbered``).
     """
     small_batches(docs.sparkSession)
+    if (docs.agg(F.max(F.col("doc_id").cast("long"))).first()[0] or 0) >= NAMELESS:
+        how = {"words": words, "num": num, "den": den, "bands": bands, "rows": rows, "small": small, "block": block, "block_bytes": block_bytes}
+        return _numbered(docs, broadcast_rows=broadcast_rows, **how)
     sketched = materialize(sketches(docs, words, bands, rows), "sketches")
     classes = (sketched.where("n > 0").groupBy("f1", "f2")
                .agg(F.min("node").alias("node"), F.max("n").alias("n"), F.first("bands").alias("bands")))
@@ -204,6 +209,20 @@ def groups(docs: DataFrame, words: int = 5, num: int = 80, den: int = 100, bands
         .withColumn("kept", F.coalesce(F.col("doc_id") == F.col("component_id"), F.col("component_id").isNull())))
 
 
+def _numbered(docs: DataFrame, **how) -> DataFrame:
+    """``groups`` of rows under numbers of their own; then rows of one doc_id are one document, and groups get their smallest doc_id."""
+    rows = materialize(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").withColumn("_row", F.monotonically_increasing_id()), "rows")
+    found = groups(rows.select(F.col("_row").alias("doc_id"), "text"), **how).select(F.col("doc_id").alias("_row"), "n_shingles", F.col("component_id").alias("_c"))
+    own = materialize(rows.select("_row", "doc_id").join(found, "_row"), "numbered")
+    remove(rows)
+    spread = own.where(F.col("doc_id").isNotNull()).groupBy("doc_id").agg(F.min("_c").alias("b"), F.max("_c").alias("_top")).where("b < _top")
+    same = own.join(spread, "doc_id").where("_c > b").select(F.col("_c").alias("a"), "b").distinct()
+    merged = components(materialize(same, "same-id")).select(F.col("node").alias("_c"), F.col("component").alias("_m"))
+    own = own.join(merged, "_c", "left").withColumn("_c", F.coalesce("_m", "_c"))
+    names = own.groupBy("_c").agg(F.min("doc_id").alias("component_id"))
+    return own.join(names, "_c").select("doc_id", "n_shingles", "component_id").withColumn("kept", F.coalesce(F.col("doc_id") == F.col("component_id"), F.col("component_id").isNull()))
+
+
 def survivors(docs: DataFrame, **how) -> DataFrame:
     """One row of each group of near duplicates, with all its columns; ``how`` goes to ``groups``.
 

@@ -90,6 +90,22 @@ def test_near_duplicates(spark, odd, empty, words):
     assert neardup.groups(empty).collect() == []
 
 
+def test_near_duplicates_of_any_ids(spark, odd):
+    """Ids of 2**62 and above, negative ones, none, and one id with several texts."""
+    text = " ".join(f"w{i}" for i in range(30))
+    rows = [(2**62 + 5, text), (2**62 + 6, text), (-(2**63), text + " x"), (2**63 - 1, "alone here"), (None, text), (None, "no one else"), (None, "no one else"), (2**63 - 1, "other text of one id"),
+            (7, "alone here"), (8, None), (9, "")]
+    out = sorted(((r["doc_id"], r["n_shingles"], r["component_id"], r["kept"]) for r in neardup.groups(spark.createDataFrame(rows, "doc_id long, text string"), words=4).collect()), key=str)
+    least = -(2**63)
+    want = [(2**62 + 5, 27, least, False), (2**62 + 6, 27, least, False), (least, 28, least, True), (2**63 - 1, 1, 7, False), (None, 27, least, False), (None, 1, None, True), (None, 1, None, True),
+            (2**63 - 1, 2, 7, False), (7, 1, 7, True), (8, 0, 8, True), (9, 0, 9, True)]
+    assert out == sorted(want, key=str)
+    far = 2**63 - 200
+    all_of = lambda docs, less: sorted((tuple(None if x is None else x - less if isinstance(x, int) and not isinstance(x, bool) and i != 1 else x for i, x in enumerate(r))
+                                        for r in neardup.groups(docs, words=4).collect()), key=str)
+    assert all_of(odd.withColumn("doc_id", F.col("doc_id") + far), far) == all_of(odd, 0)
+
+
 def test_components_of_chains_and_stars(spark):
     rng = random.Random(3)
     edges = [(i, i + 1) for i in range(100, 160)] + [(7, i) for i in range(8, 60)] + [(rng.randrange(300, 400), rng.randrange(300, 400)) for _ in range(60)]
