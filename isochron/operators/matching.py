@@ -31,33 +31,59 @@ def nearest_matches(pairs: DataFrame, record: str, tol: float, rounds: int = 3)
 
     A pair that comes first among those of its reference and among those of its detection is
     in the result whatever happens elsewhere.  So all such pairs are taken at once, pairs
-    with a side that is taken go, and this is done again until none is left: after
-    ``rounds`` rounds what is left is written down, usually nothing.  Sides and not records
-    are what windows are partitioned by, so a dense record spreads over all tasks.  ids
-    are unique within a record.
+    with a side that is taken go, and this is done again: after ``rounds`` rounds what is left
+    is written down, usually nothing.  The rest are chains of ever closer pairs, which
+    ``_chains`` settles by pointer doubling.  Sides and not records are what windows are
+    partitioned by, so a dense record spreads over all tasks.  ids are unique within a record.
     """
     columns = [record, "r_id", "d_id", "gap"]
     by_r, by_d = Window.partitionBy(record, "r_id"), Window.partitionBy(record, "d_id")
     first = ["gap", "r_id", "d_id"]
-    out, left = [], pairs.select(*columns)
+    left = pairs.select(*columns).withColumns({"_done": F.lit(False), "_hit": F.lit(False)})
+    for _ in range(rounds):
+        # a pair out of the running (_done) ranks behind all others
+        left = left.withColumn("_a", F.row_number().over(by_r.orderBy("_done", *first)))
+        hit = ~F.col("_done") & (F.col("_a") == 1) & (F.row_number().over(by_d.orderBy("_done", *first)) == 1)
+        left = left.withColumn("_new", hit)
+        left = left.withColumn("_dd", F.max("_new").over(by_d)).withColumn("_rr", F.max("_new").over(by_r))
+        left = left.withColumns({"_hit": F.col("_hit") | F.col("_new"), "_done": F.col("_done") | F.col("_dd") | F.col("_rr")}).drop("_a", "_new", "_dd", "_rr")
+    done = materialize(left, "matches")
+    matches, left = done.where("_hit").select(*columns), done.where("NOT _done").select(*columns)
+    while not left.isEmpty():
+        hits = materialize(_chains(left, record), "chain-matches")
+        matches = matches.unionByName(hits)
+        left = materialize(left.join(hits.select(record, "r_id"), [record, "r_id"], "left_anti").join(hits.select(record, "d_id"), [record, "d_id"], "left_anti"), "open-pairs")
+    return matches
+
+
+def _chains(left: DataFrame, record: str) -> DataFrame:
+    """Pairs that are in the result for sure: those that come first on both sides, and what follows from them along chains.
+
+    A pair with exactly one better pair on its sides is taken if that one is not.  Such pairs
+    point to it, and pointers double, with whether the number of steps is odd, until they lead to
+    a pair that does not point: one with none before it is taken, and so is what lies an even
+    number of steps away.  Only pointers to pairs that still point are followed, so no
+    pair at the end of many chains is joined with all of them.
+    """
+    key, first = [record, "r_id", "d_id"], ["gap", "r_id", "d_id"]
+    by_r, by_d = Window.partitionBy(record, "r_id").orderBy(*first), Window.partitionBy(record, "d_id").orderBy(*first)
+    own = F.struct("r_id", "d_id")
+    ranked = left.withColumns({"_a": F.row_number().over(by_r), "_ra": F.lag(own).over(by_r)}).withColumns({"_b": F.row_number().over(by_d), "_rb": F.lag(own).over(by_d)})
+    ranked = materialize(ranked.withColumn("_q", F.when(F.col("_a") + F.col("_b") == 3, F.coalesce("_ra", "_rb"))).drop("_ra", "_rb"), "chain-ranks")
+    heads = ranked.where("_a = 1 AND _b = 1").select(*left.columns)
+    points = ranked.where("_q IS NOT NULL").select(*key, F.col("_q.r_id").alias("_qr"), F.col("_q.d_id").alias("_qd"))
+    at = lambda df, *more: df.select(record, F.col("r_id").alias("_qr"), F.col("d_id").alias("_qd"), *more)
+    table = points.join(at(points, F.lit(True).alias("_o")), [record, "_qr", "_qd"], "left").select(*key, "_qr", "_qd", F.lit(True).alias("odd"), F.coalesce("_o", F.lit(False)).alias("open"))
     while True:
-        for _ in range(rounds):
-            # a pair out of the running (_done) ranks behind all others
-            left = left if "_done" in left.columns else left.withColumns({"_done": F.lit(False), "_hit": F.lit(False)})
-            left = left.withColumn("_a", F.row_number().over(by_r.orderBy("_done", *first)))
-            hit = ~F.col("_done") & (F.col("_a") == 1) & (F.row_number().over(by_d.orderBy("_done", *first)) == 1)
-            left = left.withColumn("_new", hit)
-            left = left.withColumn("_dd", F.max("_new").over(by_d)).withColumn("_rr", F.max("_new").over(by_r))
-            left = left.withColumns({"_hit": F.col("_hit") | F.col("_new"), "_done": F.col("_done") | F.col("_dd") | F.col("_rr")}).drop("_a", "_new", "_dd", "_rr")
-        done = materialize(left, "matches")
-        out.append(done.where("_hit").select(*columns))
-        left = done.where("NOT _done").select(*columns)
-        if left.isEmpty():
+        table = materialize(table, "chains")
+        if table.where("open").isEmpty():
             break
-    matches = out[0]
-    for more in out[1:]:
-        matches = matches.unionByName(more)
-    return matches
+        ahead = at(table, F.col("_qr").alias("_nr"), F.col("_qd").alias("_nd"), F.col("odd").alias("_odd"), F.col("open").alias("_open"))
+        moved = table.where("open").join(ahead, [record, "_qr", "_qd"]).select(
+            *key, F.col("_nr").alias("_qr"), F.col("_nd").alias("_qd"), (F.col("odd") != F.col("_odd")).alias("odd"), F.col("_open").alias("open"))
+        table = table.where("NOT open").unionByName(moved)
+    even = table.where("NOT odd").join(at(heads), [record, "_qr", "_qd"], "left_semi").select(*key)
+    return heads.unionByName(left.join(even, key, "left_semi"))
 
 
 def transfer_labels(det: DataFrame, ref: DataFrame, matches: DataFrame, record: str) -> DataFrame:

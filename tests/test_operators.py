@@ -496,3 +496,37 @@ def test_neighbours_by_cells_are_those_of_all_pairs(spark):
     assert got == plain(lambda i: x[i] + 0.25, range(0, 200, 7), 3, True)
     few = geometry.neighbours(rows.where("id < 4"), rows.where("id < 4"), 9, 2).collect()  # fewer rows than asked for
     assert len(few) == 12
+
+
+def greedy_pairs(pairs):
+    """Plain matching of (gap, record, r, d)."""
+    used, out = set(), set()
+    for gap, record, r, d in sorted(pairs, key=lambda p: (p[0], p[2], p[3])):
+        if (record, "r", r) not in used and (record, "d", d) not in used:
+            used |= {(record, "r", r), (record, "d", d)}
+            out.add((record, r, d))
+    return out
+
+
+def test_a_long_chain_of_ever_closer_pairs(spark, monkeypatch):
+    written = []
+    keep = matching.materialize
+    monkeypatch.setattr(matching, "materialize", lambda df, name: written.append(name) or keep(df, name))
+    n = 100_000
+    # sides alternate, each pair closer than the one before; a second record has ups and downs
+    chain = [(1.0 - i / (2.0 * n), "a", (i + 1) // 2, i // 2) for i in range(n)]
+    rng = random.Random(3)
+    waves = [(round(math.sin(i / 40) + 0.001 * rng.random(), 6) + 2, "b", (i + 1) // 2, i // 2) for i in range(3000)]
+    rows = spark.createDataFrame(chain + waves, "gap double, record string, r_id long, d_id long")
+    got = {(r["record"], r["r_id"], r["d_id"]) for r in matching.nearest_matches(rows, "record", 9.0).collect()}
+    assert got == greedy_pairs(chain + waves)
+    assert len(written) < 40
+
+
+def test_dense_pairs_are_matched_greedily(spark):
+    rng = random.Random(4)
+    pairs = {(r, d): rng.randint(0, 12) for r in range(120) for d in range(max(0, r - 6), r + 7)}
+    pairs = [(float(g), "x", r, d) for (r, d), g in pairs.items()]
+    rows = spark.createDataFrame(pairs, "gap double, record string, r_id long, d_id long")
+    for rounds in (0, 2):
+        assert {("x", r["r_id"], r["d_id"]) for r in matching.nearest_matches(rows, "record", 9.0, rounds).collect()} == greedy_pairs(pairs)
