@@ -158,11 +158,12 @@ class FeatureAugmenter(Estimator, HasFeaturesCol, HasLabelCol, DefaultParamsRead
         self._set(**self._input_kwargs)
 
     def _fit(self, dataset: DataFrame) -> FeatureAugmenterModel:
-        rows = materialize(dataset.select(F.col(self.getLabelCol()).alias("label"), F.col(self.getFeaturesCol()).alias("features")), "augment")
+        label, features = F.col(self.getLabelCol()).alias("label"), F.col(self.getFeaturesCol()).alias("features")
+        rows = materialize(dataset.select(F.monotonically_increasing_id().alias("id"), label, features), "augment")
         d = rows.select(F.max(F.size("features"))).first()[0] or 0
         chosen = list(range(d))
         if d > self.getOrDefault(self.keepMutual):
-            chosen = sorted(r["feature"] for r in learning.mutual_information(rows, keep=self.getOrDefault(self.keepMutual)).collect())
+            chosen = sorted(r["feature"] for r in learning.neighbour_information(rows, keep=self.getOrDefault(self.keepMutual)).collect())
         pick = lambda own: rows.withColumn("features", F.array(*(F.col("features")[i] for i in own)))
         chosen = [chosen[i] for i in learning.selected(pick(chosen), self.getOrDefault(self.keep))] if chosen else []
         k = min(self.getOrDefault(self.components), len(chosen) - 1)

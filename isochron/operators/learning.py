@@ -18,7 +18,7 @@ from pyspark.sql import types as T
 from ..session import materialize
 
 from . import balance, evaluation, geometry, sampling
-from .windows import quantiles
+from .windows import cut_points, quantiles, ranked, running_sums, slice_of
 
 
 #: Cells of a sum that travel as one array.
@@ -338,7 +338,7 @@ FACTORIES["mlp"] = Perceptron
 
 
 class Lifted:
-    """A linear classifier on random Fourier features of scaled rows, in the place of an RBF machine of width gamma."""
+    """A linear classifier on random Fourier features of scaled rows: near an RBF machine of width gamma, without landmarks."""
 
     def __init__(self, rows: DataFrame, gamma: float | None = None, c: float = 1.0, features: int = 64):
         self.scaler = Scaler.fit(rows)
@@ -356,22 +356,82 @@ class Lifted:
         return rows.join(self.model.predict(self._lift(rows)).select("id", "y_pred", "scores"), "id")
 
 
+class Kernel:
+    """A kernel machine of RBF width gamma over landmarks: squared hinge, one class against the rest.
+
+    Rows become their kernel values with the landmarks times the inverse root of the landmarks' own
+    kernel matrix (Nystrom), in which a linear machine is the kernel machine over the span of the
+    landmarks: with all rows as landmarks, the exact one.  Landmarks are the first ``landmarks`` rows by a
+    hash of their id; their coordinates are what the driver holds.  ``objective`` is the sum over
+    classes of 1/2 |w|^2 + c * losses at the optimum.
+    """
+
+    def __init__(self, rows: DataFrame, gamma: float | None = None, c: float = 1.0, landmarks: int = 128, rounds: int = 30):
+        self.scaler = Scaler.fit(rows)
+        self.gamma = gamma if gamma is not None else 1.0 / len(self.scaler.mean)  # scaled features have unit variance
+        chosen = rows.select("id", "features").orderBy(F.xxhash64("id"), "id").limit(landmarks).collect()
+        self.landmarks = self.scaler(np.array([r["features"] for r in chosen], dtype=np.float64))
+        value, vector = np.linalg.eigh(self._values(self.landmarks))
+        some = value > 1e-10 * value[-1]
+        self.root = vector[:, some] / np.sqrt(value[some])
+        lifted = materialize(self._lift(rows), "kernel")
+        counts = label_counts(rows)
+        self.classes = sorted(counts)
+        problems = [Problem([own], [x for x in self.classes if x != own], dict.fromkeys(self.classes, 1.0)) for own in self.classes]
+        d = int(some.sum())
+        plain = Scaler(np.zeros(d), np.ones(d))  # kernel features are taken as they are
+        self.model = Linear(self.classes, plain, solve(lifted, plain, problems, "squared_hinge", c, rounds))
+        self.c, self.problems, self.lifted = c, problems, lifted
+
+    def _values(self, x: np.ndarray) -> np.ndarray:
+        d2 = (x * x).sum(axis=1)[:, None] + (self.landmarks * self.landmarks).sum(axis=1)[None, :] - 2 * (x @ self.landmarks.T)
+        return np.exp(-self.gamma * np.maximum(d2, 0))
+
+    def _lift(self, rows: DataFrame) -> DataFrame:
+        sent = rows.sparkSession.sparkContext.broadcast((self.scaler, self.landmarks, self.root, self.gamma))
+        schema = ", ".join(f"`{f.name}` {'array<double>' if f.name == 'features' else f.dataType.simpleString()}" for f in rows.schema)
+
+        def run(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            own = Kernel.__new__(Kernel)
+            own.scaler, own.landmarks, own.root, own.gamma = sent.value
+            for part in parts:
+                if part.num_rows:
+                    z = own._values(own.scaler(np.array(part["features"].to_pylist(), dtype=np.float64))) @ own.root
+                    z = pa.ListArray.from_arrays(pa.array(np.arange(0, z.size + 1, z.shape[1]), pa.int32()), pa.array(z.ravel()))
+                    yield pa.RecordBatch.from_arrays([z if c == "features" else part[c] for c in part.schema.names], part.schema.names)
+
+        return rows.mapInArrow(run, schema)
+
+    def predict(self, rows: DataFrame) -> DataFrame:
+        return rows.join(self.model.predict(self._lift(rows)).select("id", "y_pred", "scores"), "id")
+
+    def objective(self) -> float:
+        w, problems = self.model.coef, self.problems
+
+        def losses(z: np.ndarray, labels: np.ndarray) -> np.ndarray:
+            m = np.stack([np.where(np.isin(labels, p.positive), 1.0, -1.0) for p in problems]) * (z @ w[:, :-1].T + w[:, -1]).T
+            return np.array([(np.maximum(1 - m, 0) ** 2).sum()])
+
+        return float(0.5 * (w * w).sum() + self.c * _sum_cells(self.lifted, losses, ["features", "label"])[0])
+
+
 FACTORIES["linear"] = lambda rows: fit_linear(rows, "squared_hinge", 1.0, balanced=False)
-FACTORIES["rbf"] = Lifted
-FACTORIES["rbf0.01"] = lambda rows: Lifted(rows, 0.01)
-FACTORIES["rbf0.1"] = lambda rows: Lifted(rows, 0.1)
-FACTORIES["rbf1"] = lambda rows: Lifted(rows, 1.0)
+FACTORIES["lifted"] = Lifted
+FACTORIES["rbf"] = Kernel
+FACTORIES["rbf0.01"] = lambda rows: Kernel(rows, 0.01)
+FACTORIES["rbf0.1"] = lambda rows: Kernel(rows, 0.1)
+FACTORIES["rbf1"] = lambda rows: Kernel(rows, 1.0)
 
 
 class Pipeline:
     """Fill, scale, augment, balance, classify: everything is learnt from the training rows alone.
 
     Missing features (null or NaN) become the training rows' medians; scaled features get the
-    principal components of the selected ones (recursive elimination to ``keep``) beside
-    them; training rows are oversampled and edited, rows to be predicted never are.
+    principal components of the selected ones (the 50 with most mutual information, of these
+    recursive elimination to ``keep``) beside them; training rows are oversampled and edited, rows to be predicted never are.
     """
 
-    def __init__(self, rows: DataFrame, name: str = "svc", augment: bool = True, smote: bool = True, keep: int = 30, components: int = 5):
+    def __init__(self, rows: DataFrame, name: str = "svc", augment: bool = True, smote: bool = True, keep: int = 30, components: int = 5, keep_mutual: int = 50):
         d = rows.select(F.size("features")).first()[0]
         cells = rows.select(F.posexplode("features").alias("i", "v")).where(F.col("v").isNotNull() & ~F.isnan("v"))
         self.medians = {r["i"]: r["q"][0] for r in quantiles(cells, "i", "v", [0.5]).collect()}
@@ -381,7 +441,9 @@ class Pipeline:
         ready = materialize(self._scaled(filled).select("id", "label", "features"), "train")
         self.left, self.extend = list(range(d)), None
         if augment:
-            self.left = selected(ready, keep)
+            if d > keep_mutual:
+                self.left = sorted(r["feature"] for r in neighbour_information(ready, keep=keep_mutual).collect())
+            self.left = [self.left[i] for i in selected(self._chosen(ready), keep)]
             self.extend = principal_components(self._chosen(ready), min(components, max(len(self.left) - 1, 0))) if len(self.left) > 1 else None
             ready = self._augmented(ready)
         if smote:
@@ -552,6 +614,55 @@ def mutual_information(rows: DataFrame, bins: int = 16, keep: int = 50) -> DataF
     return mi.withColumn("rank", place).where(F.col("rank") <= keep)
 
 
+def digamma(x: F.Column) -> F.Column:
+    """The digamma function of a positive number: its asymptotic series eight steps further up."""
+    y = x + 8.0
+    series = F.log(y) - 1 / (2 * y) - 1 / (12 * y * y) + 1 / (120 * y * y * y * y) - 1 / (252 * y * y * y * y * y * y)
+    return series - sum((1 / (x + float(i)) for i in range(1, 8)), 1 / x)
+
+
+def _kth_neighbours(cells: DataFrame, k: int, block: int) -> DataFrame:
+    """cells (id, feature, label, x) with n, the size of their (feature, label), and near, the value of the min(k, n - 1)-th nearest of its other cells.
+
+    Cells are ranked within (feature, label) exactly, cut into blocks of ``block`` ranks, and
+    the k cells at either side of a block go along with it: no task gets more.
+    """
+    cells = cells.withColumn("own", F.concat_ws(" ", "feature", F.col("label").cast("string")))
+    placed = ranked(cells, "own", slice_of(F.col("x"), cut_points(cells, "x")), [F.col("x"), F.col("id")]).withColumnRenamed("_total", "n")
+    placed = placed.withColumn("_to", F.explode(F.sequence(F.floor(F.greatest(F.col("_rank") - k, F.lit(0)) / block), F.floor((F.col("_rank") + k) / block))))
+    w = Window.partitionBy("own", "_to").orderBy("_rank")
+    around = [F.struct(F.abs(f("x", j).over(w) - F.col("x")).alias("d"), f("x", j).over(w).alias("v")) for f in (F.lead, F.lag) for j in range(1, k + 1)]
+    near = F.sort_array(F.filter(F.array(*around), lambda s: s["d"].isNotNull()))
+    there = placed.withColumn("near", F.get(near, (F.least(F.lit(k), F.col("n") - 1) - 1).cast("int"))["v"])
+    return there.where(F.floor(F.col("_rank") / block) == F.col("_to")).select("id", "feature", "label", "x", "n", "near")
+
+
+def neighbour_information(rows: DataFrame, k: int = 3, keep: int = 50, block: int = 50_000) -> DataFrame:
+    """(feature, mi, rank): features by their mutual information with the label, estimated by nearest neighbours; the best ``keep``.
+
+    A row's radius in a feature is the distance to its k-th nearest row of its own label (fewer if the
+    label has no more), m the rows of any label within less than that, itself
+    included, or those of the same value if the radius is 0.  mi = psi(rows) + mean psi(k) -
+    mean psi(rows of the label) - mean psi(m), not below 0, over rows whose label is not
+    alone.  Features are finite; rows have unique ids.  All is exact, by ranks and running counts.
+    """
+    cells = materialize(rows.select("id", "label", F.posexplode("features").alias("feature", "x")).withColumn("x", F.col("x") + 0.0), "cells")
+    found = materialize(_kth_neighbours(cells, k, block).where("n > 1"), "kth")
+    r, x, near = F.abs(F.col("near") - F.col("x")), F.col("x"), F.col("near")
+    asked = found.withColumns({"lo": F.when(near < x, near).otherwise(x - r), "hi": F.when(near > x, near).otherwise(x + r)})
+    points = cells.select("feature", F.col("x").alias("t"), F.lit(1).alias("c")).unionByName(
+        asked.select("feature", F.explode(F.array("lo", "hi")).alias("t"), F.lit(0).alias("c")))
+    # values and bounds of a feature, once each, with how many values are as large or larger
+    counts = materialize(running_sums(points.groupBy("feature", "t").agg(F.sum("c").alias("c")), "feature", "t", ["c"]), "counts")
+    at = lambda t, ge, c: counts.select("feature", F.col("t").alias(t), F.col("cum_c").alias(ge), F.col("c").alias(c))
+    met = asked.join(at("lo", "_ge", "_eq"), ["feature", "lo"]).join(at("hi", "_gh", "_eh"), ["feature", "hi"])
+    m = F.when(r == 0, F.col("_eq")).otherwise(F.col("_ge") - F.col("_eq") - F.col("_gh"))
+    terms = digamma(F.least(F.lit(k), F.col("n") - 1).cast("double")) - digamma(F.col("n").cast("double")) - digamma(m.cast("double"))
+    mi = met.groupBy("feature").agg(F.greatest(F.lit(0.0), digamma(F.count(F.lit(1)).cast("double")) + F.avg(terms)).alias("mi"))
+    place = F.row_number().over(Window.partitionBy(F.lit(0)).orderBy(F.col("mi").desc(), "feature"))  # features only
+    return mi.withColumn("rank", place).where(F.col("rank") <= keep)
+
+
 def random_fourier(rows: DataFrame, gamma: float, features: int = 200, seed: int = 42) -> DataFrame:
     """Features whose inner products approximate an RBF kernel: a linear model on them stands in for an RBF machine."""
     d = rows.select(F.size("features")).first()[0]

@@ -269,6 +269,25 @@ def neighbour_lists(spark, sf_dir):
     return geometry.neighbours(own, own, 5, block=256).select("query", "id", "rank", F.round(F.sqrt("d2"), 5).alias("d"))
 
 
+def _psi(x: str) -> str:
+    steps = " - ".join(f"1 / ({x} + {i})" for i in range(8))
+    return f"(ln({x} + 8) - 1 / (2 * ({x} + 8)) - 1 / (12 * ({x} + 8) ** 2) + 1 / (120 * ({x} + 8) ** 4) - 1 / (252 * ({x} + 8) ** 6) - {steps})"
+
+
+@query(f"""WITH {LONG}, n AS (SELECT vec_id, label, i, x, count(*) OVER (PARTITION BY i, label) AS n, row_number() OVER (PARTITION BY i, label ORDER BY x, vec_id) AS r FROM l),
+    d AS (SELECT a.vec_id, a.i, a.x, a.n, b.x AS near, row_number() OVER (PARTITION BY a.i, a.vec_id ORDER BY abs(b.x - a.x), b.x) AS k FROM n a
+          JOIN n b ON a.i = b.i AND a.label = b.label AND b.r BETWEEN a.r - 3 AND a.r + 3 AND b.r <> a.r),
+    q AS (SELECT vec_id, i, x, n::DOUBLE AS n, least(3, n - 1)::DOUBLE AS k, near, CASE WHEN near < x THEN near ELSE x - abs(near - x) END AS lo, CASE WHEN near > x THEN near ELSE x + abs(near - x) END AS hi
+          FROM d WHERE k = least(3, n - 1)),
+    m AS (SELECT q.vec_id, q.i, q.n, q.k, count(*)::DOUBLE AS m FROM q JOIN l ON l.i = q.i AND (l.x > q.lo AND l.x < q.hi OR q.near = q.x AND l.x = q.x) GROUP BY ALL),
+    s AS (SELECT i, greatest(0, {_psi("count(*)::DOUBLE")} + avg({_psi("k")} - {_psi("n")} - {_psi("m")})) AS mi FROM m GROUP BY i)
+    SELECT i AS feature, round(mi, 6) AS mi FROM s""")
+def neighbour_information(spark, sf_dir):
+    """Mutual information of each component with the label, by nearest neighbours in one dimension."""
+    out = learning.neighbour_information(rows(spark, sf_dir), keep=1 << 30)
+    return out.select(F.col("feature").cast("long").alias("feature"), F.round("mi", 6).alias("mi"))
+
+
 COEF = f"""{LONG}, k AS (SELECT label, i, avg(x) AS value FROM l GROUP BY label, i), bi AS (SELECT CASE WHEN i % 3 = 0 THEN 'low' WHEN i % 3 = 1 THEN 'mid' ELSE 'high' END AS band, abs(value) AS a, label FROM k),
     bw AS (SELECT band, sum(a) AS w, sum(a) FILTER (WHERE label < 5) AS h FROM bi GROUP BY band), im AS (SELECT band, w / sum(w) OVER () AS x, h / sum(h) OVER () AS y FROM bw)"""
 

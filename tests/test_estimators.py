@@ -110,3 +110,78 @@ def test_all_classifiers_give_scores(spark, rows):
         out = ArrayClassifier(name=name).fit(filled)
         got = out.transform(filled).collect()
         assert len(got) == 240 and all(r["y_pred"] == out.classes[int(np.argmax(r["scores"]))] for r in got)
+
+
+def plain_information(x, y, k=3):
+    """The estimator by its definition, feature by feature."""
+    from math import inf
+
+    def psi(m):
+        return -0.5772156649015329 + sum(1 / i for i in range(1, m))
+
+    out = []
+    for v in np.asarray(x).T:
+        terms, n = [], 0
+        for i in range(len(v)):
+            same = sorted((abs(v[j] - v[i]), v[j]) for j in range(len(v)) if j != i and y[j] == y[i])
+            if not same:
+                continue
+            r, near = same[min(k, len(same)) - 1]
+            lo, hi = (near if near < v[i] else v[i] - r), (near if near > v[i] else v[i] + r)
+            m = int((v == v[i]).sum()) if r == 0 else int(((v > lo) & (v < hi)).sum())
+            terms.append(psi(min(k, len(same))) - psi(len(same) + 1) - psi(m))
+            n += 1
+        out.append(max(0.0, psi(n) + np.mean(terms)) if n else -inf)
+    return out
+
+
+@pytest.mark.parametrize("block", [7, 50_000])
+def test_information_by_neighbours(spark, block):
+    rng = np.random.default_rng(4)
+    y = ["a"] * 90 + ["b"] * 50 + ["c"] * 3 + ["alone"]
+    shift = np.array([{"a": 0.0, "b": 2.0, "c": 5.0, "alone": 9.0}[k] for k in y])
+    x = np.column_stack([rng.normal(size=144) + shift, rng.integers(0, 4, 144) * 1.0, rng.normal(size=144), np.zeros(144), np.round(rng.normal(size=144) + shift)])
+    table = spark.createDataFrame([(i, k, v.tolist()) for i, (k, v) in enumerate(zip(y, x, strict=True))], "id long, label string, features array<double>").repartition(4)
+    got = {r["feature"]: (r["mi"], r["rank"]) for r in learning.neighbour_information(table, block=block).collect()}
+    want = plain_information(x, y)
+    assert [got[i][0] for i in range(5)] == pytest.approx(want, abs=1e-9)
+    assert sorted(v[1] for v in got.values()) == [1, 2, 3, 4, 5] and got[int(np.argmax(want))][1] == 1
+
+
+def test_fifty_of_a_wider_table_are_selected(spark):
+    rng = np.random.default_rng(9)
+    y = rng.integers(0, 2, 160)
+    x = rng.normal(size=(160, 60))
+    x[:, 7] += 4 * y
+    table = spark.createDataFrame([(i, int(k), v.tolist()) for i, (k, v) in enumerate(zip(y, x, strict=True))], "id long, label long, features array<double>").repartition(2)
+    best = [r["feature"] for r in learning.neighbour_information(table, keep=50).collect()]
+    assert len(best) == 50 and 7 in best
+    model = FeatureAugmenter(keep=49, components=3).fit(table)
+    assert len(model.chosen) == 49 and 7 in model.chosen.tolist() and set(model.chosen.tolist()) <= set(best)
+    assert len(model.transform(table).first()["features"]) == 63
+
+
+def test_the_kernel_machine_reaches_the_optimum_of_the_dual(spark):
+    rng = np.random.default_rng(5)
+    x = rng.normal(size=(500, 3))
+    y = np.where((x**2).sum(axis=1) + 0.3 * rng.normal(size=500) > 2.4, 1, 0)
+    table = spark.createDataFrame([(i, int(k), v.tolist()) for i, (k, v) in enumerate(zip(y, x, strict=True))], "id long, label long, features array<double>").repartition(3)
+    c, gamma = 1.0, 0.5
+    z = (x - x.mean(axis=0)) / x.std(axis=0)
+    kernel = np.exp(-gamma * ((z[:, None] - z[None]) ** 2).sum(axis=2)) + 1.0  # the intercept is a further feature of 1
+    # squared hinge: maximise sum a - 1/2 a' (yKy + I / 2c) a over a >= 0, by coordinates
+    s = np.where(y == 1, 1.0, -1.0)
+    q = kernel * np.outer(s, s) + np.eye(500) / (2 * c)
+    a, slope = np.zeros(500), -np.ones(500)
+    for _ in range(300):
+        for i in range(500):
+            step = max(-a[i], -slope[i] / q[i, i])
+            a[i] += step
+            slope += step * q[:, i]
+    dual = a.sum() - 0.5 * a @ q @ a
+    whole = learning.Kernel(table, gamma, c, landmarks=500)
+    assert dual <= whole.objective() / 2 < dual * 1.01  # any dual value lies below the optimum; both classes' problems mirror each other
+    few = learning.Kernel(table, gamma, c, landmarks=150)
+    assert whole.objective() * (1 - 1e-9) <= few.objective() < whole.objective() * 1.01
+    right = few.predict(table).agg(F.avg((F.col("label") == F.col("y_pred")).cast("int"))).first()[0]
+    assert right > 0.93 > learning.fit_linear(table).predict(table).agg(F.avg((F.col("label") == F.col("y_pred")).cast("int"))).first()[0]
