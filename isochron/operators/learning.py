@@ -6,12 +6,15 @@ scales, components, weights) comes from the training rows.
 
 from __future__ import annotations
 
+import functools
 from collections.abc import Callable, Iterator
 from dataclasses import dataclass
+from multiprocessing.pool import ThreadPool
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark import inheritable_thread_target
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -23,6 +26,8 @@ from .windows import cut_points, quantiles, ranked, running_sums, slice_of
 
 #: Cells of a sum that travel as one array.
 CELLS = 8192
+#: Files and cores up to which tasks' arrays are added up in one step.
+FEW_TASKS = 64
 
 
 def _sum_cells(rows: DataFrame, partial: Callable[[np.ndarray, np.ndarray], np.ndarray], columns: list[str], label: str = "label") -> np.ndarray:
@@ -39,9 +44,11 @@ def _sum_cells(rows: DataFrame, partial: Callable[[np.ndarray, np.ndarray], np.n
             chunks = [held[lo : lo + CELLS] for lo in range(0, len(held), CELLS)]
             yield pa.RecordBatch.from_arrays([pa.array(range(len(chunks)), pa.int64()), pa.array(chunks, pa.list_(pa.float64()))], ["chunk", "x"])
 
-    # n tasks' arrays are added up in about sqrt(n) groups of at most 2 * sqrt(n) + 1, and then the groups' sums
+    # n tasks' arrays are added up in about sqrt(n) groups of at most 2 * sqrt(n) + 1, and then the groups' sums;
+    # a few tasks' arrays at once: an exchange for each of many small passes would take longer than it saves
+    few = max(len(rows.inputFiles()), rows.sparkSession.sparkContext.defaultParallelism) <= FEW_TASKS
     made = rows.select(*columns).mapInArrow(run, "chunk long, x array<double>").withColumn("part", F.floor(F.sqrt(F.spark_partition_id())))
-    for keys in (["chunk", "part"], ["chunk"]):
+    for keys in (["chunk"],) if few else (["chunk", "part"], ["chunk"]):
         parts = made.groupBy(*keys).agg(F.collect_list("x").alias("x"))
         made = parts.select(*keys, F.reduce(F.slice("x", 2, F.size("x")), F.col("x")[0], lambda s, x: F.zip_with(s, x, lambda a, b: a + b)).alias("x"))
     found = made.collect()
@@ -473,8 +480,6 @@ class Pipeline:
 
 
 FACTORIES["pipeline"] = Pipeline
-FACTORIES["mlp100"] = lambda rows: Perceptron(rows, rounds=100)
-FACTORIES["pipeline60"] = lambda rows: Pipeline(rows, keep=60)
 FACTORIES["plain_pipeline"] = lambda rows: Pipeline(rows, augment=False, smote=False)
 
 
@@ -526,28 +531,43 @@ def evaluate(train: DataFrame, test: DataFrame, name: str) -> DataFrame:
     return evaluation.scores(evaluation.confusion(pred, ["clf"]), ["clf"])
 
 
+#: Fits that go on at the same time: each is a row of small jobs that leave most of a cluster idle.
+PARALLEL = 8
+
+
+def in_parallel(spark: SparkSession, tasks: list[Callable[[], object]], at_once: int = PARALLEL) -> list:
+    """Results of functions that start Spark jobs, run by threads of the driver, in order."""
+    with ThreadPool(min(at_once, max(1, len(tasks)))) as pool:
+        return pool.map(lambda task: inheritable_thread_target(spark)(task)(), tasks, chunksize=1)
+
+
+def _fold_rows(rows: DataFrame, table: DataFrame, plans: dict[str, tuple[str, list[int] | None]]) -> list[tuple]:
+    """(key, fold, acc, f1_weighted, f1_macro) for every plan (classifier, features or all) and fold; folds are rows of ``table``."""
+    tagged = materialize(rows.join(table, "group"), "tagged")  # each fold's models read it many times
+    folds = sorted(r["fold"] for r in table.select("fold").distinct().collect())
+
+    def one(key: str, fold: int) -> tuple:
+        name, own = plans[key]
+        part = tagged if own is None else tagged.withColumn("features", F.array(*(F.col("features")[i] for i in own)))
+        got = evaluate(part.where(F.col("fold") != fold).drop("fold"), part.where(F.col("fold") == fold).drop("fold"), name).first()
+        return (key, fold, *((got["acc"], got["f1_weighted"], got["f1_macro"]) if got else (None, None, None)))
+
+    return in_parallel(rows.sparkSession, [functools.partial(one, key, fold) for key in plans for fold in folds])
+
+
 def cross_validate(rows: DataFrame, name: str, folds: int = 5, table: DataFrame | None = None) -> DataFrame:
     """(clf, fold, acc, f1_weighted, f1_macro) over group-disjoint folds; pass ``table`` to share folds."""
-    table = table if table is not None else sampling.group_folds(rows, "group", folds)
-    tagged = materialize(rows.join(table, "group"), "tagged")  # each fold's model reads it many times
-    out = None
-    for (fold,) in sorted(tuple(r) for r in table.select("fold").distinct().collect()):
-        part = evaluate(tagged.where(F.col("fold") != fold).drop("fold"), tagged.where(F.col("fold") == fold).drop("fold"), name).withColumn("fold", F.lit(fold))
-        out = part if out is None else out.unionByName(part)
-    return out
+    return fold_scores(rows, [name], folds, table)
 
 
-def ablation(rows: DataFrame, families: dict[str, list[int]], name: str = "svc", folds: int = 3) -> DataFrame:
+def ablation(rows: DataFrame, families: dict[str, list[int]], name: str = "svc", folds: int = 5) -> DataFrame:
     """(key, f1_weighted, delta): all families, each one dropped, and each one alone."""
-    table = sampling.group_folds(rows, "group", folds)
+    table = materialize(sampling.group_folds(rows, "group", folds), "folds")
     whole = sorted(i for own in families.values() for i in own)
     plans = {"all": whole} | {f"drop_{f}": [i for i in whole if i not in own] for f, own in families.items()} | {f"only_{f}": own for f, own in families.items()}
-    out = []
-    for key, own in plans.items():
-        part = rows.withColumn("features", F.array(*(F.col("features")[i] for i in own)))
-        mean = cross_validate(part, name, table=table).agg(F.avg("f1_weighted")).first()[0]
-        out.append((key, mean))
-    return rows.sparkSession.createDataFrame([(k, v, v - out[0][1]) for k, v in out], "key string, f1_weighted double, delta double")
+    found = _fold_rows(rows, table, {k: (name, own) for k, own in plans.items()})
+    mean = {k: float(np.mean([r[3] for r in found if r[0] == k and r[3] is not None])) for k in plans}
+    return rows.sparkSession.createDataFrame([(k, v, v - mean["all"]) for k, v in mean.items()], "key string, f1_weighted double, delta double")
 
 
 def leakage_stress(train: DataFrame, test: DataFrame, name: str = "svc") -> DataFrame:
@@ -558,13 +578,11 @@ def leakage_stress(train: DataFrame, test: DataFrame, name: str = "svc") -> Data
     return safe.unionByName(evaluate(parts.where("part = 'train'").drop("part"), parts.where("part = 'test'").drop("part"), name).withColumn("protocol", F.lit("random")))
 
 
-def fold_scores(rows: DataFrame, names: list[str], folds: int = 5) -> DataFrame:
+def fold_scores(rows: DataFrame, names: list[str], folds: int = 5, table: DataFrame | None = None) -> DataFrame:
     """Cross-validated scores of several classifiers on the same folds."""
-    table, out = materialize(sampling.group_folds(rows, "group", folds), "folds"), None
-    for name in names:
-        part = cross_validate(rows, name, folds, table)
-        out = part if out is None else out.unionByName(part)
-    return out
+    table = materialize(sampling.group_folds(rows, "group", folds), "folds") if table is None else table
+    found = _fold_rows(rows, table, {name: (name, None) for name in names})
+    return rows.sparkSession.createDataFrame([(k, a, w, m, f) for k, f, a, w, m in found], "clf string, acc double, f1_weighted double, f1_macro double, fold int")
 
 
 def gaps(scored: DataFrame, base: str = "linear", name: str = "acc") -> DataFrame:
@@ -582,15 +600,13 @@ def gaps(scored: DataFrame, base: str = "linear", name: str = "acc") -> DataFram
     return means.join(spread, "clf").join(tests, "clf")
 
 
-def marginal(rows: DataFrame, families: dict[str, list[int]], costly: str = "graph", cheap: str = "hrv", name: str = "svc", folds: int = 3) -> DataFrame:
+def marginal(rows: DataFrame, families: dict[str, list[int]], costly: str = "graph", cheap: str = "hrv", name: str = "svc", folds: int = 5) -> DataFrame:
     """(key, f1_weighted): all families, without the costly one, without both, and the gains between these."""
     table = materialize(sampling.group_folds(rows, "group", folds), "folds")
     configs = {"full": set(families), "no_costly": set(families) - {costly}, "no_costly_no_cheap": set(families) - {costly, cheap}}
-    found = {}
-    for key, keep in configs.items():
-        own = sorted(i for f in keep for i in families[f])
-        part = rows.withColumn("features", F.array(*(F.col("features")[i] for i in own)))
-        found[key] = cross_validate(part, name, table=table).agg(F.avg("f1_weighted")).first()[0] if own else float("nan")
+    plans = {key: (name, sorted(i for f in keep for i in families[f])) for key, keep in configs.items()}
+    scored = _fold_rows(rows, table, {k: v for k, v in plans.items() if v[1]})
+    found = {k: float(np.mean([r[3] for r in scored if r[0] == k and r[3] is not None] or [np.nan])) for k in plans}
     found["marginal_costly_given_cheap"] = found["full"] - found["no_costly"]
     found["gain_of_cheap_alone"] = found["no_costly"] - found["no_costly_no_cheap"]
     return rows.sparkSession.createDataFrame(list(found.items()), "key string, f1_weighted double")

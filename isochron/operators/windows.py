@@ -58,15 +58,31 @@ def rhythm(df: DataFrame, record: str, order: list[str], rr: str = "rr_pre", wid
     }).drop("_sq", "_jump")
 
 
-def cut_points(df: DataFrame, column: str, slices: int = 256) -> list:
-    """Approximate quantiles of a column that cut its values into slices of like size."""
-    cuts = df.agg(F.percentile_approx(column, [i / slices for i in range(1, slices)], 10_000).alias("c")).first()["c"] or []
-    return sorted(set(cuts))
+#: Rows of a slice, about, and slices at most.
+SLICE_ROWS, SLICES = 50_000, 4096
+
+
+def cut_points(df: DataFrame, column: str, slices: int | None = None, rows: int | None = None) -> list:
+    """Approximate quantiles of a column that cut its values into ``slices`` of like size, or else of about ``rows`` (``SLICE_ROWS``) rows each.
+
+    One pass counts rows and takes the finest quantiles; a small table has no cuts at all.
+    Beyond ``SLICES`` times so many rows slices grow, and spill within their tasks.
+    """
+    finest = F.percentile_approx(column, [i / SLICES for i in range(1, SLICES)], 20_000).alias("c")
+    found = df.agg(F.count(column).alias("n"), finest).first()
+    slices = min(SLICES, found["n"], slices or -(-found["n"] // (rows or SLICE_ROWS)))
+    return sorted({found["c"][i * SLICES // slices - 1] for i in range(1, slices)}) if slices > 1 else []
 
 
 def slice_of(column: Column, cuts: list) -> Column:
-    """How many cuts lie at or below a value: does not fall as the value rises."""
-    return F.size(F.filter(F.array(*map(F.lit, cuts)), lambda c: c <= column)) if cuts else F.lit(0)
+    """How many cuts lie at or below a value, by halving: does not fall as the value rises."""
+    def below(lo: int, hi: int) -> Column:
+        if lo == hi:
+            return F.lit(lo)
+        mid = (lo + hi) // 2
+        return F.when(column >= F.lit(cuts[mid]), below(mid + 1, hi)).otherwise(below(lo, mid))
+
+    return below(0, len(cuts))
 
 
 def ranked(df: DataFrame, key: str, bucket: Column, order: list[Column], bucket_name: str = "_b") -> DataFrame:
@@ -91,7 +107,7 @@ def ranked(df: DataFrame, key: str, bucket: Column, order: list[Column], bucket_
     )
 
 
-def quantiles(df: DataFrame, key: str, value: str, shares: list[float], slices: int = 256) -> DataFrame:
+def quantiles(df: DataFrame, key: str, value: str, shares: list[float], slices: int | None = None, rows: int | None = None) -> DataFrame:
     """(key, q): exact quantiles with linear interpolation, an array in the order of ``shares``.
 
     No task holds a key's values: counts of slices tell in which slices the wanted ranks
@@ -100,7 +116,7 @@ def quantiles(df: DataFrame, key: str, value: str, shares: list[float], slices:
     """
     df = df.select(key, F.col(value).cast("double").alias("_v")).where(F.col("_v").isNotNull())
     # equal values are one row from the start; written down, since both the counts and the second look read them
-    df = df.withColumn("_slice", slice_of(F.col("_v"), cut_points(df, "_v", slices))).groupBy(key, "_slice", "_v").agg(F.count(F.lit(1)).alias("_m"))
+    df = df.withColumn("_slice", slice_of(F.col("_v"), cut_points(df, "_v", slices, rows))).groupBy(key, "_slice", "_v").agg(F.count(F.lit(1)).alias("_m"))
     df = materialize(df, "quantiles")
     along_ = Window.partitionBy(key).orderBy("_slice").rowsBetween(Window.unboundedPreceding, -1)
     counts = df.groupBy(key, "_slice").agg(F.sum("_m").alias("_n"))
@@ -119,14 +135,14 @@ def quantiles(df: DataFrame, key: str, value: str, shares: list[float], slices:
     return one.groupBy(key).agg(F.transform(F.array_sort(F.collect_list(F.struct("_i", "_q"))), lambda x: x["_q"]).alias("q"))
 
 
-def running_sums(df: DataFrame, key: str, order: str, sums: list[str], slices: int = 256) -> DataFrame:
+def running_sums(df: DataFrame, key: str, order: str, sums: list[str], slices: int | None = None, rows: int | None = None) -> DataFrame:
     """Sums of columns over all rows of ``key`` with a value of ``order`` as high or higher.
 
     A key with most of the rows does not meet in one task: rows are cut at approximate
     quantiles of ``order`` (any cuts give the same sums), each slice is summed up by a
     window of its own, and a prefix sum over the slices' totals is added.
     """
-    df = df.withColumn("_slice", slice_of(F.col(order), cut_points(df, order, slices)))
+    df = df.withColumn("_slice", slice_of(F.col(order), cut_points(df, order, slices, rows)))
     above = Window.partitionBy(key).orderBy(F.col("_slice").desc()).rowsBetween(Window.unboundedPreceding, -1)
     totals = df.groupBy(key, "_slice").agg(*(F.sum(c).alias(c) for c in sums))
     totals = totals.select(key, "_slice", *(F.coalesce(F.sum(c).over(above), F.lit(0)).alias(f"_{c}") for c in sums))

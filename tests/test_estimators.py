@@ -185,3 +185,14 @@ def test_the_kernel_machine_reaches_the_optimum_of_the_dual(spark):
     assert whole.objective() * (1 - 1e-9) <= few.objective() < whole.objective() * 1.01
     right = few.predict(table).agg(F.avg((F.col("label") == F.col("y_pred")).cast("int"))).first()[0]
     assert right > 0.93 > learning.fit_linear(table).predict(table).agg(F.avg((F.col("label") == F.col("y_pred")).cast("int"))).first()[0]
+
+
+def test_sums_of_tasks_in_one_or_two_levels(spark, monkeypatch):
+    rng = np.random.default_rng(1)
+    x = rng.integers(-50, 50, (300, 4)).astype(float)
+    table = spark.createDataFrame([(i, 0, v.tolist()) for i, v in enumerate(x)], "id long, label int, features array<double>").repartition(23)
+    for few in (64, 0):
+        monkeypatch.setattr(learning, "FEW_TASKS", few)
+        monkeypatch.setattr(learning, "CELLS", 3)
+        found = learning._sum_cells(table, lambda x, _: np.concatenate([[len(x)], x.sum(axis=0), (x.T @ x).ravel()]), ["features", "label"])
+        assert found.tolist() == [300.0, *x.sum(axis=0), *(x.T @ x).ravel()]

@@ -530,3 +530,18 @@ def test_dense_pairs_are_matched_greedily(spark):
     rows = spark.createDataFrame(pairs, "gap double, record string, r_id long, d_id long")
     for rounds in (0, 2):
         assert {("x", r["r_id"], r["d_id"]) for r in matching.nearest_matches(rows, "record", 9.0, rounds).collect()} == greedy_pairs(pairs)
+
+
+def test_slices_follow_the_data(spark, monkeypatch):
+    df = spark.range(40_000).select(F.lit("k").alias("k"), F.pmod(F.xxhash64("id"), F.lit(10_007)).cast("double").alias("v"), F.col("id"))
+    assert windows.cut_points(df, "v") == []
+    cuts = windows.cut_points(df, "v", rows=500)
+    sizes = [r["count"] for r in df.groupBy(windows.slice_of(F.col("v"), cuts).alias("s")).count().collect()]
+    assert len(sizes) == 80 and max(sizes) < 1000
+    checked = spark.createDataFrame([(v,) for v in [-1.0, cuts[0], cuts[0] + 1e-9, cuts[-1], 1e9]], "v double").select(windows.slice_of(F.col("v"), cuts)).collect()
+    assert [r[0] for r in checked] == [sum(c <= v for c in cuts) for v in [-1.0, cuts[0], cuts[0] + 1e-9, cuts[-1], 1e9]]
+    want = df.agg(*(F.percentile("v", p).alias(str(i)) for i, p in enumerate([0.0, 0.013, 0.5, 1.0]))).first()
+    for rows in (None, 300):
+        assert windows.quantiles(df, "k", "v", [0.0, 0.013, 0.5, 1.0], rows=rows).first()["q"] == pytest.approx(list(want))
+        sums = windows.running_sums(df.groupBy("k", "v").agg(F.count(F.lit(1)).alias("n")), "k", "v", ["n"], rows=rows).orderBy(F.col("v").desc()).collect()
+        assert [r["cum_n"] for r in sums] == np.cumsum([r["n"] for r in sums]).tolist()
