@@ -119,13 +119,15 @@ def write_archive(pages: DataFrame, path: str, least_bytes: int = 0, file_bytes:
     return index
 
 
-def read_archive(index: DataFrame, path: str, gap: int = 64 << 10, span: int = 8 << 20) -> DataFrame:
+def read_archive(index: DataFrame, path: str, gap: int = 64 << 10, span: int = 8 << 20, held_bytes: int = 16 << 20) -> DataFrame:
     """Records that ``index`` lists (select rows of it first), payloads checked by digest.
 
     Within a file (bounded when written) ranges are sorted by offset; neighbours no more
     than ``gap`` bytes apart join one read of at most about ``span`` bytes.  The index is
     small beside the archives, so ranges are dealt anew by file and place: a task for every
     ``span`` bytes of records that are asked for, however few partitions the index has.
+    Records leave a task as soon as ``held_bytes`` of them are unpacked, however well they
+    compress; a larger one leaves alone.
     """
     asked = index.agg(F.coalesce(F.sum("length"), F.lit(0))).first()[0]
     near = Window.partitionBy("file").orderBy("offset")
@@ -147,8 +149,15 @@ def read_archive(index: DataFrame, path: str, gap: int = 64 << 10, span: int = 8
             for file, start, end, records in zip(part["file"], part["start"], part["end"], part["records"], strict=True):
                 with store.open_input_file(f"{root}/{file}") as f:
                     data = f.read_at(end - start, start)
-                found = [_parse(data[r["offset"] - start : r["offset"] - start + r["length"]]) for r in records]
-                yield pd.DataFrame(found).astype({"page_id": "Int64", "refers_to": "Int64"})
+                found, held = [], 0
+                for r in records:
+                    found.append(_parse(data[r["offset"] - start : r["offset"] - start + r["length"]]))
+                    held += len(found[-1]["payload"] or b"")
+                    if held >= held_bytes:
+                        yield pd.DataFrame(found).astype({"page_id": "Int64", "refers_to": "Int64"})
+                        found, held = [], 0
+                if found:
+                    yield pd.DataFrame(found).astype({"page_id": "Int64", "refers_to": "Int64"})
 
     return ranges.repartition(max(1, -(-asked // span)), "file", "start").mapInPandas(read, RECORD)
 

@@ -339,6 +339,7 @@ def test_warc(spark, tmp_path):
     path = f"file://{tmp_path}/w"
     index = warc.write_archive(df, path)
     got = warc.read_archive(index, path, span=1000).collect()
+    assert sorted(map(str, warc.read_archive(index, path, held_bytes=1).collect())) == sorted(map(str, got))
     want = brute.warc([{"page_id": a, "html": c} for a, _, c, _ in odd])
     assert sorted(((r["page_id"], r["payload_bytes"], r["payload_digest"], r["record_type"], r["refers_to"]) for r in got), key=str) == sorted(want, key=str)
     assert [bytes(r["payload"]) for r in got if r["page_id"] == 12] == [b"z" * 300_000]
