@@ -21,7 +21,7 @@ def test_against_duckdb(spark, con, name):
 
 
 #: Compositions of queries that run here or of operators with tests of their own; each takes a minute or more.
-LONG = {"separability_report", "nonlinear_headroom", "fold_pipeline", "window_sweep", "family_ablation", "balance_stages_per_fold", "graph_marginal", "causal_and_not"}
+LONG = {"separability_report", "nonlinear_headroom", "fold_pipeline", "window_sweep", "family_ablation", "balance_stages_per_fold", "graph_marginal", "causal_and_not", "kernel_gap"}
 
 
 @pytest.mark.parametrize("name", sorted(set(plans.QUERIES) - set(plans.SQL) - LONG))
