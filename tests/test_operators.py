@@ -498,6 +498,25 @@ def test_neighbours_by_cells_are_those_of_all_pairs(spark):
     assert len(few) == 12
 
 
+@pytest.mark.parametrize(("block", "meet"), [(16, 100), (16, 7), (4096, 90)])
+def test_neighbours_without_structure_are_sent_once_to_a_shelf(spark, block, meet):
+    rng = np.random.default_rng(22)
+    x = rng.normal(size=(500, 24)) + 1000
+    x[100:140] = x[7]  # copies: ties go to the smaller id
+    x[300, 0], x[301, 3] = np.nan, np.inf
+    rows = spark.createDataFrame([(i, i % 3, v.tolist()) for i, v in enumerate(x)], "id long, label int, features array<double>").repartition(3)
+    got = sorted((r["query"], r["rank"], r["id"], r["d2"]) for r in geometry.neighbours(rows, rows, 4, block, meet=meet).collect())
+    plain = []
+    for i in range(len(x)):
+        d = ((x - x[i]) ** 2).sum(axis=1)
+        plain += [(i, r + 1, j, v) for r, (v, j) in enumerate(sorted((float(v), j) for j, v in enumerate(d) if j != i and np.isfinite(v))[:4])]
+    assert [g[:3] for g in got] == [p[:3] for p in plain] and np.allclose([g[3] for g in got], [p[3] for p in plain])
+    cells = geometry.Cells(rows.where("id <> 300 AND id <> 301"), 498, block, "features", meet)
+    if cells.pivots is not None and meet == 100:
+        asked = cells.asked(cells.placed(rows.select("id", "features")).withColumn("tau", F.lit(1e9)))
+        assert len(cells.parts) < len(cells.sizes) / 3 and asked.groupBy("id", "shelf").count().where("count > 1").count() == 0
+
+
 def greedy_pairs(pairs):
     """Plain matching of (gap, record, r, d)."""
     used, out = set(), set()
