@@ -2,6 +2,7 @@
 
 import numpy as np
 import pytest
+from pyspark.sql import GroupedData
 
 from isochron.operators import geometry
 from isochron.plans import signal
@@ -48,3 +49,20 @@ def test_balancing_starts_from_the_whole_table(spark, tmp_path):
     out = {(r["stage"], r["label"]): r["n"] for r in signal.balance_stages(spark, str(tmp_path)).collect()}
     assert {k: n for k, n in out.items() if k[0] == "before"} == {("before", 0): 10, ("before", 1): 10, ("before", 2): 10, ("before", 3): 30}
     assert all(out["oversampled", label] == 30 for label in range(4))
+
+
+def test_a_pair_of_rows_is_looked_at_once(spark, monkeypatch):
+    """Of two blocks, one pass over their distances serves both."""
+    rng = np.random.default_rng(7)
+    df = spark.createDataFrame([(i, i % 3, rng.normal(size=3).tolist()) for i in range(40)], "id long, label long, features array<double>")
+    seen = []
+    real = geometry._distances
+    monkeypatch.setattr(geometry, "_distances", lambda x, y: seen.append(len(x) * len(y)) or real(x, y))
+    rows = {}
+    monkeypatch.setattr(type(df.groupBy("id")), "applyInArrow", lambda self, run, schema: rows.update(run=run) or real_apply(self, run, schema))
+    geometry.silhouettes(df, block=20)
+    part = df.selectExpr("0 AS i", "1 AS j", "id < 20 AS low", "id", "label", "features").toArrow()
+    assert rows["run"](part).num_rows == 40 * 3 and sum(seen) == 400
+
+
+real_apply = GroupedData.applyInArrow
