@@ -16,6 +16,10 @@ from . import windows
 PREFIXES = {"td_": "time", "fd_": "freq", "mp_": "morph", "wv_": "wavelet", "hrv_": "hrv", "gr_": "graph"}
 
 
+#: Beats of a record that meet in a task, besides those that their frames reach.
+BLOCK = 2048
+
+
 def time_features(df: DataFrame, segment: str) -> DataFrame:
     """Mean, population sd, skewness, excess kurtosis, rms and zero crossings of an array column.
 
@@ -109,7 +113,7 @@ def graph_features(df: DataFrame, record: str, order: list[str], values: str = "
 
     A pair's weight does not depend on the frame it is seen in.  So each beat carries the
     weights to the beats before it that can share a frame with it, computed once, and a
-    frame's graph is put together from its beats' own arrays.  A beat without a whole
+    frame's graph is put together from its beats' own arrays, a block of beats at a time.  A beat without a whole
     descriptor (a constant segment has no skewness) is in the frames, but has no edges.
     """
     reach = width - 1 if causal else 2 * (width - 1)
@@ -117,35 +121,40 @@ def graph_features(df: DataFrame, record: str, order: list[str], values: str = "
     past = df.withColumn("_past", F.collect_list(values).over(w.rowsBetween(-reach, -1)))
     weight = lambda other, i: F.greatest(F.lit(0.0), A.cosine(F.col(values), other)) * F.exp((i - F.size("_past")) / tau)
     own = past.withColumn("_own", F.transform("_past", weight)).drop("_past")
-    framed = own.withColumn("_frame", F.collect_list("_own").over(windows.frame(record, order, width, causal)))
-    framed = framed.withColumn("_at", F.count(F.lit(1)).over(w.rowsBetween(-(width - 1), 0)) - 1).drop("_own")
-    columns = df.columns
-
-    def run(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for part in parts:
-            out = np.zeros((part.num_rows, 3))
-            frames, at = part["_frame"], part["_at"].to_numpy()
-            sizes = np.diff(frames.offsets.to_numpy())
-            for n in np.unique(sizes[sizes >= 3]).tolist():
-                rows = np.flatnonzero(sizes == n)
-                for lo in range(0, len(rows), 512):
-                    own = rows[lo : lo + 512]
-                    graph = _graphs(frames.take(pa.array(own)), n)
-                    rank, node = K.pagerank(graph), at[own]
-                    out[own, 0] = graph[np.arange(len(own)), node].sum(axis=1)
-                    out[own, 2] = rank[np.arange(len(own)), node]
-                    for k in np.unique(node):
-                        same = node == k
-                        out[own[same], 1] = K.clustering(graph[same], int(k))
-            yield pa.RecordBatch.from_arrays([*(part[c] for c in columns), *(pa.array(out[:, i]) for i in range(3))], [*columns, "gr_wdegree", "gr_clustering", "gr_pagerank"])
+    ahead = 0 if causal else width - 1
+    # beats meet in blocks, each with the beats before and after it that its frames reach
+    placed = own.withColumn("_pos", F.row_number().over(w) - 1)
+    sent = placed.withColumn("_block", F.explode(F.sequence(F.floor(F.greatest(F.col("_pos") - ahead, F.lit(0)) / BLOCK), F.floor((F.col("_pos") + width - 1) / BLOCK))))
+    columns, block = df.columns, BLOCK
+
+    def run(part: pa.Table) -> pa.Table:
+        part = part.combine_chunks().sort_by("_pos").combine_chunks()
+        pos, beats = part["_pos"].to_numpy(), part["_own"].combine_chunks()
+        home = np.flatnonzero(pos // block == part["_block"][0].as_py())
+        first, last = np.maximum(home - (width - 1), 0), np.minimum(home + ahead, len(pos) - 1)
+        out, sizes, at = np.zeros((len(home), 3)), last - first + 1, home - first
+        for n in np.unique(sizes[sizes >= 3]).tolist():
+            rows, some = np.flatnonzero(sizes == n), max(1, 16384 // n)
+            for lo in range(0, len(rows), some):
+                own = rows[lo : lo + some]
+                graph = _graphs(beats.take(pa.array((first[own][:, None] + np.arange(n)).ravel())), n)
+                rank, node = K.pagerank(graph), at[own]
+                out[own, 0] = graph[np.arange(len(own)), node].sum(axis=1)
+                out[own, 2] = rank[np.arange(len(own)), node]
+                for k in np.unique(node):
+                    same = node == k
+                    out[own[same], 1] = K.clustering(graph[same], int(k))
+        kept = part.select(columns).take(pa.array(home))
+        for i, name in enumerate(("gr_wdegree", "gr_clustering", "gr_pagerank")):
+            kept = kept.append_column(name, pa.array(out[:, i]))
+        return kept
 
     own = ", ".join(f"`{x.name}` {x.dataType.simpleString()}" for x in df.schema)
-    return framed.mapInArrow(run, own + ", gr_wdegree double, gr_clustering double, gr_pagerank double")
+    return sent.groupBy(record, "_block").applyInArrow(run, own + ", gr_wdegree double, gr_clustering double, gr_pagerank double")
 
 
-def _graphs(frames: pa.Array, n: int) -> np.ndarray:
-    """Symmetric weights (rows, n, n) of frames of n beats, each an array of its beats' weights to those before them."""
-    beats = frames.flatten()
+def _graphs(beats: pa.Array, n: int) -> np.ndarray:
+    """Symmetric weights (rows, n, n) of frames of n beats, one after the other; each beat has an array of its weights to those before it."""
     lengths = np.diff(beats.offsets.to_numpy())
     flat = beats.flatten().to_numpy(zero_copy_only=False)
     ends = np.cumsum(lengths)

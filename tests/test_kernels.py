@@ -89,3 +89,21 @@ def test_distributions():
     assert (w, p) == (0, 0.0625)
     assert stats.wilcoxon([0.0, 0.0]) == (0.0, 1.0)
     assert stats.paired_t([1, 2, 3], [1, 2, 3]) == (0.0, 1.0)
+
+
+def test_graph_frames_do_not_travel_whole(spark, monkeypatch):
+    """Blocks of beats with what their frames reach give the rows of one block; no row carries a frame of frames."""
+    from pyspark.sql import functions as F
+
+    from isochron.operators import features
+
+    rng = np.random.default_rng(8)
+    df = spark.createDataFrame([(i % 2, i, rng.normal(size=5).tolist()) for i in range(90)], "r long, t long, descriptor array<double>")
+    for causal in (True, False):
+        got = []
+        for block in (7, 2048):
+            monkeypatch.setattr(features, "BLOCK", block)
+            out = features.graph_features(df, "r", ["t"], width=6, causal=causal)
+            assert "_frame" not in out._jdf.queryExecution().optimizedPlan().toString()
+            got.append([tuple(r) for r in out.select("r", "t", *(F.round(c, 12) for c in ("gr_wdegree", "gr_clustering", "gr_pagerank"))).orderBy("r", "t").collect()])
+        assert len(got[0]) == 90 and got[0] == got[1]
