@@ -66,3 +66,12 @@ def test_a_pair_of_rows_is_looked_at_once(spark, monkeypatch):
 
 
 real_apply = GroupedData.applyInArrow
+
+
+def test_counts_before_and_after_oversampling_edit_nothing(spark, tmp_path, monkeypatch):
+    rng = np.random.default_rng(9)
+    rows = [(int(i), rng.normal(size=3).tolist(), int(i % 5 == 0)) for i in range(60)]
+    spark.createDataFrame(rows, "vec_id long, embedding array<float>, label int").coalesce(1).write.parquet(str(tmp_path / "embeddings.parquet"))
+    monkeypatch.setattr(signal.balance, "edited", lambda *a, **k: pytest.fail("rows were edited"))
+    got = {(r["fold"], r["stage"], r["label"]): r["n"] for r in signal.balance_per_fold(spark, str(tmp_path)).collect()}
+    assert len(got) == 12 and all(got[f, "oversampled", 1] == got[f, "before", 0] for f in range(3))
