@@ -1,9 +1,13 @@
 """Balancing: partners within a class and editing by bounds, against plain searches."""
 
+import threading
+
 import numpy as np
 import pytest
+from pyspark.sql import GroupedData
+from pyspark.sql import functions as F
 
-from isochron.operators import balance, geometry
+from isochron.operators import balance, geometry, windows
 
 
 def plain(x, i, k, among):
@@ -71,3 +75,48 @@ def test_a_query_with_a_nearer_row_of_another_class_meets_no_more_rows(monkeypat
     near = ((x[own, None] - x[None, 200:]) ** 2).sum(axis=2) < 1
     assert beaten.tolist() == (near & (code[own, None] != code[None, 200:])).any(axis=1).tolist()
     assert sum(seen) < 0.5 * 200 * 8800
+
+
+def test_partners_are_looked_for_once(spark, monkeypatch):
+    rng = np.random.default_rng(34)
+    df = spark.createDataFrame([(i, int(i % 20 > 9), rng.normal(size=3).tolist()) for i in range(97)], "id long, label long, features array<double>")
+    seen, real = spark.sparkContext.accumulator(0), balance.class_neighbours
+
+    def counted(parts):
+        for part in parts:
+            seen.add(part.num_rows)
+            yield part
+
+    monkeypatch.setattr(balance, "class_neighbours", lambda *a: (near := real(*a)).mapInArrow(counted, near.schema))
+    got = {(r["stage"], r["label"]): r["n"] for r in balance.stages(df, edit=False).collect()}
+    assert got == {("before", 0): 50, ("before", 1): 47, ("oversampled", 0): 50, ("oversampled", 1): 50}
+    assert seen.value == 3 * 5  # three rows are copied, with five partners each
+
+
+def test_folds_go_on_side_by_side(spark, monkeypatch):
+    df = spark.createDataFrame([(i, i % 3, i % 2, [float(i)]) for i in range(30)], "id long, group long, label long, features array<double>")
+    meeting, real = threading.Barrier(3, timeout=60), balance.stages
+    monkeypatch.setattr(balance, "stages", lambda *a: (meeting.wait(), real(*a))[1])
+    table = spark.createDataFrame([(i, i) for i in range(3)], "group long, fold int")
+    got = {(r["fold"], r["stage"], r["label"]): r["n"] for r in balance.stages_per_fold(df, table, 3, edit=False).collect()}
+    assert got == {(f, s, c): 10 for f in range(3) for s in ("before", "oversampled") for c in range(2)}
+
+
+def test_queries_of_a_class_are_cut_for_all_cores(spark, monkeypatch):
+    df = spark.range(6000).select("id", (F.col("id") % 2).alias("label"), F.array(F.rand(1), F.rand(2)).alias("features"))
+    seen, real = [], GroupedData.applyInArrow
+    monkeypatch.setattr(GroupedData, "applyInArrow", lambda self, run, schema: seen.append(self._df.where("ask").select("label", "i", "j").distinct().count()) or real(self, run, schema))
+    near = geometry.class_neighbours(df, df, 2, meet=4096)
+    assert seen == [6] and near.count() == 12000  # three pieces of each class
+    assert geometry.class_neighbours(df.where("id < 0"), df, 2, meet=4096).count() == 0
+
+
+def test_cut_points_are_asked_for_at_once(spark, monkeypatch):
+    from pyspark.sql.functions import builtin
+
+    df = spark.range(5000).select((F.col("id") * 7 % 5000).alias("v"))
+    want = df.select(F.percentile_approx("v", [i / windows.SLICES for i in range(1, windows.SLICES)], 20_000)).first()[0]
+    calls, real = [], builtin.lit
+    monkeypatch.setattr(builtin, "lit", lambda x: calls.append(x) or real(x))
+    assert windows.cut_points(df, "v", slices=10) == [want[i * windows.SLICES // 10 - 1] for i in range(1, 10)]
+    assert len(calls) < 50
